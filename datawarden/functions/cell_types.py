@@ -1,9 +1,8 @@
-"""Atomic type tests on the text of one cell."""
+"""Atomic type tests on the text of one cell, as Spark SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from datawarden.functions.scalars import matches, one_of
 
 # The accepted spellings per type, in tie-break order.
 INTEGER_PATTERN = r"^-?[0-9]+$"
@@ -17,23 +16,23 @@ DATETIME_PATTERN = (
 TYPE_ORDER = ("INTEGER", "FLOAT", "BOOLEAN", "DATE", "DATETIME", "STRING")
 
 
-def number(text: Column) -> Column:
+def number(x: str) -> str:
     """The finite number a cell spells, else null. Hex literals and type suffixes are no numbers."""
-    parsed = F.when(text.rlike(FLOAT_PATTERN), text.try_cast("double"))
-    return F.when(F.abs(parsed) < F.lit(float("inf")), parsed)
-
-
-def type_tests(text: Column) -> dict[str, Column]:
-    """One boolean per type. Tests overlap (1 is INTEGER, FLOAT and BOOLEAN); STRING is the rest."""
-    tests = {
-        "INTEGER": text.rlike(INTEGER_PATTERN),
-        "FLOAT": number(text).isNotNull(),
-        "BOOLEAN": F.lower(text).isin(*BOOLEAN_WORDS),
-        "DATE": text.rlike(DATE_PATTERN) & text.try_cast("date").isNotNull(),
-        "DATETIME": text.rlike(DATETIME_PATTERN) & text.try_cast("timestamp").isNotNull(),
+    return (
+        f"CASE WHEN {matches(x, FLOAT_PATTERN)} "
+        f"AND abs(try_cast({x} AS DOUBLE)) < double('Infinity') THEN try_cast({x} AS DOUBLE) END"
+    )
+
+
+def type_tests(x: str) -> dict[str, str]:
+    """One boolean per type but STRING, which is what no other test takes.
+
+    Tests overlap: 1 is INTEGER, FLOAT and BOOLEAN.
+    """
+    return {
+        "INTEGER": matches(x, INTEGER_PATTERN),
+        "FLOAT": f"({number(x)}) IS NOT NULL",
+        "BOOLEAN": one_of(f"lower({x})", BOOLEAN_WORDS),
+        "DATE": f"{matches(x, DATE_PATTERN)} AND try_cast({x} AS DATE) IS NOT NULL",
+        "DATETIME": f"{matches(x, DATETIME_PATTERN)} AND try_cast({x} AS TIMESTAMP) IS NOT NULL",
     }
-    any_hit = tests["INTEGER"]
-    for name in ("FLOAT", "BOOLEAN", "DATE", "DATETIME"):
-        any_hit = any_hit | tests[name]
-    tests["STRING"] = ~any_hit
-    return tests

@@ -1,9 +1,8 @@
-"""Header and value patterns for personal data, as native column expressions."""
+"""Header and value patterns for personal data, as Spark SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from datawarden.functions.scalars import matches
 
 # ---------------------------------------------------------------------------
 # Fixed values. Header patterns are tried in this order; the first hit wins.
@@ -47,43 +46,35 @@ STRONG_CATEGORIES = ("EMAIL", "PHONE", "IP_ADDRESS", "CREDIT_CARD")
 # ---------------------------------------------------------------------------
 
 
-def normal_header(header: Column) -> Column:
+def normal_header(x: str) -> str:
     """Lower case, separator runs as one space, no outer spaces."""
-    return F.trim(F.regexp_replace(F.lower(header), rf"[{SPACE}_\-]+", " "))
+    return f"trim(regexp_replace(lower({x}), r'[{SPACE}_\\-]+', ' '))"
 
 
-def header_category(header: Column) -> Column:
+def header_category(x: str) -> str:
     """The category a column name hints at, or null."""
     # Only ASCII letters and digits are word characters of these patterns. Java's \b also
     # counts other letters, so they are replaced by a character no pattern contains.
-    name = F.regexp_replace(normal_header(header), r"[^\x00-\x7f]", "#")
-    hit = F.lit(None).cast("string")
-    for category, pattern in reversed(HEADER_PATTERNS):
-        hit = F.when(name.rlike(pattern), category).otherwise(hit)
-    return hit
+    header = f"regexp_replace({normal_header(x)}, r'[^\\x00-\\x7f]', '#')"
+    cases = " ".join(f"WHEN {matches(header, p)} THEN '{c}'" for c, p in HEADER_PATTERNS)
+    return f"CASE {cases} END"
 
 
-def digits(value: Column) -> Column:
-    return F.regexp_replace(value, r"[^0-9]", "")
-
-
-def value_tests(value: Column, hinted: Column) -> dict[str, Column]:
+def value_tests(x: str, hinted: str) -> dict[str, str]:
     """One boolean per value category for a trimmed cell.
 
     Dates and five-digit codes are too common to mean anything alone: they count only under a
     header that hints the category.
     """
-    n = F.length(digits(value))
+    digits = f"regexp_replace({x}, '[^0-9]', '')"
     return {
-        "EMAIL": value.rlike(EMAIL_PATTERN),
-        "IP_ADDRESS": value.rlike(IPV4_PATTERN) | value.rlike(IPV6_PATTERN),
-        "CREDIT_CARD": value.rlike(CARD_PATTERN)
-        & n.between(13, 19)
-        & F.call_function("luhn_check", digits(value)),
-        "PHONE": value.rlike(PHONE_PATTERN) & n.between(7, 15) & ~value.rlike(DATE_PATTERN),
-        "ID_NUMBER": value.rlike(SSN_PATTERN),
-        "DATE_OF_BIRTH": F.coalesce(hinted == "DATE_OF_BIRTH", F.lit(False))
-        & value.rlike(DATE_PATTERN),
-        "POSTAL_CODE": F.coalesce(hinted == "POSTAL_CODE", F.lit(False))
-        & value.rlike(POSTAL_PATTERN),
+        "EMAIL": matches(x, EMAIL_PATTERN),
+        "IP_ADDRESS": f"({matches(x, IPV4_PATTERN)} OR {matches(x, IPV6_PATTERN)})",
+        "CREDIT_CARD": f"({matches(x, CARD_PATTERN)} AND length({digits}) BETWEEN 13 AND 19 "
+        f"AND luhn_check({digits}))",
+        "PHONE": f"({matches(x, PHONE_PATTERN)} AND length({digits}) BETWEEN 7 AND 15 "
+        f"AND NOT {matches(x, DATE_PATTERN)})",
+        "ID_NUMBER": matches(x, SSN_PATTERN),
+        "DATE_OF_BIRTH": f"({hinted} <=> 'DATE_OF_BIRTH' AND {matches(x, DATE_PATTERN)})",
+        "POSTAL_CODE": f"({hinted} <=> 'POSTAL_CODE' AND {matches(x, POSTAL_PATTERN)})",
     }

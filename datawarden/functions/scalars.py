@@ -1,12 +1,13 @@
-"""Scalar column expressions shared by the operators."""
+"""Scalar expressions shared by the operators, as Spark SQL text.
+
+Operators pass them to ``selectExpr`` and ``expr``: one call to the JVM per expression, however
+deep it is. Arguments are SQL text too; every function brackets its own result.
+"""
 
 from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from datawarden.config import SAMPLE_CHARS
 
 # Fixed value: the characters a browser-side trim removes and its \s class matches.
@@ -18,89 +19,106 @@ WHITESPACE = (
 DAY_MICROS = 86_400_000_000
 
 
-def trimmed(value: Column) -> Column:
-    return F.btrim(value, F.lit(WHITESPACE))
+def text(value: str | None) -> str:
+    """A string literal."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def unit(x: Column) -> Column:
-    """Clamp to [0, 1]; NaN and null become 0."""
-    clean = F.nanvl(F.coalesce(x.cast("double"), F.lit(0.0)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), clean))
+def double(value: float) -> str:
+    return f"{float(value)!r}D"
 
 
-def component(value: Column, weight: float) -> Column:
-    """One explained score input; contribution = 100 * weight * value."""
-    return F.struct(
-        value.alias("value"),
-        F.lit(float(weight)).alias("weight"),
-        (F.lit(100.0) * F.lit(float(weight)) * value).alias("contribution"),
-    )
+def name(column: str) -> str:
+    """A column name of the data, quoted."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def one_of(x: str, values: tuple[str, ...] | list[str]) -> str:
+    """True or false, never null."""
+    return f"coalesce({x} IN ({', '.join(text(v) for v in values)}), false)"
+
+
+def matches(x: str, pattern: str) -> str:
+    return f"rlike({x}, r'{pattern}')"
+
+
+def trimmed(x: str) -> str:
+    return f"btrim({x}, {text(WHITESPACE)})"
+
+
+def blank_to_null(x: str) -> str:
+    return f"CASE WHEN {trimmed(x)} <> '' THEN {x} END"
 
 
-def half_up(x: Column, digits: int = 0) -> Column:
+def unit(x: str) -> str:
+    """Clamp to [0, 1]; NaN and null become 0."""
+    return f"greatest(0D, least(1D, nanvl(coalesce(CAST({x} AS DOUBLE), 0D), 0D)))"
+
+
+def half_up(x: str, digits: int = 0) -> str:
     """Round half up on the binary value, so 2.5 -> 3 and -2.5 -> -2."""
     if digits == 0:
-        return F.floor(x + F.lit(0.5))
-    scale = float(10**digits)
-    return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+        return f"floor(({x}) + 0.5D)"
+    scale = double(10**digits)
+    return f"(floor(({x}) * {scale} + 0.5D) / {scale})"
 
 
-def fixed_1(x: Column) -> Column:
+def fixed_1(x: str) -> str:
     """Text with one decimal for a non-negative double, correctly rounded from its exact value.
 
     10*x is rounded when computed. Where that lands on a tie, the rounding error of the
     product (an exact split multiplication) tells on which side the true value lies.
     """
-    split = F.lit(134217729.0)  # 2^27 + 1
-    high = x * split - (x * split - x)
-    product = x * F.lit(10.0)
-    error = (high * F.lit(10.0) - product) + (x - high) * F.lit(10.0)
-    below = F.floor(product)
-    fraction = product - below
-    up = (fraction > 0.5) | ((fraction == 0.5) & (error >= 0))
-    tenths = (below + F.when(up, 1).otherwise(0)).cast("bigint")
-    return F.concat(
-        F.floor(tenths / F.lit(10)).cast("bigint").cast("string"),
-        F.lit("."),
-        (tenths % F.lit(10)).cast("string"),
-    )
+    high = f"({x} * 134217729D - ({x} * 134217729D - {x}))"  # 2^27 + 1
+    product = f"({x} * 10D)"
+    error = f"(({high} * 10D - {product}) + ({x} - {high}) * 10D)"
+    part = f"({product} - floor({product}))"
+    up = f"(CASE WHEN {part} > 0.5D OR ({part} = 0.5D AND {error} >= 0D) THEN 1 ELSE 0 END)"
+    tenths = f"CAST(floor({product}) + {up} AS BIGINT)"
+    return f"concat({tenths} DIV 10, '.', {tenths} % 10)"
 
 
-def shorten(value: Column, limit: int = SAMPLE_CHARS) -> Column:
+def shorten(x: str, limit: int = SAMPLE_CHARS) -> str:
     """At most `limit` characters; the last one is an ellipsis where text was cut."""
-    return F.when(
-        F.length(value) > limit, F.concat(F.substring(value, 1, limit - 1), F.lit("…"))
-    ).otherwise(value)
+    return (
+        f"CASE WHEN length({x}) > {limit} THEN concat(substring({x}, 1, {limit - 1}), '…') "
+        f"ELSE {x} END"
+    )
 
 
-def instant(at: datetime | str) -> Column:
+def instant(at: datetime | str) -> str:
     """A literal point in time. Text and naive datetimes are read as UTC."""
+    return f"timestamp_micros({micros(at)}L)"
+
+
+def micros(at: datetime | str) -> int:
     if isinstance(at, str):
         at = datetime.fromisoformat(at.replace("Z", "+00:00"))
     if at.tzinfo is None:
         at = at.replace(tzinfo=timezone.utc)
     delta = at - datetime(1970, 1, 1, tzinfo=timezone.utc)
-    micros = (delta.days * 86_400 + delta.seconds) * 1_000_000 + delta.microseconds
-    return F.timestamp_micros(F.lit(micros))
+    return (delta.days * 86_400 + delta.seconds) * 1_000_000 + delta.microseconds
 
 
-def days_before(at: Column, days: int) -> Column:
-    return F.timestamp_micros(F.unix_micros(at) - F.lit(days * DAY_MICROS))
+def days_before(at: datetime | str, days: int) -> str:
+    return f"timestamp_micros({micros(at) - days * DAY_MICROS}L)"
 
 
-def utc_day(at: Column) -> Column:
+def utc_day(x: str) -> str:
     """The UTC calendar day, whatever the session time zone is."""
-    return F.date_add(
-        F.lit("1970-01-01").cast("date"),
-        F.floor(F.unix_micros(at.cast("timestamp")) / F.lit(DAY_MICROS)).cast("int"),
+    return (
+        f"date_add(DATE'1970-01-01', "
+        f"CAST(floor(unix_micros(CAST({x} AS TIMESTAMP)) / {DAY_MICROS}L) AS INT))"
     )
 
 
-def literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+def looked_up(x: str, table: dict[str, str]) -> str:
+    """The value of a small fixed table, null for an unknown key."""
+    entries = ", ".join(f"{text(k)}, {text(v)}" for k, v in table.items())
+    return f"try_element_at(map({entries}), {x})"
 
 
-def sensitivity_rank(level: Column) -> Column:
-    return (
-        F.when(level == "HIGH", 3).when(level == "MEDIUM", 2).when(level == "LOW", 1).otherwise(0)
-    )
+def sensitivity_rank(x: str) -> str:
+    return f"CASE {x} WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END"

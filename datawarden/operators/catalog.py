@@ -12,17 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datawarden.config import RECOMMENDATIONS, SENSITIVITIES, STATUSES
-from datawarden.functions.scalars import half_up, sensitivity_rank
+from datawarden.functions import scalars as s
 from datawarden.operators.usage import access_rollup, daily_usage, usage_summary
 
-SORT_KEYS = {
-    "uploaded_at": "uploaded_at",
-    "name": "name",
-    "quality_score": "quality_score",
-    "trust_score": "trust_score",
-    "value_score": "value_score",
-    "row_count": "row_count",
-}
+SORT_KEYS = (
+    "uploaded_at", "name", "quality_score", "trust_score", "value_score", "row_count",
+)
 
 
 # --------------------------------------------------------------------------- joins
@@ -37,22 +32,20 @@ def dataset_columns(datasets: DataFrame, columns: DataFrame, tags: DataFrame) ->
 
 def pii_rollup(tags: DataFrame) -> DataFrame:
     """Per dataset the columns above NONE and the highest level among them (else null)."""
-    pii = F.col("sensitivity") != "NONE"
+    rank = f"nullif({s.sensitivity_rank('sensitivity')}, 0)"
     return tags.groupBy("dataset_id").agg(
-        F.count_if(pii).alias("pii_column_count"),
-        F.max_by(
-            F.col("sensitivity"), F.when(pii, sensitivity_rank(F.col("sensitivity")))
-        ).alias("highest_sensitivity"),
+        F.expr("count_if(sensitivity <> 'NONE') AS pii_column_count"),
+        F.expr(f"max_by(sensitivity, {rank}) AS highest_sensitivity"),
     )
 
 
 def with_scores(datasets: DataFrame, scores: DataFrame) -> DataFrame:
     """Datasets with their three scores; null where none were computed (not the same as 0)."""
-    flat = scores.select(
+    flat = scores.selectExpr(
         "dataset_id",
-        F.col("quality.score").alias("quality_score"),
-        F.col("trust.score").alias("trust_score"),
-        F.col("value.score").alias("value_score"),
+        "quality.score AS quality_score",
+        "trust.score AS trust_score",
+        "value.score AS value_score",
         "recommendation",
     )
     return datasets.join(flat, "dataset_id", "left")
@@ -62,20 +55,18 @@ def summaries(
     datasets: DataFrame, tags: DataFrame, events: DataFrame, now: datetime | str
 ) -> DataFrame:
     """The list projection: scored datasets with PII and usage roll-ups."""
-    zero = F.lit(0).cast("bigint")
-    usage = access_rollup(events, now)
     return (
         datasets.join(pii_rollup(tags), "dataset_id", "left")
-        .join(usage, "dataset_id", "left")
-        .select(
+        .join(access_rollup(events, now), "dataset_id", "left")
+        .selectExpr(
             "dataset_id", "name", "original_filename", "file_type", "size_bytes", "row_count",
             "column_count", "status", "quality_score", "trust_score", "value_score",
             "recommendation",
-            F.coalesce("pii_column_count", zero).alias("pii_column_count"),
+            "coalesce(pii_column_count, 0L) AS pii_column_count",
             "highest_sensitivity",
             "last_accessed_at",
-            F.coalesce("access_count", zero).alias("access_count"),
-            F.coalesce("access_count_90d", zero).alias("access_count_90d"),
+            "coalesce(access_count, 0L) AS access_count",
+            "coalesce(access_count_90d, 0L) AS access_count_90d",
             "error_message", "uploaded_at", "updated_at",
         )
     )
@@ -85,20 +76,20 @@ def summaries(
 def by_recommendation(datasets: DataFrame, recommendation: str) -> DataFrame:
     if recommendation not in RECOMMENDATIONS:
         raise ValueError(f"recommendation must be one of {RECOMMENDATIONS}")
-    return datasets.filter(F.col("recommendation") == recommendation)
+    return datasets.filter(f"recommendation = '{recommendation}'")
 
 
 def by_sensitivity(datasets: DataFrame, tags: DataFrame, level: str) -> DataFrame:
     """Datasets with at least one column tagged exactly at the level."""
     if level not in SENSITIVITIES:
         raise ValueError(f"sensitivity must be one of {SENSITIVITIES}")
-    hits = tags.filter(F.col("sensitivity") == level).select("dataset_id")
+    hits = tags.filter(f"sensitivity = '{level}'").select("dataset_id")
     return datasets.join(hits, "dataset_id", "left_semi")
 
 
 def trackable(events: DataFrame, datasets: DataFrame) -> DataFrame:
     """Only READY datasets record views."""
-    ready = datasets.filter(F.col("status") == "READY").select("dataset_id")
+    ready = datasets.filter("status = 'READY'").select("dataset_id")
     return events.join(ready, "dataset_id", "left_semi")
 
 
@@ -109,10 +100,10 @@ def checks_of_column(checks: DataFrame, dataset_id: str, position: int) -> DataF
 # --------------------------------------------------------------------------- list
 def _order(sort: str) -> list[Column]:
     descending = sort.startswith("-")
-    key = sort.lstrip("-")
+    key = sort.removeprefix("-")
     if key not in SORT_KEYS:
-        raise ValueError(f"sort must be one of {sorted(SORT_KEYS)}, with - for descending")
-    c = F.col(SORT_KEYS[key])
+        raise ValueError(f"sort must be one of {SORT_KEYS}, with - for descending")
+    c = F.col(key)
     # Unscored datasets come last in either direction; dataset_id makes pages stable.
     return [c.desc_nulls_last() if descending else c.asc_nulls_last(), F.col("dataset_id").asc()]
 
@@ -121,6 +112,21 @@ def sorted_catalog(datasets: DataFrame, sort: str = "-uploaded_at") -> DataFrame
     return datasets.orderBy(*_order(sort))
 
 
+def matching(
+    datasets: DataFrame,
+    tags: DataFrame,
+    sensitivity: str | None = None,
+    recommendation: str | None = None,
+) -> DataFrame:
+    """The filtered catalogue; its count() is the total beside a page."""
+    chosen = datasets
+    if recommendation is not None:
+        chosen = by_recommendation(chosen, recommendation)
+    if sensitivity is not None:
+        chosen = by_sensitivity(chosen, tags, sensitivity)
+    return chosen
+
+
 def catalog_page(
     datasets: DataFrame,
     tags: DataFrame,
@@ -132,33 +138,19 @@ def catalog_page(
     limit: int = 20,
     offset: int = 0,
 ) -> DataFrame:
-    """One page of summaries. Filters and the page come first, so PII and usage are rolled up
-    for the page's datasets only."""
+    """One page of summaries, at most 100 rows.
+
+    Filter, sort and page run on the dataset rows; PII and usage are joined to the page. The
+    catalogue tables should be read from the store: then a page costs one scan of each, and the
+    access log is aggregated where it lies.
+    """
     if not 1 <= limit <= 100:
         raise ValueError("limit must lie in 1..100")
     if offset < 0:
         raise ValueError("offset must not be negative")
     chosen = matching(datasets, tags, sensitivity, recommendation)
     page = chosen.orderBy(*_order(sort)).offset(offset).limit(limit)
-    ids = page.select("dataset_id")
-    page_tags = tags.join(ids, "dataset_id", "left_semi")
-    page_events = events.join(ids, "dataset_id", "left_semi")
-    return sorted_catalog(summaries(page, page_tags, page_events, now), sort)
-
-
-def matching(
-    datasets: DataFrame,
-    tags: DataFrame,
-    sensitivity: str | None = None,
-    recommendation: str | None = None,
-) -> DataFrame:
-    """The filtered catalogue; its count() is the total beside a page."""
-    chosen = datasets
-    if recommendation is not None:
-        chosen = by_recommendation(chosen, recommendation)
-    if sensitivity is not None:
-        chosen = by_sensitivity(chosen, tags, sensitivity)
-    return chosen
+    return sorted_catalog(summaries(page, tags, events, now), sort)
 
 
 def detail(
@@ -171,6 +163,7 @@ def detail(
     now: datetime | str,
 ) -> dict[str, DataFrame]:
     """Everything about one dataset. The id filter is pushed into every table's scan."""
+
     def mine(df: DataFrame) -> DataFrame:
         return df.filter(F.col("dataset_id") == dataset_id)
 
@@ -187,27 +180,23 @@ def detail(
 # --------------------------------------------------------------------------- overview
 def overview_totals(datasets: DataFrame) -> DataFrame:
     """Counts, sums and score averages (over scored datasets, one decimal, 0 if there are none)."""
-
-    def average(column: str) -> Column:
-        return F.coalesce(half_up(F.avg(column), 1), F.lit(0.0))
-
-    return datasets.agg(
-        F.count(F.lit(1)).alias("total_datasets"),
-        average("quality_score").alias("avg_quality"),
-        average("trust_score").alias("avg_trust"),
-        average("value_score").alias("avg_value"),
-        F.coalesce(F.sum("row_count"), F.lit(0).cast("bigint")).alias("total_rows"),
-        F.coalesce(F.sum("column_count"), F.lit(0).cast("bigint")).alias("total_columns"),
+    averages = [
+        f"coalesce({s.half_up(f'avg({x}_score)', 1)}, 0D) AS avg_{x}"
+        for x in ("quality", "trust", "value")
+    ]
+    return datasets.selectExpr(
+        "count(1) AS total_datasets",
+        *averages,
+        "coalesce(sum(row_count), 0L) AS total_rows",
+        "coalesce(sum(column_count), 0L) AS total_columns",
     )
 
 
 def _filled_counts(df: DataFrame, column: str, keys: tuple[str, ...]) -> DataFrame:
     """Count per enum key, zero where none. One aggregate row turned into len(keys) rows."""
-    counted = df.agg(*[F.count_if(F.col(column) == k).alias(f"n{i}") for i, k in enumerate(keys)])
-    rows = F.array(
-        *[F.struct(F.lit(k).alias(column), F.col(f"n{i}").alias("n")) for i, k in enumerate(keys)]
-    )
-    return counted.select(F.explode(rows).alias("r")).select("r.*")
+    counted = df.selectExpr(*[f"count_if({column} = '{k}') AS `{k}`" for k in keys])
+    rows = ", ".join(f"struct('{k}' AS {column}, `{k}` AS n)" for k in keys)
+    return counted.selectExpr(f"inline(array({rows}))")
 
 
 def status_counts(datasets: DataFrame) -> DataFrame:
@@ -222,35 +211,27 @@ def sensitivity_counts(tags: DataFrame) -> DataFrame:
     return _filled_counts(tags, "sensitivity", SENSITIVITIES)
 
 
+def _newest(datasets: DataFrame, n: int) -> DataFrame:
+    return datasets.orderBy(F.col("uploaded_at").desc(), "dataset_id").limit(n)
+
+
 def recent_datasets(datasets: DataFrame, n: int = 5) -> DataFrame:
-    return (
-        datasets.orderBy(F.col("uploaded_at").desc(), "dataset_id")
-        .limit(n)
-        .select("dataset_id", "name", "uploaded_at", "quality_score")
-    )
+    return _newest(datasets, n).select("dataset_id", "name", "uploaded_at", "quality_score")
 
 
 def needs_attention(datasets: DataFrame, n: int = 10) -> DataFrame:
     """Newest FAILED or RETIRE datasets."""
-    flagged = (F.col("status") == "FAILED") | (F.col("recommendation") == "RETIRE")
-    return (
-        datasets.filter(flagged)
-        .orderBy(F.col("uploaded_at").desc(), "dataset_id")
-        .limit(n)
-        .select("dataset_id", "name", "recommendation", "status")
-    )
+    flagged = datasets.filter("status = 'FAILED' OR recommendation = 'RETIRE'")
+    return _newest(flagged, n).select("dataset_id", "name", "recommendation", "status")
 
 
 def top_quality_vs_value(datasets: DataFrame, n: int = 6) -> DataFrame:
     """The best READY datasets by quality, among those with both scores."""
+    comparable = datasets.filter(
+        "status = 'READY' AND quality_score IS NOT NULL AND value_score IS NOT NULL"
+    )
     return (
-        datasets.filter(
-            (F.col("status") == "READY")
-            & F.col("quality_score").isNotNull()
-            & F.col("value_score").isNotNull()
-        )
-        .orderBy(F.col("quality_score").desc(), "dataset_id")
+        comparable.orderBy(F.col("quality_score").desc(), "dataset_id")
         .limit(n)
         .select("dataset_id", "name", "quality_score", "value_score")
     )
-

@@ -6,7 +6,7 @@ expressions on the column rows themselves: no explode, no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datawarden.config import (
@@ -17,98 +17,107 @@ from datawarden.config import (
     SENSITIVITIES,
     Settings,
 )
+from datawarden.functions import scalars as s
 from datawarden.functions.pii import (
     STRONG_CATEGORIES,
     VALUE_CATEGORIES,
     header_category,
     value_tests,
 )
-from datawarden.functions.scalars import literal_map, trimmed
 
 KEY = ["dataset_id", "position"]
 
 
 def header_categories(headers: DataFrame) -> DataFrame:
-    return headers.select(*KEY, "name", header_category(F.col("name")).alias("header_category"))
+    return headers.selectExpr(*KEY, "name", f"{header_category('name')} AS header_category")
 
 
 def value_shares(columns: DataFrame) -> DataFrame:
     """Per column the share of its non-blank samples that match each value category.
 
-    `columns` has dataset_id, position, name and sample_values. Adds header_category,
+    `columns` has dataset_id, position, name and sample_values. The result has header_category,
     sample_size and a `shares` struct with one field per category.
     """
-    values = F.filter(
-        F.transform(F.coalesce("sample_values", F.array().cast("array<string>")), trimmed),
-        lambda v: v != "",
+    trimmed = columns.selectExpr(
+        *KEY,
+        "name",
+        f"{header_category('name')} AS header_category",
+        f"filter(transform(sample_values, v -> {s.trimmed('v')}), v -> v <> '') AS samples",
+    )
+    tests = value_tests("v", "header_category")
+    shares = ", ".join(
+        f"'{c}', coalesce(try_divide(size(filter(samples, v -> {tests[c]})), size(samples)), 0D)"
+        for c in VALUE_CATEGORIES
+    )
+    return trimmed.selectExpr(
+        *KEY,
+        "name",
+        "header_category",
+        "greatest(size(samples), 0) AS sample_size",
+        f"named_struct({shares}) AS shares",
     )
-    hinted = columns.withColumns(
-        {"header_category": header_category(F.col("name")), "samples": values}
-    ).withColumn("sample_size", F.size("samples"))
-
-    def share(category: str) -> Column:
-        hits = F.size(
-            F.filter("samples", lambda v: value_tests(v, F.col("header_category"))[category])
-        )
-        return F.when(F.col("sample_size") == 0, 0.0).otherwise(hits / F.col("sample_size"))
-
-    return hinted.withColumn(
-        "shares", F.struct(*[share(c).alias(c) for c in VALUE_CATEGORIES])
-    ).drop("samples")
 
 
 def best_value_category(shares: DataFrame) -> DataFrame:
-    """Adds value_category and value_share: the largest share, ties to the header's category,
+    """The largest share as value_category and value_share: ties go to the header's category,
     then to the earlier category. No match at all gives null and 0."""
-    hint = F.coalesce("header_category", F.lit(""))
-    ranked = F.array_max(
-        F.array(
-            *[
-                F.struct(
-                    F.col(f"shares.{c}").alias("share"),
-                    (hint == c).alias("hinted"),
-                    F.lit(-i).alias("order"),
-                    F.lit(c).alias("category"),
-                )
-                for i, c in enumerate(VALUE_CATEGORIES)
-            ]
-        )
+    candidates = ", ".join(
+        f"struct(shares.{c} AS share, header_category <=> '{c}' AS hinted, {-i} AS place, "
+        f"'{c}' AS category)"
+        for i, c in enumerate(VALUE_CATEGORIES)
+    )
+    return shares.selectExpr(
+        *KEY, "name", "header_category", f"array_max(array({candidates})) AS best"
+    ).selectExpr(
+        *KEY,
+        "name",
+        "header_category",
+        "CASE WHEN best.share > 0 THEN best.category END AS value_category",
+        "best.share AS value_share",
     )
-    return shares.withColumn("best", ranked).withColumns(
-        {
-            "value_category": F.when(F.col("best.share") > 0, F.col("best.category")),
-            "value_share": F.col("best.share"),
-        }
-    ).drop("best")
 
 
 def resolve_tags(best: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One tag per column. Ambiguous columns carry the best guess and needs_review."""
-    h, v, share = F.col("header_category"), F.col("value_category"), F.col("value_share")
-    strong_h = F.coalesce(h.isin(*STRONG_CATEGORIES), F.lit(False))
-    strong_v = F.coalesce(v.isin(*STRONG_CATEGORIES), F.lit(False))
-    decisive = v.isNotNull() & (share >= settings.classify_threshold)
-    disagree = F.coalesce(h != v, F.lit(False)) & strong_h & strong_v
-    partial = share >= AMBIGUOUS_MIN
-
-    ambiguous = (
-        F.when(decisive, disagree).when(h.isNotNull(), strong_h & partial).otherwise(partial)
-    )
-    # A settled column: decisive values, else the header, else NONE. The best guess of an
-    # ambiguous one takes its values from the partial share on.
-    by_value = v.isNotNull() & F.when(ambiguous, partial).otherwise(decisive)
-    category = F.when(by_value, v).when(h.isNotNull(), h).otherwise("NONE")
-    confidence = F.when(by_value, share).when(h.isNotNull(), HEADER_CONFIDENCE)
-    return best.select(
+    """One tag per column. Ambiguous columns carry the best guess and needs_review.
+
+    Decisive values (a share from the threshold on) win over the header, unless both name
+    strong categories and disagree. A header stands when the values say nothing; a partial share
+    leaves the column ambiguous if there is no header or the header is strong.
+    """
+    judged = best.selectExpr(
+        "*",
+        f"value_category IS NOT NULL AND value_share >= {s.double(settings.classify_threshold)} "
+        "AS decisive",
+        f"value_share >= {s.double(AMBIGUOUS_MIN)} AS partial",
+        f"{s.one_of('header_category', STRONG_CATEGORIES)} AS strong_header",
+        f"{s.one_of('value_category', STRONG_CATEGORIES)} AS strong_value",
+    ).selectExpr(
+        "*",
+        "CASE WHEN decisive THEN coalesce(header_category <> value_category, false) "
+        "AND strong_header AND strong_value "
+        "WHEN header_category IS NOT NULL THEN strong_header AND partial ELSE partial END "
+        "AS needs_review",
+    ).selectExpr(
+        "*",
+        "value_category IS NOT NULL AND CASE WHEN needs_review THEN partial ELSE decisive END "
+        "AS by_value",
+    ).selectExpr(
         *KEY,
         "name",
-        category.alias("category"),
-        F.element_at(literal_map(settings.sensitivity), category).alias("sensitivity"),
-        confidence.cast("double").alias("confidence"),
-        F.lit("AUTO_REGEX").alias("source"),
-        F.lit(False).alias("overridden"),
-        ambiguous.alias("needs_review"),
+        "CASE WHEN by_value THEN value_category ELSE coalesce(header_category, 'NONE') END "
+        "AS category",
+        "CASE WHEN by_value THEN value_share "
+        f"WHEN header_category IS NOT NULL THEN {s.double(HEADER_CONFIDENCE)} END AS confidence",
+        "needs_review",
     )
+    tag = (
+        "name, category, "
+        f"{s.looked_up('category', settings.sensitivity)} AS sensitivity, "
+        "confidence, 'AUTO_REGEX' AS source, false AS overridden, needs_review"
+    )
+    # A one-element inline: later filters on the tag stay above it. Pushed further down, they
+    # would be rewritten over the nested expressions above, once per reference.
+    return judged.selectExpr(*KEY, f"inline(array(struct({tag})))")
 
 
 def classify(columns: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -118,13 +127,11 @@ def classify(columns: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def review_queue(tags: DataFrame, columns: DataFrame, k: int = SAMPLE_VALUES) -> DataFrame:
     """Ambiguous columns with the few samples a reviewer gets to see."""
+    samples = columns.selectExpr(*KEY, f"slice(sample_values, 1, {int(k)}) AS sample_values")
     return (
         tags.filter("needs_review")
-        .join(columns.select(*KEY, "sample_values"), KEY)
-        .select(
-            *KEY, "name", "category", "confidence",
-            F.slice("sample_values", 1, k).alias("sample_values"),
-        )
+        .join(samples, KEY)
+        .select(*KEY, "name", "category", "confidence", "sample_values")
     )
 
 
@@ -137,30 +144,29 @@ def apply_refinements(
     labelled_at; the latest label of a column counts, and it counts only with a known category.
     An unknown level falls back to the category's, a non-numeric confidence to null.
     """
+    label = "struct(category, sensitivity, confidence)"
     latest = refinements.groupBy(*KEY).agg(
-        F.max_by(
-            F.struct("category", "sensitivity", "confidence"),
-            F.struct("labelled_at", "category", "sensitivity", "confidence"),
-        ).alias("label")
+        F.expr(
+            f"max_by({label}, struct(labelled_at, category, sensitivity, confidence)) AS label"
+        )
+    )
+    known = latest.filter(s.one_of("label.category", PII_CATEGORIES)).selectExpr(
+        *KEY,
+        "label.category AS new_category",
+        f"CASE WHEN {s.one_of('label.sensitivity', SENSITIVITIES)} THEN label.sensitivity "
+        f"ELSE {s.looked_up('label.category', settings.sensitivity)} END AS new_sensitivity",
+        "CASE WHEN NOT isnan(try_cast(label.confidence AS DOUBLE)) "
+        "THEN try_cast(label.confidence AS DOUBLE) END AS new_confidence",
+        "'AUTO_AI' AS new_source",
     )
-    known = latest.filter(F.col("label.category").isin(*PII_CATEGORIES)).select(*KEY, "label")
-    default = F.element_at(literal_map(settings.sensitivity), F.col("label.category"))
-    level = F.when(
-        F.col("label.sensitivity").isin(*SENSITIVITIES), F.col("label.sensitivity")
-    ).otherwise(default)
-    number = F.col("label.confidence").try_cast("double")
-    taken = F.col("needs_review") & F.col("label").isNotNull()
-
-    def pick(new: Column, old: str) -> Column:
-        return F.when(taken, new).otherwise(F.col(old)).alias(old)
-
-    return tags.join(known, KEY, "left").select(
+    taken = "needs_review AND new_category IS NOT NULL"
+    return tags.join(known, KEY, "left").selectExpr(
         *KEY,
         "name",
-        pick(F.col("label.category"), "category"),
-        pick(level, "sensitivity"),
-        pick(F.when(~F.isnan(number), number), "confidence"),
-        pick(F.lit("AUTO_AI"), "source"),
+        *[
+            f"CASE WHEN {taken} THEN new_{c} ELSE {c} END AS {c}"
+            for c in ("category", "sensitivity", "confidence", "source")
+        ],
         "overridden",
         "needs_review",
     )

@@ -9,11 +9,11 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datawarden.config import PII_CATEGORIES, SENSITIVITIES, Settings
-from datawarden.functions.scalars import instant, literal_map
+from datawarden.functions import scalars as s
 from datawarden.operators.score import reweight, trust_block
 from datawarden.operators.usage import value_scores
 
@@ -29,31 +29,27 @@ def effective_settings(log: DataFrame, defaults: Settings = Settings()) -> DataF
     tombstone under the key '*' for all keys. Later entries win; within one instant the larger
     text does.
     """
-    known = log.filter(F.col("key").isin(*defaults.keys(), "*"))
-    latest = known.groupBy("key").agg(
-        F.max(F.struct("updated_at", "json_value")).alias("entry")
-    )
+    known = log.filter(s.one_of("key", [*defaults.keys(), "*"]))
+    latest = known.groupBy("key").agg(F.expr("max(struct(updated_at, json_value)) AS entry"))
     # At most nine rows are left: one per key and the reset marker.
-    folded = latest.agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "entry"))).alias("entries")
+    folded = latest.agg(F.expr("map_from_entries(collect_list(struct(key, entry))) AS entries"))
+    rows = ", ".join(
+        f"struct({s.text(k)} AS key, {s.text(v)} AS fallback)" for k, v in defaults.as_json().items()
     )
-    rows = F.array(
-        *[
-            F.struct(F.lit(k).alias("key"), F.lit(v).alias("default"))
-            for k, v in defaults.as_json().items()
-        ]
+    found = folded.selectExpr("entries", f"inline(array({rows}))").selectExpr(
+        "key",
+        "fallback",
+        "try_element_at(entries, key) AS entry",
+        "try_element_at(entries, '*').updated_at AS reset_at",
     )
-    entry = F.try_element_at("entries", F.col("r.key"))
-    reset_at = F.try_element_at("entries", F.lit("*"))["updated_at"]
     live = (
-        entry["json_value"].isNotNull()
-        & (reset_at.isNull() | (entry["updated_at"] > reset_at))
+        "entry.json_value IS NOT NULL AND (reset_at IS NULL OR entry.updated_at > reset_at)"
     )
-    return folded.select("entries", F.explode(rows).alias("r")).select(
-        F.col("r.key").alias("key"),
-        F.when(live, entry["json_value"]).otherwise(F.col("r.default")).alias("value"),
-        live.alias("overridden"),
-        F.when(live, entry["updated_at"]).alias("updated_at"),
+    return found.selectExpr(
+        "key",
+        f"CASE WHEN {live} THEN entry.json_value ELSE fallback END AS value",
+        f"coalesce({live}, false) AS overridden",
+        f"CASE WHEN {live} THEN entry.updated_at END AS updated_at",
     )
 
 
@@ -64,69 +60,64 @@ def load_settings(log: DataFrame, defaults: Settings = Settings()) -> Settings:
 
 
 # --------------------------------------------------------------------------- overrides
-def valid_overrides(requests: DataFrame, columns: DataFrame, settings: Settings = Settings()) -> DataFrame:
+_OVERRIDE_OK = (
+    f"{s.one_of('category', PII_CATEGORIES)} "
+    f"AND (sensitivity IS NULL OR {s.one_of('sensitivity', SENSITIVITIES)})"
+)
+
+
+def valid_overrides(
+    requests: DataFrame, columns: DataFrame, settings: Settings = Settings()
+) -> DataFrame:
     """The latest acceptable override per column.
 
     Requests(dataset_id, position, category, sensitivity, requested_at) need a known category
     and, if they give one, a known level; the level defaults by category.
     """
-    ok = requests.filter(
-        F.col("category").isin(*PII_CATEGORIES)
-        & (F.col("sensitivity").isNull() | F.col("sensitivity").isin(*SENSITIVITIES))
-    )
-    latest = ok.groupBy(*KEY).agg(
-        F.max_by(
-            F.struct("category", "sensitivity"),
-            F.struct("requested_at", "category", "sensitivity"),
-        ).alias("o")
-    )
-    default = F.element_at(literal_map(settings.sensitivity), F.col("o.category"))
-    return latest.join(columns.select(*KEY), KEY, "left_semi").select(
+    latest = requests.filter(_OVERRIDE_OK).groupBy(*KEY).agg(
+        F.expr(
+            "max_by(struct(category, sensitivity), struct(requested_at, category, sensitivity)) AS o"
+        )
+    )
+    return latest.join(columns.select(*KEY), KEY, "left_semi").selectExpr(
         *KEY,
-        F.col("o.category").alias("category"),
-        F.coalesce(F.col("o.sensitivity"), default).alias("sensitivity"),
+        "o.category AS category",
+        f"coalesce(o.sensitivity, {s.looked_up('o.category', settings.sensitivity)}) "
+        "AS sensitivity",
     )
 
 
 def rejected_overrides(requests: DataFrame, datasets: DataFrame, columns: DataFrame) -> DataFrame:
-    """Requests that cannot be applied, with the reason: unknown dataset, unknown column, or an
-    unknown category or level."""
-    known_dataset = datasets.select("dataset_id", F.lit(True).alias("has_dataset"))
-    known_column = columns.select(*KEY, F.lit(True).alias("has_column"))
-    bad_value = ~F.col("category").isin(*PII_CATEGORIES) | (
-        F.col("sensitivity").isNotNull() & ~F.col("sensitivity").isin(*SENSITIVITIES)
-    )
-    code = (
-        F.when(bad_value | F.col("category").isNull(), "validation_error")
-        .when(F.col("has_dataset").isNull(), "dataset_not_found")
-        .when(F.col("has_column").isNull(), "column_not_found")
-    )
+    """Requests that cannot be applied, with the reason: unknown category or level, unknown
+    dataset, unknown column."""
+    known_dataset = datasets.selectExpr("dataset_id", "true AS has_dataset")
+    known_column = columns.selectExpr(*KEY, "true AS has_column")
     return (
         requests.join(known_dataset, "dataset_id", "left")
         .join(known_column, KEY, "left")
-        .withColumn("code", code)
-        .filter(F.col("code").isNotNull())
-        .select(*requests.columns, "code")
+        .selectExpr(
+            *requests.columns,
+            f"CASE WHEN NOT ({_OVERRIDE_OK}) THEN 'validation_error' "
+            "WHEN has_dataset IS NULL THEN 'dataset_not_found' "
+            "WHEN has_column IS NULL THEN 'column_not_found' END AS code",
+        )
+        .filter("code IS NOT NULL")
     )
 
 
 def apply_overrides(tags: DataFrame, overrides: DataFrame) -> DataFrame:
     """Tags after the overrides: MANUAL, without a confidence. A column without a tag gets one."""
-    manual = overrides.select(
-        *KEY, F.col("category").alias("o_category"), F.col("sensitivity").alias("o_sensitivity")
+    manual = overrides.selectExpr(
+        *KEY, "category AS manual_category", "sensitivity AS manual_sensitivity"
     )
-    done = F.col("o_category").isNotNull()
-
-    def pick(new: Column, old: str) -> Column:
-        return F.when(done, new).otherwise(F.col(old)).alias(old)
-
-    return tags.join(manual, KEY, "full").select(
+    made = "manual_category IS NOT NULL"
+    return tags.join(manual, KEY, "full").selectExpr(
         *KEY,
-        pick(F.col("o_category"), "category"),
-        pick(F.col("o_sensitivity"), "sensitivity"),
-        pick(F.lit(None).cast("double"), "confidence"),
-        pick(F.lit("MANUAL"), "source"),
-        pick(F.lit(True), "overridden"),
+        "coalesce(manual_category, category) AS category",
+        f"CASE WHEN {made} THEN manual_sensitivity ELSE sensitivity END AS sensitivity",
+        f"CASE WHEN NOT ({made}) THEN confidence END AS confidence",
+        f"CASE WHEN {made} THEN 'MANUAL' ELSE source END AS source",
+        f"{made} OR coalesce(overridden, false) AS overridden",
     )
 
 
@@ -137,19 +128,15 @@ def retrust(
 
     Quality and Value keep their blocks.
     """
-    tagged = tags.groupBy("dataset_id").agg(F.count("category").alias("tagged"))
-    joined = scores.join(datasets.select("dataset_id", "column_count"), "dataset_id").join(
-        tagged, "dataset_id", "left"
-    )
-    coverage = F.coalesce(
-        F.try_divide(F.coalesce("tagged", F.lit(0)), F.col("column_count")), F.lit(0.0)
+    tagged = tags.groupBy("dataset_id").agg(F.expr("count(category) AS tagged"))
+    coverage = "coalesce(try_divide(coalesce(tagged, 0L), column_count), 0D)"
+    trust = trust_block("quality.score", "trust.inputs.consistency", coverage, settings)
+    return (
+        scores.join(datasets.select("dataset_id", "column_count"), "dataset_id")
+        .join(tagged, "dataset_id", "left")
+        .withColumn("trust", F.expr(trust))
+        .select(*scores.columns)
     )
-    return joined.withColumn(
-        "trust",
-        trust_block(
-            F.col("quality.score"), F.col("trust.inputs.consistency"), coverage, settings
-        ),
-    ).select(*scores.columns)
 
 
 # --------------------------------------------------------------------------- recompute
@@ -158,11 +145,7 @@ def recompute_scores(
 ) -> DataFrame:
     """All three scores under new settings: Quality and Trust re-weighted from their stored
     inputs, Value derived from the events. Takes scored datasets only."""
-    fresh = value_scores(scores.select("dataset_id"), events, now, settings)
-    kept = reweight(scores, settings).drop("value", "recommendation")
-    return kept.join(
-        fresh.select("dataset_id", "value", "recommendation"), "dataset_id"
-    ).select(*scores.columns)
+    return recompute_value(reweight(scores, settings), events, now, settings)
 
 
 def recompute_value(
@@ -179,14 +162,12 @@ def recompute_value(
 
 def score_snapshots(scores: DataFrame, captured_at: datetime | str) -> DataFrame:
     """Rows to append to the score history; a dataset needs all three scores."""
-    return scores.filter(
-        F.col("quality.score").isNotNull() & F.col("trust.score").isNotNull()
-    ).select(
+    return scores.filter("quality.score IS NOT NULL AND trust.score IS NOT NULL").selectExpr(
         "dataset_id",
-        F.col("quality.score").alias("quality_score"),
-        F.col("trust.score").alias("trust_score"),
-        F.col("value.score").alias("value_score"),
-        instant(captured_at).alias("captured_at"),
+        "quality.score AS quality_score",
+        "trust.score AS trust_score",
+        "value.score AS value_score",
+        f"{s.instant(captured_at)} AS captured_at",
     )
 
 
@@ -195,39 +176,39 @@ def remap_tags(tags: DataFrame, settings: Settings) -> DataFrame:
 
     Adds `changed`; its true count is the number of updated tags.
     """
-    level = F.element_at(literal_map(settings.sensitivity), F.col("category"))
-    changed = ~F.col("overridden") & (F.col("sensitivity") != level)
-    return tags.withColumn("changed", F.coalesce(changed, F.lit(False))).withColumn(
-        "sensitivity", F.when(F.col("changed"), level).otherwise(F.col("sensitivity"))
+    level = s.looked_up("category", settings.sensitivity)
+    changed = f"coalesce(NOT overridden AND sensitivity <> {level}, false)"
+    return tags.withColumns(
+        {
+            "changed": F.expr(changed),
+            "sensitivity": F.expr(f"CASE WHEN {changed} THEN {level} ELSE sensitivity END"),
+        }
     )
 
 
 def recompute_counts(datasets: DataFrame, scores: DataFrame, remapped: DataFrame) -> DataFrame:
     """One row: datasets updated, datasets skipped for lack of scores, tags updated."""
-    known = scores.select("dataset_id", F.lit(1).alias("scored"))
-    done = datasets.select("dataset_id").join(known, "dataset_id", "left").select(
-        F.col("scored").isNotNull().cast("bigint").alias("updated"),
-        F.col("scored").isNull().cast("bigint").alias("skipped"),
-        F.lit(0).cast("bigint").alias("tags_updated"),
+    known = scores.selectExpr("dataset_id", "1 AS scored")
+    done = datasets.select("dataset_id").join(known, "dataset_id", "left").selectExpr(
+        "CAST(scored IS NOT NULL AS BIGINT) AS updated",
+        "CAST(scored IS NULL AS BIGINT) AS skipped",
+        "0L AS tags_updated",
     )
-    moved = remapped.select(
-        F.lit(0).cast("bigint").alias("updated"),
-        F.lit(0).cast("bigint").alias("skipped"),
-        F.col("changed").cast("bigint").alias("tags_updated"),
+    moved = remapped.selectExpr(
+        "0L AS updated", "0L AS skipped", "CAST(changed AS BIGINT) AS tags_updated"
     )
-    zero = F.lit(0).cast("bigint")
-    return done.unionByName(moved).agg(
-        *[F.coalesce(F.sum(c), zero).alias(c) for c in ("updated", "skipped", "tags_updated")]
+    return done.unionByName(moved).selectExpr(
+        *[f"coalesce(sum({c}), 0L) AS {c}" for c in ("updated", "skipped", "tags_updated")]
     )
 
 
 # --------------------------------------------------------------------------- deletes
 def tombstones_by_name(datasets: DataFrame, names: list[str], at: datetime | str) -> DataFrame:
-    return datasets.filter(F.col("name").isin(*names)).select(
-        "dataset_id", instant(at).alias("deleted_at")
+    return datasets.filter(s.one_of("name", names)).selectExpr(
+        "dataset_id", f"{s.instant(at)} AS deleted_at"
     )
 
 
 def without_deleted(table: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Cascade: every table is read through this anti join."""
-    return table.join(tombstones.select("dataset_id").distinct(), "dataset_id", "left_anti")
+    return table.join(tombstones.select("dataset_id"), "dataset_id", "left_anti")

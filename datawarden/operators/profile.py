@@ -15,14 +15,15 @@ once per distinct value.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datawarden.config import PREVIEW_ROWS, SAMPLE_VALUES
+from datawarden.functions import scalars as s
 from datawarden.functions.cell_types import TYPE_ORDER, type_tests
-from datawarden.functions.scalars import shorten, trimmed
 
 # Columns per unpivot: an Expand emits one projection per column, and thousands of them
 # would not fit into one generated method.
@@ -31,19 +32,22 @@ UNPIVOT_WIDTH = 200
 KEY = ["dataset_id", "position"]
 
 
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --------------------------------------------------------------------------- cells
-def _unpivot(df: DataFrame, ids: list[str], by_position: dict[int, Column]) -> DataFrame:
-    parts = []
-    items = list(by_position.items())
+def _unpivot(df: DataFrame, ids: dict[str, str], cells: dict[int, str]) -> DataFrame:
+    """Long form of the given expressions, keyed by their column position."""
+    items, parts = list(cells.items()), []
     for start in range(0, len(items), UNPIVOT_WIDTH):
         group = items[start : start + UNPIVOT_WIDTH]
-        wide = df.select(*ids, *[c.alias(f"p{pos}") for pos, c in group])
-        long = wide.unpivot(ids, [f"p{pos}" for pos, _ in group], "position", "value")
-        parts.append(long.withColumn("position", F.substring("position", 2, 9).cast("int")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        wide = df.selectExpr(
+            *[f"{e} AS {n}" for n, e in ids.items()], *[f"{e} AS `{i}`" for i, e in group]
+        )
+        long = wide.unpivot(list(ids), [f"`{i}`" for i, _ in group], "position", "value")
+        parts.append(long.selectExpr(*ids, "CAST(position AS INT) AS position", "value"))
+    return union_all(parts)
 
 
 def text_cells(
@@ -53,33 +57,27 @@ def text_cells(
 
     `ordinal` names a column that orders the rows; it gives the samples first-seen order.
     """
-    ids = {"dataset_id": F.col(dataset_id)}
+    ids = {"dataset_id": s.name(dataset_id)}
     if ordinal:
-        ids["ord"] = F.col(ordinal)
-    base = df.select(
-        *[c.alias(n) for n, c in ids.items()],
-        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)],
-    )
-    cells = {
-        i: F.when(trimmed(F.col(f"c{i}")) != "", F.col(f"c{i}")) for i in range(len(columns))
-    }
-    return _unpivot(base, list(ids), cells)
+        ids["ord"] = s.name(ordinal)
+    return _unpivot(df, ids, {i: s.blank_to_null(s.name(c)) for i, c in enumerate(columns)})
 
 
 def value_freq(cells: DataFrame) -> DataFrame:
     """Each distinct value of each column with its count (and first position, if rows have one)."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    if "ord" in cells.columns:
-        aggs.append(F.min("ord").alias("first_ord"))
-    return cells.groupBy("dataset_id", "position", "value").agg(*aggs)
+    first = ["min(ord) AS first_ord"] if "ord" in cells.columns else []
+    return _grouped(cells, ["dataset_id", "position", "value"], ["count(1) AS n", *first])
+
+
+def _grouped(df: DataFrame, keys: Sequence[str], aggregates: Sequence[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(a) for a in aggregates])
 
 
 # --------------------------------------------------------------------------- headers
 def headers_of(datasets: DataFrame, names: Sequence[str]) -> DataFrame:
     """The header table of datasets that share their column names."""
-    return datasets.select(
-        "dataset_id", F.posexplode(F.array(*[F.lit(n) for n in names])).alias("position", "name")
-    )
+    listing = ", ".join(s.text(n) for n in names)
+    return datasets.selectExpr("dataset_id", f"posexplode(array({listing})) AS (position, name)")
 
 
 def structural_issues(headers: DataFrame) -> DataFrame:
@@ -87,21 +85,25 @@ def structural_issues(headers: DataFrame) -> DataFrame:
 
     Names are grouped before they are counted, so no dataset is ever held in one task.
     """
-    name = F.lower(trimmed(F.coalesce(F.col("name"), F.lit(""))))
-    names = headers.groupBy("dataset_id", name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    per = names.groupBy("dataset_id").agg(
-        F.sum("n").alias("column_count"),
-        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("repeated_headers"),
-        F.count_if(F.col("name") == "").alias("blank_headers"),
+    plain = headers.selectExpr(
+        "dataset_id", f"lower({s.trimmed("`name`")}) AS name"
     )
-    issues = F.array_compact(
-        F.array(
-            F.when(F.col("repeated_headers") > 0, F.lit("DUPLICATE_HEADER")),
-            F.when(F.col("blank_headers") > 0, F.lit("BLANK_HEADER")),
-        )
+    names = _grouped(plain, ["dataset_id", "name"], ["count(1) AS n"])
+    per = _grouped(
+        names,
+        ["dataset_id"],
+        [
+            "sum(n) AS column_count",
+            "coalesce(sum(CASE WHEN n > 1 THEN n END), 0L) AS repeated_headers",
+            "count_if(coalesce(name, '') = '') AS blank_headers",
+        ],
     )
-    return per.select(
-        "dataset_id", "column_count", "repeated_headers", issues.alias("structural_issues")
+    return per.selectExpr(
+        "dataset_id",
+        "column_count",
+        "repeated_headers",
+        "array_compact(array(CASE WHEN repeated_headers > 0 THEN 'DUPLICATE_HEADER' END, "
+        "CASE WHEN blank_headers > 0 THEN 'BLANK_HEADER' END)) AS structural_issues",
     )
 
 
@@ -112,36 +114,39 @@ def column_counts(freq: DataFrame, approximate: bool = False) -> DataFrame:
     With `approximate`, `freq` may be plain cells: distinct counts are then estimates and
     nothing but one row per column and task is shuffled.
     """
-    weighted = freq if "n" in freq.columns else freq.withColumn("n", F.lit(1).cast("bigint"))
-    tests = type_tests(trimmed(F.col("value")))
-    flagged = weighted.select(
-        *KEY, "n", "value", *[F.coalesce(t, F.lit(False)).alias(f"is_{k}") for k, t in tests.items()]
+    n = "n" if "n" in freq.columns else "1L AS n"
+    tests = type_tests("t")
+    cells = freq.selectExpr(*KEY, n, "value", f"{s.trimmed('value')} AS t")
+    flagged = cells.selectExpr(*KEY, "n", "value", *[f"{t} AS is_{k}" for k, t in tests.items()])
+    other = "NOT (" + " OR ".join(f"is_{k}" for k in tests) + ")"
+
+    def total(condition: str) -> str:
+        return f"coalesce(sum(CASE WHEN value IS NOT NULL AND {condition} THEN n END), 0L)"
+
+    distinct = "approx_count_distinct(value)" if approximate else "count(value)"
+    return _grouped(
+        flagged,
+        KEY,
+        [
+            "sum(n) AS row_count",
+            f"{total('true')} AS non_null_count",
+            f"{distinct} AS distinct_count",
+            *[f"{total(f'is_{k}')} AS m_{k}" for k in tests],
+            f"{total(other)} AS m_STRING",
+        ],
     )
-    present = F.col("value").isNotNull()
 
-    def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
-    distinct = F.approx_count_distinct("value") if approximate else F.count("value")
-    return flagged.groupBy(*KEY).agg(
-        F.sum("n").alias("row_count"),
-        total(present).alias("non_null_count"),
-        distinct.alias("distinct_count"),
-        *[total(present & F.col(f"is_{k}")).alias(f"m_{k}") for k in TYPE_ORDER],
-    )
-
-
-def _measures() -> list[Column]:
-    """Shared ratios; they need row_count, non_null_count, distinct_count in scope."""
-    rows, present = F.col("row_count"), F.col("non_null_count")
-    return [
-        rows,
-        present,
-        (rows - present).alias("missing_count"),
-        F.when(rows > 0, (rows - present) / rows).otherwise(0.0).alias("missing_pct"),
-        F.when(rows > 0, present / rows).otherwise(0.0).alias("completeness"),
-        F.col("distinct_count"),
-    ]
+# Shared ratios; they need row_count, non_null_count and distinct_count in scope.
+_MEASURES = (
+    "row_count",
+    "non_null_count",
+    "row_count - non_null_count AS missing_count",
+    "CASE WHEN row_count > 0 THEN (row_count - non_null_count) / row_count ELSE 0D END "
+    "AS missing_pct",
+    "CASE WHEN row_count > 0 THEN non_null_count / row_count ELSE 0D END AS completeness",
+    "distinct_count",
+)
 
 
 def type_columns(counts: DataFrame) -> DataFrame:
@@ -151,44 +156,39 @@ def type_columns(counts: DataFrame) -> DataFrame:
     committed from a share of 0.8 (compared in whole numbers), else the column stays STRING and
     its validity reports the dominant share.
     """
-    present = F.col("non_null_count")
-    most = F.greatest(*[F.col(f"m_{k}") for k in TYPE_ORDER])
-    dominant = F.lit("STRING")
-    for name in reversed(TYPE_ORDER):
-        dominant = F.when(F.col(f"m_{name}") == most, name).otherwise(dominant)
-    step = counts.select(
+    most = f"greatest({', '.join(f'm_{k}' for k in TYPE_ORDER)})"
+    cases = " ".join(f"WHEN m_{k} = {most} THEN '{k}'" for k in TYPE_ORDER)
+    ranked = counts.selectExpr(
         *KEY, "row_count", "non_null_count", "distinct_count",
-        most.alias("most"), dominant.alias("dominant"),
+        f"{most} AS most", f"CASE {cases} END AS dominant",
+    )
+    judged = ranked.selectExpr(
+        "*",
+        "most * 5 >= non_null_count * 4 AS committed",
+        "CASE WHEN most * 5 >= non_null_count * 4 AND dominant = 'STRING' THEN non_null_count "
+        "ELSE most END AS type_match_count",
     )
-    committed = F.col("most") * 5 >= present * 4
-    matches = F.when(
-        committed & (F.col("dominant") == "STRING"), present
-    ).otherwise(F.col("most"))
-    return step.select(
+    return judged.selectExpr(
         *KEY,
-        F.when(present == 0, "UNKNOWN")
-        .when(committed, F.col("dominant"))
-        .otherwise("STRING")
-        .alias("data_type"),
-        *_measures(),
-        matches.alias("type_match_count"),
-        F.when(present == 0, 1.0).otherwise(F.col("most") / present).alias("dominant_type_share"),
-        F.when(present == 0, 1.0).otherwise(matches / present).alias("validity"),
+        "CASE WHEN non_null_count = 0 THEN 'UNKNOWN' WHEN committed THEN dominant ELSE 'STRING' END "
+        "AS data_type",
+        *_MEASURES,
+        "type_match_count",
+        "CASE WHEN non_null_count = 0 THEN 1D ELSE most / non_null_count END AS dominant_type_share",
+        "CASE WHEN non_null_count = 0 THEN 1D ELSE type_match_count / non_null_count END "
+        "AS validity",
     )
 
 
 def with_headers(headers: DataFrame, typed: DataFrame) -> DataFrame:
     """Every header gets a profile row; a column of a dataset without rows is UNKNOWN and empty."""
-    zero, one = F.lit(0).cast("bigint"), F.lit(1.0)
-    joined = headers.join(typed, KEY, "left")
     defaults = {
-        "data_type": F.lit("UNKNOWN"), "row_count": zero, "non_null_count": zero,
-        "missing_count": zero, "missing_pct": F.lit(0.0), "completeness": F.lit(0.0),
-        "distinct_count": zero, "type_match_count": zero, "dominant_type_share": one,
-        "validity": one,
+        "data_type": "'UNKNOWN'", "row_count": "0L", "non_null_count": "0L",
+        "missing_count": "0L", "missing_pct": "0D", "completeness": "0D", "distinct_count": "0L",
+        "type_match_count": "0L", "dominant_type_share": "1D", "validity": "1D",
     }
-    return joined.select(
-        *KEY, "name", *[F.coalesce(F.col(c), d).alias(c) for c, d in defaults.items()]
+    return headers.join(typed, KEY, "left").selectExpr(
+        *KEY, "name", *[f"coalesce({c}, {d}) AS {c}" for c, d in defaults.items()]
     )
 
 
@@ -203,74 +203,75 @@ def sample_values(freq: DataFrame, k: int = SAMPLE_VALUES) -> DataFrame:
     Without a row ordinal the order is md5(value): arbitrary but reproducible. The ranking is
     limited inside each task before the shuffle, so a column's values never meet in one task.
     """
+    order = "first_ord" if "first_ord" in freq.columns else "md5(value)"
     # Presence is tested behind the count: a plain null test would be pushed below the
     # aggregate, and its shuffle could no longer be shared with the column counts.
-    present = F.when(F.col("n") > 0, F.col("value")).isNotNull()
-    order = F.col("first_ord") if "first_ord" in freq.columns else F.md5("value")
-    w = Window.partitionBy(*KEY).orderBy(order, F.col("value"))
-    top = (
-        freq.filter(present)
-        .withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= k)
+    present = freq.filter("CASE WHEN n > 0 THEN value END IS NOT NULL")
+    ranked = present.selectExpr(
+        *KEY,
+        "value",
+        f"row_number() OVER (PARTITION BY dataset_id, position ORDER BY {order}, value) AS rank",
     )
-    packed = top.groupBy(*KEY).agg(
-        F.sort_array(F.collect_list(F.struct("rank", shorten(F.col("value")).alias("value")))).alias(
-            "packed"
-        )
+    packed = _grouped(
+        ranked.filter(f"rank <= {int(k)}"),
+        KEY,
+        [f"sort_array(collect_list(struct(rank, {s.shorten('value')} AS value))) AS packed"],
     )
-    return packed.select(*KEY, F.col("packed.value").alias("sample_values"))
+    return packed.selectExpr(*KEY, "packed.value AS sample_values")
 
 
 def with_samples(profile: DataFrame, samples: DataFrame) -> DataFrame:
-    return profile.join(samples, KEY, "left").withColumn(
-        "sample_values", F.coalesce("sample_values", F.array().cast("array<string>"))
+    kept = [s.name(c) for c in profile.columns if c not in KEY]
+    return profile.join(samples, KEY, "left").selectExpr(
+        *KEY, *kept, "coalesce(sample_values, CAST(array() AS ARRAY<STRING>)) AS sample_values"
     )
 
 
 # --------------------------------------------------------------------------- dataset profile
-def row_digest(df: DataFrame, columns: Sequence[str]) -> Column:
+def _plain_text(kind: T.DataType, x: str) -> str:
+    """A spelling that is equal exactly where the values are."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return f"CAST({x} + CAST(0 AS {kind.simpleString()}) AS STRING)"  # -0.0 equals 0.0
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return f"to_json(struct({x}), map('ignoreNullFields', 'false'))"
+    if isinstance(kind, T.BinaryType):
+        return f"hex({x})"
+    return f"CAST({x} AS STRING)"
+
+
+def row_digest(df: DataFrame, columns: Sequence[str]) -> str:
     """SHA-256 of the row in an unambiguous spelling: equal digests mean equal rows.
 
     The duplicate count shuffles 32 bytes a row instead of the row.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     parts = []
-    for name in columns:
-        kind, c = fields[name], F.col(f"`{name}`")
-        if isinstance(kind, (T.FloatType, T.DoubleType)):
-            c = c + F.lit(0.0).cast(kind)  # -0.0 equals 0.0
-        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-            c = F.to_json(F.struct(c), {"ignoreNullFields": "false"})
-        elif isinstance(kind, T.BinaryType):
-            c = F.hex(c)
-        text = c.cast("string")
-        parts.append(
-            F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
-        )
-    return F.unhex(F.sha2(F.concat(*parts), 256))
+    for column in columns:
+        x = _plain_text(fields[column], s.name(column))
+        parts.append(f"coalesce(concat(length({x}), ':', {x}), '~')")
+    return f"unhex(sha2(concat({', '.join(parts)}), 256))"
 
 
 def row_counts(
     df: DataFrame, columns: Sequence[str], dataset_id: str = "dataset_id"
 ) -> DataFrame:
     """Rows per dataset and rows beyond the first of each group of equal rows."""
-    groups = df.groupBy(
-        F.col(dataset_id).alias("dataset_id"), row_digest(df, columns).alias("digest")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    return groups.groupBy("dataset_id").agg(
-        F.sum("n").alias("row_count"),
-        F.sum(F.col("n") - 1).alias("duplicate_row_count"),
+    digests = df.selectExpr(
+        f"{s.name(dataset_id)} AS dataset_id", f"{row_digest(df, columns)} AS digest"
+    )
+    groups = _grouped(digests, ["dataset_id", "digest"], ["count(1) AS n"])
+    return _grouped(
+        groups, ["dataset_id"], ["sum(n) AS row_count", "sum(n - 1) AS duplicate_row_count"]
     )
 
 
 def dataset_profile(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Rows, columns, duplicates and header defects per dataset."""
-    zero = F.lit(0).cast("bigint")
-    return structural_issues(headers).join(rows, "dataset_id", "left").select(
+    return structural_issues(headers).join(rows, "dataset_id", "left").selectExpr(
         "dataset_id",
-        F.coalesce("row_count", zero).alias("row_count"),
+        "coalesce(row_count, 0L) AS row_count",
         "column_count",
-        F.coalesce("duplicate_row_count", zero).alias("duplicate_row_count"),
+        "coalesce(duplicate_row_count, 0L) AS duplicate_row_count",
         "repeated_headers",
         "structural_issues",
     )
@@ -279,31 +280,26 @@ def dataset_profile(rows: DataFrame, headers: DataFrame) -> DataFrame:
 def preview_rows(
     df: DataFrame,
     columns: Sequence[str],
-    names: Sequence[str],
     ordinal: str,
     dataset_id: str = "dataset_id",
+    names: Sequence[str] | None = None,
     limit: int = PREVIEW_ROWS,
 ) -> DataFrame:
-    """The first rows of each dataset. Cells stay positional, so repeated names cannot collide."""
-    w = Window.partitionBy("dataset_id").orderBy("ord")
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(name).alias("name"),
-                shorten(F.col(f"`{c}`")).alias("value"),
-            )
-            for i, (c, name) in enumerate(zip(columns, names, strict=True))
-        ]
-    )
-    return (
-        df.select(
-            F.col(dataset_id).alias("dataset_id"), F.col(ordinal).alias("ord"), cells.alias("cells")
-        )
-        .withColumn("row_number", F.row_number().over(w))
-        .filter(F.col("row_number") <= limit)
-        .select("dataset_id", "row_number", "cells")
+    """The first rows of each dataset. Cells stay positional, so repeated names cannot collide.
+
+    Without `names` (files of one width, each with its own header) cells carry positions only.
+    """
+    cells = []
+    for i, c in enumerate(columns):
+        label = "" if names is None else f"{s.text(names[i])} AS name, "
+        cells.append(f"struct({i} AS position, {label}{s.shorten(s.name(c))} AS value)")
+    ranked = df.selectExpr(
+        f"{s.name(dataset_id)} AS dataset_id",
+        f"row_number() OVER (PARTITION BY {s.name(dataset_id)} ORDER BY {s.name(ordinal)}) "
+        "AS row_number",
+        f"array({', '.join(cells)}) AS cells",
     )
+    return ranked.filter(f"row_number <= {int(limit)}")
 
 
 # --------------------------------------------------------------------------- typed tables
@@ -329,25 +325,16 @@ def typed_value_freq(
 ) -> list[tuple[str, DataFrame]]:
     """One (data type, value_freq) pair per storage type; values keep their native type."""
     fields = {f.name: f.dataType for f in df.schema.fields}
-    base = df.select(
-        F.col(dataset_id).alias("dataset_id"),
-        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)],
-    )
-    groups: dict[tuple[str, str], dict[int, Column]] = {}
-    for i, name in enumerate(columns):
-        storage, data_type = _family(fields[name])
-        c = F.col(f"c{i}")
+    groups: dict[tuple[str, str], dict[int, str]] = {}
+    for i, column in enumerate(columns):
+        storage, data_type = _family(fields[column])
+        x = s.name(column)
         if storage == "string":
-            if isinstance(fields[name], (T.ArrayType, T.MapType, T.StructType)):
-                c = F.to_json(F.struct(c), {"ignoreNullFields": "false"})
-            elif isinstance(fields[name], T.BinaryType):
-                c = F.hex(c)
-            else:
-                c = c.cast("string")
-            c = F.when(trimmed(c) != "", c)
-        groups.setdefault((storage, data_type), {})[i] = c.cast(storage)
+            x = s.blank_to_null(_plain_text(fields[column], x))
+        groups.setdefault((storage, data_type), {})[i] = f"CAST({x} AS {storage})"
+    ids = {"dataset_id": s.name(dataset_id)}
     return [
-        (data_type, value_freq(_unpivot(base, ["dataset_id"], cells)))
+        (data_type, value_freq(_unpivot(df, ids, cells)))
         for (_, data_type), cells in groups.items()
     ]
 
@@ -359,36 +346,30 @@ def typed_column_profile(
     parts = []
     for data_type, freq in typed_value_freq(df, columns, dataset_id):
         floating = isinstance(freq.schema["value"].dataType, T.DoubleType)
-        valid = ~F.isnan("value") if floating else F.lit(True)
-        counts = freq.groupBy(*KEY).agg(
-            F.sum("n").alias("row_count"),
-            F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias(
-                "non_null_count"
-            ),
-            F.count("value").alias("distinct_count"),
-            F.coalesce(
-                F.sum(F.when(F.col("value").isNotNull() & valid, F.col("n"))), F.lit(0)
-            ).alias("type_match_count"),
-        )
-        share = F.when(F.col("non_null_count") == 0, 1.0).otherwise(
-            F.col("type_match_count") / F.col("non_null_count")
+        valid = "value IS NOT NULL" + (" AND NOT isnan(value)" if floating else "")
+        counts = _grouped(
+            freq,
+            KEY,
+            [
+                "sum(n) AS row_count",
+                "coalesce(sum(CASE WHEN value IS NOT NULL THEN n END), 0L) AS non_null_count",
+                "count(value) AS distinct_count",
+                f"coalesce(sum(CASE WHEN {valid} THEN n END), 0L) AS type_match_count",
+            ],
         )
+        share = "CASE WHEN non_null_count = 0 THEN 1D ELSE type_match_count / non_null_count END"
         parts.append(
-            counts.select(
+            counts.selectExpr(
                 *KEY,
-                F.when(F.col("non_null_count") == 0, "UNKNOWN").otherwise(data_type).alias(
-                    "data_type"
-                ),
-                *_measures(),
-                F.col("type_match_count"),
-                share.alias("dominant_type_share"),
-                share.alias("validity"),
+                f"CASE WHEN non_null_count = 0 THEN 'UNKNOWN' ELSE '{data_type}' END AS data_type",
+                *_MEASURES,
+                "type_match_count",
+                f"{share} AS dominant_type_share",
+                f"{share} AS validity",
             )
         )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    names = F.array(*[F.lit(c) for c in columns])
-    return out.withColumn("name", F.get(names, F.col("position"))).select(
-        *KEY, "name", *[c for c in out.columns if c not in KEY]
+    out = union_all(parts)
+    names = f"array({', '.join(s.text(c) for c in columns)})"
+    return out.selectExpr(
+        *KEY, f"get({names}, position) AS name", *[c for c in out.columns if c not in KEY]
     )

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from datawarden.functions.scalars import fixed_1, half_up
 
@@ -12,100 +11,74 @@ MISSING_ERROR = 0.5
 MISSING_WARNING = 0.2
 TYPE_MISMATCH_WARNING = 0.8
 
-FINDING = (
-    "check_type string, severity string, affected_count bigint, affected_pct double, detail string"
-)
 
-
-def _finding(
-    condition: Column, check: str, severity: Column, count: Column, pct: Column, detail: Column
-) -> Column:
-    return F.when(
-        condition,
-        F.struct(
-            F.lit(check).alias("check_type"),
-            severity.alias("severity"),
-            count.cast("bigint").alias("affected_count"),
-            pct.cast("double").alias("affected_pct"),
-            detail.alias("detail"),
-        ),
+def _finding(condition: str, check: str, severity: str, count: str, pct: str, detail: str) -> str:
+    return (
+        f"CASE WHEN {condition} THEN struct('{check}' AS check_type, {severity} AS severity, "
+        f"CAST({count} AS BIGINT) AS affected_count, CAST({pct} AS DOUBLE) AS affected_pct, "
+        f"{detail} AS detail) END"
     )
 
 
-def _quoted(prefix: str, suffix: str) -> list[Column]:
-    return [F.lit(prefix + '"'), F.col("name"), F.lit('"' + suffix)]
-
-
-def missing_severity(pct: Column) -> Column:
+def missing_severity(pct: str) -> str:
     return (
-        F.when(pct >= MISSING_ERROR, "ERROR").when(pct >= MISSING_WARNING, "WARNING").otherwise("INFO")
+        f"CASE WHEN {pct} >= {MISSING_ERROR}D THEN 'ERROR' "
+        f"WHEN {pct} >= {MISSING_WARNING}D THEN 'WARNING' ELSE 'INFO' END"
     )
 
 
 def column_findings(profile: DataFrame) -> DataFrame:
     """Every finding of every column in one pass over the profile rows."""
-    missing, pct = F.col("missing_count"), F.col("missing_pct")
-    present, share = F.col("non_null_count"), F.col("dominant_type_share")
-    invalid = present - F.col("type_match_count")
-    empty = F.col("completeness") == 0
-    findings = F.array(
+    invalid = "(non_null_count - type_match_count)"
+    share = "dominant_type_share"
+    findings = [
         _finding(
-            empty, "EMPTY_COLUMN", F.lit("WARNING"), missing, pct,
-            F.concat(*_quoted("Column ", " is entirely empty.")),
+            "completeness = 0", "EMPTY_COLUMN", "'WARNING'", "missing_count", "missing_pct",
+            "concat('Column \"', name, '\" is entirely empty.')",
         ),
         _finding(
-            ~empty & (pct > 0), "MISSING_VALUES", missing_severity(pct), missing, pct,
-            F.concat(
-                missing.cast("string"), F.lit(" missing value(s) ("), fixed_1(pct * 100),
-                *_quoted("%) in ", "."),
-            ),
+            "completeness <> 0 AND missing_pct > 0", "MISSING_VALUES",
+            missing_severity("missing_pct"), "missing_count", "missing_pct",
+            f"concat(missing_count, ' missing value(s) (', {fixed_1('(missing_pct * 100)')}, "
+            "'%) in \"', name, '\".')",
         ),
         _finding(
-            F.col("validity") < 1, "INVALID_VALUES", F.lit("WARNING"), invalid,
-            F.when(present == 0, 0.0).otherwise(invalid / present),
-            F.concat(
-                invalid.cast("string"), *_quoted(" value(s) in ", " do not match inferred type "),
-                F.col("data_type"), F.lit("."),
-            ),
+            "validity < 1", "INVALID_VALUES", "'WARNING'", invalid,
+            f"coalesce(try_divide({invalid}, non_null_count), 0D)",
+            f"concat({invalid}, ' value(s) in \"', name, '\" do not match inferred type ', "
+            "data_type, '.')",
         ),
         _finding(
-            share < 1, "TYPE_MISMATCH",
-            F.when(share < TYPE_MISMATCH_WARNING, "WARNING").otherwise("INFO"),
-            half_up((F.lit(1.0) - share) * present), F.lit(1.0) - share,
-            F.concat(
-                *_quoted("Mixed types in ", "; dominant type covers "),
-                half_up(share * 100).cast("string"), F.lit("%."),
-            ),
+            f"{share} < 1", "TYPE_MISMATCH",
+            f"CASE WHEN {share} < {TYPE_MISMATCH_WARNING}D THEN 'WARNING' ELSE 'INFO' END",
+            half_up(f"(1 - {share}) * non_null_count"), f"1 - {share}",
+            f"concat('Mixed types in \"', name, '\"; dominant type covers ', "
+            f"{half_up(f'{share} * 100')}, '%.')",
         ),
+    ]
+    return profile.selectExpr(
+        "dataset_id", "position", "name AS column_name",
+        f"inline(array_compact(array({', '.join(findings)})))",
     )
-    return profile.select(
-        "dataset_id", "position", F.col("name").alias("column_name"),
-        F.explode(F.array_compact(findings)).alias("f"),
-    ).select("dataset_id", "position", "column_name", "f.*")
 
 
 def dataset_findings(datasets: DataFrame) -> DataFrame:
-    rows, duplicates = F.col("row_count"), F.col("duplicate_row_count")
-    columns, repeated = F.col("column_count"), F.col("repeated_headers")
-    findings = F.array(
+    findings = [
         _finding(
-            duplicates > 0, "DUPLICATE_ROWS", F.lit("WARNING"), duplicates,
-            F.when(rows > 0, duplicates / rows).otherwise(0.0),
-            F.concat(duplicates.cast("string"), F.lit(" duplicate row(s) detected.")),
+            "duplicate_row_count > 0", "DUPLICATE_ROWS", "'WARNING'", "duplicate_row_count",
+            "coalesce(try_divide(duplicate_row_count, row_count), 0D)",
+            "concat(duplicate_row_count, ' duplicate row(s) detected.')",
         ),
         _finding(
-            F.array_contains("structural_issues", "DUPLICATE_HEADER"), "DUPLICATE_HEADER",
-            F.lit("ERROR"), repeated,
-            F.when(columns > 0, repeated / columns).otherwise(0.0),
-            F.lit("Duplicate column header(s) detected."),
+            "array_contains(structural_issues, 'DUPLICATE_HEADER')", "DUPLICATE_HEADER", "'ERROR'",
+            "repeated_headers", "coalesce(try_divide(repeated_headers, column_count), 0D)",
+            "'Duplicate column header(s) detected.'",
         ),
+    ]
+    return datasets.selectExpr(
+        "dataset_id", "CAST(NULL AS INT) AS position", "CAST(NULL AS STRING) AS column_name",
+        f"inline(array_compact(array({', '.join(findings)})))",
     )
-    return datasets.select(
-        "dataset_id",
-        F.lit(None).cast("int").alias("position"),
-        F.lit(None).cast("string").alias("column_name"),
-        F.explode(F.array_compact(findings)).alias("f"),
-    ).select("dataset_id", "position", "column_name", "f.*")
 
 
 def quality_checks(profile: DataFrame, datasets: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 Quality needs a profile, Trust needs Quality, Value needs nothing but access events. Each score
 block is a struct {score, inputs, weights[, raw]}; it can be re-weighted from its stored inputs.
+A score is the sum of its contributions 100 * weight * input.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datawarden.config import (
@@ -16,49 +17,29 @@ from datawarden.config import (
     TREND_BASELINE_MIN,
     Settings,
 )
-from datawarden.functions.scalars import component, half_up, unit
-
-
-def _block(inputs: dict[str, Column], weights: dict[str, float], raw: Column | None = None) -> Column:
-    parts = {name: component(value, weights[name]) for name, value in inputs.items()}
-    names = list(parts)
-    score = parts[names[0]]["contribution"]
-    for name in names[1:]:
-        score = score + parts[name]["contribution"]
-    fields = [
-        score.alias("score"),
-        F.struct(*[v.alias(n) for n, v in inputs.items()]).alias("inputs"),
-        F.struct(*[F.lit(float(weights[n])).alias(n) for n in names]).alias("weights"),
-    ]
-    if raw is not None:
-        fields.append(raw.alias("raw"))
-    return F.struct(*fields)
-
-
-def quality_block(
-    completeness: Column, validity: Column, uniqueness: Column, settings: Settings
-) -> Column:
-    return _block(
-        {
-            "completeness": unit(completeness),
-            "validity": unit(validity),
-            "uniqueness": unit(uniqueness),
-        },
-        settings.quality,
-    )
+from datawarden.functions import scalars as s
 
 
-def trust_block(
-    quality_score: Column, consistency: Column, coverage: Column, settings: Settings
-) -> Column:
-    return _block(
-        {
-            "quality": unit(quality_score / F.lit(100.0)),
-            "consistency": unit(consistency),
-            "classification_coverage": unit(coverage),
-        },
-        settings.trust,
-    )
+def _block(inputs: dict[str, str], weights: dict[str, float], raw: str | None = None) -> str:
+    score = " + ".join(f"100D * {s.double(weights[n])} * {x}" for n, x in inputs.items())
+    fields = ", ".join(f"{x} AS {n}" for n, x in inputs.items())
+    listed = ", ".join(f"{s.double(weights[n])} AS {n}" for n in inputs)
+    tail = "" if raw is None else f", {raw} AS raw"
+    return f"struct({score} AS score, struct({fields}) AS inputs, struct({listed}) AS weights{tail})"
+
+
+def quality_block(completeness: str, validity: str, uniqueness: str, settings: Settings) -> str:
+    inputs = {"completeness": completeness, "validity": validity, "uniqueness": uniqueness}
+    return _block({n: s.unit(x) for n, x in inputs.items()}, settings.quality)
+
+
+def trust_block(quality_score: str, consistency: str, coverage: str, settings: Settings) -> str:
+    inputs = {
+        "quality": f"{quality_score} / 100D",
+        "consistency": consistency,
+        "classification_coverage": coverage,
+    }
+    return _block({n: s.unit(x) for n, x in inputs.items()}, settings.trust)
 
 
 # --------------------------------------------------------------------------- quality and trust
@@ -67,24 +48,19 @@ def profile_means(profile: DataFrame, tags: DataFrame | None = None) -> DataFram
 
     Without `tags` every column counts as classified, which is how an ingest ends.
     """
-    columns = profile
-    if tags is None:
-        columns = columns.withColumn("tagged", F.lit(1))
-    else:
-        keys = tags.select("dataset_id", "position", F.lit(1).alias("tagged"))
-        columns = columns.join(keys, ["dataset_id", "position"], "left")
-    present, rows = F.col("non_null_count"), F.col("row_count")
-    return columns.groupBy("dataset_id").agg(
-        F.avg(F.when(rows > 0, present / rows).otherwise(0.0)).alias("completeness"),
-        F.avg(F.when(present == 0, 1.0).otherwise(F.col("type_match_count") / present)).alias(
-            "validity"
-        ),
-        F.avg(F.when(present == 0, 1.0).otherwise(F.col("dominant_type_share"))).alias(
-            "type_share"
-        ),
-        F.count("tagged").alias("classified"),
-        F.count(F.lit(1)).alias("columns"),
-    )
+    columns, tagged = profile, "count(1)"
+    if tags is not None:
+        keys = tags.selectExpr("dataset_id", "position", "1 AS tagged")
+        columns, tagged = profile.join(keys, ["dataset_id", "position"], "left"), "count(tagged)"
+    aggregates = [
+        "avg(CASE WHEN row_count > 0 THEN non_null_count / row_count ELSE 0D END) AS completeness",
+        "avg(CASE WHEN non_null_count = 0 THEN 1D ELSE type_match_count / non_null_count END) "
+        "AS validity",
+        "avg(CASE WHEN non_null_count = 0 THEN 1D ELSE dominant_type_share END) AS type_share",
+        f"{tagged} AS classified",
+        "count(1) AS columns",
+    ]
+    return columns.groupBy("dataset_id").agg(*[F.expr(a) for a in aggregates])
 
 
 def profile_scores(
@@ -94,89 +70,66 @@ def profile_scores(
     settings: Settings = Settings(),
 ) -> DataFrame:
     """Quality and Trust per dataset; an empty dataset scores 0, never NaN."""
-    joined = datasets.join(profile_means(profile, tags), "dataset_id", "left")
-    filled = (F.col("row_count") > 0) & (F.coalesce("columns", F.lit(0)) > 0)
 
-    def of(c: Column) -> Column:
-        return F.when(filled, c).otherwise(0.0)
+    def of(x: str) -> str:
+        return f"CASE WHEN row_count > 0 AND columns > 0 THEN {x} ELSE 0D END"
 
-    penalty = unit(
-        F.least(
-            F.lit(STRUCTURAL_PENALTY_CAP),
-            F.lit(STRUCTURAL_PENALTY_PER_ISSUE) * F.size(F.array_distinct("structural_issues")),
-        )
+    penalty = (
+        f"least({s.double(STRUCTURAL_PENALTY_CAP)}, "
+        f"{s.double(STRUCTURAL_PENALTY_PER_ISSUE)} * size(array_distinct(structural_issues)))"
     )
-    share = unit(F.coalesce("type_share", F.lit(0.0)))
-    coverage = F.coalesce(F.try_divide("classified", "columns"), F.lit(0.0))
-    quality = joined.select(
-        "*",
-        quality_block(
-            of(F.col("completeness")),
-            of(F.col("validity")),
-            of(F.lit(1.0) - F.col("duplicate_row_count") / F.col("row_count")),
-            settings,
-        ).alias("quality"),
-        penalty.alias("structural_penalty"),
-        share.alias("mean_dominant_type_share"),
-        coverage.alias("coverage"),
+    quality = quality_block(
+        of("completeness"), of("validity"), of("1 - duplicate_row_count / row_count"), settings
     )
-    return quality.select(
+    scored = datasets.join(profile_means(profile, tags), "dataset_id", "left").selectExpr(
         "dataset_id",
-        "quality",
-        trust_block(
-            F.col("quality.score"),
-            F.col("mean_dominant_type_share") * (F.lit(1.0) - F.col("structural_penalty")),
-            F.col("coverage"),
-            settings,
-        ).alias("trust"),
-        F.struct("mean_dominant_type_share", "structural_penalty", "structural_issues").alias(
-            "consistency_detail"
-        ),
+        f"{quality} AS quality",
+        f"struct({s.unit('type_share')} AS mean_dominant_type_share, "
+        f"{s.unit(penalty)} AS structural_penalty, structural_issues) AS consistency_detail",
+        "coalesce(try_divide(classified, columns), 0D) AS coverage",
     )
+    trust = trust_block(
+        "quality.score",
+        "consistency_detail.mean_dominant_type_share * (1 - consistency_detail.structural_penalty)",
+        "coverage",
+        settings,
+    )
+    return scored.selectExpr("dataset_id", "quality", f"{trust} AS trust", "consistency_detail")
 
 
 # --------------------------------------------------------------------------- value
-def recommend(score: Column, accesses_90d: Column, trend: Column, settings: Settings) -> Column:
-    cut = settings.recommend
+def recommend(score: str, accesses_90d: str, trend: str, settings: Settings) -> str:
+    cut = {k: s.double(v) for k, v in settings.recommend.items()}
     return (
-        F.when((accesses_90d == 0) | (score < cut["retire_below"]), "RETIRE")
-        .when((score < cut["archive_below"]) & (trend < 0.5), "ARCHIVE")
-        .when(score < cut["optimize_below"], "OPTIMIZE")
-        .otherwise("KEEP")
+        f"CASE WHEN {accesses_90d} = 0 OR {score} < {cut['retire_below']} THEN 'RETIRE' "
+        f"WHEN {score} < {cut['archive_below']} AND {trend} < 0.5D THEN 'ARCHIVE' "
+        f"WHEN {score} < {cut['optimize_below']} THEN 'OPTIMIZE' ELSE 'KEEP' END"
     )
 
 
-def value_block(settings: Settings) -> Column:
-    """The Value block of a row with the four access-window columns."""
-    n90, last30 = F.col("accesses_90d"), F.col("accesses_last30")
-    prev30, days = F.col("accesses_prev30"), F.col("days_since_last_access")
-    frequency = unit(F.log1p(n90) / F.log1p(F.lit(float(settings.freq_cap))))
-    decay = F.coalesce(F.exp(-days / F.lit(float(settings.half_life_days))), F.lit(0.0))
-    recency = unit(decay * unit(n90 / F.lit(float(RECENCY_MIN_ACCESSES))))
-    baseline = F.lit(2.0) * F.greatest(F.lit(TREND_BASELINE_MIN).cast("bigint"), prev30)
-    trend = unit(F.lit(0.5) + (last30 - prev30) / baseline)
-    raw = F.struct(
-        n90.alias("accesses_90d"),
-        last30.alias("accesses_last30"),
-        prev30.alias("accesses_prev30"),
-        F.coalesce(days, F.lit(0.0)).alias("days_since_last_access"),
-        F.lit(int(settings.freq_cap)).alias("freq_cap"),
-        F.lit(float(settings.half_life_days)).alias("half_life"),
+def value_block(settings: Settings) -> str:
+    """The Value block of a row with the access-window columns."""
+    frequency = f"log1p(accesses_90d) / log1p({s.double(settings.freq_cap)})"
+    decay = f"coalesce(exp(-days_since_last_access / {s.double(settings.half_life_days)}), 0D)"
+    recency = f"{decay} * {s.unit(f'accesses_90d / {s.double(RECENCY_MIN_ACCESSES)}')}"
+    trend = (
+        "0.5D + (accesses_last30 - accesses_prev30) "
+        f"/ (2D * greatest({TREND_BASELINE_MIN}L, accesses_prev30))"
+    )
+    raw = (
+        "struct(accesses_90d, accesses_last30, accesses_prev30, "
+        "coalesce(days_since_last_access, 0D) AS days_since_last_access, "
+        f"{int(settings.freq_cap)} AS freq_cap, {s.double(settings.half_life_days)} AS half_life)"
     )
-    return _block({"frequency": frequency, "recency": recency, "trend": trend}, settings.value, raw)
+    inputs = {"frequency": s.unit(frequency), "recency": s.unit(recency), "trend": s.unit(trend)}
+    return _block(inputs, settings.value, raw)
 
 
 def value_from_windows(windows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Adds value, recommendation and is_declining to rows with access windows."""
-    scored = windows.withColumn("value", value_block(settings))
-    trend = F.col("value.inputs.trend")
-    return scored.withColumns(
-        {
-            "recommendation": recommend(
-                F.col("value.score"), F.col("accesses_90d"), trend, settings
-            ),
-            "is_declining": trend < 0.5,
-        }
+    rule = recommend("value.score", "accesses_90d", "value.inputs.trend", settings)
+    return windows.selectExpr("*", f"{value_block(settings)} AS value").selectExpr(
+        "*", f"{rule} AS recommendation", "value.inputs.trend < 0.5D AS is_declining"
     )
 
 
@@ -185,63 +138,53 @@ def dataset_scores(profile_part: DataFrame, value_part: DataFrame) -> DataFrame:
     """Quality, Trust and Value side by side. `value_part` covers every dataset."""
     return profile_part.join(
         value_part.select("dataset_id", "value", "recommendation"), "dataset_id"
-    ).select(
-        "dataset_id", "quality", "trust", "value", "recommendation", "consistency_detail"
-    )
+    ).select("dataset_id", "quality", "trust", "value", "recommendation", "consistency_detail")
 
 
 def reweight(scores: DataFrame, settings: Settings) -> DataFrame:
     """Quality and Trust again from their stored inputs, under other weights."""
-    q, t = "quality.inputs", "trust.inputs"
-    step = scores.withColumn(
-        "quality",
-        quality_block(
-            F.col(f"{q}.completeness"), F.col(f"{q}.validity"), F.col(f"{q}.uniqueness"), settings
-        ),
+    quality = quality_block(
+        *[f"quality.inputs.{p}" for p in ("completeness", "validity", "uniqueness")], settings
     )
-    return step.withColumn(
-        "trust",
-        trust_block(
-            F.col("quality.score"),
-            F.col(f"{t}.consistency"),
-            F.col(f"{t}.classification_coverage"),
-            settings,
-        ),
+    trust = trust_block(
+        "quality.score",
+        "trust.inputs.consistency",
+        "trust.inputs.classification_coverage",
+        settings,
     )
+    step = scores.withColumn("quality", F.expr(quality))
+    return step.withColumn("trust", F.expr(trust))
 
 
 def narrative(
     datasets: DataFrame, profile: DataFrame, tags: DataFrame, scores: DataFrame
 ) -> DataFrame:
     """One summary line per dataset; sensitive categories in order of their first column."""
-    sensitive = tags.filter(F.col("sensitivity") != "NONE")
+    sensitive = tags.filter("sensitivity <> 'NONE'")
     first_seen = sensitive.groupBy("dataset_id", "category").agg(
-        F.min("position").alias("position"), F.count(F.lit(1)).alias("n")
+        F.expr("min(position) AS position"), F.expr("count(1) AS n")
     )
     # At most one entry per category, so the collected list has a fixed bound.
     sensitive_part = first_seen.groupBy("dataset_id").agg(
-        F.sum("n").alias("n"),
-        F.sort_array(F.collect_list(F.struct("position", "category"))).alias("cats"),
+        F.expr("sum(n) AS n"), F.expr("sort_array(collect_list(struct(position, category))) AS cats")
     )
-    whole = lambda c: half_up(F.col(c)).cast("string")
-    count = F.coalesce("n", F.lit(0).cast("bigint"))
-    text = F.concat(
-        F.col("name"), F.lit(" — "), F.col("row_count").cast("string"), F.lit(" rows × "),
-        F.col("column_count").cast("string"), F.lit(" cols. Quality "), whole("quality.score"),
-        F.lit(", Trust "), whole("trust.score"), F.lit(", Value "), whole("value.score"),
-        F.lit(" ("), F.col("recommendation"), F.lit("). Duplicate rows: "),
-        F.col("duplicate_row_count").cast("string"), F.lit(". Sensitive columns: "),
-        count.cast("string"),
-        F.when(count > 0, F.concat(F.lit(" ("), F.array_join("cats.category", ", "), F.lit(")")))
-        .otherwise(""),
-        F.lit("."),
+    text = (
+        "concat(name, ' — ', row_count, ' rows × ', column_count, ' cols. Quality ', "
+        f"{s.half_up('quality.score')}, ', Trust ', {s.half_up('trust.score')}, ', Value ', "
+        f"{s.half_up('value.score')}, ' (', recommendation, '). Duplicate rows: ', "
+        "duplicate_row_count, '. Sensitive columns: ', coalesce(n, 0L), "
+        "CASE WHEN n > 0 THEN concat(' (', array_join(cats.category, ', '), ')') ELSE '' END, '.')"
     )
     return (
         datasets.select("dataset_id", "name")
-        .join(profile.select("dataset_id", "row_count", "column_count", "duplicate_row_count"),
-              "dataset_id")
-        .join(scores.select("dataset_id", "quality", "trust", "value", "recommendation"),
-              "dataset_id")
+        .join(
+            profile.select("dataset_id", "row_count", "column_count", "duplicate_row_count"),
+            "dataset_id",
+        )
+        .join(
+            scores.select("dataset_id", "quality", "trust", "value", "recommendation"),
+            "dataset_id",
+        )
         .join(sensitive_part, "dataset_id", "left")
-        .select("dataset_id", text.alias("narrative"))
+        .selectExpr("dataset_id", f"{text} AS narrative")
     )

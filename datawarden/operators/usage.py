@@ -8,17 +8,18 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datawarden.config import ACCESS_TYPES, Settings
-from datawarden.functions.scalars import DAY_MICROS, days_before, instant, utc_day
+from datawarden.functions import scalars as s
 from datawarden.operators.score import value_from_windows
 
+_AT = "CAST(occurred_at AS TIMESTAMP)"
 
-def _within(at: Column, now: Column, newer: int, older: int) -> Column:
-    """In (now - older days, now - newer days]."""
-    return (at <= days_before(now, newer)) & (at > days_before(now, older))
+
+def _grouped(df: DataFrame, keys: list[str], aggregates: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(a) for a in aggregates])
 
 
 def of_type(events: DataFrame, access_type: str | None) -> DataFrame:
@@ -26,35 +27,43 @@ def of_type(events: DataFrame, access_type: str | None) -> DataFrame:
         return events
     if access_type not in ACCESS_TYPES:
         raise ValueError(f"access type must be one of {ACCESS_TYPES}")
-    return events.filter(F.col("access_type") == access_type)
+    return events.filter(f"access_type = '{access_type}'")
 
 
 def access_windows(events: DataFrame, now: datetime | str) -> DataFrame:
     """Per dataset the three scoring windows and the days since the last access.
 
-    The last access is taken over all events, later ones than `now` included; its age is never
-    negative.
+    Windows are half open: (now - 90d, now], (now - 30d, now], (now - 60d, now - 30d]. The last
+    access is taken over all events, later ones than `now` included; its age is never negative.
     """
-    at, moment = F.col("occurred_at").cast("timestamp"), instant(now)
-    grouped = events.groupBy("dataset_id").agg(
-        F.count_if(_within(at, moment, 0, 90)).alias("accesses_90d"),
-        F.count_if(_within(at, moment, 0, 30)).alias("accesses_last30"),
-        F.count_if(_within(at, moment, 30, 60)).alias("accesses_prev30"),
-        F.max(at).alias("last_accessed_at"),
+
+    def within(newer: int, older: int) -> str:
+        return (
+            f"count_if({_AT} <= {s.days_before(now, newer)} AND {_AT} > {s.days_before(now, older)})"
+        )
+
+    grouped = _grouped(
+        events,
+        ["dataset_id"],
+        [
+            f"{within(0, 90)} AS accesses_90d",
+            f"{within(0, 30)} AS accesses_last30",
+            f"{within(30, 60)} AS accesses_prev30",
+            f"max({_AT}) AS last_accessed_at",
+        ],
     )
-    age = (F.unix_micros(moment) - F.unix_micros("last_accessed_at")) / F.lit(float(DAY_MICROS))
-    return grouped.withColumn("days_since_last_access", F.greatest(F.lit(0.0), age))
+    age = f"({s.micros(now)}L - unix_micros(last_accessed_at)) / {s.double(s.DAY_MICROS)}"
+    return grouped.selectExpr("*", f"greatest(0D, {age}) AS days_since_last_access")
 
 
 def windows_for(datasets: DataFrame, events: DataFrame, now: datetime | str) -> DataFrame:
     """Access windows of every dataset; one without events has zero counts and no last access."""
-    zero = F.lit(0).cast("bigint")
-    return datasets.select("dataset_id").join(access_windows(events, now), "dataset_id", "left").select(
+    counts = ("accesses_90d", "accesses_last30", "accesses_prev30")
+    return datasets.select("dataset_id").join(
+        access_windows(events, now), "dataset_id", "left"
+    ).selectExpr(
         "dataset_id",
-        *[
-            F.coalesce(c, zero).alias(c)
-            for c in ("accesses_90d", "accesses_last30", "accesses_prev30")
-        ],
+        *[f"coalesce({c}, 0L) AS {c}" for c in counts],
         "last_accessed_at",
         "days_since_last_access",
     )
@@ -66,6 +75,11 @@ def value_scores(
     return value_from_windows(windows_for(datasets, events, now), settings)
 
 
+def _check_days(days: int) -> None:
+    if not 1 <= days <= 365:
+        raise ValueError("days must lie in 1..365")
+
+
 def daily_usage(
     datasets: DataFrame,
     events: DataFrame,
@@ -77,25 +91,23 @@ def daily_usage(
 
     The calendar is generated per dataset row (1 to 365 entries), not joined in.
     """
-    if not 1 <= days <= 365:
-        raise ValueError("days must lie in 1..365")
-    today = utc_day(instant(now))
-    first = F.date_sub(today, days - 1)
-    day = utc_day(F.col("occurred_at"))
-    typed = of_type(events, access_type)
-    counts = (
-        typed.filter(day.between(first, today))
-        .groupBy("dataset_id", day.alias("date"))
-        .agg(*[F.count_if(F.col("access_type") == t).alias(t.lower()) for t in ACCESS_TYPES])
+    _check_days(days)
+    today = s.utc_day(s.instant(now))
+    first = f"date_sub({today}, {days - 1})"
+    counts = [f"count_if(access_type = '{t}') AS {t.lower()}" for t in ACCESS_TYPES]
+    dated = of_type(events, access_type).selectExpr(
+        "dataset_id", "access_type", f"{s.utc_day('occurred_at')} AS date"
+    )
+    counted = _grouped(
+        dated.filter(f"date BETWEEN {first} AND {today}"), ["dataset_id", "date"], counts
     )
-    calendar = datasets.select("dataset_id", F.explode(F.sequence(first, today)).alias("date"))
-    zero = F.lit(0).cast("bigint")
-    parts = [F.coalesce(t.lower(), zero) for t in ACCESS_TYPES]
-    return calendar.join(counts, ["dataset_id", "date"], "left").select(
+    calendar = datasets.selectExpr("dataset_id", f"explode(sequence({first}, {today})) AS date")
+    filled = [f"coalesce({t.lower()}, 0L)" for t in ACCESS_TYPES]
+    return calendar.join(counted, ["dataset_id", "date"], "left").selectExpr(
         "dataset_id",
         "date",
-        (parts[0] + parts[1] + parts[2]).alias("total"),
-        *[p.alias(t.lower()) for p, t in zip(parts, ACCESS_TYPES, strict=True)],
+        f"{' + '.join(filled)} AS total",
+        *[f"{x} AS {t.lower()}" for x, t in zip(filled, ACCESS_TYPES, strict=True)],
     )
 
 
@@ -108,12 +120,12 @@ def usage_summary(
 ) -> DataFrame:
     """The fixed 90/30/previous-30 windows, whatever `days`; `from_date` is the day before the
     first bucket of the series."""
-    windows = windows_for(datasets, of_type(events, access_type), now)
-    today = utc_day(instant(now))
-    return windows.select(
+    _check_days(days)
+    today = s.utc_day(s.instant(now))
+    return windows_for(datasets, of_type(events, access_type), now).selectExpr(
         "dataset_id",
-        F.date_sub(today, days).alias("from_date"),
-        today.alias("to_date"),
+        f"date_sub({today}, {days}) AS from_date",
+        f"{today} AS to_date",
         "accesses_90d",
         "accesses_last30",
         "accesses_prev30",
@@ -123,9 +135,12 @@ def usage_summary(
 
 def access_rollup(events: DataFrame, now: datetime | str) -> DataFrame:
     """All-time count, last access and the list's 90-day count, which has no upper bound."""
-    at = F.col("occurred_at").cast("timestamp")
-    return events.groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("access_count"),
-        F.count_if(at >= days_before(instant(now), 90)).alias("access_count_90d"),
-        F.max(at).alias("last_accessed_at"),
+    return _grouped(
+        events,
+        ["dataset_id"],
+        [
+            "count(1) AS access_count",
+            f"count_if({_AT} >= {s.days_before(now, 90)}) AS access_count_90d",
+            f"max({_AT}) AS last_accessed_at",
+        ],
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datawarden.functions.cell_types import number
@@ -16,73 +16,60 @@ SCORE_PARTS = {
 }
 
 
-def score_band(score: Column) -> Column:
+def score_band(score: str) -> str:
     """0 to 4, cut at 25, 50, 75 and 90."""
-    return F.when(score < 25, 0).when(score < 50, 1).when(score < 75, 2).when(score < 90, 3).when(
-        score.isNotNull(), 4
+    return (
+        f"CASE WHEN {score} < 25 THEN 0 WHEN {score} < 50 THEN 1 WHEN {score} < 75 THEN 2 "
+        f"WHEN {score} < 90 THEN 3 WHEN {score} IS NOT NULL THEN 4 END"
     )
 
 
-def score_tier(score: Column) -> Column:
-    return F.when(score >= 80, "Good").when(score >= 60, "Fair").when(score.isNotNull(), "Poor")
+def score_tier(score: str) -> str:
+    return (
+        f"CASE WHEN {score} >= 80 THEN 'Good' WHEN {score} >= 60 THEN 'Fair' "
+        f"WHEN {score} IS NOT NULL THEN 'Poor' END"
+    )
 
 
 def score_bands(scores: DataFrame) -> DataFrame:
     """Band and tier of each of the three scores, one row per dataset and score."""
-    rows = F.array(
-        *[
-            F.struct(F.lit(s).alias("score_name"), F.col(f"{s}.score").alias("score"))
-            for s in SCORE_PARTS
-        ]
-    )
-    return scores.select("dataset_id", F.explode(rows).alias("r")).select(
-        "dataset_id",
-        "r.score_name",
-        "r.score",
-        score_band(F.col("r.score")).alias("band"),
-        score_tier(F.col("r.score")).alias("tier"),
+    rows = ", ".join(f"struct('{x}' AS score_name, {x}.score AS score)" for x in SCORE_PARTS)
+    return scores.selectExpr("dataset_id", f"inline(array({rows}))").selectExpr(
+        "*", f"{score_band('score')} AS band", f"{score_tier('score')} AS tier"
     )
 
 
-def explain_rows(scores: DataFrame, blocks: tuple[str, ...] = ("quality", "trust", "value")) -> DataFrame:
+def explain_rows(
+    scores: DataFrame, blocks: tuple[str, ...] = ("quality", "trust", "value")
+) -> DataFrame:
     """One row per score input with its weight and contribution; they add up to the score.
 
     Where Trust is explained together with Quality, completeness and validity are listed once
     more as sub-inputs of Trust's quality term, without weight or contribution.
     """
-    rows = []
+
+    def row(block: str, part: str, under: str, x: str, weight: str, contribution: str) -> str:
+        return (
+            f"struct('{block}' AS score_name, '{part}' AS input_name, {under} AS under, "
+            f"{x} AS input, {weight} AS weight, {contribution} AS contribution)"
+        )
+
+    nothing, rows = "CAST(NULL AS DOUBLE)", []
     for block in blocks:
         for part in SCORE_PARTS[block]:
-            x, w = F.col(f"{block}.inputs.{part}"), F.col(f"{block}.weights.{part}")
-            rows.append((block, part, None, x, w, F.lit(100.0) * w * x))
+            x, w = f"{block}.inputs.{part}", f"{block}.weights.{part}"
+            rows.append(row(block, part, "CAST(NULL AS STRING)", x, w, f"100D * {w} * {x}"))
     if "trust" in blocks and "quality" in blocks:
-        nothing = F.lit(None).cast("double")
         for part in ("completeness", "validity"):
-            x = F.col(f"quality.inputs.{part}")
-            rows.append(("trust", part, "quality", x, nothing, nothing))
-    packed = F.array(
-        *[
-            F.struct(
-                F.lit(block).alias("score_name"),
-                F.lit(part).alias("input_name"),
-                F.lit(under).cast("string").alias("under"),
-                x.alias("input"),
-                w.alias("weight"),
-                c.alias("contribution"),
-            )
-            for block, part, under, x, w, c in rows
-        ]
-    )
-    return scores.select("dataset_id", F.explode(packed).alias("r")).select("dataset_id", "r.*")
+            x = f"quality.inputs.{part}"
+            rows.append(row("trust", part, "'quality'", x, nothing, nothing))
+    return scores.selectExpr("dataset_id", f"inline(array({', '.join(rows)}))")
 
 
 def type_distribution(profile: DataFrame) -> DataFrame:
     """Columns per data type, most frequent first."""
-    return (
-        profile.groupBy("data_type")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.col("n").desc(), "data_type")
-    )
+    counted = profile.groupBy("data_type").agg(F.expr("count(1) AS n"))
+    return counted.orderBy(F.col("n").desc(), "data_type")
 
 
 def numeric_histogram(freq: DataFrame, bins: int = 6) -> DataFrame:
@@ -91,61 +78,53 @@ def numeric_histogram(freq: DataFrame, bins: int = 6) -> DataFrame:
     Columns with fewer than two numbers have none; equal values make a single bin. The largest
     value belongs to the last bin. Empty bins are listed with 0.
     """
-    x = F.col("value") if dict(freq.dtypes)["value"] != "string" else number(trimmed(F.col("value")))
-    numbers = freq.select(*KEY, "n", x.cast("double").alias("x")).filter(
-        F.col("x").isNotNull() & ~F.isnan("x")
+    x = number(trimmed("value")) if dict(freq.dtypes)["value"] == "string" else "value"
+    numbers = freq.selectExpr(*KEY, "n", f"CAST({x} AS DOUBLE) AS x").filter(
+        "x IS NOT NULL AND NOT isnan(x)"
     )
-    stats = (
-        numbers.groupBy(*KEY)
-        .agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("total"))
-        .filter(F.col("total") >= 2)
-    )
-    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    stats = numbers.groupBy(*KEY).agg(
+        F.expr("min(x) AS lo"), F.expr("max(x) AS hi"), F.expr("sum(n) AS total")
+    ).filter("total >= 2")
+    width = f"((hi - lo) / {float(bins)}D)"
     # One row per column on the right; a hot column is split by the adaptive skew join.
-    placed = numbers.join(stats, KEY).withColumn(
-        "bin",
-        F.when(F.col("lo") == F.col("hi"), 0).otherwise(
-            F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / width).cast("int"))
-        ),
+    placed = numbers.join(stats, KEY).selectExpr(
+        *KEY,
+        "n",
+        f"CASE WHEN lo = hi THEN 0 ELSE least({bins - 1}, CAST(floor((x - lo) / {width}) AS INT)) "
+        "END AS bin",
     )
-    counted = placed.groupBy(*KEY, "bin").agg(F.sum("n").alias("n"))
-    last = F.when(F.col("lo") == F.col("hi"), 0).otherwise(bins - 1)
-    frame = stats.select(
-        *KEY, "lo", "hi", width.alias("width"), F.explode(F.sequence(F.lit(0), last)).alias("bin")
+    counted = placed.groupBy(*KEY, "bin").agg(F.expr("sum(n) AS n"))
+    frame = stats.selectExpr(
+        *KEY, "lo", "hi",
+        f"explode(sequence(0, CASE WHEN lo = hi THEN 0 ELSE {bins - 1} END)) AS bin",
     )
-    return frame.join(counted, [*KEY, "bin"], "left").select(
+    return frame.join(counted, [*KEY, "bin"], "left").selectExpr(
         *KEY,
         "bin",
-        F.when(F.col("lo") == F.col("hi"), F.col("lo"))
-        .otherwise(F.col("lo") + F.col("bin") * F.col("width"))
-        .alias("bin_from"),
-        F.when(F.col("lo") == F.col("hi"), F.col("hi"))
-        .otherwise(F.col("lo") + (F.col("bin") + 1) * F.col("width"))
-        .alias("bin_to"),
-        F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
+        f"CASE WHEN lo = hi THEN lo ELSE lo + bin * {width} END AS bin_from",
+        f"CASE WHEN lo = hi THEN hi ELSE lo + (bin + 1) * {width} END AS bin_to",
+        "coalesce(n, 0L) AS n",
     )
 
 
-def shares(distribution: DataFrame, count: str = "n") -> DataFrame:
-    """Each key's share of the total (0 where the total is 0).
+def shares(distribution: DataFrame) -> DataFrame:
+    """Each key's share of the total n (0 where the total is 0).
 
     For distributions over an enum: a handful of rows, whatever was counted.
     """
-    total = F.sum(count).over(Window.partitionBy())
-    return distribution.withColumn(
-        "share", F.when(total > 0, F.col(count) / total).otherwise(0.0)
-    )
+    return distribution.selectExpr("*", "coalesce(try_divide(n, sum(n) OVER ()), 0D) AS share")
 
 
 def usage_normalised(page: DataFrame) -> DataFrame:
     """Access counts relative to the busiest dataset of a page (at most 100 rows)."""
-    busiest = F.greatest(F.max("access_count").over(Window.partitionBy()), F.lit(1))
-    return page.select(
-        "dataset_id", "access_count", (F.col("access_count") / busiest).alias("usage_share")
+    return page.selectExpr(
+        "dataset_id",
+        "access_count",
+        "access_count / greatest(max(access_count) OVER (), 1L) AS usage_share",
     )
 
 
 def missing_severity(profile: DataFrame, checks: DataFrame) -> DataFrame:
     """Each column's missing share with the severity of its MISSING_VALUES finding, if any."""
-    found = checks.filter(F.col("check_type") == "MISSING_VALUES").select(*KEY, "severity")
+    found = checks.filter("check_type = 'MISSING_VALUES'").select(*KEY, "severity")
     return profile.select(*KEY, "name", "missing_pct").join(found, KEY, "left")

@@ -4,86 +4,73 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from datawarden.config import PREVIEW_ROWS, Settings
-from datawarden.functions.scalars import instant, shorten
+from datawarden.config import Settings
+from datawarden.functions.scalars import instant
+from datawarden.operators import profile as pf
 from datawarden.operators.classify import apply_refinements, classify
-from datawarden.operators.profile import (
-    column_profile,
-    dataset_profile,
-    sample_values,
-    value_freq,
-    with_samples,
-)
 from datawarden.operators.quality import quality_checks
 from datawarden.operators.score import dataset_scores, narrative, profile_scores
 from datawarden.operators.usage import value_scores
 from datawarden.session import new_run_dir
-from datawarden.sources.catalog_store import TABLES, CatalogStore, new_run_id
-from datawarden.sources.csv_files import CsvIntake, dataset_name, read_csv_folder, safe_message
+from datawarden.sources.catalog_store import CatalogStore, new_run_id
+from datawarden.sources.csv_files import dataset_name, read_csv_folder, safe_message
 
 
 @dataclass
-class Findings:
-    """Everything derived from a set of tables."""
-
-    columns: DataFrame
-    profile: DataFrame
-    tags: DataFrame
-    checks: DataFrame
-    scores: DataFrame
-
-
-def analyse(
-    freq: DataFrame,
-    rows: DataFrame,
-    headers: DataFrame,
-    events: DataFrame,
-    now: datetime | str,
-    settings: Settings = Settings(),
-    refinements: DataFrame | None = None,
-) -> Findings:
-    """Profile, tags, findings and scores of all datasets named in `headers`, as lazy plans.
+class Analysis:
+    """Everything derived from a set of tables, each part a lazy plan built when asked for.
 
     `freq` feeds both the counts and the samples. Where it is large, write it once and pass the
     written table.
     """
-    columns = with_samples(column_profile(freq, headers), sample_values(freq))
-    profile = dataset_profile(rows, headers)
-    tags = classify(columns.select("dataset_id", "position", "name", "sample_values"), settings)
-    if refinements is not None:
-        tags = apply_refinements(tags, refinements, settings)
-    checks = quality_checks(columns, profile)
-    # After an ingest every column carries a tag, explicit NONE included: coverage is 1.
-    parts = profile_scores(columns, profile, None, settings)
-    value = value_scores(profile.select("dataset_id"), events, now, settings)
-    return Findings(columns, profile, tags, checks, dataset_scores(parts, value))
-
-
-def _preview(intake: CsvIntake) -> DataFrame:
-    """First rows per dataset in long form, packed per row with the headers' positions."""
-    w = Window.partitionBy("dataset_id").orderBy("ord")
-    parts = []
-    for width, df in intake.groups:
-        cells = F.array(
-            *[
-                F.struct(F.lit(i).alias("position"), shorten(F.col(f"c{i}")).alias("value"))
-                for i in range(width)
-            ]
-        )
-        parts.append(
-            df.select("dataset_id", "ord", cells.alias("cells"))
-            .withColumn("row_number", F.row_number().over(w))
-            .filter(F.col("row_number") <= PREVIEW_ROWS)
-            .select("dataset_id", "row_number", "cells")
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+
+    freq: DataFrame
+    rows: DataFrame
+    headers: DataFrame
+    events: DataFrame
+    now: datetime | str
+    settings: Settings = Settings()
+    refinements: DataFrame | None = None
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """Column profiles without samples."""
+        return pf.column_profile(self.freq, self.headers)
+
+    @cached_property
+    def samples(self) -> DataFrame:
+        """Headers with their sample values."""
+        return pf.with_samples(self.headers, pf.sample_values(self.freq))
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        return pf.with_samples(self.counts, pf.sample_values(self.freq))
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        return pf.dataset_profile(self.rows, self.headers)
+
+    @cached_property
+    def tags(self) -> DataFrame:
+        tags = classify(self.samples, self.settings)
+        if self.refinements is None:
+            return tags
+        return apply_refinements(tags, self.refinements, self.settings)
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        return quality_checks(self.counts, self.profile)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        # After an ingest every column carries a tag, explicit NONE included: coverage is 1.
+        parts = profile_scores(self.counts, self.profile, None, self.settings)
+        ids = self.headers.select("dataset_id").distinct()
+        return dataset_scores(parts, value_scores(ids, self.events, self.now, self.settings))
 
 
 def ingest_csv(
@@ -102,51 +89,62 @@ def ingest_csv(
     value_freq is written to the shared folder once and read by the counts and the samples.
     """
     intake = read_csv_folder(spark, folder, delimiter, max_bytes)
-    rejects = intake.manifest.filter(F.col("code").isNotNull()).select(
+    rejects = intake.manifest.filter("code IS NOT NULL").select(
         "file_id", "file_name", "size_bytes", "code", "message"
     )
     if intake.empty:
         return rejects
 
     work = new_run_dir(spark, "ingest")
-    intake.ragged_rows().write.parquet(f"{work}/shape")
-    shape = spark.read.parquet(f"{work}/shape")
+
+    def written(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{work}/{name}")
+        return spark.read.parquet(f"{work}/{name}")
+
+    shape = written("shape", intake.shape())
     good = shape.filter("ragged_rows = 0").select("dataset_id")
-    value_freq(intake.cells().join(good, "dataset_id", "left_semi")).write.parquet(f"{work}/freq")
-    freq = spark.read.parquet(f"{work}/freq")
 
-    headers = intake.headers().join(good, "dataset_id", "left_semi")
-    rows = intake.row_counts().join(good, "dataset_id", "left_semi")
-    found = analyse(
-        freq, rows, headers, store.access_events(), now, settings, refinements
+    def only_good(df: DataFrame) -> DataFrame:
+        return df.join(good, "dataset_id", "left_semi")
+
+    found = Analysis(
+        written("freq", pf.value_freq(only_good(intake.cells()))),
+        only_good(intake.row_counts()),
+        only_good(intake.headers()),
+        store.access_events(),
+        now,
+        settings,
+        refinements,
     )
-
     run_id = new_run_id()
     store.write("columns", found.columns, run_id)
     store.write("tags", found.tags, run_id)
     store.write("quality_checks", found.checks, run_id)
     store.write("dataset_scores", found.scores, run_id)
-    store.write("preview_rows", _preview(intake).join(good, "dataset_id", "left_semi"), run_id)
+    store.write("preview_rows", only_good(intake.preview()), run_id)
 
-    accepted = intake.manifest.filter(F.col("code").isNull())
-    ragged = F.col("ragged_rows") > 0
-    code = F.when(ragged, "ragged")
-    datasets = accepted.withColumnRenamed("file_id", "dataset_id").join(shape, "dataset_id").select(
+    accepted = intake.manifest.filter("code IS NULL").withColumnRenamed("file_id", "dataset_id")
+    datasets = accepted.drop("code").join(shape, "dataset_id").selectExpr(
+        "*", "CASE WHEN ragged_rows > 0 THEN 'ragged' END AS failure"
+    ).selectExpr(
         "dataset_id",
-        dataset_name(F.lit(None).cast("string"), F.col("file_name")).alias("name"),
-        F.col("file_name").alias("original_filename"),
+        f"{dataset_name('CAST(NULL AS STRING)', 'file_name')} AS name",
+        "file_name AS original_filename",
         "file_type",
         "size_bytes",
         "row_count",
-        F.size("headers").cast("bigint").alias("column_count"),
-        F.when(ragged, "FAILED").otherwise("READY").alias("status"),
-        safe_message(code).alias("error_message"),
-        instant(now).alias("uploaded_at"),
-        instant(now).alias("updated_at"),
+        "CAST(size(headers) AS BIGINT) AS column_count",
+        "CASE WHEN failure IS NULL THEN 'READY' ELSE 'FAILED' END AS status",
+        f"{safe_message('failure')} AS error_message",
+        f"{instant(now)} AS uploaded_at",
+        f"{instant(now)} AS updated_at",
+    )
+    text = narrative(
+        datasets,
+        found.profile,
+        spark.read.parquet(f"{store.root}/tags/run_id={run_id}"),
+        spark.read.parquet(f"{store.root}/dataset_scores/run_id={run_id}"),
     )
-    written = spark.read.parquet(f"{store.root}/dataset_scores/run_id={run_id}")
-    tags = spark.read.parquet(f"{store.root}/tags/run_id={run_id}")
-    text = narrative(datasets, found.profile, tags, written)
     store.write("datasets", datasets.join(text, "dataset_id", "left"), run_id)
-    store.publish(run_id, datasets, now, TABLES)
+    store.publish(run_id, datasets, now)
     return rejects

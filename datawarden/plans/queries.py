@@ -33,6 +33,7 @@ from datawarden.operators.profile import (
     sample_values,
     typed_column_profile,
     typed_value_freq,
+    union_all,
     value_freq,
     with_samples,
 )
@@ -82,20 +83,20 @@ def query(oracle: str | None = None, extra: dict[str, str] | None = None):
     return register
 
 
-def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+def r6(c: str) -> Column:
+    return F.expr(f"round({c}, 6)")
 
 
-def seconds(c: Column | str) -> Column:
-    return F.unix_seconds(F.col(c) if isinstance(c, str) else c)
+def seconds(c: str) -> Column:
+    return F.expr(f"unix_seconds({c})")
 
 
 def day_text(c: str) -> Column:
-    return F.date_format(c, "yyyy-MM-dd")
+    return F.expr(f"date_format({c}, 'yyyy-MM-dd')")
 
 
 # --------------------------------------------------------------------------- access log
-_SEC = "CAST(epoch({}) AS BIGINT)"
+_SEC = "CAST(floor(epoch({})) AS BIGINT)"
 
 
 @query(
@@ -235,7 +236,7 @@ def trackable_events(spark, sf_dir):
     FROM (SELECT * FROM summaries ORDER BY uploaded_at DESC, dataset_id LIMIT 100)"""
 )
 def usage_normalised(spark, sf_dir):
-    c = wl.catalog(spark, sf_dir)
+    c = wl.Catalog(spark, sf_dir)
     page = cat.catalog_page(c.datasets, c.tags, c.events, wl.NOW, limit=100)
     return views.usage_normalised(page).withColumn("usage_share", r6("usage_share"))
 
@@ -294,13 +295,6 @@ def _typed_oracle() -> str:
     return " UNION ALL ".join(parts)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 @query(_typed_oracle())
 def column_profile_typed(spark, sf_dir):
     parts = []
@@ -308,7 +302,7 @@ def column_profile_typed(spark, sf_dir):
         df = read_table(spark, sf_dir, table).withColumn("dataset_id", F.lit(table))
         columns = [c for c in df.columns if c != "dataset_id"]
         parts.append(typed_column_profile(df, columns))
-    return flat_profile(_union(parts))
+    return flat_profile(union_all(parts))
 
 
 @query("SELECT data_type, count(*) AS n FROM column_profile GROUP BY data_type")
@@ -412,7 +406,7 @@ _LINEITEM = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 def numeric_histogram_typed(spark, sf_dir):
     df = read_table(spark, sf_dir, "lineitem").withColumn("dataset_id", F.lit("lineitem"))
     freqs = [f for _, f in typed_value_freq(df, _LINEITEM, "dataset_id")]
-    return flat_histogram(_union([views.numeric_histogram(f) for f in freqs]))
+    return flat_histogram(union_all([views.numeric_histogram(f) for f in freqs]))
 
 
 _CELLS = " || '~' || ".join(f'coalesce("{c}", \'\')' for c in wl.ORDER_COLUMNS)
@@ -424,11 +418,9 @@ _CELLS = " || '~' || ".join(f'coalesce("{c}", \'\')' for c in wl.ORDER_COLUMNS)
              AS row_number, {_CELLS} AS cells FROM dirty_orders) WHERE row_number <= 50"""
 )
 def preview_rows_query(spark, sf_dir):
-    rows = preview_rows(
-        wl.dirty_orders(spark, sf_dir), wl.ORDER_COLUMNS, wl.ORDER_COLUMNS, ordinal="ord"
-    )
-    text = F.transform("cells", lambda c: F.coalesce(c["value"], F.lit("")))
-    return rows.select("dataset_id", "row_number", F.array_join(text, "~").alias("cells"))
+    rows = preview_rows(wl.dirty_orders(spark, sf_dir), wl.ORDER_COLUMNS, "ord")
+    text = "array_join(transform(cells, c -> coalesce(c.value, '')), '~')"
+    return rows.selectExpr("dataset_id", "row_number", f"{text} AS cells")
 
 
 # --------------------------------------------------------------------------- classification
@@ -486,7 +478,7 @@ def classify_columns(spark, sf_dir):
 def review_queue_query(spark, sf_dir):
     found = wl.findings(spark, sf_dir)
     return (
-        review_queue(found.tags, found.columns)
+        review_queue(found.tags, found.samples)
         .withColumn("confidence", r6("confidence"))
         .withColumn("sample_values", F.array_join("sample_values", "|"))
     )
@@ -523,7 +515,7 @@ def quality_checks_query(spark, sf_dir):
 )
 def missing_severity(spark, sf_dir):
     found = wl.findings(spark, sf_dir)
-    return views.missing_severity(found.columns, found.checks).withColumn(
+    return views.missing_severity(found.counts, found.checks).withColumn(
         "missing_pct", r6("missing_pct")
     )
 
@@ -603,16 +595,15 @@ def value_breakdown_raw(spark, sf_dir):
     USING (dataset_id)"""
 )
 def narrative_summary(spark, sf_dir):
-    t = wl.text_tables(spark, sf_dir)
     found = wl.findings(spark, sf_dir)
-    named = found.profile.select("dataset_id", F.lower("dataset_id").alias("name"))
-    return narrative(named, dataset_profile(t.rows, t.headers), found.tags, found.scores)
+    named = wl.manifest(spark, sf_dir).select("dataset_id", "name")
+    return narrative(named, found.profile, found.tags, found.scores)
 
 
 # --------------------------------------------------------------------------- catalogue
 @query("SELECT dataset_id, pii_column_count, highest_sensitivity FROM pii")
 def pii_rollup(spark, sf_dir):
-    return cat.pii_rollup(wl.catalog(spark, sf_dir).tags)
+    return cat.pii_rollup(wl.Catalog(spark, sf_dir).tags)
 
 
 @query(
@@ -621,8 +612,8 @@ def pii_rollup(spark, sf_dir):
                LEFT JOIN ready_tags USING (dataset_id, position)) USING (dataset_id)"""
 )
 def dataset_columns(spark, sf_dir):
-    c = wl.catalog(spark, sf_dir)
-    return cat.dataset_columns(c.datasets, c.columns, c.tags).select(
+    c = wl.Catalog(spark, sf_dir)
+    return cat.dataset_columns(c.listed, c.columns, c.tags).select(
         "dataset_id", "position", "name", "data_type", "category", "sensitivity"
     )
 
@@ -648,7 +639,7 @@ def flat_summary(df: DataFrame) -> DataFrame:
 @query(_SUMMARY + " ORDER BY quality_score DESC NULLS LAST, dataset_id LIMIT 20 OFFSET 20")
 def catalog_list(spark, sf_dir):
     """The second page of the list, best quality first."""
-    c = wl.catalog(spark, sf_dir)
+    c = wl.Catalog(spark, sf_dir)
     return flat_summary(
         cat.catalog_page(
             c.datasets, c.tags, c.events, wl.NOW, sort="-quality_score", limit=20, offset=20
@@ -658,7 +649,7 @@ def catalog_list(spark, sf_dir):
 
 @query(_SUMMARY)
 def catalog_summaries(spark, sf_dir):
-    c = wl.catalog(spark, sf_dir)
+    c = wl.Catalog(spark, sf_dir)
     return flat_summary(cat.summaries(c.datasets, c.tags, c.events, wl.NOW))
 
 
@@ -667,7 +658,7 @@ def catalog_summaries(spark, sf_dir):
     (SELECT dataset_id FROM ready_tags WHERE sensitivity = 'MEDIUM')"""
 )
 def catalog_filter_sensitivity(spark, sf_dir):
-    c = wl.catalog(spark, sf_dir)
+    c = wl.Catalog(spark, sf_dir)
     return cat.by_sensitivity(c.datasets, c.tags, "MEDIUM").select(
         "dataset_id", "name", "status", "recommendation"
     )
@@ -678,7 +669,7 @@ def catalog_filter_sensitivity(spark, sf_dir):
     WHERE recommendation = 'ARCHIVE'"""
 )
 def catalog_filter_recommendation(spark, sf_dir):
-    c = wl.catalog(spark, sf_dir)
+    c = wl.Catalog(spark, sf_dir)
     return cat.by_recommendation(c.datasets, "ARCHIVE").select(
         "dataset_id", "name", "status", "recommendation"
     )
@@ -694,23 +685,23 @@ _AVG = "coalesce(floor(avg({0}) * 10 + 0.5::DOUBLE) / 10, 0) AS avg_{1}"
     "AS total_columns FROM datasets"
 )
 def overview_totals(spark, sf_dir):
-    return cat.overview_totals(wl.catalog(spark, sf_dir).datasets)
+    return cat.overview_totals(wl.Catalog(spark, sf_dir).datasets)
 
 
 @query(sql.STATUS_COUNTS)
 def overview_status(spark, sf_dir):
-    return cat.status_counts(wl.catalog(spark, sf_dir).datasets)
+    return cat.status_counts(wl.Catalog(spark, sf_dir).listed)
 
 
 @query(f"SELECT *, round(n / sum(n) OVER (), 6) AS share FROM ({sql.RECOMMENDATION_COUNTS})")
 def overview_recommendations(spark, sf_dir):
-    counts = cat.recommendation_counts(wl.catalog(spark, sf_dir).datasets)
+    counts = cat.recommendation_counts(wl.Catalog(spark, sf_dir).datasets)
     return views.shares(counts).withColumn("share", r6("share"))
 
 
 @query(f"SELECT *, round(n / sum(n) OVER (), 6) AS share FROM ({sql.SENSITIVITY_COUNTS})")
 def overview_sensitivity(spark, sf_dir):
-    counts = cat.sensitivity_counts(wl.catalog(spark, sf_dir).tags)
+    counts = cat.sensitivity_counts(wl.Catalog(spark, sf_dir).tags)
     return views.shares(counts).withColumn("share", r6("share"))
 
 
@@ -720,7 +711,7 @@ def overview_sensitivity(spark, sf_dir):
     ORDER BY uploaded_at DESC, dataset_id LIMIT 10"""
 )
 def needs_attention(spark, sf_dir):
-    return cat.needs_attention(wl.catalog(spark, sf_dir).datasets)
+    return cat.needs_attention(wl.Catalog(spark, sf_dir).datasets)
 
 
 @query(
@@ -729,7 +720,7 @@ def needs_attention(spark, sf_dir):
     FROM datasets ORDER BY uploaded_at DESC, dataset_id LIMIT 5"""
 )
 def recent_datasets(spark, sf_dir):
-    return cat.recent_datasets(wl.catalog(spark, sf_dir).datasets).select(
+    return cat.recent_datasets(wl.Catalog(spark, sf_dir).datasets).select(
         "dataset_id", "name", seconds("uploaded_at").alias("uploaded_s"),
         r6("quality_score").alias("quality_score"),
     )
@@ -742,7 +733,7 @@ def recent_datasets(spark, sf_dir):
     ORDER BY datasets.quality_score DESC, dataset_id LIMIT 6"""
 )
 def top_quality_vs_value(spark, sf_dir):
-    top = cat.top_quality_vs_value(wl.catalog(spark, sf_dir).datasets)
+    top = cat.top_quality_vs_value(wl.Catalog(spark, sf_dir).datasets)
     return top.withColumns({c: r6(c) for c in ("quality_score", "value_score")})
 
 
@@ -793,8 +784,9 @@ def score_explain(spark, sf_dir):
     source, overridden FROM overridden_tags"""
 )
 def override_tags(spark, sf_dir):
-    c = wl.catalog(spark, sf_dir)
-    chosen = mt.valid_overrides(wl.override_requests(spark, sf_dir), c.columns)
+    c = wl.Catalog(spark, sf_dir)
+    known = c.found.headers.join(c.ready, "dataset_id", "left_semi")
+    chosen = mt.valid_overrides(wl.override_requests(spark, sf_dir), known)
     return mt.apply_overrides(c.tags.filter(~F.col("needs_review")), chosen).withColumn(
         "confidence", r6("confidence")
     )
@@ -811,10 +803,11 @@ def override_tags(spark, sf_dir):
 )
 def override_trust(spark, sf_dir):
     """Ambiguous columns count as untagged until someone decides; decisions restore coverage."""
-    c = wl.catalog(spark, sf_dir)
-    chosen = mt.valid_overrides(wl.override_requests(spark, sf_dir), c.columns)
+    c = wl.Catalog(spark, sf_dir)
+    known = c.found.headers.join(c.ready, "dataset_id", "left_semi")
+    chosen = mt.valid_overrides(wl.override_requests(spark, sf_dir), known)
     tags = mt.apply_overrides(c.tags.filter(~F.col("needs_review")), chosen)
-    out = mt.retrust(c.scores, c.datasets, tags)
+    out = mt.retrust(c.scores, c.listed, tags)
     return out.select(
         "dataset_id", r6("quality.score").alias("quality_score"),
         r6("value.score").alias("value_score"),
@@ -833,8 +826,9 @@ def override_trust(spark, sf_dir):
     WHERE code IS NOT NULL GROUP BY code"""
 )
 def override_rejects(spark, sf_dir):
-    c = wl.catalog(spark, sf_dir)
-    bad = mt.rejected_overrides(wl.override_requests(spark, sf_dir), c.datasets, c.columns)
+    c = wl.Catalog(spark, sf_dir)
+    known = c.found.headers.join(c.ready, "dataset_id", "left_semi")
+    bad = mt.rejected_overrides(wl.override_requests(spark, sf_dir), c.listed, known)
     return bad.groupBy("code").agg(F.count(F.lit(1)).alias("requests"))
 
 
@@ -849,7 +843,7 @@ def override_rejects(spark, sf_dir):
     },
 )
 def recompute_scores(spark, sf_dir):
-    c = wl.catalog(spark, sf_dir)
+    c = wl.Catalog(spark, sf_dir)
     return flat_scores(mt.recompute_scores(c.scores, c.events, wl.NOW, OTHER))
 
 
@@ -865,8 +859,9 @@ _REMAP = (
     NOT overridden AND sensitivity <> {_REMAP} AS changed FROM overridden_tags"""
 )
 def remap_tags(spark, sf_dir):
-    c = wl.catalog(spark, sf_dir)
-    chosen = mt.valid_overrides(wl.override_requests(spark, sf_dir), c.columns)
+    c = wl.Catalog(spark, sf_dir)
+    known = c.found.headers.join(c.ready, "dataset_id", "left_semi")
+    chosen = mt.valid_overrides(wl.override_requests(spark, sf_dir), known)
     tags = mt.apply_overrides(c.tags.filter(~F.col("needs_review")), chosen)
     return mt.remap_tags(tags, OTHER).select(
         "dataset_id", "position", "category", "overridden", "sensitivity", "changed"
@@ -879,7 +874,7 @@ def remap_tags(spark, sf_dir):
     (SELECT count(*) FROM ready_tags WHERE sensitivity <> {_REMAP}) AS tags_updated FROM datasets"""
 )
 def recompute_counts(spark, sf_dir):
-    c = wl.catalog(spark, sf_dir)
+    c = wl.Catalog(spark, sf_dir)
     return mt.recompute_counts(c.datasets, c.scores, mt.remap_tags(c.tags, OTHER))
 
 
@@ -928,11 +923,11 @@ _SNAPSHOTS = " UNION ALL ".join(
 )
 def score_snapshots(spark, sf_dir):
     """Value recomputed at three instants, each appended to the score history."""
-    c = wl.catalog(spark, sf_dir)
+    c = wl.Catalog(spark, sf_dir)
     parts = [
         mt.score_snapshots(mt.recompute_value(c.scores, c.events, t), t) for t in SNAPSHOT_TIMES
     ]
-    return _union(parts).select(
+    return union_all(parts).select(
         "dataset_id",
         F.date_format("captured_at", "yyyy-MM-dd").alias("captured"),
         *[r6(s).alias(s) for s in ("quality_score", "trust_score", "value_score")],
@@ -953,12 +948,12 @@ _DELETED = ["building-3", "furniture-12", "customers-machinery", "no-such-name"]
     WHERE lower(dataset_id) NOT IN {tuple(_DELETED)}"""
 )
 def delete_cascade(spark, sf_dir):
-    c = wl.catalog(spark, sf_dir)
-    gone = mt.tombstones_by_name(c.datasets, _DELETED, wl.NOW)
+    c = wl.Catalog(spark, sf_dir)
+    gone = mt.tombstones_by_name(c.listed, _DELETED, wl.NOW)
     tables = {
         "datasets": c.datasets, "columns": c.columns, "tags": c.tags, "access_events": c.events,
     }
-    return _union(
+    return union_all(
         [
             mt.without_deleted(df, gone).agg(F.count(F.lit(1)).alias("n")).select(
                 F.lit(name).alias("table_name"), "n"
@@ -988,29 +983,51 @@ def reprofile_one(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- csv
+CSV_FILES = 4  # per segment
+
+
 def _write_csv(spark: SparkSession, sf_dir: str) -> str:
-    """The dirty orders as CSV files, one folder per segment. Some rows of MACHINERY have a field
-    too many; a cell of FURNITURE opens a quote that never closes."""
-    key, folder = F.col("ord"), new_run_dir(spark, "csv")
-    segment = F.split("dataset_id", "-")[0]
-    status = (
-        F.when((segment == "MACHINERY") & (key % 1000 < 20), F.concat("status", F.lit(",extra")))
-        .when((segment == "FURNITURE") & (key % 1000 < 20), F.concat(F.lit('"'), "status"))
-        .otherwise(F.col("status"))
+    """The dirty orders as CSV files, a few per segment, written as plain lines.
+
+    MACHINERY has rows with a field too many, HOUSEHOLD quoted line breaks, and each FURNITURE
+    file one quote that never closes.
+    """
+    folder = new_run_dir(spark, "csv")
+    rows = wl.dirty_orders(spark, sf_dir).selectExpr(
+        "split(dataset_id, '-')[0] AS segment", f"pmod(hash(ord), {CSV_FILES}) AS file_no", "*"
     )
-    rows = wl.dirty_orders(spark, sf_dir).select(
-        segment.alias("segment"),
-        *[(status if c == "status" else F.col(c)).alias(c) for c in wl.ORDER_COLUMNS],
+    stray = (
+        rows.filter("segment = 'FURNITURE' AND ord % 50 <> 0")
+        .groupBy("segment", "file_no")
+        .agg(F.expr("min(ord) AS ord"))
+        .selectExpr("segment", "file_no", "ord", "true AS stray")
+    )
+    cells = {c: f"coalesce({c}, '')" for c in wl.ORDER_COLUMNS}
+    cells["status"] = (
+        "CASE WHEN stray THEN concat('\"', status) "
+        "WHEN segment = 'MACHINERY' AND ord % 10 < 2 THEN concat(status, ',extra') "
+        "ELSE status END"
+    )
+    cells["notes"] = (
+        "CASE WHEN segment = 'HOUSEHOLD' AND ord % 10 < 2 "
+        "THEN concat('\"first line', char(10), 'second, line\"') ELSE '' END"
+    )
+    lines = rows.join(stray, ["segment", "file_no", "ord"], "left").selectExpr(
+        "segment", "file_no", "1 AS rank", f"concat_ws(',', {', '.join(cells.values())}) AS line"
+    )
+    heads = rows.select("segment", "file_no").distinct().selectExpr(
+        "segment", "file_no", "0 AS rank", f"'{','.join(wl.ORDER_COLUMNS)}' AS line"
     )
     (
-        rows.repartition("segment")
-        .write.partitionBy("segment")
-        .option("header", True)
-        .option("quote", "\u0000")
-        .option("emptyValue", "")
-        .csv(folder)
+        lines.unionByName(heads)
+        .repartition("segment", "file_no")
+        .sortWithinPartitions("segment", "file_no", "rank")
+        .select("segment", "file_no", "line")
+        .write.partitionBy("segment", "file_no")
+        .option("compression", "none")
+        .text(f"{folder}/lines")
     )
-    return folder
+    return f"{folder}/lines"
 
 
 @query(
@@ -1020,43 +1037,45 @@ def _write_csv(spark: SparkSession, sf_dir: str) -> str:
     CASE WHEN segment IN ('FURNITURE', 'MACHINERY') THEN 0
          ELSE count(*) FILTER (WHERE customer_email IS NULL OR customer_email = '') END
       AS missing_emails,
+    CASE WHEN segment = 'HOUSEHOLD' THEN count(*) FILTER (WHERE ord % 10 < 2) ELSE 0 END AS notes,
     CASE WHEN segment IN ('FURNITURE', 'MACHINERY') THEN 0 ELSE count(DISTINCT phone) END AS phones
     FROM (SELECT *, split_part(dataset_id, '-', 1) AS segment FROM dirty_orders) GROUP BY segment"""
 )
 def csv_intake(spark, sf_dir):
-    """CSV files written and read back: rejects, ragged files and profiles per folder."""
-    intake = read_csv_folder(spark, _write_csv(spark, sf_dir))
-    shape = intake.ragged_rows()
-    folder = lambda c: F.regexp_extract(c, "segment=([A-Z]+)", 1).alias("segment")
-    files = intake.manifest.join(
-        shape, intake.manifest["file_id"] == shape["dataset_id"], "left"
-    ).select(
-        folder("file_id"),
-        F.coalesce("code", F.when(F.col("ragged_rows") > 0, "ragged")).alias("code"),
-        F.coalesce("row_count", F.lit(0)).alias("row_count"),
-        F.coalesce(F.size("headers"), F.lit(0)).alias("columns"),
+    """CSV files written and read back: rejects, ragged files, and profiles per folder."""
+    folder = _write_csv(spark, sf_dir)
+    intake = read_csv_folder(spark, folder, suffixes=(".csv", ".txt"))
+    files = intake.manifest.selectExpr(
+        "file_id AS dataset_id",
+        "regexp_extract(file_id, 'segment=([A-Z]+)', 1) AS segment",
+        "code",
+        "coalesce(size(headers), 0) AS columns",
+    ).join(intake.shape(), "dataset_id", "left").selectExpr(
         "dataset_id",
+        "segment",
+        "coalesce(code, CASE WHEN ragged_rows > 0 THEN 'ragged' END) AS code",
+        "coalesce(row_count, 0L) AS row_count",
+        "columns",
     )
-    per_file = files.groupBy("segment").agg(
-        F.max("code").alias("code"),
-        F.sum("row_count").alias("row_count"),
-        F.max("columns").alias("columns"),
+    per_segment = files.groupBy("segment").agg(
+        F.expr("max(code) AS code"),
+        F.expr("sum(row_count) AS row_count"),
+        F.expr("max(columns) AS columns"),
     )
-    good = files.filter(F.col("code").isNull()).select("dataset_id", "segment")
-    cells = intake.cells().join(good, "dataset_id").select(
-        F.col("segment").alias("dataset_id"), "position", "value"
+    good = files.filter("code IS NULL").select("dataset_id", "segment")
+    cells = intake.cells().join(good, "dataset_id").selectExpr(
+        "segment AS dataset_id", "position", "value"
     )
     profile = column_counts(value_freq(cells)).groupBy("dataset_id").agg(
-        F.max(
-            F.when(F.col("position") == 1, F.col("row_count") - F.col("non_null_count"))
-        ).alias("missing_emails"),
-        F.max(F.when(F.col("position") == 6, F.col("distinct_count"))).alias("phones"),
+        F.expr("max(CASE WHEN position = 1 THEN row_count - non_null_count END) AS missing_emails"),
+        F.expr("max(CASE WHEN position = 8 THEN non_null_count END) AS notes"),
+        F.expr("max(CASE WHEN position = 6 THEN distinct_count END) AS phones"),
     )
-    zero = F.lit(0).cast("bigint")
-    return per_file.join(profile.withColumnRenamed("dataset_id", "segment"), "segment", "left").select(
+    return per_segment.join(
+        profile.withColumnRenamed("dataset_id", "segment"), "segment", "left"
+    ).selectExpr(
         "segment", "code", "row_count", "columns",
-        F.coalesce("missing_emails", zero).alias("missing_emails"),
-        F.coalesce("phones", zero).alias("phones"),
+        *[f"coalesce({c}, 0L) AS {c}" for c in ("missing_emails", "notes", "phones")],
     )
 
 
@@ -1067,19 +1086,16 @@ def _order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = (
         spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
     )
-    customer = read_table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("o_custkey"), wl.asset_id().alias("dataset_id")
+    customer = read_table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS o_custkey", f"{wl.ASSET} AS dataset_id"
     )
     return stream.with_event_time(
-        orders.join(customer, "o_custkey").select(
-            F.col("o_orderkey").alias("event_id"),
+        orders.join(customer, "o_custkey").selectExpr(
+            "o_orderkey AS event_id",
             "dataset_id",
-            F.when(F.col("o_orderstatus") == "O", "VIEW")
-            .when(F.col("o_orderstatus") == "F", "DETAIL_VIEW")
-            .otherwise("DOWNLOAD")
-            .alias("access_type"),
-            F.lit("LIVE").alias("source"),
-            F.col("o_orderdate").alias("occurred_at"),
+            f"{wl.ACCESS_TYPE} AS access_type",
+            "'LIVE' AS source",
+            "o_orderdate AS occurred_at",
         )
     )
 
@@ -1116,7 +1132,7 @@ def stream_intake(spark, sf_dir):
     """SELECT dataset_id, round(quality_score, 6) AS quality_score,
     round(trust_score, 6) AS trust_score, round(sv.value_score, 6) AS value_score
     FROM ready_scores JOIN stream_value_scores sv USING (dataset_id)
-    WHERE dataset_id IN (SELECT dataset_id FROM all_access)""",
+    WHERE dataset_id IN (SELECT dataset_id FROM access_log)""",
     {
         "stream_windows": sql.windows("assets", "access_log", sql.NOW),
         "stream_value_scores": sql.value("SELECT * FROM stream_windows"),
@@ -1127,7 +1143,7 @@ def stream_value(spark, sf_dir):
     work = new_run_dir(spark, "value")
     store = CatalogStore(spark, f"{work}/store")
     # The scores a stream starts from are stored, as an ingest leaves them.
-    wl.catalog(spark, sf_dir).scores.write.parquet(f"{work}/scores")
+    wl.Catalog(spark, sf_dir).scores.write.parquet(f"{work}/scores")
     now = datetime(1998, 7, 1, tzinfo=timezone.utc)
     events = _order_stream(spark, sf_dir).filter(F.col("occurred_at") <= F.lit(now))
     stream.start_value(

@@ -7,20 +7,16 @@ grows with them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datawarden.config import Settings
-from datawarden.functions.scalars import instant
+from datawarden.functions import scalars as s
 from datawarden.operators.catalog import with_scores
-from datawarden.operators.profile import (
-    headers_of,
-    row_counts,
-    text_cells,
-    value_freq,
-)
-from datawarden.plans.ingest import Findings, analyse
+from datawarden.operators.profile import headers_of, row_counts, text_cells, value_freq
+from datawarden.plans.ingest import Analysis
 from datawarden.sources.tables import read_table
 
 NOW = "1998-07-01T00:00:00Z"
@@ -35,132 +31,104 @@ CUSTOMER_COLUMNS = (
 )
 
 
-def asset_id() -> Column:
-    return F.concat(F.col("c_mktsegment"), F.lit("-"), F.col("c_nationkey").cast("string"))
+ASSET = "concat(c_mktsegment, '-', c_nationkey)"
+SEGMENT_DATASET = "concat('customers-', c_mktsegment)"
+ACCESS_TYPE = (
+    "CASE o_orderstatus WHEN 'O' THEN 'VIEW' WHEN 'F' THEN 'DETAIL_VIEW' ELSE 'DOWNLOAD' END"
+)
 
 
 def orders_with_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read_table(spark, sf_dir, "orders")
-    customer = read_table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("o_custkey"), asset_id().alias("dataset_id")
+    customer = read_table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS o_custkey", f"{ASSET} AS dataset_id"
     )
-    return orders.join(customer, "o_custkey")
+    return read_table(spark, sf_dir, "orders").join(customer, "o_custkey")
 
 
 def access_log(spark: SparkSession, sf_dir: str, until: str | None = NOW) -> DataFrame:
     """Orders as access events of their customer's segment and nation."""
     rows = orders_with_asset(spark, sf_dir)
     if until is not None:
-        rows = rows.filter(F.col("o_orderdate") <= instant(until))
-    return rows.select(
+        rows = rows.filter(f"o_orderdate <= {s.instant(until)}")
+    return rows.selectExpr(
         "dataset_id",
-        F.when(F.col("o_orderstatus") == "O", "VIEW")
-        .when(F.col("o_orderstatus") == "F", "DETAIL_VIEW")
-        .otherwise("DOWNLOAD")
-        .alias("access_type"),
-        F.col("o_orderdate").alias("occurred_at"),
-        F.col("o_orderkey").alias("event_id"),
+        f"{ACCESS_TYPE} AS access_type",
+        "o_orderdate AS occurred_at",
+        "o_orderkey AS event_id",
     )
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "customer").select(asset_id().alias("dataset_id")).distinct()
+    return read_table(spark, sf_dir, "customer").selectExpr(f"{ASSET} AS dataset_id").distinct()
 
 
 # --------------------------------------------------------------------------- text tables
-def _text(c: Column | str) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("string")
-
-
-def _padded(c: Column, width: int) -> Column:
-    return F.lpad(_text(c), width, "0")
-
-
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as text with missing, mixed and malformed cells; every 50th row twice."""
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    rows = orders_with_asset(spark, sf_dir).select(
+    return orders_with_asset(spark, sf_dir).selectExpr(
         "dataset_id",
-        k.alias("ord"),
-        _text(k).alias("order_id"),
-        F.when(c % 10 == 0, F.lit(None))
-        .when(c % 7 == 0, "n/a")
-        .otherwise(F.concat(F.lit("user"), _text(c), F.lit("@example.com")))
-        .alias("customer_email"),
-        F.when(k % 13 == 0, "")
-        .when(k % 4 == 0, "free")
-        .otherwise(_text(F.floor("o_totalprice")))
-        .alias("amount"),
-        F.col("o_orderstatus").alias("status"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"),
-        F.concat(_text(k % 256), F.lit("."), _text(c % 256), F.lit(".0.1")).alias("client_ip"),
-        F.concat(F.lit("+1-415-555-"), _padded(k % 10000, 4)).alias("phone"),
-        F.when(k % 5 == 0, "4111111111111112").otherwise("4111 1111 1111 1111").alias("card"),
-        F.lit(None).cast("string").alias("notes"),
-    )
-    copies = F.when(F.col("ord") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(
-        F.array(F.lit(0))
-    )
-    return rows.withColumn("copy", F.explode(copies)).drop("copy")
+        "o_orderkey AS ord",
+        "CAST(o_orderkey AS STRING) AS order_id",
+        "CASE WHEN o_custkey % 10 = 0 THEN NULL WHEN o_custkey % 7 = 0 THEN 'n/a' "
+        "ELSE concat('user', o_custkey, '@example.com') END AS customer_email",
+        "CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 4 = 0 THEN 'free' "
+        "ELSE CAST(floor(o_totalprice) AS STRING) END AS amount",
+        "o_orderstatus AS status",
+        "date_format(o_orderdate, 'yyyy-MM-dd') AS order_date",
+        "concat(o_orderkey % 256, '.', o_custkey % 256, '.0.1') AS client_ip",
+        "concat('+1-415-555-', lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0')) AS phone",
+        "CASE WHEN o_orderkey % 5 = 0 THEN '4111111111111112' ELSE '4111 1111 1111 1111' END "
+        "AS card",
+        "CAST(NULL AS STRING) AS notes",
+        "explode(CASE WHEN o_orderkey % 50 = 0 THEN array(0, 1) ELSE array(0) END) AS copy",
+    ).drop("copy")
 
 
 def dirty_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as text, one dataset per segment, with personal data of many kinds."""
-    k = F.col("c_custkey")
-    day = lambda start, n: F.date_format(
-        F.date_add(F.lit(start).cast("date"), (k % n).cast("int")), "yyyy-MM-dd"
-    )
-    return read_table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("customers-"), F.col("c_mktsegment")).alias("dataset_id"),
-        k.alias("ord"),
-        _text(k).alias("customer_id"),
-        F.col("c_name").alias("full_name"),
-        F.when(k % 6 == 0, F.concat(F.lit("unknown "), _text(k)))
-        .otherwise(
-            F.concat(
-                _text(k % 900 + 100), F.lit("-"), _text(k % 90 + 10), F.lit("-"),
-                _text(k % 9000 + 1000),
-            )
-        )
-        .alias("ssn"),
-        F.when(k % 9 == 0, "n/a").otherwise(day("1950-01-01", 15000)).alias("date_of_birth"),
-        F.when(k % 3 == 0, F.concat(_padded(k % 100000, 5), F.lit("-0001")))
-        .otherwise(_padded(k % 100000, 5))
-        .alias("zip_code"),
-        F.when(k % 5 < 2, F.concat(F.lit("+1-415-555-"), _padded(k % 10000, 4)))
-        .otherwise(F.concat(F.lit("ext "), _text(k)))
-        .alias("mobile"),
-        F.when(k % 4 < 2, F.concat(F.lit("10.0."), _text(k % 250), F.lit("."), _text(k % 199)))
-        .otherwise(F.concat(F.lit("2001:0db8:0:0:0:0:0:"), _text(k % 10000)))
-        .alias("remote_addr"),
-        F.when(k % 2 == 0, F.concat(F.lit("user"), _text(k), F.lit("@example.com")))
-        .otherwise(F.concat(F.lit("Contact "), _text(k)))
-        .alias("contact"),
-        day("1996-01-01", 700).alias("signup_date"),
-        F.when(k % 3 == 0, "yes").when(k % 3 == 1, "no").otherwise("TRUE").alias("active"),
-        F.when(k % 50 == 0, "0x10")
-        .when(k % 11 == 0, "  ")
-        .otherwise(F.concat(_text(F.floor("c_acctbal")), F.lit(".5")))
-        .alias("balance"),
-        F.concat(F.lit("Street "), _text("c_nationkey"), F.lit(" no "), _text(k)).alias(
-            "Billing_Address"
-        ),
-        F.concat(day("1997-01-01", 400), F.lit("T10:00:00Z")).alias("last_seen"),
-        F.when(k % 2 == 0, "4111 1111 1111 1111").otherwise("5500 0000 0000 0004").alias(
-            "CC-Number"
-        ),
+
+    def day(start: str, span: int) -> str:
+        added = f"date_add(DATE'{start}', CAST(c_custkey % {span} AS INT))"
+        return f"date_format({added}, 'yyyy-MM-dd')"
+
+    return read_table(spark, sf_dir, "customer").selectExpr(
+        f"{SEGMENT_DATASET} AS dataset_id",
+        "c_custkey AS ord",
+        "CAST(c_custkey AS STRING) AS customer_id",
+        "c_name AS full_name",
+        "CASE WHEN c_custkey % 6 = 0 THEN concat('unknown ', c_custkey) ELSE "
+        "concat(c_custkey % 900 + 100, '-', c_custkey % 90 + 10, '-', c_custkey % 9000 + 1000) END "
+        "AS ssn",
+        f"CASE WHEN c_custkey % 9 = 0 THEN 'n/a' ELSE {day('1950-01-01', 15000)} END "
+        "AS date_of_birth",
+        "concat(lpad(CAST(c_custkey % 100000 AS STRING), 5, '0'), "
+        "CASE WHEN c_custkey % 3 = 0 THEN '-0001' ELSE '' END) AS zip_code",
+        "CASE WHEN c_custkey % 5 < 2 "
+        "THEN concat('+1-415-555-', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')) "
+        "ELSE concat('ext ', c_custkey) END AS mobile",
+        "CASE WHEN c_custkey % 4 < 2 THEN concat('10.0.', c_custkey % 250, '.', c_custkey % 199) "
+        "ELSE concat('2001:0db8:0:0:0:0:0:', c_custkey % 10000) END AS remote_addr",
+        "CASE WHEN c_custkey % 2 = 0 THEN concat('user', c_custkey, '@example.com') "
+        "ELSE concat('Contact ', c_custkey) END AS contact",
+        f"{day('1996-01-01', 700)} AS signup_date",
+        "CASE c_custkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'TRUE' END AS active",
+        "CASE WHEN c_custkey % 50 = 0 THEN '0x10' WHEN c_custkey % 11 = 0 THEN '  ' "
+        "ELSE concat(floor(c_acctbal), '.5') END AS balance",
+        "concat('Street ', c_nationkey, ' no ', c_custkey) AS Billing_Address",
+        f"concat({day('1997-01-01', 400)}, 'T10:00:00Z') AS last_seen",
+        "CASE WHEN c_custkey % 2 = 0 THEN '4111 1111 1111 1111' ELSE '5500 0000 0000 0004' END "
+        "AS `CC-Number`",
     )
 
 
 def customer_headers(datasets: DataFrame) -> DataFrame:
     """Header names of the customer datasets; some repeat a name or leave one blank."""
-    base = headers_of(datasets, CUSTOMER_COLUMNS)
-    repeated = F.col("dataset_id").isin("customers-FURNITURE", "customers-MACHINERY") & (
-        F.col("position") == 8
-    )
-    blank = (F.col("dataset_id") == "customers-BUILDING") & (F.col("position") == 9)
-    return base.withColumn(
-        "name", F.when(repeated, " ZIP_CODE ").when(blank, "").otherwise(F.col("name"))
+    return headers_of(datasets, CUSTOMER_COLUMNS).selectExpr(
+        "dataset_id",
+        "position",
+        "CASE WHEN position = 8 AND dataset_id IN ('customers-FURNITURE', 'customers-MACHINERY') "
+        "THEN ' ZIP_CODE ' WHEN position = 9 AND dataset_id = 'customers-BUILDING' THEN '' "
+        "ELSE name END AS name",
     )
 
 
@@ -183,7 +151,7 @@ def text_tables(spark: SparkSession, sf_dir: str, ordered: bool = False) -> Text
     headers = headers_of(assets(spark, sf_dir), ORDER_COLUMNS).unionByName(
         customer_headers(
             read_table(spark, sf_dir, "customer")
-            .select(F.concat(F.lit("customers-"), F.col("c_mktsegment")).alias("dataset_id"))
+            .selectExpr(f"{SEGMENT_DATASET} AS dataset_id")
             .distinct()
         )
     )
@@ -192,175 +160,150 @@ def text_tables(spark: SparkSession, sf_dir: str, ordered: bool = False) -> Text
 
 def findings(
     spark: SparkSession, sf_dir: str, now: str = NOW, settings: Settings = Settings()
-) -> Findings:
+) -> Analysis:
     t = text_tables(spark, sf_dir)
-    return analyse(t.freq, t.rows, t.headers, access_log(spark, sf_dir), now, settings)
+    return Analysis(t.freq, t.rows, t.headers, access_log(spark, sf_dir), now, settings)
 
 
 # --------------------------------------------------------------------------- catalogue
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per dataset. Nations 10 and 21 failed, nations 7 and 19 are still processing."""
-    nation = F.col("c_nationkey")
+    customer = read_table(spark, sf_dir, "customer")
     orders = (
-        read_table(spark, sf_dir, "customer")
-        .select(F.col("c_custkey").alias("o_custkey"), asset_id().alias("dataset_id"), "c_nationkey")
+        customer.selectExpr("c_custkey AS o_custkey", f"{ASSET} AS dataset_id", "c_nationkey")
         .join(read_table(spark, sf_dir, "orders"), "o_custkey")
         .groupBy("dataset_id", "c_nationkey")
         .agg(
-            F.sum(F.when(F.col("o_orderkey") % 50 == 0, 2).otherwise(1)).alias("row_count"),
-            F.sum(F.length(_text("o_orderkey"))).cast("bigint").alias("size_bytes"),
-            F.max("o_orderdate").alias("uploaded_at"),
+            F.expr("sum(CASE WHEN o_orderkey % 50 = 0 THEN 2 ELSE 1 END) AS row_count"),
+            F.expr("sum(CAST(length(o_orderkey) AS BIGINT)) AS size_bytes"),
+            F.expr("max(o_orderdate) AS uploaded_at"),
         )
-        .withColumn("column_count", F.lit(len(ORDER_COLUMNS)).cast("bigint"))
-        .withColumn(
-            "status",
-            F.when(nation.isin(10, 21), "FAILED")
-            .when(nation.isin(7, 19), "PROCESSING")
-            .otherwise("READY"),
+        .selectExpr(
+            "dataset_id", "row_count", "size_bytes", "uploaded_at",
+            f"{len(ORDER_COLUMNS)}L AS column_count",
+            "CASE WHEN c_nationkey IN (10, 21) THEN 'FAILED' "
+            "WHEN c_nationkey IN (7, 19) THEN 'PROCESSING' ELSE 'READY' END AS status",
         )
-        .drop("c_nationkey")
     )
     customers = (
-        read_table(spark, sf_dir, "customer")
-        .groupBy(F.concat(F.lit("customers-"), F.col("c_mktsegment")).alias("dataset_id"))
+        customer.selectExpr(f"{SEGMENT_DATASET} AS dataset_id", "c_custkey")
+        .groupBy("dataset_id")
         .agg(
-            F.count(F.lit(1)).alias("row_count"),
-            F.sum(F.length(_text("c_custkey"))).cast("bigint").alias("size_bytes"),
-            F.min("c_custkey").alias("first_key"),
-        )
-        .withColumn(
-            "uploaded_at",
-            F.date_add(F.lit("1998-01-01").cast("date"), F.col("first_key").cast("int")).cast(
-                "timestamp"
+            F.expr("count(1) AS row_count"),
+            F.expr("sum(CAST(length(c_custkey) AS BIGINT)) AS size_bytes"),
+            F.expr(
+                "CAST(date_add(DATE'1998-01-01', CAST(min(c_custkey) AS INT)) AS TIMESTAMP) "
+                "AS uploaded_at"
             ),
         )
-        .withColumn("column_count", F.lit(len(CUSTOMER_COLUMNS)).cast("bigint"))
-        .withColumn("status", F.lit("READY"))
-        .drop("first_key")
+        .selectExpr("*", f"{len(CUSTOMER_COLUMNS)}L AS column_count", "'READY' AS status")
     )
-    return orders.unionByName(customers).select(
+    return orders.unionByName(customers).selectExpr(
         "dataset_id",
-        F.lower("dataset_id").alias("name"),
-        F.concat(F.lower("dataset_id"), F.lit(".csv")).alias("original_filename"),
-        F.lit("CSV").alias("file_type"),
+        "lower(dataset_id) AS name",
+        "concat(lower(dataset_id), '.csv') AS original_filename",
+        "'CSV' AS file_type",
         "size_bytes",
         "row_count",
         "column_count",
         "status",
-        F.when(F.col("status") == "FAILED", "File is not rectangular.").alias("error_message"),
+        "CASE WHEN status = 'FAILED' THEN 'File is not rectangular.' END AS error_message",
         "uploaded_at",
-        F.col("uploaded_at").alias("updated_at"),
+        "uploaded_at AS updated_at",
     )
 
 
-@dataclass
 class Catalog:
-    datasets: DataFrame
-    columns: DataFrame
-    tags: DataFrame
-    checks: DataFrame
-    scores: DataFrame
-    events: DataFrame
+    """The catalogue tables of both text tables; only READY datasets have findings."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str, now: str = NOW):
+        self.listed = manifest(spark, sf_dir)
+        self.ready = self.listed.filter("status = 'READY'").select("dataset_id")
+        self.found = findings(spark, sf_dir, now)
+        self.events = self.found.events
 
-def catalog(spark: SparkSession, sf_dir: str, now: str = NOW) -> Catalog:
-    """The catalogue tables of both text tables; only READY datasets have findings."""
-    listed = manifest(spark, sf_dir)
-    ready = listed.filter(F.col("status") == "READY").select("dataset_id")
-    found = findings(spark, sf_dir, now)
-
-    def only_ready(df: DataFrame) -> DataFrame:
-        return df.join(ready, "dataset_id", "left_semi")
-
-    scores = only_ready(found.scores)
-    return Catalog(
-        with_scores(listed, scores),
-        only_ready(found.columns),
-        only_ready(found.tags),
-        only_ready(found.checks),
-        scores,
-        access_log(spark, sf_dir),
-    )
+    def _ready(self, df: DataFrame) -> DataFrame:
+        return df.join(self.ready, "dataset_id", "left_semi")
+
+    @cached_property
+    def datasets(self) -> DataFrame:
+        return with_scores(self.listed, self.scores)
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        return self._ready(self.found.counts)
+
+    @cached_property
+    def tags(self) -> DataFrame:
+        return self._ready(self.found.tags)
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        return self._ready(self.found.checks)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return self._ready(self.found.scores)
 
 
 # --------------------------------------------------------------------------- logs
 def settings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as setting changes; some are tombstones, every 2500th is a reset of all keys."""
-    u, kind = F.col("user_id"), F.col("event_type")
-    reset = F.col("event_id") % 2500 == 0
-    key = (
-        F.when(reset, "*")
-        .when(kind == "purchase", "freq_cap")
-        .when(kind == "signup", "half_life_days")
-        .when(kind == "click", "trust")
-        .when(kind == "view", "sensitivity")
-        .otherwise("recommend")
-    )
-    value = (
-        F.when(reset | (u % 3 == 0), F.lit(None))
-        .when(kind == "purchase", _text(u % 50 + 20))
-        .when(kind == "signup", _text(u % 30 + 10))
-        .when(
-            kind == "click",
-            '{"classification_coverage": 0.25, "consistency": 0.25, "quality": 0.5}',
-        )
-        .when(kind == "view", '{"NONE": "LOW"}')
-        .otherwise('{"archive_below": 40, "optimize_below": 70, "retire_below": 20}')
-    )
-    return read_table(spark, sf_dir, "events").select(
-        key.alias("key"), value.alias("json_value"), F.col("ts").alias("updated_at")
+    return read_table(spark, sf_dir, "events").selectExpr(
+        "CASE WHEN event_id % 2500 = 0 THEN '*' WHEN event_type = 'purchase' THEN 'freq_cap' "
+        "WHEN event_type = 'signup' THEN 'half_life_days' WHEN event_type = 'click' THEN 'trust' "
+        "WHEN event_type = 'view' THEN 'sensitivity' ELSE 'recommend' END AS key",
+        "CASE WHEN event_id % 2500 = 0 OR user_id % 3 = 0 THEN NULL "
+        "WHEN event_type = 'purchase' THEN CAST(user_id % 50 + 20 AS STRING) "
+        "WHEN event_type = 'signup' THEN CAST(user_id % 30 + 10 AS STRING) "
+        "WHEN event_type = 'click' "
+        """THEN '{"classification_coverage": 0.25, "consistency": 0.25, "quality": 0.5}' """
+        """WHEN event_type = 'view' THEN '{"NONE": "LOW"}' """
+        """ELSE '{"archive_below": 40, "optimize_below": 70, "retire_below": 20}' END """
+        "AS json_value",
+        "ts AS updated_at",
     )
 
 
 def override_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as manual tag decisions; some name unknown datasets, columns, categories, levels."""
-    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
-    return orders_with_asset(spark, sf_dir).select(
-        F.when(k % 97 == 0, F.concat(F.lit("unknown-"), F.col("dataset_id")))
-        .otherwise(F.col("dataset_id"))
-        .alias("dataset_id"),
-        (k % 11).cast("int").alias("position"),
-        F.when(p == "1-URGENT", "EMAIL")
-        .when(p == "2-HIGH", "NAME")
-        .when(p == "3-MEDIUM", "NONE")
-        .when(p == "5-LOW", "OTHER")
-        .otherwise("NOT_A_CATEGORY")
-        .alias("category"),
-        F.when(k % 4 == 1, "LOW").when(k % 4 == 2, "HIGH").when(k % 4 == 3, "TOP").alias(
-            "sensitivity"
-        ),
-        F.col("o_orderdate").alias("requested_at"),
+    return orders_with_asset(spark, sf_dir).selectExpr(
+        "CASE WHEN o_orderkey % 97 = 0 THEN concat('unknown-', dataset_id) ELSE dataset_id END "
+        "AS dataset_id",
+        "CAST(o_orderkey % 11 AS INT) AS position",
+        "CASE o_orderpriority WHEN '1-URGENT' THEN 'EMAIL' WHEN '2-HIGH' THEN 'NAME' "
+        "WHEN '3-MEDIUM' THEN 'NONE' WHEN '5-LOW' THEN 'OTHER' ELSE 'NOT_A_CATEGORY' END "
+        "AS category",
+        "CASE o_orderkey % 4 WHEN 1 THEN 'LOW' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'TOP' END "
+        "AS sensitivity",
+        "o_orderdate AS requested_at",
     )
 
 
 def refinements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as outside labels for the columns of their dataset."""
-    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
-    return orders_with_asset(spark, sf_dir).select(
+    return orders_with_asset(spark, sf_dir).selectExpr(
         "dataset_id",
-        (k % 9).cast("int").alias("position"),
-        F.when(s == "O", "CREDIT_CARD").when(s == "F", "OTHER").otherwise("BOGUS").alias("category"),
-        F.when(k % 3 == 0, "MEDIUM").when(k % 3 == 1, "whatever").alias("sensitivity"),
-        F.when(k % 4 == 0, "high").otherwise(F.concat(F.lit("0."), _padded(k % 100, 2))).alias(
-            "confidence"
-        ),
-        F.col("o_orderdate").alias("labelled_at"),
+        "CAST(o_orderkey % 9 AS INT) AS position",
+        "CASE o_orderstatus WHEN 'O' THEN 'CREDIT_CARD' WHEN 'F' THEN 'OTHER' ELSE 'BOGUS' END "
+        "AS category",
+        "CASE o_orderkey % 3 WHEN 0 THEN 'MEDIUM' WHEN 1 THEN 'whatever' END AS sensitivity",
+        "CASE WHEN o_orderkey % 4 = 0 THEN 'high' "
+        "ELSE concat('0.', lpad(CAST(o_orderkey % 100 AS STRING), 2, '0')) END AS confidence",
+        "o_orderdate AS labelled_at",
     )
 
 
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that contain a digit or an at sign, as one column per source."""
-    words = F.split("text", r"[ \t\n\r\f]+")
     return (
         read_table(spark, sf_dir, "documents")
-        .select("source", F.explode(words).alias("value"))
-        .filter(F.col("value").rlike("[0-9@]"))
-        .select(
-            F.lit("documents").alias("dataset_id"),
-            F.regexp_extract("source", "([0-9]+)$", 1).cast("int").alias("position"),
-            F.col("source").alias("name"),
+        .selectExpr("source", r"explode(split(text, r'[ \t\n\r\f]+')) AS value")
+        .filter("rlike(value, '[0-9@]')")
+        .selectExpr(
+            "'documents' AS dataset_id",
+            "CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS position",
+            "source AS name",
             "value",
         )
     )
-
-

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datawarden.functions.scalars import instant, utc_day
+from datawarden.functions.scalars import instant, text, utc_day
 from datawarden.operators.maintenance import tombstones_by_name, without_deleted
 
 LOGS = {
@@ -54,11 +54,10 @@ class CatalogStore:
         at: datetime | str,
         tables: tuple[str, ...] = TABLES,
     ) -> None:
-        covered = datasets.select(
-            "dataset_id", F.explode(F.array(*[F.lit(t) for t in tables])).alias("table_name")
-        )
+        listing = ", ".join(text(t) for t in tables)
+        covered = datasets.selectExpr("dataset_id", f"explode(array({listing})) AS table_name")
         covered.write.mode("overwrite").parquet(f"{self.root}/covered/run_id={run_id}")
-        marker = self.spark.range(1).select(instant(at).alias("published_at")).coalesce(1)
+        marker = self.spark.range(1, numPartitions=1).selectExpr(f"{instant(at)} AS published_at")
         marker.write.mode("overwrite").parquet(f"{self.root}/published/run_id={run_id}")
 
     def _read(self, name: str, schema: str | None = None) -> DataFrame:
@@ -72,11 +71,11 @@ class CatalogStore:
     def latest_runs(self, table: str) -> DataFrame:
         """(dataset_id, run_id) of the latest published run that covers the table."""
         published = self._read("published")
-        covered = self._read("covered").filter(F.col("table_name") == table)
+        covered = self._read("covered").filter(f"table_name = '{table}'")
         return (
             covered.join(published, "run_id")
             .groupBy("dataset_id")
-            .agg(F.max_by("run_id", F.struct("published_at", "run_id")).alias("run_id"))
+            .agg(F.expr("max_by(run_id, struct(published_at, run_id)) AS run_id"))
         )
 
     def read(self, table: str) -> DataFrame:
@@ -93,9 +92,15 @@ class CatalogStore:
             raise ValueError(f"log must be one of {tuple(LOGS)}")
         target = f"{self.root}/{log}/batch={batch or new_run_id()}"
         if log == "access_events":
-            day = utc_day(F.col("occurred_at")).alias("event_date")
-            dated = df.select("event_id", "dataset_id", "access_type", "source", "occurred_at", day)
-            dated.write.mode("overwrite").partitionBy("event_date").parquet(target)
+            dated = df.selectExpr(
+                "event_id", "dataset_id", "access_type", "source", "occurred_at",
+                f"{utc_day('occurred_at')} AS event_date",
+            )
+            # Days are gathered before the write, so that a batch has few files per day; the
+            # rebalance splits a hot day over several tasks.
+            dated.hint("rebalance", "event_date").write.mode("overwrite").partitionBy(
+                "event_date"
+            ).parquet(target)
         else:
             df.write.mode("overwrite").parquet(target)
 
@@ -107,8 +112,7 @@ class CatalogStore:
         events = self.log("access_events")
         if since is not None:
             events = events.filter(
-                (F.col("event_date") >= utc_day(instant(since)))
-                & (F.col("occurred_at") >= instant(since))
+                f"event_date >= {utc_day(instant(since))} AND occurred_at >= {instant(since)}"
             )
         return without_deleted(events, self.log("tombstones"))
 
@@ -121,7 +125,7 @@ class CatalogStore:
     def delete_all(self, at: datetime | str) -> None:
         self.append(
             "tombstones",
-            self.read("datasets").select("dataset_id", instant(at).alias("deleted_at")),
+            self.read("datasets").selectExpr("dataset_id", f"{instant(at)} AS deleted_at"),
         )
 
     def delete_named(self, names: list[str], at: datetime | str) -> None:
@@ -129,6 +133,6 @@ class CatalogStore:
 
     def delete_one(self, dataset_id: str, at: datetime | str) -> None:
         one = self.read("datasets").filter(F.col("dataset_id") == dataset_id)
-        self.append("tombstones", one.select("dataset_id", instant(at).alias("deleted_at")))
+        self.append("tombstones", one.selectExpr("dataset_id", f"{instant(at)} AS deleted_at"))
 
 

@@ -12,16 +12,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datawarden.config import DATASET_NAME_CHARS
-from datawarden.operators.profile import (
-    KEY,
-    row_counts,
-    text_cells,
-)
+from datawarden.functions import scalars as s
+from datawarden.operators.profile import preview_rows, row_counts, text_cells, union_all
 
 # Reject codes and the only messages a catalogue ever shows.
 MESSAGES = {
@@ -34,49 +31,48 @@ MESSAGES = {
 }
 
 
-def safe_message(code: Column) -> Column:
-    """Authored text for a code, the generic text for any other failure."""
-    known = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
-    return F.when(
-        code.isNotNull(), F.coalesce(F.try_element_at(known, code), F.lit(MESSAGES["failed"]))
-    )
+def safe_message(code: str) -> str:
+    """Authored text for a code, the generic text for any other failure, null for none."""
+    known = s.looked_up(code, MESSAGES)
+    return f"CASE WHEN {code} IS NOT NULL THEN coalesce({known}, {s.text(MESSAGES['failed'])}) END"
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Path, name and size of every file below a folder; contents are not read."""
+def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".csv",)) -> DataFrame:
+    """Path, name, size and type of every file below a folder; contents are not read."""
+    is_csv = " OR ".join(f"endswith(lower(_metadata.file_name), '{x}')" for x in suffixes)
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(path)
-        .select(
-            F.col("_metadata.file_path").alias("file_id"),
+        .selectExpr(
+            "_metadata.file_path AS file_id",
             "path",
-            F.col("_metadata.file_name").alias("file_name"),
-            F.col("length").alias("size_bytes"),
+            "_metadata.file_name AS file_name",
+            "length AS size_bytes",
+            f"CASE WHEN {is_csv} THEN 'CSV' "
+            "WHEN endswith(lower(_metadata.file_name), '.xlsx') THEN 'XLSX' END AS file_type",
         )
     )
 
 
-def file_type(file_name: Column) -> Column:
-    lower = F.lower(file_name)
-    return F.when(lower.endswith(".csv"), "CSV").when(lower.endswith(".xlsx"), "XLSX")
-
-
-def split_header(line: Column, delimiter: str = ",") -> Column:
+def split_header(line: str, delimiter: str = ",") -> str:
     """Field names of a header line as an array; names may repeat or be blank."""
     d = re.escape(delimiter)
     field = rf'{d}("[^"]*(?:""[^"]*)*"|[^{d}]*)'
-    raw = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(field), F.lit(1))
-    return F.transform(
-        raw,
-        lambda x: F.when(
-            x.rlike('^".*"$'),
-            F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"')),
-        ).otherwise(x),
-    )
+    raw = f"regexp_extract_all(concat({s.text(delimiter)}, {line}), r'{field}', 1)"
+    inner = "replace(substring(x, 2, length(x) - 2), '\"\"', '\"')"
+    return f"transform({raw}, x -> CASE WHEN rlike(x, '^\".*\"$') THEN {inner} ELSE x END)"
+
+
+def _glob(suffixes: tuple[str, ...]) -> str:
+    """The suffixes in any case, as a file name glob."""
+    each = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in suffixes]
+    return "*{" + ",".join(each) + "}"
 
 
-def line_facts(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+def line_facts(
+    spark: SparkSession, path: str, delimiter: str = ",", suffixes: tuple[str, ...] = (".csv",)
+) -> DataFrame:
     """Per CSV file: header line, number of non-blank lines, and what its quotes look like.
 
     A line `opens` if, read on its own, it ends inside a quoted field. A file without such a line
@@ -86,66 +82,64 @@ def line_facts(spark: SparkSession, path: str, delimiter: str = ",") -> DataFram
     d = re.escape(delimiter)
     lines = (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.[cC][sS][vV]")
+        .option("pathGlobFilter", _glob(suffixes))
         .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file_id"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line_id"),
-            F.regexp_replace("value", "^﻿", "").alias("line"),
+        .selectExpr(
+            "_metadata.file_path AS file_id",
+            "struct(_metadata.file_block_start AS block, monotonically_increasing_id() AS row) "
+            "AS place",
+            r"regexp_replace(value, r'^﻿', '') AS line",
         )
-        .filter(F.trim("line") != "")
-    )
-    bare = F.replace(F.col("line"), F.lit('""'), F.lit(""))
-    rest = F.regexp_replace(bare, rf'(^|{d})"[^"]*"(?={d}|$)', "$1")
-    return lines.groupBy("file_id").agg(
-        F.min_by("line", F.struct("block", "line_id")).alias("header_line"),
-        F.count(F.lit(1)).alias("lines"),
-        F.max(rest.rlike(rf'(^|{d})"')).alias("opens"),
-        (
-            F.sum(F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))) % 2
-            == 1
-        ).alias("odd_quotes"),
+        .filter("trim(line) <> ''")
     )
+    rest = f"""regexp_replace(replace(line, '""', ''), r'(^|{d})"[^"]*"(?={d}|$)', '$1')"""
+    facts = [
+        "min_by(line, place) AS header_line",
+        "count(1) AS lines",
+        f"""bool_or(rlike({rest}, r'(^|{d})"')) AS opens""",
+        """sum(length(line) - length(replace(line, '"', ''))) % 2 = 1 AS odd_quotes""",
+    ]
+    return lines.groupBy("file_id").agg(*[F.expr(f) for f in facts])
 
 
 def file_manifest(
-    spark: SparkSession, path: str, delimiter: str = ",", max_bytes: int | None = None
+    spark: SparkSession,
+    path: str,
+    delimiter: str = ",",
+    max_bytes: int | None = None,
+    suffixes: tuple[str, ...] = (".csv",),
 ) -> DataFrame:
     """One row per file with its headers, or the code that rejects it."""
-    facts = line_facts(spark, path, delimiter)
-    files = list_files(spark, path).withColumn("file_type", file_type(F.col("file_name")))
-    too_large = F.lit(False) if max_bytes is None else F.col("size_bytes") > max_bytes
+    too_large = "false" if max_bytes is None else f"size_bytes > {int(max_bytes)}"
     code = (
-        F.when(F.coalesce(F.col("file_type"), F.lit("")) != "CSV", "unsupported_file_type")
-        .when(too_large, "file_too_large")
-        .when((F.col("size_bytes") == 0) | F.col("header_line").isNull(), "empty_file")
-        .when(F.col("opens") & F.col("odd_quotes"), "invalid_file")
-        .when(F.col("lines") < 2, "empty_file")
+        "CASE WHEN coalesce(file_type, '') <> 'CSV' THEN 'unsupported_file_type' "
+        f"WHEN {too_large} THEN 'file_too_large' "
+        "WHEN size_bytes = 0 OR header_line IS NULL THEN 'empty_file' "
+        "WHEN opens AND odd_quotes THEN 'invalid_file' "
+        "WHEN lines < 2 THEN 'empty_file' END"
     )
-    headers = split_header(F.col("header_line"), delimiter)
-    return (
-        files.join(facts, "file_id", "left")
-        .withColumn("code", code)
-        .select(
-            "file_id",
-            "path",
-            "file_name",
-            "file_type",
-            "size_bytes",
-            F.when(F.col("code").isNull(), headers).alias("headers"),
-            F.coalesce(F.col("opens"), F.lit(False)).alias("multi_line"),
-            "code",
-            safe_message(F.col("code")).alias("message"),
-        )
+    judged = list_files(spark, path, suffixes).join(
+        line_facts(spark, path, delimiter, suffixes), "file_id", "left"
+    ).selectExpr("*", f"{code} AS code")
+    return judged.selectExpr(
+        "file_id",
+        "path",
+        "file_name",
+        "file_type",
+        "size_bytes",
+        f"CASE WHEN code IS NULL THEN {split_header('header_line', delimiter)} END AS headers",
+        "coalesce(opens, false) AS multi_line",
+        "code",
+        f"{safe_message('code')} AS message",
     )
 
 
-def dataset_name(given: Column, file_name: Column) -> Column:
+def dataset_name(given: str, file_name: str) -> str:
     """The trimmed given name (1 to 255 characters) or the file name."""
-    name = F.trim(F.coalesce(given, F.lit("")))
-    usable = (F.length(name) > 0) & (F.length(name) <= DATASET_NAME_CHARS)
-    return F.when(usable, name).otherwise(file_name)
+    return (
+        f"CASE WHEN length(trim({given})) BETWEEN 1 AND {DATASET_NAME_CHARS} THEN trim({given}) "
+        f"ELSE {file_name} END"
+    )
 
 
 def read_width(
@@ -169,17 +163,12 @@ def read_width(
         .option("columnPruning", False)
         .csv([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths])
     )
-    return raw.select(
-        F.col("_metadata.file_path").alias("dataset_id"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("ord"),
-        *[
-            F.nullif(F.translate(F.col(n), "\u0000", ""), F.lit("")).alias(n)
-            for n in names
-        ],
-        F.col("_corrupt").isNotNull().alias("ragged"),
+    return raw.selectExpr(
+        "_metadata.file_path AS dataset_id",
+        "struct(_metadata.file_block_start AS block, monotonically_increasing_id() AS row) AS ord",
+        *[f"nullif(replace({n}, char(0), ''), '') AS {n}" for n in names],
+        # Reads a cell as well: Spark refuses plans that read the corrupt record alone.
+        "coalesce(length(concat(_corrupt, coalesce(c0, ''))) > 0, false) AS ragged",
     )
 
 
@@ -190,58 +179,50 @@ class CsvIntake:
     manifest: DataFrame
     groups: list[tuple[int, DataFrame]]
 
-    def _union(self, parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-
     @property
     def empty(self) -> bool:
         return not self.groups
 
     def headers(self) -> DataFrame:
-        accepted = self.manifest.filter(F.col("code").isNull())
-        return accepted.select(
-            F.col("file_id").alias("dataset_id"), F.posexplode("headers").alias("position", "name")
-        ).select(*KEY, "name")
+        return self.manifest.filter("code IS NULL").selectExpr(
+            "file_id AS dataset_id", "posexplode(headers) AS (position, name)"
+        )
 
     def cells(self) -> DataFrame:
         """Long form of all tables, whatever their widths."""
-        return self._union(
-            [text_cells(df, [f"c{i}" for i in range(w)], ordinal="ord") for w, df in self.groups]
-        )
+        return union_all([text_cells(df, _columns(w), ordinal="ord") for w, df in self.groups])
 
     def row_counts(self) -> DataFrame:
-        return self._union(
-            [row_counts(df, [f"c{i}" for i in range(w)]) for w, df in self.groups]
-        )
+        return union_all([row_counts(df, _columns(w)) for w, df in self.groups])
+
+    def preview(self) -> DataFrame:
+        """First rows per dataset; names are in the header table, by position."""
+        return union_all([preview_rows(df, _columns(w), "ord") for w, df in self.groups])
 
-    def ragged_rows(self) -> DataFrame:
+    def shape(self) -> DataFrame:
         """Per dataset its rows and how many do not fit the header."""
-        return self._union(
-            [
-                df.groupBy("dataset_id").agg(
-                    F.count(F.lit(1)).alias("row_count"),
-                    F.count_if(F.col("ragged")).alias("ragged_rows"),
-                )
-                for _, df in self.groups
-            ]
-        )
+        counts = [F.expr("count(1) AS row_count"), F.expr("count_if(ragged) AS ragged_rows")]
+        return union_all([df.groupBy("dataset_id").agg(*counts) for _, df in self.groups])
+
+
+def _columns(width: int) -> list[str]:
+    return [f"c{i}" for i in range(width)]
 
 
 def read_csv_folder(
-    spark: SparkSession, path: str, delimiter: str = ",", max_bytes: int | None = None
+    spark: SparkSession,
+    path: str,
+    delimiter: str = ",",
+    max_bytes: int | None = None,
+    suffixes: tuple[str, ...] = (".csv",),
 ) -> CsvIntake:
     """Manifest and tables of a folder. A header with line breaks in quotes is not supported."""
-    manifest = file_manifest(spark, path, delimiter, max_bytes)
-    accepted = (
-        manifest.filter(F.col("code").isNull())
-        .select("path", F.size("headers").alias("width"), "multi_line")
-        .collect()
+    manifest = file_manifest(spark, path, delimiter, max_bytes, suffixes)
+    accepted = manifest.filter("code IS NULL").selectExpr(
+        "path", "size(headers) AS width", "multi_line"
     )
     grouped: dict[tuple[int, bool], list[str]] = {}
-    for row in accepted:
+    for row in accepted.collect():
         grouped.setdefault((row["width"], row["multi_line"]), []).append(row["path"])
     groups = [
         (width, read_width(spark, paths, width, delimiter, multi_line))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from datawarden.config import Settings
+from datawarden.functions.scalars import utc_day
 from datawarden.operators.maintenance import recompute_value, score_snapshots
 from datawarden.sources.catalog_store import CatalogStore
 
@@ -44,8 +45,8 @@ def daily_counts(events: DataFrame) -> DataFrame:
     """Running counts per UTC day, dataset and access type."""
     return (
         events.groupBy(F.window("occurred_at", "1 day").alias("w"), "dataset_id", "access_type")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("dataset_id", F.to_date("w.start").alias("date"), "access_type", "n")
+        .agg(F.expr("count(1) AS n"))
+        .selectExpr("dataset_id", f"{utc_day('w.start')} AS date", "access_type", "n")
     )
 
 
