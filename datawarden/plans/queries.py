@@ -47,10 +47,10 @@ from datawarden.operators.usage import (
 )
 from datawarden.plans import oracle as sql
 from datawarden.plans import workload as wl
+from datawarden.plans.workload import read_table
 from datawarden.session import new_run_dir, use_utc
 from datawarden.sources.catalog_store import CatalogStore
 from datawarden.sources.csv_files import read_csv_folder
-from datawarden.sources.tables import read_table
 from datawarden.streaming import access_stream as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1120,11 +1120,11 @@ def stream_daily_usage(spark, sf_dir):
 def stream_intake(spark, sf_dir):
     """Events deduplicated by id within a watermark and appended to the day-partitioned log."""
     work = new_run_dir(spark, "intake")
-    store = CatalogStore(spark, f"{work}/store")
+    store = CatalogStore(spark, f"{work}/store", log_unit="month")
     events = stream.deduplicated(_order_stream(spark, sf_dir), "30 days")
     stream.start_intake(events, store, f"{work}/checkpoint", available_now=True).awaitTermination()
     return store.access_events().groupBy("dataset_id", "access_type").agg(
-        F.count(F.lit(1)).alias("n"), F.min(day_text("event_date")).alias("first_day")
+        F.expr("count(1) AS n"), F.expr("date_format(min(occurred_at), 'yyyy-MM-dd') AS first_day")
     )
 
 
@@ -1141,7 +1141,7 @@ def stream_intake(spark, sf_dir):
 def stream_value(spark, sf_dir):
     """Value of every touched dataset after the stream, as appended snapshots."""
     work = new_run_dir(spark, "value")
-    store = CatalogStore(spark, f"{work}/store")
+    store = CatalogStore(spark, f"{work}/store", log_unit="month")
     # The scores a stream starts from are stored, as an ingest leaves them.
     wl.Catalog(spark, sf_dir).scores.write.parquet(f"{work}/scores")
     now = datetime(1998, 7, 1, tzinfo=timezone.utc)

@@ -17,7 +17,7 @@ from datawarden.functions import scalars as s
 from datawarden.operators.catalog import with_scores
 from datawarden.operators.profile import headers_of, row_counts, text_cells, value_freq
 from datawarden.plans.ingest import Analysis
-from datawarden.sources.tables import read_table
+from datawarden.sources import tables
 
 NOW = "1998-07-01T00:00:00Z"
 
@@ -31,6 +31,18 @@ CUSTOMER_COLUMNS = (
 )
 
 
+_HANDLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. The lazy handle is kept per application, so a plan that uses a table in
+    several places lists its files once."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _HANDLES:
+        _HANDLES[key] = tables.read_table(spark, sf_dir, name)
+    return _HANDLES[key]
+
+
 ASSET = "concat(c_mktsegment, '-', c_nationkey)"
 SEGMENT_DATASET = "concat('customers-', c_mktsegment)"
 ACCESS_TYPE = (

@@ -37,9 +37,17 @@ def new_run_id() -> str:
 
 
 class CatalogStore:
-    def __init__(self, spark: SparkSession, root: str):
+    """`log_unit` sizes the folders of the access log: day, or month for a sparse long history."""
+
+    def __init__(self, spark: SparkSession, root: str, log_unit: str = "day"):
+        if log_unit not in ("day", "month"):
+            raise ValueError("log_unit must be day or month")
         self.spark = spark
         self.root = root.rstrip("/")
+        self.log_unit = log_unit
+
+    def _log_folder(self, at: str) -> str:
+        return utc_day(at) if self.log_unit == "day" else f"trunc({utc_day(at)}, 'MM')"
 
     # ------------------------------------------------------------------ published tables
     def write(self, table: str, df: DataFrame, run_id: str) -> None:
@@ -94,7 +102,7 @@ class CatalogStore:
         if log == "access_events":
             dated = df.selectExpr(
                 "event_id", "dataset_id", "access_type", "source", "occurred_at",
-                f"{utc_day('occurred_at')} AS event_date",
+                f"{self._log_folder('occurred_at')} AS event_date",
             )
             # Days are gathered before the write, so that a batch has few files per day; the
             # rebalance splits a hot day over several tasks.
@@ -112,7 +120,8 @@ class CatalogStore:
         events = self.log("access_events")
         if since is not None:
             events = events.filter(
-                f"event_date >= {utc_day(instant(since))} AND occurred_at >= {instant(since)}"
+                f"event_date >= {self._log_folder(instant(since))} "
+                f"AND occurred_at >= {instant(since)}"
             )
         return without_deleted(events, self.log("tombstones"))
 
