@@ -233,7 +233,8 @@ def _plain_text(kind: T.DataType, x: str) -> str:
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return f"CAST({x} + CAST(0 AS {kind.simpleString()}) AS STRING)"  # -0.0 equals 0.0
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return f"to_json(struct({x}), map('ignoreNullFields', 'false'))"
+        spelled = f"to_json(struct({x}), map('ignoreNullFields', 'false'))"
+        return f"CASE WHEN {x} IS NOT NULL THEN {spelled} END"
     if isinstance(kind, T.BinaryType):
         return f"hex({x})"
     return f"CAST({x} AS STRING)"

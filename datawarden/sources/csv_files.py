@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,20 +39,24 @@ def safe_message(code: str) -> str:
 
 
 def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".csv",)) -> DataFrame:
-    """Path, name, size and type of every file below a folder; contents are not read."""
-    is_csv = " OR ".join(f"endswith(lower(_metadata.file_name), '{x}')" for x in suffixes)
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .selectExpr(
-            "_metadata.file_path AS file_id",
-            "path",
-            "_metadata.file_name AS file_name",
-            "length AS size_bytes",
-            f"CASE WHEN {is_csv} THEN 'CSV' "
-            "WHEN endswith(lower(_metadata.file_name), '.xlsx') THEN 'XLSX' END AS file_type",
-        )
+    """Id, path, name, size and type of every file below a folder; contents are not read.
+
+    Scans skip empty files, so the names come from the file index of the scan.
+    """
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    sizes = scan.selectExpr("_metadata.file_path AS file_id", "path", "length")
+    # The index spells local files file:///x, the scan's metadata file:/x.
+    ids = [re.sub("^file:/+", "file:/", f) for f in scan.inputFiles()]
+    names = [(f, unquote(f.rsplit("/", 1)[-1])) for f in ids]
+    listed = spark.createDataFrame(names, "file_id string, file_name string")
+    is_csv = " OR ".join(f"endswith(lower(file_name), '{x}')" for x in suffixes)
+    return listed.join(sizes, "file_id", "left").selectExpr(
+        "file_id",
+        "path",
+        "file_name",
+        "coalesce(length, 0L) AS size_bytes",
+        f"CASE WHEN {is_csv} THEN 'CSV' WHEN endswith(lower(file_name), '.xlsx') THEN 'XLSX' END "
+        "AS file_type",
     )
 
 
