@@ -44,12 +44,20 @@ def matches(x: str, pattern: str) -> str:
     return f"rlike({x}, r'{pattern}')"
 
 
+def _printable(x: str) -> str:
+    """The first character is a visible ASCII one, which settles most cells without a scan."""
+    return f"ascii({x}) BETWEEN 33 AND 126"
+
+
 def trimmed(x: str) -> str:
-    return f"btrim({x}, {text(WHITESPACE)})"
+    return (
+        f"CASE WHEN {_printable(x)} AND {_printable(f'right({x}, 1)')} THEN {x} "
+        f"ELSE btrim({x}, {text(WHITESPACE)}) END"
+    )
 
 
 def blank_to_null(x: str) -> str:
-    return f"CASE WHEN {trimmed(x)} <> '' THEN {x} END"
+    return f"CASE WHEN {_printable(x)} OR btrim({x}, {text(WHITESPACE)}) <> '' THEN {x} END"
 
 
 def unit(x: str) -> str:

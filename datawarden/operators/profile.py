@@ -37,6 +37,11 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- cells
+def _id(column: str) -> str:
+    """Rows without an id form the dataset ''."""
+    return f"coalesce({s.name(column)}, '')"
+
+
 def _unpivot(df: DataFrame, ids: dict[str, str], cells: dict[int, str]) -> DataFrame:
     """Long form of the given expressions, keyed by their column position."""
     items, parts = list(cells.items()), []
@@ -45,8 +50,15 @@ def _unpivot(df: DataFrame, ids: dict[str, str], cells: dict[int, str]) -> DataF
         wide = df.selectExpr(
             *[f"{e} AS {n}" for n, e in ids.items()], *[f"{e} AS `{i}`" for i, e in group]
         )
-        long = wide.unpivot(list(ids), [f"`{i}`" for i, _ in group], "position", "value")
-        parts.append(long.selectExpr(*ids, "CAST(position AS INT) AS position", "value"))
+        # Aliased keys are new columns of the long form. Passed through as they are, two readers
+        # of one long form would not be recognised as equal, and its shuffle would run twice.
+        keys = [F.col(n).alias(n) for n in ids]
+        long = wide.unpivot(keys, [F.col(f"`{i}`") for i, _ in group], "position", "value")
+        # Keys that cannot be null need no null filter before a join, which would be pushed
+        # into one reader of the long form and keep it from sharing the shuffle of the others.
+        parts.append(
+            long.selectExpr(*ids, "coalesce(CAST(position AS INT), -1) AS position", "value")
+        )
     return union_all(parts)
 
 
@@ -57,7 +69,7 @@ def text_cells(
 
     `ordinal` names a column that orders the rows; it gives the samples first-seen order.
     """
-    ids = {"dataset_id": s.name(dataset_id)}
+    ids = {"dataset_id": _id(dataset_id)}
     if ordinal:
         ids["ord"] = s.name(ordinal)
     return _unpivot(df, ids, {i: s.blank_to_null(s.name(c)) for i, c in enumerate(columns)})
@@ -258,7 +270,7 @@ def row_counts(
 ) -> DataFrame:
     """Rows per dataset and rows beyond the first of each group of equal rows."""
     digests = df.selectExpr(
-        f"{s.name(dataset_id)} AS dataset_id", f"{row_digest(df, columns)} AS digest"
+        f"{_id(dataset_id)} AS dataset_id", f"{row_digest(df, columns)} AS digest"
     )
     groups = _grouped(digests, ["dataset_id", "digest"], ["count(1) AS n"])
     return _grouped(
@@ -333,7 +345,7 @@ def typed_value_freq(
         if storage == "string":
             x = s.blank_to_null(_plain_text(fields[column], x))
         groups.setdefault((storage, data_type), {})[i] = f"CAST({x} AS {storage})"
-    ids = {"dataset_id": s.name(dataset_id)}
+    ids = {"dataset_id": _id(dataset_id)}
     return [
         (data_type, value_freq(_unpivot(df, ids, cells)))
         for (_, data_type), cells in groups.items()

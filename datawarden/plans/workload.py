@@ -43,6 +43,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _HANDLES[key]
 
 
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table for the views that turn each row into many cells or words.
+
+    The tables are single files with one row group, hence one task. One that arrives in fewer
+    splits than there are cores is spread over them; one with many splits stays as it is.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, f"{name} spread")
+    if key not in _HANDLES:
+        df = read_table(spark, sf_dir, name)
+        cores = spark.sparkContext.defaultParallelism
+        _HANDLES[key] = df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return _HANDLES[key]
+
+
 ASSET = "concat(c_mktsegment, '-', c_nationkey)"
 SEGMENT_DATASET = "concat('customers-', c_mktsegment)"
 ACCESS_TYPE = (
@@ -50,11 +64,11 @@ ACCESS_TYPE = (
 )
 
 
-def orders_with_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders_with_asset(spark: SparkSession, sf_dir: str, read=read_table) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS o_custkey", f"{ASSET} AS dataset_id"
     )
-    return read_table(spark, sf_dir, "orders").join(customer, "o_custkey")
+    return read(spark, sf_dir, "orders").join(customer, "o_custkey")
 
 
 def access_log(spark: SparkSession, sf_dir: str, until: str | None = NOW) -> DataFrame:
@@ -77,7 +91,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------- text tables
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as text with missing, mixed and malformed cells; every 50th row twice."""
-    return orders_with_asset(spark, sf_dir).selectExpr(
+    return orders_with_asset(spark, sf_dir, read_spread).selectExpr(
         "dataset_id",
         "o_orderkey AS ord",
         "CAST(o_orderkey AS STRING) AS order_id",
@@ -309,7 +323,7 @@ def refinements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that contain a digit or an at sign, as one column per source."""
     return (
-        read_table(spark, sf_dir, "documents")
+        read_spread(spark, sf_dir, "documents")
         .selectExpr("source", r"explode(split(text, r'[ \t\n\r\f]+')) AS value")
         .filter("rlike(value, '[0-9@]')")
         .selectExpr(

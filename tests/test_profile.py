@@ -138,16 +138,20 @@ def test_approximate_counts_need_no_value_shuffle(spark):
         assert rough[pos]["distinct_count"] == pytest.approx(exact[pos]["distinct_count"], rel=0.1)
 
 
-def test_counts_and_samples_share_one_shuffle(spark):
-    freq, headers, _ = column_cases(spark, {"a": ["1", "2"]})
-    both = pf.with_samples(pf.type_columns(pf.column_counts(freq.drop("first_ord"))),
-                           pf.sample_values(freq.drop("first_ord")))
+def test_counts_and_samples_share_one_shuffle(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "o_orderstatus AS dataset_id", "o_orderpriority AS a", "CAST(o_custkey AS STRING) AS b"
+    )
+    freq = pf.value_freq(pf.text_cells(df, ["a", "b"]))
+    both = pf.with_samples(pf.type_columns(pf.column_counts(freq)), pf.sample_values(freq))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         plan = both._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert "ReusedExchange" in plan and "WindowGroupLimit" in plan
+    # One scan, the value shuffle reused, the ranking cut before its shuffle.
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+    assert plan.count("WindowGroupLimit") == 2
 
 
 def test_preview_rows(spark):
