@@ -72,7 +72,7 @@ def text_cells(
     ids = {"dataset_id": _id(dataset_id)}
     if ordinal:
         ids["ord"] = s.name(ordinal)
-    return _unpivot(df, ids, {i: s.blank_to_null(s.name(c)) for i, c in enumerate(columns)})
+    return _unpivot(df, ids, {i: s.cell(s.name(c)) for i, c in enumerate(columns)})
 
 
 def value_freq(cells: DataFrame) -> DataFrame:
@@ -343,7 +343,7 @@ def typed_value_freq(
         storage, data_type = _family(fields[column])
         x = s.name(column)
         if storage == "string":
-            x = s.blank_to_null(_plain_text(fields[column], x))
+            x = s.cell(_plain_text(fields[column], x))
         groups.setdefault((storage, data_type), {})[i] = f"CAST({x} AS {storage})"
     ids = {"dataset_id": _id(dataset_id)}
     return [

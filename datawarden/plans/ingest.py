@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from datawarden.config import Settings
-from datawarden.functions.scalars import instant
+from datawarden.functions.scalars import instant, looked_up
 from datawarden.operators import profile as pf
 from datawarden.operators.classify import apply_refinements, classify
 from datawarden.operators.quality import quality_checks
@@ -82,9 +82,12 @@ def ingest_csv(
     refinements: DataFrame | None = None,
     delimiter: str = ",",
     max_bytes: int | None = None,
+    names: dict[str, str] | None = None,
 ) -> DataFrame:
     """Ingest a folder of CSV files and publish the result; returns the rejects.
 
+    `names` gives datasets another name than their file's, by file name.
+
     A file that is not rectangular is catalogued as FAILED, without scores, columns or tags.
     value_freq is written to the shared folder once and read by the counts and the samples.
     """
@@ -123,12 +126,13 @@ def ingest_csv(
     store.write("dataset_scores", found.scores, run_id)
     store.write("preview_rows", only_good(intake.preview()), run_id)
 
+    given = looked_up("file_name", names) if names else "CAST(NULL AS STRING)"
     accepted = intake.manifest.filter("code IS NULL").withColumnRenamed("file_id", "dataset_id")
     datasets = accepted.drop("code").join(shape, "dataset_id").selectExpr(
         "*", "CASE WHEN ragged_rows > 0 THEN 'ragged' END AS failure"
     ).selectExpr(
         "dataset_id",
-        f"{dataset_name('CAST(NULL AS STRING)', 'file_name')} AS name",
+        f"{dataset_name(given, 'file_name')} AS name",
         "file_name AS original_filename",
         "file_type",
         "size_bytes",

@@ -105,7 +105,8 @@ def test_cells(intake):
 @pytest.fixture(scope="module")
 def store(spark, folder, tmp_path_factory):
     made = CatalogStore(spark, str(tmp_path_factory.mktemp("catalog")))
-    rejects = ingest_csv(spark, folder, made, NOW)
+    names = {"nul.csv": "  Clean bytes ", "bom.csv": " ", "inch.csv": "n" * 256}
+    rejects = ingest_csv(spark, folder, made, NOW, names=names)
     assert rejects.count() == 5
     return made
 
@@ -121,6 +122,9 @@ def ids_of(store):
 def test_ingested_datasets(store):
     d = {r["name"]: r for r in datasets_of(store).collect()}
     assert len(d) == 11
+    # A given name counts trimmed, from 1 to 255 characters.
+    assert d["Clean bytes"]["original_filename"] == "nul.csv"
+    assert {"bom.csv", "inch.csv"} <= set(d)
     assert d["broken.csv"]["status"] == "FAILED" and d["broken.csv"]["quality_score"] is None
     assert d["broken.csv"]["error_message"].startswith("File is not rectangular")
     four = d["four.CSV"]
@@ -277,3 +281,10 @@ def test_deletes(store):
     assert store.access_events().count() == 0 and store.score_snapshots().count() == 7
     store.delete_all(NOW)
     assert store.read("datasets").count() == 0 and store.read("tags").count() == 0
+
+
+def test_shared_folder_of_the_session(spark):
+    from datawarden.session import new_run_dir, shared_dir
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert new_run_dir(spark, "x") != new_run_dir(spark, "x")

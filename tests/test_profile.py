@@ -161,3 +161,16 @@ def test_preview_rows(spark):
     assert [r["row_number"] for r in got] == list(range(1, 51))
     assert [c["value"] for c in got[7]["cells"]] == ["v" * 255 + "…", "7"]
     assert [c["position"] for c in got[0]["cells"]] == [0, 1]
+
+
+def test_long_cells_are_told_apart_whole(spark):
+    base = "word " * 400
+    cases = {
+        "tails": [base + "a", base + "b", base + "a", "short"],
+        "digits": ["7" * 1500, "-" + "8" * 1500],
+        "blank": [" " * 2000, "x"],
+    }
+    p = profiles(spark, cases)
+    assert p["tails"]["distinct_count"] == 3 and p["tails"]["data_type"] == "STRING"
+    assert p["tails"]["sample_values"][0] == base[:255] + "…"
+    assert p["digits"]["data_type"] == "INTEGER" and p["blank"]["missing_count"] == 1
