@@ -209,6 +209,14 @@ def tombstones_by_name(datasets: DataFrame, names: list[str], at: datetime | str
     )
 
 
-def without_deleted(table: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Cascade: every table is read through this anti join."""
-    return table.join(tombstones.select("dataset_id"), "dataset_id", "left_anti")
+def without_deleted(table: DataFrame, tombstones: DataFrame, at: str | None = None) -> DataFrame:
+    """Cascade: every table is read through this.
+
+    With `at`, a timestamp column of the table, a tombstone hides only what is not newer than
+    itself, so that a dataset can come back after a delete.
+    """
+    if at is None:
+        return table.join(tombstones.select("dataset_id"), "dataset_id", "left_anti")
+    last = tombstones.groupBy("dataset_id").agg(F.expr("max(deleted_at) AS deleted_at"))
+    kept = table.join(last, "dataset_id", "left").filter(f"deleted_at IS NULL OR deleted_at < {at}")
+    return kept.select(*table.columns)

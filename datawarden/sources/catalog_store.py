@@ -71,27 +71,31 @@ class CatalogStore:
     def _read(self, name: str, schema: str | None = None) -> DataFrame:
         try:
             return self.spark.read.parquet(f"{self.root}/{name}")
-        except AnalysisException:
-            if schema is None:
+        except AnalysisException as error:
+            missing = error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+            if schema is None or not missing:
                 raise
             return self.spark.createDataFrame([], schema)
 
     def latest_runs(self, table: str) -> DataFrame:
-        """(dataset_id, run_id) of the latest published run that covers the table."""
-        published = self._read("published")
+        """(dataset_id, run_id) of the latest published run that covers the table, for datasets
+        not deleted since."""
         covered = self._read("covered").filter(f"table_name = '{table}'")
-        return (
-            covered.join(published, "run_id")
+        latest = (
+            covered.join(self._read("published"), "run_id")
             .groupBy("dataset_id")
-            .agg(F.expr("max_by(run_id, struct(published_at, run_id)) AS run_id"))
+            .agg(F.expr("max(struct(published_at, run_id)) AS run"))
+            .selectExpr("dataset_id", "run.published_at", "run.run_id")
         )
+        alive = without_deleted(latest, self.log("tombstones"), "published_at")
+        return alive.select("dataset_id", "run_id")
 
     def read(self, table: str) -> DataFrame:
         """The present rows of a table: latest run per dataset, deleted datasets left out."""
-        rows = self._read(table).join(
+        rows = self._read(table)
+        return rows.join(
             self.latest_runs(table), ["dataset_id", "run_id"], "left_semi"
-        )
-        return without_deleted(rows.drop("run_id"), self.log("tombstones"))
+        ).drop("run_id")
 
     # ------------------------------------------------------------------ logs
     def append(self, log: str, df: DataFrame, batch: str | None = None) -> None:
@@ -123,12 +127,11 @@ class CatalogStore:
                 f"event_date >= {self._log_folder(instant(since))} "
                 f"AND occurred_at >= {instant(since)}"
             )
-        return without_deleted(events, self.log("tombstones"))
+        return without_deleted(events, self.log("tombstones"), "occurred_at")
 
     def score_snapshots(self) -> DataFrame:
-        return without_deleted(self.log("score_snapshots"), self.log("tombstones")).orderBy(
-            "dataset_id", "captured_at"
-        )
+        kept = without_deleted(self.log("score_snapshots"), self.log("tombstones"), "captured_at")
+        return kept.orderBy("dataset_id", "captured_at")
 
     # ------------------------------------------------------------------ deletes
     def delete_all(self, at: datetime | str) -> None:

@@ -273,7 +273,7 @@ def test_recompute(store):
     assert tuple(counts.first()) == (9, 2, 0)
 
 
-def test_deletes(store):
+def test_deletes(spark, store, folder):
     store.delete_named(["collide.csv", "unknown"], NOW)
     assert store.read("datasets").count() == 10
     assert store.read("columns").select("dataset_id").distinct().count() == 8
@@ -281,6 +281,9 @@ def test_deletes(store):
     assert store.access_events().count() == 0 and store.score_snapshots().count() == 7
     store.delete_all(NOW)
     assert store.read("datasets").count() == 0 and store.read("tags").count() == 0
+    # A later ingest of the same files brings them back, without their old events.
+    ingest_csv(spark, folder, store, datetime(2026, 2, 1, tzinfo=timezone.utc))
+    assert store.read("datasets").count() == 11 and store.access_events().count() == 0
 
 
 def test_shared_folder_of_the_session(spark):
