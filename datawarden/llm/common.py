@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+import tempfile
+import zipfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datawarden.session import new_run_dir
@@ -36,3 +40,24 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, as `--py-files` would."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.basename(package)
+    path = os.path.join(tempfile.mkdtemp(prefix="run-"), f"{name}.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, files in os.walk(package):
+            for file in files:
+                if file.endswith(".py"):
+                    full = os.path.join(folder, file)
+                    archive.write(full, os.path.join(name, os.path.relpath(full, package)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)

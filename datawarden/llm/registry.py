@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
-from datawarden.llm import chat, mixing, syncmers
+from collections.abc import Callable
+from functools import wraps
 
-QUERIES = {
+from pyspark.sql import DataFrame, SparkSession
+
+from datawarden.llm import chat, language, licenses, mixing, packing, syncmers
+from datawarden.llm.common import ship
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op6_language_id": language.op6_language_id,
     "op7_syncmers": syncmers.op7_syncmers,
+    "op8_license_scan": licenses.op8_license_scan,
+    "op10_pack": packing.op10_pack,
 }
 
+QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
+
 ORACLE = {
     "op1_chat_format": chat.SQL,
     "op3_mix_sources": mixing.SQL,
