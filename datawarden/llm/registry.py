@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datawarden.llm import chat, language, licenses, mixing, packing, syncmers
+from datawarden.llm import chat, language, licenses, mixing, packing, syncmers, topk
 from datawarden.llm.common import ship
 
 
@@ -22,6 +22,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 _QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_top_k": topk.op2_top_k,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op6_language_id": language.op6_language_id,
     "op7_syncmers": syncmers.op7_syncmers,
@@ -33,5 +34,6 @@ QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
 ORACLE = {
     "op1_chat_format": chat.SQL,
+    "op2_top_k": topk.SQL,
     "op3_mix_sources": mixing.SQL,
 }
