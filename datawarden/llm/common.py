@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -61,3 +62,10 @@ def ship(spark: SparkSession) -> None:
                     archive.write(full, os.path.join(name, os.path.relpath(full, package)))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps: it does so when their plans are
+    garbage-collected, which between the written steps of a long job would happen too late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

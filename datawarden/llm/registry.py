@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datawarden.llm import chat, language, licenses, mixing, packing, syncmers, topk
+from datawarden.llm import chat, jaccard, language, licenses, mixing, packing, suffix_tree, syncmers, topk
 from datawarden.llm.common import ship
 
 
@@ -24,6 +24,8 @@ _QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_top_k": topk.op2_top_k,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_jaccard_join": jaccard.op4_jaccard_join,
+    "op5_suffix_tree": suffix_tree.op5_suffix_tree,
     "op6_language_id": language.op6_language_id,
     "op7_syncmers": syncmers.op7_syncmers,
     "op8_license_scan": licenses.op8_license_scan,
