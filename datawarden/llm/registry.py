@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datawarden.llm import chat, jaccard, language, licenses, mixing, packing, suffix_tree, syncmers, topk
+from datawarden.llm import chat, jaccard, language, licenses, mixing, packing, substrings, suffix_tree, syncmers, topk
 from datawarden.llm.common import ship
 
 
@@ -29,6 +29,7 @@ _QUERIES = {
     "op6_language_id": language.op6_language_id,
     "op7_syncmers": syncmers.op7_syncmers,
     "op8_license_scan": licenses.op8_license_scan,
+    "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_pack": packing.op10_pack,
 }
 
@@ -38,4 +39,5 @@ ORACLE = {
     "op1_chat_format": chat.SQL,
     "op2_top_k": topk.SQL,
     "op3_mix_sources": mixing.SQL,
+    "op9_substring_dedup": substrings.SQL,
 }
