@@ -83,20 +83,23 @@ def _write_sets(size: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(block.row, block.n),
+                        batch.column("row").slice(block.row, block.n),
                         pa.array(node),
                         pa.array(n),
                         pa.array([values[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
                     ],
-                    names=["doc_id", "node", "n", "shingles"],
+                    names=["doc_id", "row", "node", "n", "shingles"],
                 )
 
     return run
 
 
 def document_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, node, n, shingles): node is 64 bits of the set, equal for equal sets."""
-    rows = narrow(docs, doc_id="long", text="string")
-    return materialize(rows.mapInArrow(_write_sets(size), "doc_id long, node long, n long, shingles binary"), "jaccard-sets")
+    """(doc_id, row, node, n, shingles): row is a key of id and text, node 64 bits of the set, equal
+    for equal sets."""
+    rows = narrow(docs, doc_id="long", text="string").withColumn("row", F.xxhash64("doc_id", "text"))
+    schema = "doc_id long, row long, node long, n long, shingles binary"
+    return materialize(rows.mapInArrow(_write_sets(size), schema), "jaccard-sets")
 
 
 def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -406,6 +409,15 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
+def labelled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, row, n, component): the component's name is the least node in it."""
+    sets = document_sets(docs, size)
+    members = regions(sets, percent)
+    labels = components(region_links(sets, members, percent))
+    rows = sets.select("doc_id", "row", "node", "n").join(labels, "node", "left")
+    return rows.select("doc_id", "row", "n", F.coalesce("component", "node").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of `docs` (doc_id, text).
 
@@ -414,11 +426,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     that share an id are points of their own. Null ids take part, but are never a component's name
     unless it has no other. No rows: no rows.
     """
-    sets = document_sets(docs, size)
-    members = regions(sets, percent)
-    labels = components(region_links(sets, members, percent))
-    rows = sets.select("doc_id", "node", "n").join(labels, "node", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "node"))
+    rows = labelled(docs, size, percent)
     names = materialize(rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("name")), "jaccard-names")
     return rows.join(names, "component", "left").select(
         "doc_id",
@@ -427,5 +435,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     )
 
 
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """`docs` with one row of each component: that of the smallest id (a null one last). Texts
+    without words stay, but for repeated rows."""
+    rows = labelled(docs, size, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    kept = rows.where("n > 0").groupBy("component").agg(F.min(order).alias("kept")).select(F.col("kept.row").alias("_row"))
+    kept = materialize(kept.unionByName(rows.where("n = 0").select(F.col("row").alias("_row"))).distinct(), "jaccard-kept")
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+
+
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

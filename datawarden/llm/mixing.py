@@ -60,6 +60,45 @@ def source_targets(
     )
 
 
+def _draw(doc_id: Column) -> Column:
+    text = F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def _copies(draw: Column, offset: Column) -> Column:
+    """floor(rate) copies, and one more when the turned draw falls below the fraction."""
+    return F.col("whole") + F.when((draw + offset) % F.lit(_TURN) < F.col("threshold"), F.lit(1)).otherwise(F.lit(0)).cast("long")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    rows = narrow(docs, doc_id="long", text="string", source="string")
+    sized = rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), _draw(F.col("doc_id")).alias("draw"))
+    return materialize(sized, "mix-sizes")
+
+
+def _rates(sized: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """One row for each source: source_size, target, whole, threshold and offset."""
+    if not 0 <= share <= most:
+        raise ValueError("share must lie between 0 and most")
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sources, weights, share, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rates = targets.withColumn("rate", rate).select(
+        F.col("source").alias("_source"),
+        "source_size",
+        "target",
+        F.floor("rate").cast("long").alias("whole"),
+        F.floor((F.col("rate") - F.floor("rate")) * F.lit(float(_TURN))).cast("long").alias("threshold"),
+    )
+    rates = materialize(rates, "mix-rates")
+    steps = [k * (_TURN // OFFSETS) for k in range(OFFSETS)]
+    misses = [F.abs(F.sum(F.col("size") * _copies(F.col("draw"), F.lit(s))) - F.first("target")) for s in steps]
+    tried = sized.join(rates, F.col("source").eqNullSafe(F.col("_source"))).groupBy("_source").agg(F.array(*misses).alias("misses"))
+    offset = (F.array_position("misses", F.array_min("misses")) - 1) * F.lit(_TURN // OFFSETS)
+    chosen = tried.select(F.col("_source").alias("_chosen"), offset.alias("offset"))
+    return materialize(rates.join(chosen, F.col("_source").eqNullSafe(F.col("_chosen"))).drop("_chosen"), "mix-offsets")
+
+
 def mix_plan(
     docs: DataFrame,
     weights: Sequence[float] = (3, 1, 2),
@@ -73,61 +112,27 @@ def mix_plan(
     size 0 and take nothing. Rows with one id are taken alike; a null id draws as the empty text.
     A source without words has target 0. No rows: no rows. `share` must not exceed `most`.
     """
-    if not 0 <= share <= most:
-        raise ValueError("share must lie between 0 and most")
-    draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10)
-    sized = materialize(
-        narrow(docs, doc_id="long", text="string", source="string").select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"), draw.cast("long").alias("draw")
-        ),
-        "mix-sizes",
-    )
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sources, weights, share, most)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rates = targets.withColumn("rate", rate).withColumns(
-        {
-            "whole": F.floor("rate").cast("long"),
-            "threshold": F.floor((F.col("rate") - F.floor("rate")) * F.lit(float(_TURN))).cast("long"),
-        }
-    )
-    rates = materialize(rates, "mix-rates").alias("r")
-
-    def extra(offset: Column) -> Column:
-        return F.when((F.col("draw") + offset) % F.lit(_TURN) < F.col("threshold"), F.lit(1)).otherwise(F.lit(0)).cast("long")
-
-    joined = sized.join(rates, sized["source"].eqNullSafe(rates["source"])).select(
-        "doc_id", F.col("r.source").alias("source"), "size", "draw", "source_size", "target", "whole", "threshold"
-    )
-    steps = [k * (_TURN // OFFSETS) for k in range(OFFSETS)]
-    tried = joined.groupBy("source").agg(
-        F.array(
-            *(F.abs(F.sum(F.col("size") * (F.col("whole") + extra(F.lit(s)))) - F.first("target")) for s in steps)
-        ).alias("misses")
-    )
-    chosen = tried.select(
-        F.col("source").alias("chosen_source"),
-        ((F.array_position("misses", F.array_min("misses")) - 1) * F.lit(_TURN // OFFSETS)).alias("offset"),
-    )
-    dealt = joined.join(chosen, F.col("source").eqNullSafe(F.col("chosen_source")))
-    copies = F.col("whole") + extra(F.col("offset"))
+    sized = _sized(docs)
+    rates = _rates(sized, weights, share, most)
+    dealt = sized.join(rates, F.col("source").eqNullSafe(F.col("_source")))
+    copies = _copies(F.col("draw"), F.col("offset"))
     return dealt.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn(
         "taken", F.col("size") * F.col("copies")
     )
 
 
-def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents themselves, each as often as the plan says, with their own columns.
-
-    The copies are joined by id; rows that share an id are taken alike, each of them.
-    """
-    plan = mix_plan(docs, **parameters).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    plan = plan.withColumnRenamed("doc_id", "_doc_id")
-    emitted = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_doc_id"])).where("_copies > 0")
-    return (
-        emitted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .drop("_copy", "_copies", "_doc_id")
-    )
+def mixed_documents(
+    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0
+) -> DataFrame:
+    """The documents themselves, each as often as `mix_plan` says, with their own columns."""
+    rates = _rates(_sized(docs), weights, share, most)
+    rates = rates.select("_source", F.struct("whole", "threshold", "offset").alias("_rate"))
+    rate = {c: F.col(f"_rate.{c}") for c in ("whole", "threshold", "offset")}
+    more = (_draw(F.col("doc_id").cast("long")) + rate["offset"]) % F.lit(_TURN) < rate["threshold"]
+    copies = rate["whole"] + F.when(more, F.lit(1)).otherwise(F.lit(0))
+    joined = docs.join(rates, F.col("source").cast("string").eqNullSafe(F.col("_source"))).withColumn("_copies", copies.cast("int"))
+    emitted = joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return emitted.select(*(f"`{c}`" for c in docs.columns))
 
 
 SQL = r"""

@@ -318,9 +318,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 _KEPT = "n_words long, n_removed long, kept string, kept_sha256 string"
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, texts: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_words, n_removed, kept (the words left, joined by
-    one blank; null unless `texts`), kept_sha256.
+    one blank; null unless `texts`), kept_sha256, then the `carry` columns of the row.
 
     Null, empty and wordless texts have no words. Texts shorter than a window keep all of theirs.
     Repeats within a document, or between rows of one id, remove nothing. Null ids count as larger
@@ -354,12 +354,20 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, texts: bool = True)
                         pa.array(removed),
                         pa.array(kept, pa.string()),
                         pa.array(digest, pa.string()),
+                        *(batch.column(f"_{c}").slice(block.row, block.n) for c in carry),
                     ],
-                    names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
+                    names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256", *carry],
                 )
 
-    joined = rows.select("doc_id", "text", "row").join(covered, "row", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, f"doc_id long, {_KEPT}")
+    texts_of = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row"),
+        *(F.col(f"`{c}`").alias(f"_{c}") for c in carry),
+    )
+    joined = texts_of.join(covered, "row", "left").drop("row")
+    kinds = dict(docs.dtypes)
+    return joined.mapInArrow(run, ", ".join([f"doc_id long, {_KEPT}", *(f"`{c}` {kinds[c]}" for c in carry)]))
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
