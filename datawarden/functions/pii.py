@@ -42,6 +42,8 @@ POSTAL_PATTERN = r"^[0-9]{5}(?:-[0-9]{4})?$"
 VALUE_CATEGORIES = (
     "EMAIL", "IP_ADDRESS", "CREDIT_CARD", "PHONE", "ID_NUMBER", "DATE_OF_BIRTH", "POSTAL_CODE",
 )
+# Too common to mean anything alone: they count only under a header that hints them.
+HINTED = ("DATE_OF_BIRTH", "POSTAL_CODE")
 STRONG_CATEGORIES = ("EMAIL", "PHONE", "IP_ADDRESS", "CREDIT_CARD")
 # ---------------------------------------------------------------------------
 
@@ -61,11 +63,7 @@ def header_category(x: str) -> str:
 
 
 def value_tests(x: str, hinted: str) -> dict[str, str]:
-    """One boolean per value category for a trimmed cell.
-
-    Dates and five-digit codes are too common to mean anything alone: they count only under a
-    header that hints the category.
-    """
+    """One boolean per value category for a trimmed cell; `hinted` is the header's category."""
     digits = f"regexp_replace({x}, '[^0-9]', '')"
     return {
         "EMAIL": matches(x, EMAIL_PATTERN),

@@ -56,22 +56,11 @@ def trimmed(x: str) -> str:
     )
 
 
-# Cells longer than this are told apart by digest.
-LONG_CELL = 1024
-
-
 def cell(x: str) -> str:
-    """A cell as the profiler groups it: null if blank, else its text.
-
-    Of a long text the first 255 characters (all a sample shows) and the SHA-256 of the whole are
-    kept: as distinct as the text, at a fraction of the shuffle. Spellings of numbers and times
-    stay whole at any length, so that their type is judged on all of it.
-    """
-    long = f"length({x}) > {LONG_CELL} AND NOT rlike({x}, '^[0-9TZ:+. eE-]+$')"
-    short = f"concat(left({x}, {SAMPLE_CHARS - 1}), '…', sha2({x}, 256))"
+    """A cell as the profiler groups it: null if blank, else its whole text."""
     return (
         f"CASE WHEN NOT ({_printable(x)}) AND btrim({x}, {text(WHITESPACE)}) = '' THEN NULL "
-        f"WHEN {long} THEN {short} ELSE {x} END"
+        f"ELSE {x} END"
     )
 
 

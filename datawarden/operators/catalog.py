@@ -140,9 +140,8 @@ def catalog_page(
 ) -> DataFrame:
     """One page of summaries, at most 100 rows.
 
-    Filter, sort and page run on the dataset rows; PII and usage are joined to the page. The
-    catalogue tables should be read from the store: then a page costs one scan of each, and the
-    access log is aggregated where it lies.
+    Filter, sort and page run on the dataset rows. Tags and events are first cut to the page's ids,
+    then aggregated and joined to it.
     """
     if not 1 <= limit <= 100:
         raise ValueError("limit must lie in 1..100")
@@ -150,7 +149,9 @@ def catalog_page(
         raise ValueError("offset must not be negative")
     chosen = matching(datasets, tags, sensitivity, recommendation)
     page = chosen.orderBy(*_order(sort)).offset(offset).limit(limit)
-    return sorted_catalog(summaries(page, tags, events, now), sort)
+    ids = page.select("dataset_id")
+    mine = [df.join(ids, "dataset_id", "left_semi") for df in (tags, events)]
+    return sorted_catalog(summaries(page, *mine, now), sort)
 
 
 def detail(

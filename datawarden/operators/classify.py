@@ -1,7 +1,7 @@
 """PII classification: a header signal and a value signal, resolved into one tag per column.
 
-Samples are short arrays (10 values unless asked otherwise), so the value tests run as array
-expressions on the column rows themselves: no explode, no shuffle.
+Every distinct non-blank value of a column has one vote. The value tests run on the grouped values
+(value_freq), where each is tested once, and are counted per column in the map tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from datawarden.config import (
 )
 from datawarden.functions import scalars as s
 from datawarden.functions.pii import (
+    HINTED,
     STRONG_CATEGORIES,
     VALUE_CATEGORIES,
     header_category,
@@ -32,28 +33,32 @@ def header_categories(headers: DataFrame) -> DataFrame:
     return headers.selectExpr(*KEY, "name", f"{header_category('name')} AS header_category")
 
 
-def value_shares(columns: DataFrame) -> DataFrame:
-    """Per column the share of its non-blank samples that match each value category.
+def value_shares(values: DataFrame, headers: DataFrame) -> DataFrame:
+    """Per column the share of its distinct non-blank values that match each value category.
 
-    `columns` has dataset_id, position, name and sample_values. The result has header_category,
-    sample_size and a `shares` struct with one field per category.
+    `values` has dataset_id, position and value, one row for each vote. The result has
+    header_category, sample_size (the votes) and a `shares` struct with one field per category.
+    Categories that need a hint count only under a header that gives it.
     """
-    trimmed = columns.selectExpr(
-        *KEY,
-        "name",
-        f"{header_category('name')} AS header_category",
-        f"filter(transform(sample_values, v -> {s.trimmed('v')}), v -> v <> '') AS samples",
+    votes = values.selectExpr(*KEY, f"{s.trimmed('value')} AS v")
+    # Tested under their own hint here; whether the header gives it is known behind the join.
+    counts = [
+        f"count_if(v <> '' AND {value_tests('v', s.text(c))[c]}) AS m_{c}" for c in VALUE_CATEGORIES
+    ]
+    counted = votes.groupBy(*KEY).agg(
+        F.expr("count_if(v <> '') AS votes"), *[F.expr(c) for c in counts]
     )
-    tests = value_tests("v", "header_category")
-    shares = ", ".join(
-        f"'{c}', coalesce(try_divide(size(filter(samples, v -> {tests[c]})), size(samples)), 0D)"
-        for c in VALUE_CATEGORIES
-    )
-    return trimmed.selectExpr(
+
+    def share(c: str) -> str:
+        x = f"coalesce(try_divide(m_{c}, votes), 0D)"
+        return f"CASE WHEN header_category <=> '{c}' THEN {x} ELSE 0D END" if c in HINTED else x
+
+    shares = ", ".join(f"'{c}', {share(c)}" for c in VALUE_CATEGORIES)
+    return header_categories(headers).join(counted, KEY, "left").selectExpr(
         *KEY,
         "name",
         "header_category",
-        "greatest(size(samples), 0) AS sample_size",
+        "coalesce(votes, 0L) AS sample_size",
         f"named_struct({shares}) AS shares",
     )
 
@@ -120,9 +125,17 @@ def resolve_tags(best: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return judged.selectExpr(*KEY, f"inline(array(struct({tag})))")
 
 
-def classify(columns: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Tags for columns(dataset_id, position, name, sample_values)."""
-    return resolve_tags(best_value_category(value_shares(columns)), settings)
+def classify(
+    values: DataFrame, headers: DataFrame, settings: Settings = Settings()
+) -> DataFrame:
+    """Tags of all headers by their names and by all their distinct values."""
+    return resolve_tags(best_value_category(value_shares(values, headers)), settings)
+
+
+def classify_samples(columns: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Tags for columns(dataset_id, position, name, sample_values): each sample has a vote."""
+    values = columns.selectExpr(*KEY, "explode(sample_values) AS value")
+    return classify(values, columns.select(*KEY, "name"), settings)
 
 
 def review_queue(tags: DataFrame, columns: DataFrame, k: int = SAMPLE_VALUES) -> DataFrame:

@@ -2,14 +2,14 @@
 
 Everything is keyed by ``dataset_id``, so many datasets of one shape are profiled in one job.
 
-    table --unpivot--> cells(dataset_id, position, value[, ord])
+    table --inline--> cells(dataset_id, position, value[, ord])
           --groupBy(dataset_id, position, value)--> value_freq(n[, first_ord])
           --groupBy(dataset_id, position)--> counts
           --row_number <= k--> samples
 
-Unpivot is an Expand below a partial aggregate: the shuffle carries distinct values with their
-counts, a hot value (or an all-null column) collapses before it leaves its task. Type tests run
-once per distinct value.
+A row becomes an array of (position, value) and is inlined below a partial aggregate, in one scan at
+any width: the shuffle carries distinct values with their counts, a hot value (or an all-null column)
+collapses before it leaves its task. Type tests run once per distinct value.
 """
 
 from __future__ import annotations
@@ -25,10 +25,6 @@ from datawarden.config import PREVIEW_ROWS, SAMPLE_VALUES
 from datawarden.functions import scalars as s
 from datawarden.functions.cell_types import TYPE_ORDER, type_tests
 
-# Columns per unpivot: an Expand emits one projection per column, and thousands of them
-# would not fit into one generated method.
-UNPIVOT_WIDTH = 200
-
 KEY = ["dataset_id", "position"]
 
 
@@ -44,22 +40,11 @@ def _id(column: str) -> str:
 
 def _unpivot(df: DataFrame, ids: dict[str, str], cells: dict[int, str]) -> DataFrame:
     """Long form of the given expressions, keyed by their column position."""
-    items, parts = list(cells.items()), []
-    for start in range(0, len(items), UNPIVOT_WIDTH):
-        group = items[start : start + UNPIVOT_WIDTH]
-        wide = df.selectExpr(
-            *[f"{e} AS {n}" for n, e in ids.items()], *[f"{e} AS `{i}`" for i, e in group]
-        )
-        # Aliased keys are new columns of the long form. Passed through as they are, two readers
-        # of one long form would not be recognised as equal, and its shuffle would run twice.
-        keys = [F.col(n).alias(n) for n in ids]
-        long = wide.unpivot(keys, [F.col(f"`{i}`") for i, _ in group], "position", "value")
-        # Keys that cannot be null need no null filter before a join, which would be pushed
-        # into one reader of the long form and keep it from sharing the shuffle of the others.
-        parts.append(
-            long.selectExpr(*ids, "coalesce(CAST(position AS INT), -1) AS position", "value")
-        )
-    return union_all(parts)
+    rows = ", ".join(f"struct({i} AS position, {e} AS value)" for i, e in cells.items())
+    long = df.selectExpr(*[f"{e} AS {n}" for n, e in ids.items()], f"inline(array({rows}))")
+    # Keys that cannot be null need no null filter before a join, which would be pushed into one
+    # reader of the long form and keep it from sharing the shuffle of the others.
+    return long.selectExpr(*ids, "coalesce(position, -1) AS position", "value")
 
 
 def text_cells(

@@ -6,7 +6,7 @@ nothing special: its rows collapse in the partial aggregate before the shuffle.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,11 +89,20 @@ def daily_usage(
 ) -> DataFrame:
     """Exactly `days` zero-filled UTC-day buckets per dataset, the last one being today.
 
-    The calendar is generated per dataset row (1 to 365 entries), not joined in.
+    The calendar is generated per dataset row (1 to 365 entries), not joined in. The log is cut to
+    the days by two literal instants, and by its day or month folders where it has them.
     """
     _check_days(days)
     today = s.utc_day(s.instant(now))
     first = f"date_sub({today}, {days - 1})"
+    start = s.micros(now) // s.DAY_MICROS - (days - 1)
+    events = events.filter(
+        f"{_AT} >= timestamp_micros({start * s.DAY_MICROS}L) "
+        f"AND {_AT} < timestamp_micros({(start + days) * s.DAY_MICROS}L)"
+    )
+    if "event_date" in events.columns:
+        low, high = (date(1970, 1, 1) + timedelta(days=start + d) for d in (0, days - 1))
+        events = events.filter(f"event_date >= DATE'{low.replace(day=1)}' AND event_date <= DATE'{high}'")
     counts = [f"count_if(access_type = '{t}') AS {t.lower()}" for t in ACCESS_TYPES]
     dated = of_type(events, access_type).selectExpr(
         "dataset_id", "access_type", f"{s.utc_day('occurred_at')} AS date"

@@ -75,12 +75,19 @@ def type_distribution(profile: DataFrame) -> DataFrame:
 def numeric_histogram(freq: DataFrame, bins: int = 6) -> DataFrame:
     """Equal-width bins over all numeric values of each column.
 
-    Columns with fewer than two numbers have none; equal values make a single bin. The largest
-    value belongs to the last bin. Empty bins are listed with 0.
+    Finite numbers only, as text or of a numeric type; other types have no histogram. Columns with
+    fewer than two numbers have none; equal values make a single bin. The largest value belongs to
+    the last bin. Empty bins are listed with 0.
     """
-    x = number(trimmed("value")) if dict(freq.dtypes)["value"] == "string" else "value"
+    kind = dict(freq.dtypes)["value"]
+    if kind == "string":
+        x = number(trimmed("value"))
+    elif kind.startswith("decimal") or kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        x = "value"
+    else:
+        x = "NULL"
     numbers = freq.selectExpr(*KEY, "n", f"CAST({x} AS DOUBLE) AS x").filter(
-        "x IS NOT NULL AND NOT isnan(x)"
+        "abs(x) < double('Infinity')"
     )
     stats = numbers.groupBy(*KEY).agg(
         F.expr("min(x) AS lo"), F.expr("max(x) AS hi"), F.expr("sum(n) AS total")

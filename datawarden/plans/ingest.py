@@ -56,7 +56,7 @@ class Analysis:
 
     @cached_property
     def tags(self) -> DataFrame:
-        tags = classify(self.samples, self.settings)
+        tags = classify(self.freq, self.headers, self.settings)
         if self.refinements is None:
             return tags
         return apply_refinements(tags, self.refinements, self.settings)

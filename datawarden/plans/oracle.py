@@ -68,7 +68,7 @@ SELECT dataset_id,
        o_orderdate AS occurred_at, o_orderkey AS event_id
 FROM orders_with_asset"""
 
-CTES["access_log"] = f"SELECT * FROM all_access WHERE occurred_at <= {NOW}"
+CTES["access_log"] = "SELECT * FROM all_access"
 
 CTES["assets"] = """
 SELECT DISTINCT c_mktsegment || '-' || CAST(c_nationkey AS VARCHAR) AS dataset_id FROM customer"""
@@ -271,7 +271,8 @@ FROM (SELECT h.*, trim(value) AS v, regexp_replace(value, '[^0-9]', '', 'g') AS
 GROUP BY dataset_id, position, name, header_category"""
 
 
-CTES["shares"] = _shares("sample_rows", "header_hints")
+CTES["distinct_values"] = "SELECT dataset_id, position, value FROM value_freq WHERE value IS NOT NULL"
+CTES["shares"] = _shares("distinct_values", "header_hints")
 
 CTES["best"] = f"""
 SELECT dataset_id, position, name, header_category AS h,
@@ -531,14 +532,21 @@ FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, position ORDER BY re
 JOIN (SELECT DISTINCT dataset_id, position FROM ready_columns) USING (dataset_id, position)
 WHERE rn = 1"""
 
-CTES["settled_tags"] = "SELECT * FROM ready_tags WHERE NOT needs_review"
-CTES["overridden_tags"] = """
+CTES["given_tags"] = "SELECT * FROM ready_tags WHERE position % 4 <> 3"
+
+
+def overridden(tags: str) -> str:
+    return f"""
 SELECT dataset_id, position, coalesce(o.category, t.category) AS category,
        coalesce(o.sensitivity, t.sensitivity) AS sensitivity,
        CASE WHEN o.category IS NULL THEN t.confidence END AS confidence,
        CASE WHEN o.category IS NULL THEN t.source ELSE 'MANUAL' END AS source,
        o.category IS NOT NULL AS overridden
-FROM settled_tags t FULL JOIN overrides o USING (dataset_id, position)"""
+FROM {tags} t FULL JOIN overrides o USING (dataset_id, position)"""
+
+
+CTES["overridden_tags"] = overridden("ready_tags")
+CTES["overridden_given_tags"] = overridden("given_tags")
 
 CTES["settings_log"] = """
 SELECT CASE WHEN event_id % 2500 = 0 THEN '*' WHEN event_type = 'purchase' THEN 'freq_cap'
@@ -558,12 +566,9 @@ CTES["text_tokens"] = """
 SELECT 'documents' AS dataset_id, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS position,
        source AS name, value
 FROM (SELECT source, unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+')) AS value FROM documents)
-WHERE regexp_matches(value, '[0-9@]')"""
+WHERE value <> ''"""
 
-CTES["token_samples"] = """
-SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY dataset_id, position ORDER BY md5(value), value) AS rank
-  FROM (SELECT DISTINCT dataset_id, position, value FROM text_tokens)) WHERE rank <= 200"""
+CTES["token_samples"] = "SELECT DISTINCT dataset_id, position, value FROM text_tokens"
 CTES["token_hints"] = """
 SELECT DISTINCT dataset_id, position, name, CAST(NULL AS VARCHAR) AS header_category
 FROM text_tokens"""

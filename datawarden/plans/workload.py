@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datawarden.config import Settings
-from datawarden.functions import scalars as s
 from datawarden.operators.catalog import with_scores
 from datawarden.operators.profile import headers_of, row_counts, text_cells, value_freq
 from datawarden.plans.ingest import Analysis
@@ -43,20 +42,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _HANDLES[key]
 
 
-def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table for the views that turn each row into many cells or words.
-
-    The tables are single files with one row group, hence one task. One that arrives in fewer
-    splits than there are cores is spread over them; one with many splits stays as it is.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir, f"{name} spread")
-    if key not in _HANDLES:
-        df = read_table(spark, sf_dir, name)
-        cores = spark.sparkContext.defaultParallelism
-        _HANDLES[key] = df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-    return _HANDLES[key]
-
-
 ASSET = "concat(c_mktsegment, '-', c_nationkey)"
 SEGMENT_DATASET = "concat('customers-', c_mktsegment)"
 ACCESS_TYPE = (
@@ -64,19 +49,16 @@ ACCESS_TYPE = (
 )
 
 
-def orders_with_asset(spark: SparkSession, sf_dir: str, read=read_table) -> DataFrame:
+def orders_with_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS o_custkey", f"{ASSET} AS dataset_id"
     )
-    return read(spark, sf_dir, "orders").join(customer, "o_custkey")
+    return read_table(spark, sf_dir, "orders").join(customer, "o_custkey")
 
 
-def access_log(spark: SparkSession, sf_dir: str, until: str | None = NOW) -> DataFrame:
-    """Orders as access events of their customer's segment and nation."""
-    rows = orders_with_asset(spark, sf_dir)
-    if until is not None:
-        rows = rows.filter(f"o_orderdate <= {s.instant(until)}")
-    return rows.selectExpr(
+def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as access events of their customer's segment and nation; some are later than NOW."""
+    return orders_with_asset(spark, sf_dir).selectExpr(
         "dataset_id",
         f"{ACCESS_TYPE} AS access_type",
         "o_orderdate AS occurred_at",
@@ -91,7 +73,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------- text tables
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as text with missing, mixed and malformed cells; every 50th row twice."""
-    return orders_with_asset(spark, sf_dir, read_spread).selectExpr(
+    return orders_with_asset(spark, sf_dir).selectExpr(
         "dataset_id",
         "o_orderkey AS ord",
         "CAST(o_orderkey AS STRING) AS order_id",
@@ -321,11 +303,11 @@ def refinements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of all documents that contain a digit or an at sign, as one column per source."""
+    """Words of all documents, as one column per source."""
     return (
-        read_spread(spark, sf_dir, "documents")
+        read_table(spark, sf_dir, "documents")
         .selectExpr("source", r"explode(split(text, r'[ \t\n\r\f]+')) AS value")
-        .filter("rlike(value, '[0-9@]')")
+        .filter("value <> ''")
         .selectExpr(
             "'documents' AS dataset_id",
             "CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS position",

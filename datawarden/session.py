@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -14,25 +13,24 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for written intermediates.
-
-    Only a local session may fall back to a folder of this machine.
-    """
+    """The folder for written intermediates: the one that spark.checkpoint.dir names, else one below
+    the session's warehouse. Both are shared by the driver and all executors."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    if context.applicationId not in _LOCAL_DIRS:
-        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="run-")
-    return _LOCAL_DIRS[context.applicationId]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def new_run_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh, never reused folder below the shared one."""
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove_run_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that `new_run_dir` named, once nothing reads it any more."""
+    if not path.startswith(f"{shared_dir(spark)}/"):
+        raise ValueError("not a folder of this session")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,7 +1,7 @@
 import pytest
 
 from datawarden.config import Settings
-from datawarden.operators.classify import apply_refinements, classify, review_queue
+from datawarden.operators.classify import apply_refinements, classify_samples as classify, review_queue
 
 EMAILS = lambda n: [f"u{i}@x.io" if i < n else f"plain{i}" for i in range(100)]
 

@@ -4,8 +4,7 @@ import pytest
 from compare import compare, duck
 
 import __spark_entry__ as entry_point
-
-QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
+from datawarden.plans.queries import ORACLE, QUERIES
 
 
 @pytest.fixture(scope="module")
