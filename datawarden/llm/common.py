@@ -5,12 +5,13 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datawarden.session import new_run_dir
+from datawarden.session import new_run_dir, remove_run_dir
 
 #: A word of every contract but the license scan's: anything but ASCII white space. Fixed value.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,12 +31,23 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     )
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Written once to the shared folder and read back: later reads do not repeat the work above,
-    and a lost executor costs no more than the tasks it ran."""
+def written(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """`df` written once to the shared folder and read back, and its folder: later reads do not
+    repeat the work above, and a lost executor costs no more than the tasks it ran."""
     path = new_run_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    return written(df, purpose)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes written folders that nothing reads any more, and shuffle files of finished steps."""
+    for path in paths:
+        remove_run_dir(spark, path)
+    release(spark)
 
 
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
@@ -66,6 +78,12 @@ def ship(spark: SparkSession) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps: it does so when their plans are
-    garbage-collected, which between the written steps of a long job would happen too late."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    garbage-collected, which between the written steps of a long job would happen too late.
+
+    A plan held from Python goes in the first round, its shuffles in the next, and the cleaner runs
+    beside them.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)

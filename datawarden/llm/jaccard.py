@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datawarden.llm.common import materialize, narrow, release
+from datawarden.llm.common import discard, materialize, narrow, release, written
 from datawarden.llm.sieve import sieve_of
 from datawarden.llm.words import Block, blocks, mix, windows
 
@@ -94,12 +94,12 @@ def _write_sets(size: int):
     return run
 
 
-def document_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, row, node, n, shingles): row is a key of id and text, node 64 bits of the set, equal
-    for equal sets."""
+def document_sets(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, str]:
+    """(doc_id, row, node, n, shingles) and their folder: row is a key of id and text, node 64 bits of
+    the set, equal for equal sets."""
     rows = narrow(docs, doc_id="long", text="string").withColumn("row", F.xxhash64("doc_id", "text"))
     schema = "doc_id long, row long, node long, n long, shingles binary"
-    return materialize(rows.mapInArrow(_write_sets(size), schema), "jaccard-sets")
+    return written(rows.mapInArrow(_write_sets(size), schema), "jaccard-sets")
 
 
 def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -216,7 +216,9 @@ def regions(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     sieve = spark.sparkContext.broadcast(sieve_of(pivots, "h"))
     shared = rows.mapInArrow(lambda b: postings(b, sieve.value.passes), schema).select("h", "node").distinct()
     found = shared.join(pivots, "h").select("region", "node").distinct()
-    return materialize(found, "jaccard-regions")
+    found = materialize(found, "jaccard-regions")
+    release(spark)
+    return found
 
 
 # --- joins within a region ------------------------------------------------------------------------
@@ -337,16 +339,9 @@ def _dealt(members: DataFrame) -> DataFrame:
     return members.repartition("region", "part").sortWithinPartitions("region", "part")
 
 
-def region_links(sets: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links that connect what the regions' links connect."""
+def active_sets(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, str]:
+    """(node, shingles) of the points that are in any region, each once, and their folder."""
     spark = sets.sparkSession
-    sizes = members.groupBy("region").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    placed = materialize(
-        members.join(sizes, "region").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "jaccard-parts"
-    )
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    # the pivot goes to every part of its region
-    own = placed.where("node <> region").unionByName(placed.where("node = region").withColumn("part", every))
     active = spark.sparkContext.broadcast(sieve_of(members, "node"))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +357,21 @@ def region_links(sets: DataFrame, members: DataFrame, percent: int = PERCENT) ->
 
     held = sets.where("n > 0").select("node", "shingles").mapInArrow(once, "node long, shingles binary")
     held = held.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    held = materialize(held, "jaccard-active")
+    held, path = written(held, "jaccard-active")
+    release(spark)
+    return held, path
+
+
+def region_links(held: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links that connect what the regions' links connect."""
+    spark = held.sparkSession
+    sizes = members.groupBy("region").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    placed = materialize(
+        members.join(sizes, "region").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "jaccard-parts"
+    )
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    # the pivot goes to every part of its region
+    own = placed.where("node <> region").unionByName(placed.where("node = region").withColumn("part", every))
     first = own.withColumn("foreign", F.lit(False)).join(held, "node")
     links = materialize(_dealt(first).mapInArrow(_join_parts(percent, False), _LINKS), "jaccard-links")
     release(spark)
@@ -411,10 +420,15 @@ def components(links: DataFrame) -> DataFrame:
 
 def labelled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, row, n, component): the component's name is the least node in it."""
-    sets = document_sets(docs, size)
+    spark = docs.sparkSession
+    sets, sets_path = document_sets(docs, size)
+    points = materialize(sets.select("doc_id", "row", "node", "n"), "jaccard-points")
     members = regions(sets, percent)
-    labels = components(region_links(sets, members, percent))
-    rows = sets.select("doc_id", "row", "node", "n").join(labels, "node", "left")
+    held, held_path = active_sets(sets, members)
+    discard(spark, sets_path)
+    links = region_links(held, members, percent)
+    discard(spark, held_path)
+    rows = points.join(components(links), "node", "left")
     return rows.select("doc_id", "row", "n", F.coalesce("component", "node").alias("component"))
 
 

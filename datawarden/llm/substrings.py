@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datawarden.llm.common import materialize, narrow, release
+from datawarden.llm.common import discard, materialize, narrow, release, written
 from datawarden.llm.sieve import sieve_of
 from datawarden.llm.words import Block, blocks, mix
 
@@ -162,8 +162,8 @@ def _repeated(found: DataFrame, key: str) -> DataFrame:
     return both.where("owner < last").drop("last")
 
 
-def shared_windows(rows: DataFrame, length: int) -> DataFrame:
-    """(h, owner): hashes of windows in two documents, with the smallest id."""
+def shared_windows(rows: DataFrame, length: int) -> tuple[DataFrame, str]:
+    """(h, owner): hashes of windows in two documents, with the smallest id; and their folder."""
     spark = rows.sparkSession
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +176,9 @@ def shared_windows(rows: DataFrame, length: int) -> DataFrame:
                     yield _longs(["a", "doc"], anchor[new], _column(batch, "doc", block)[owner[new]])
 
     shared = _repeated(rows.select("text", "doc").mapInArrow(pieces, "a long, doc long"), "a").select("a")
-    shared = materialize(shared, "substring-anchors")
-    release(spark)
+    shared, shared_path = written(shared, "substring-anchors")
     sieve = spark.sparkContext.broadcast(sieve_of(shared, "a"))
+    discard(spark, shared_path)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,9 +188,10 @@ def shared_windows(rows: DataFrame, length: int) -> DataFrame:
                     on = sieve.value.passes(anchors(block.hash, length)[at])
                     yield _longs(["h", "doc"], sequence_hashes(block.hash, length)[at[on]], _column(batch, "doc", block)[owner[on]])
 
-    found = materialize(_repeated(rows.select("text", "doc").mapInArrow(candidates, "h long, doc long"), "h"), "substring-windows")
+    found = _repeated(rows.select("text", "doc").mapInArrow(candidates, "h long, doc long"), "h")
+    found, path = written(found, "substring-windows")
     release(spark)
-    return found
+    return found, path
 
 
 _RUNS = "row long, doc long, owner long, start long, n long"
@@ -216,8 +217,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _longs(["row", "doc", "owner", "start", "n"], row[:1], doc[:1], owner[:1], at[:1], np.array([len(row)]))
 
 
-def window_runs(rows: DataFrame, windows: DataFrame, length: int) -> DataFrame:
-    """(row, doc, owner, start, n): every document's runs of shared windows, by owner."""
+def window_runs(rows: DataFrame, windows: DataFrame, length: int) -> tuple[DataFrame, str]:
+    """(row, doc, owner, start, n): every document's runs of shared windows, by owner; and their
+    folder."""
     spark = rows.sparkSession
     sieve = spark.sparkContext.broadcast(sieve_of(windows, "h"))
 
@@ -235,9 +237,9 @@ def window_runs(rows: DataFrame, windows: DataFrame, length: int) -> DataFrame:
 
     placed = rows.select("text", "row", "doc").mapInArrow(places, "h long, row long, doc long, at long").join(windows, "h").drop("h")
     runs = placed.repartition("row").sortWithinPartitions("row", "at").mapInArrow(_runs, _RUNS)
-    runs = materialize(runs, "substring-runs")
+    runs, path = written(runs, "substring-runs")
     release(spark)
-    return runs
+    return runs, path
 
 
 _TEXTS = "shard int, part int, reference boolean, row long, doc long, start long, words binary"
@@ -289,8 +291,10 @@ def _matched(length: int):
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(row, start, stop): word spans that also stand in a document with a smaller id. Spans of one
     row may overlap."""
-    runs = window_runs(rows, shared_windows(rows, length), length)
     spark = rows.sparkSession
+    windows, windows_path = shared_windows(rows, length)
+    runs, runs_path = window_runs(rows, windows, length)
+    discard(spark, windows_path)
     total = runs.where("doc = owner").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-total // SHARD))
     runs = runs.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int")).withColumn("reference", F.col("doc") == F.col("owner"))
@@ -301,7 +305,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     dealt = dealt.withColumn("part", F.explode(F.when(F.col("reference"), every).otherwise(own)))
     # long ones of a document first meet here: bounded by its length
     listed = dealt.groupBy("row").agg(F.collect_list(F.struct("shard", "part", "reference", "row", "doc", "start", "n")).alias("runs"))
-    listed = materialize(listed, "substring-lists")
+    listed, listed_path = written(listed, "substring-lists")
+    discard(spark, runs_path)
     sieve = spark.sparkContext.broadcast(sieve_of(listed, "row"))
 
     def concerned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +317,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     words = texts.mapInArrow(_with_words(length), _TEXTS)
     order = [F.col("shard"), F.col("part"), F.col("reference").desc(), F.col("doc")]
     spans = words.repartition("shard", "part").sortWithinPartitions(*order).mapInArrow(_matched(length), "row long, start long, stop long")
-    return materialize(spans, "substring-spans")
+    spans = materialize(spans, "substring-spans")
+    discard(spark, listed_path)
+    return spans
 
 
 _KEPT = "n_words long, n_removed long, kept string, kept_sha256 string"
