@@ -257,6 +257,11 @@ def row_counts(
     digests = df.selectExpr(
         f"{_id(dataset_id)} AS dataset_id", f"{row_digest(df, columns)} AS digest"
     )
+    return digest_counts(digests)
+
+
+def digest_counts(digests: DataFrame) -> DataFrame:
+    """The same from (dataset_id, digest)."""
     groups = _grouped(digests, ["dataset_id", "digest"], ["count(1) AS n"])
     return _grouped(
         groups, ["dataset_id"], ["sum(n) AS row_count", "sum(n - 1) AS duplicate_row_count"]

@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from datawarden.config import Settings
-from datawarden.functions.scalars import instant, looked_up
+from datawarden.functions.scalars import instant
 from datawarden.operators import profile as pf
 from datawarden.operators.classify import apply_refinements, classify
 from datawarden.operators.quality import quality_checks
@@ -17,7 +17,7 @@ from datawarden.operators.score import dataset_scores, narrative, profile_scores
 from datawarden.operators.usage import value_scores
 from datawarden.session import new_run_dir
 from datawarden.sources.catalog_store import CatalogStore, new_run_id
-from datawarden.sources.csv_files import dataset_name, read_csv_folder, safe_message
+from datawarden.sources.csv_files import read_csv_folder, safe_message
 
 
 @dataclass
@@ -86,23 +86,22 @@ def ingest_csv(
 ) -> DataFrame:
     """Ingest a folder of CSV files and publish the result; returns the rejects.
 
-    `names` gives datasets another name than their file's, by file name.
+    `names` gives datasets another name than their file's, by file name; one that is blank or longer
+    than 255 characters is rejected.
 
-    A file that is not rectangular is catalogued as FAILED, without scores, columns or tags.
-    value_freq is written to the shared folder once and read by the counts and the samples.
+    A file that is not rectangular is catalogued as FAILED, without scores, columns or tags. The
+    input is read once; values, row counts and headers of the good files are written once and read
+    by everything that follows.
     """
-    intake = read_csv_folder(spark, folder, delimiter, max_bytes)
+    intake = read_csv_folder(spark, folder, delimiter, max_bytes, names=names)
     rejects = intake.manifest.filter("code IS NOT NULL").select(
         "file_id", "file_name", "size_bytes", "code", "message"
     )
-    if intake.empty:
-        return rejects
-
     work = new_run_dir(spark, "ingest")
 
     def written(name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{work}/{name}")
-        return spark.read.parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
     shape = written("shape", intake.shape())
     good = shape.filter("ragged_rows = 0").select("dataset_id")
@@ -112,8 +111,8 @@ def ingest_csv(
 
     found = Analysis(
         written("freq", pf.value_freq(only_good(intake.cells()))),
-        only_good(intake.row_counts()),
-        only_good(intake.headers()),
+        written("rows", only_good(intake.row_counts())),
+        written("headers", only_good(intake.headers())),
         store.access_events(),
         now,
         settings,
@@ -126,13 +125,12 @@ def ingest_csv(
     store.write("dataset_scores", found.scores, run_id)
     store.write("preview_rows", only_good(intake.preview()), run_id)
 
-    given = looked_up("file_name", names) if names else "CAST(NULL AS STRING)"
     accepted = intake.manifest.filter("code IS NULL").withColumnRenamed("file_id", "dataset_id")
     datasets = accepted.drop("code").join(shape, "dataset_id").selectExpr(
         "*", "CASE WHEN ragged_rows > 0 THEN 'ragged' END AS failure"
     ).selectExpr(
         "dataset_id",
-        f"{dataset_name(given, 'file_name')} AS name",
+        "name",
         "file_name AS original_filename",
         "file_type",
         "size_bytes",

@@ -1,8 +1,11 @@
 """CSV intake: a folder of files becomes one dataset per file, or a reject with a reason.
 
-Two passes over the data. The first reads plain lines and settles per file what can be settled
-by aggregates: header, emptiness, open quotes. The second parses the accepted files with Spark's
-CSV reader, one read per distinct column count, all columns as text.
+The folder is read once, as plain lines, split by split. Whether a line starts inside quotes depends on
+all lines before it, but only through one bit: every line maps the state it starts in (outside or
+inside) to the state it ends in, and these maps compose. Running windows compose them within a
+split, a second one over the few splits of a file, so a file with quoted line breaks is read by as
+many tasks as any other. Lines that belong to one record are joined, records are cut into fields,
+and both are written once; everything else reads what was written.
 
 The driver holds file paths (as Spark's own file index does), never file content.
 """
@@ -15,11 +18,11 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from datawarden.config import DATASET_NAME_CHARS
+from datawarden.config import DATASET_NAME_CHARS, PREVIEW_ROWS
 from datawarden.functions import scalars as s
-from datawarden.operators.profile import preview_rows, row_counts, text_cells, union_all
+from datawarden.operators.profile import digest_counts
+from datawarden.session import new_run_dir
 
 # Reject codes and the only messages a catalogue ever shows.
 MESSAGES = {
@@ -27,6 +30,7 @@ MESSAGES = {
     "file_too_large": "File exceeds the size cap.",
     "empty_file": "File is empty or has no data rows.",
     "invalid_file": "File has an unterminated quote.",
+    "invalid_name": "Name must have 1 to 255 characters.",
     "ragged": "File is not rectangular: a row's field count does not match the header.",
     "failed": "Ingestion failed: the file could not be profiled.",
 }
@@ -60,133 +64,201 @@ def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".cs
     )
 
 
-def split_header(line: str, delimiter: str = ",") -> str:
-    """Field names of a header line as an array; names may repeat or be blank."""
-    d = re.escape(delimiter)
-    field = rf'{d}("[^"]*(?:""[^"]*)*"|[^{d}]*)'
-    raw = f"regexp_extract_all(concat({s.text(delimiter)}, {line}), r'{field}', 1)"
-    inner = "replace(substring(x, 2, length(x) - 2), '\"\"', '\"')"
-    return f"transform({raw}, x -> CASE WHEN rlike(x, '^\".*\"$') THEN {inner} ELSE x END)"
-
-
 def _glob(suffixes: tuple[str, ...]) -> str:
     """The suffixes in any case, as a file name glob."""
     each = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in suffixes]
     return "*{" + ",".join(each) + "}"
 
 
-def line_facts(
+def fields_of(record: str, delimiter: str = ",") -> str:
+    """The cells of a record's text, as an array; names or cells may repeat or be blank.
+
+    NUL characters are removed; one then stands for a doubled quote, so that no pattern needs a
+    repeated group. A field is quoted if it begins with an odd run of quotes and ends with one.
+    Quotes in unquoted fields, and text behind a closing quote, are kept as they are.
+    """
+    d = re.escape(delimiter)
+    marked = f"""replace(replace({record}, char(0), ''), '""', char(0))"""
+    raw = (
+        f"regexp_extract_all(concat({s.text(delimiter)}, {marked}), "
+        f"r'{d}(\\x00*\"[^\"]*\"[^{d}]*|[^{d}]*)', 1)"
+    )
+    quoted = r"^(\x00*)\"([^\"]*)\"$"
+    cell = (
+        "CASE WHEN rlike(x, r'^\\x00+$') THEN repeat('\"', length(x) - 1) "
+        f"WHEN rlike(x, r'{quoted}') THEN replace(regexp_replace(x, r'{quoted}', '$1$2'), char(0), '\"') "
+        "ELSE replace(x, char(0), '\"\"') END"
+    )
+    return f"transform({raw}, x -> {cell})"
+
+
+def _open_after(line: str, delimiter: str) -> str:
+    """Whether a line that starts outside quotes ends inside. Quotes inside unquoted fields are text."""
+    d = re.escape(delimiter)
+    rest = f"""regexp_replace({line}, r'(^|{d})"[^"]*"', '$1')"""
+    return f"""rlike({rest}, r'(^|{d})"')"""
+
+
+def quoted_lines(
     spark: SparkSession, path: str, delimiter: str = ",", suffixes: tuple[str, ...] = (".csv",)
 ) -> DataFrame:
-    """Per CSV file: header line, number of non-blank lines, and what its quotes look like.
+    """Every line of the files with its map of quote states and the maps before it in its split.
 
-    A line `opens` if, read on its own, it ends inside a quoted field. A file without such a line
-    has no quoted line break and no unterminated quote. Quotes inside unquoted fields are text
-    and do not open anything.
+    `from_out` and `from_in` are the states (true: inside) after a line that starts outside or
+    inside. Before a line lie `flips` lines that turn the state round and, if there is any, a last
+    one that sets it: to `set_to`, at `set_flips` flips.
     """
-    d = re.escape(delimiter)
     lines = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", _glob(suffixes))
         .text(path)
         .selectExpr(
             "_metadata.file_path AS file_id",
-            "struct(_metadata.file_block_start AS block, monotonically_increasing_id() AS row) "
-            "AS place",
-            r"regexp_replace(value, r'^﻿', '') AS line",
+            "_metadata.file_block_start AS block",
+            "monotonically_increasing_id() AS row",
+            r"regexp_replace(value, r'^\x{FEFF}', '') AS line",
+            # a doubled quote is text inside quotes, and opens and closes outside
+            """replace(value, '""', '') AS plain""",
         )
-        .filter("trim(line) <> ''")
     )
-    rest = f"""regexp_replace(replace(line, '""', ''), r'(^|{d})"[^"]*"(?={d}|$)', '$1')"""
-    facts = [
-        "min_by(line, place) AS header_line",
-        "count(1) AS lines",
-        f"""bool_or(rlike({rest}, r'(^|{d})"')) AS opens""",
-        """sum(length(line) - length(replace(line, '"', ''))) % 2 = 1 AS odd_quotes""",
-    ]
-    return lines.groupBy("file_id").agg(*[F.expr(f) for f in facts])
+    closed = """regexp_replace(plain, r'^[^"]*"', 'x')"""
+    mapped = lines.selectExpr(
+        "file_id", "block", "row", "line",
+        f"""{_open_after("regexp_replace(plain, r'^\\x{FEFF}', '')", delimiter)} AS from_out""",
+        f"""NOT contains(plain, '"') OR {_open_after(closed, delimiter)} AS from_in""",
+    )
+    order = "OVER (PARTITION BY file_id, block ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND {})"
+    counted = mapped.selectExpr(
+        "*", f"count_if(from_out AND NOT from_in) {order.format('CURRENT ROW')} AS upto"
+    )
+    sets = "CASE WHEN from_out = from_in THEN struct(from_out AS v, upto AS n) END"
+    return counted.selectExpr(
+        "*",
+        "upto - CAST(from_out AND NOT from_in AS INT) AS flips",
+        f"last({sets}, true) {order.format('1 PRECEDING')} AS setter",
+    ).selectExpr(
+        "file_id", "block", "row", "line", "from_out", "from_in", "flips",
+        "setter.v AS set_to", "setter.n AS set_flips",
+    )
+
+
+def _state(start: str) -> str:
+    """The state in which a line starts, given the state at the start of its split."""
+    return (
+        "CASE WHEN set_to IS NULL THEN " + f"{start} <> (flips % 2 = 1) "
+        "ELSE set_to <> ((flips - set_flips) % 2 = 1) END"
+    )
+
+
+def split_states(lines: DataFrame) -> DataFrame:
+    """Per file and split the state it starts in, and the state in which the file ends."""
+    last = lines.groupBy("file_id", "block").agg(
+        F.expr("max_by(struct(from_out, from_in, flips, set_to, set_flips), row) AS last")
+    )
+    after = "CASE WHEN {0} THEN last.from_in ELSE last.from_out END"
+
+    def end(start: str) -> str:
+        state = _state(start)
+        for c in ("flips", "set_to", "set_flips"):
+            state = re.sub(rf"\b{c}\b", f"last.{c}", state)
+        return after.format(f"({state})")
+
+    maps = last.selectExpr("file_id", "block", f"{end('false')} AS from_out", f"{end('true')} AS from_in")
+    # One row for each split of a file.
+    over = "OVER (PARTITION BY file_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND {})"
+    counted = maps.selectExpr(
+        "*", f"count_if(from_out AND NOT from_in) {over.format('CURRENT ROW')} AS upto"
+    )
+    sets = "CASE WHEN from_out = from_in THEN struct(from_out AS v, upto AS n) END"
+    chained = counted.selectExpr(
+        "*", f"last({sets}, true) {over.format('CURRENT ROW')} AS setter"
+    ).selectExpr(
+        "file_id", "block",
+        "CASE WHEN setter IS NULL THEN upto % 2 = 1 ELSE setter.v <> ((upto - setter.n) % 2 = 1) END "
+        "AS ends",
+    )
+    return chained.selectExpr(
+        "file_id", "block",
+        "coalesce(lag(ends) OVER (PARTITION BY file_id ORDER BY block), false) AS starts",
+        "last(ends) OVER (PARTITION BY file_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING "
+        "AND UNBOUNDED FOLLOWING) AS open_end",
+    )
+
+
+def records(lines: DataFrame, states: DataFrame) -> DataFrame:
+    """(file_id, ord, text): the records of all files whose quotes close.
+
+    Lines of one record are joined by line feeds. Blank lines between records are none.
+    """
+    good = states.filter("NOT open_end").select("file_id", "block", "starts")
+    placed = lines.join(good, ["file_id", "block"]).selectExpr(
+        "file_id", "block", "row", "line", f"{_state('starts')} AS inside", "from_out", "from_in"
+    ).selectExpr("*", "CASE WHEN inside THEN from_in ELSE from_out END AS goes_on")
+    whole = placed.filter("NOT inside AND NOT goes_on AND trim(line) <> ''").selectExpr(
+        "file_id", "struct(block, row) AS ord", "line AS text"
+    )
+    parts = placed.filter("inside OR goes_on").selectExpr(
+        "file_id", "block", "row", "line",
+        "last(CASE WHEN NOT inside THEN struct(block, row) END, true) OVER "
+        "(PARTITION BY file_id, block ORDER BY row) AS head",
+    )
+    # A record may go on from an earlier split: its head is the last one before.
+    heads = parts.groupBy("file_id", "block").agg(F.expr("max(head) AS head"))
+    before = states.select("file_id", "block").join(heads, ["file_id", "block"], "left").selectExpr(
+        "file_id", "block",
+        "last(head, true) OVER (PARTITION BY file_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING "
+        "AND 1 PRECEDING) AS earlier",
+    )
+    joined = (
+        parts.join(before, ["file_id", "block"])
+        .selectExpr("file_id", "coalesce(head, earlier) AS ord", "struct(block, row, line) AS part")
+        .groupBy("file_id", "ord")
+        .agg(F.expr("array_join(transform(array_sort(collect_list(part)), p -> p.line), char(10)) AS text"))
+    )
+    return whole.unionByName(joined)
 
 
 def file_manifest(
-    spark: SparkSession,
-    path: str,
-    delimiter: str = ",",
+    files: DataFrame,
+    facts: DataFrame,
     max_bytes: int | None = None,
-    suffixes: tuple[str, ...] = (".csv",),
+    names: dict[str, str] | None = None,
 ) -> DataFrame:
     """One row per file with its headers, or the code that rejects it."""
     too_large = "false" if max_bytes is None else f"size_bytes > {int(max_bytes)}"
+    given = s.looked_up("file_name", names) if names else "CAST(NULL AS STRING)"
     code = (
         "CASE WHEN coalesce(file_type, '') <> 'CSV' THEN 'unsupported_file_type' "
         f"WHEN {too_large} THEN 'file_too_large' "
-        "WHEN size_bytes = 0 OR header_line IS NULL THEN 'empty_file' "
-        "WHEN opens AND odd_quotes THEN 'invalid_file' "
-        "WHEN lines < 2 THEN 'empty_file' END"
-    )
-    judged = list_files(spark, path, suffixes).join(
-        line_facts(spark, path, delimiter, suffixes), "file_id", "left"
-    ).selectExpr("*", f"{code} AS code")
-    return judged.selectExpr(
+        f"WHEN length(trim(given)) NOT BETWEEN 1 AND {DATASET_NAME_CHARS} THEN 'invalid_name' "
+        "WHEN open_end THEN 'invalid_file' "
+        "WHEN coalesce(records, 0L) < 2 THEN 'empty_file' END"
+    )
+    judged = files.selectExpr("*", f"{given} AS given").join(facts, "file_id", "left")
+    return judged.selectExpr("*", f"{code} AS code").selectExpr(
         "file_id",
         "path",
         "file_name",
+        "coalesce(trim(given), file_name) AS name",
         "file_type",
         "size_bytes",
-        f"CASE WHEN code IS NULL THEN {split_header('header_line', delimiter)} END AS headers",
-        "coalesce(opens, false) AS multi_line",
+        "CASE WHEN code IS NULL THEN header END AS headers",
+        "CASE WHEN code IS NULL THEN header_ord END AS header_ord",
         "code",
         f"{safe_message('code')} AS message",
     )
 
 
-def dataset_name(given: str, file_name: str) -> str:
-    """The trimmed given name (1 to 255 characters) or the file name."""
-    return (
-        f"CASE WHEN length(trim({given})) BETWEEN 1 AND {DATASET_NAME_CHARS} THEN trim({given}) "
-        f"ELSE {file_name} END"
-    )
-
-
-def read_width(
-    spark: SparkSession, paths: list[str], width: int, delimiter: str = ",", multi_line: bool = False
-) -> DataFrame:
-    """Files of one column count as (dataset_id, ord, c0..., ragged), every cell nullable text.
-
-    `ord` orders the rows within a file. NUL characters are removed, empty cells are null.
-    """
-    names = [f"c{i}" for i in range(width)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_corrupt"]])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .option("sep", delimiter)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        # Field counts are only checked on the columns a query reads.
-        .option("columnPruning", False)
-        .csv([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths])
-    )
-    return raw.selectExpr(
-        "_metadata.file_path AS dataset_id",
-        "struct(_metadata.file_block_start AS block, monotonically_increasing_id() AS row) AS ord",
-        *[f"nullif(replace({n}, char(0), ''), '') AS {n}" for n in names],
-        # Reads a cell as well: Spark refuses plans that read the corrupt record alone.
-        "coalesce(length(concat(_corrupt, coalesce(c0, ''))) > 0, false) AS ragged",
-    )
-
-
 @dataclass
 class CsvIntake:
-    """The accepted tables of a folder, grouped by column count, and the manifest."""
+    """The manifest of a folder and the rows of its accepted files, both written.
 
-    manifest: DataFrame
-    groups: list[tuple[int, DataFrame]]
+    `rows` has dataset_id, ord (the order within a file), cells (an array of texts, empty ones null)
+    and ragged (another number of cells than the header has).
+    """
 
-    @property
-    def empty(self) -> bool:
-        return not self.groups
+    manifest: DataFrame
+    rows: DataFrame
 
     def headers(self) -> DataFrame:
         return self.manifest.filter("code IS NULL").selectExpr(
@@ -195,23 +267,30 @@ class CsvIntake:
 
     def cells(self) -> DataFrame:
         """Long form of all tables, whatever their widths."""
-        return union_all([text_cells(df, _columns(w), ordinal="ord") for w, df in self.groups])
+        long = self.rows.selectExpr("dataset_id", "ord", "posexplode(cells) AS (position, value)")
+        return long.selectExpr(
+            "coalesce(dataset_id, '') AS dataset_id", "ord",
+            "coalesce(position, -1) AS position", f"{s.cell('value')} AS value",
+        )
 
     def row_counts(self) -> DataFrame:
-        return union_all([row_counts(df, _columns(w)) for w, df in self.groups])
+        spelled = "array_join(transform(cells, x -> coalesce(concat(length(x), ':', x), '~')), '')"
+        return digest_counts(self.rows.selectExpr("dataset_id", f"unhex(sha2({spelled}, 256)) AS digest"))
 
-    def preview(self) -> DataFrame:
+    def preview(self, limit: int = PREVIEW_ROWS) -> DataFrame:
         """First rows per dataset; names are in the header table, by position."""
-        return union_all([preview_rows(df, _columns(w), "ord") for w, df in self.groups])
+        ranked = self.rows.selectExpr(
+            "dataset_id",
+            "row_number() OVER (PARTITION BY dataset_id ORDER BY ord) AS row_number",
+            f"transform(cells, (x, i) -> struct(i AS position, {s.shorten('x')} AS value)) AS cells",
+        )
+        return ranked.filter(f"row_number <= {int(limit)}")
 
     def shape(self) -> DataFrame:
         """Per dataset its rows and how many do not fit the header."""
-        counts = [F.expr("count(1) AS row_count"), F.expr("count_if(ragged) AS ragged_rows")]
-        return union_all([df.groupBy("dataset_id").agg(*counts) for _, df in self.groups])
-
-
-def _columns(width: int) -> list[str]:
-    return [f"c{i}" for i in range(width)]
+        return self.rows.groupBy("dataset_id").agg(
+            F.expr("count(1) AS row_count"), F.expr("count_if(ragged) AS ragged_rows")
+        )
 
 
 def read_csv_folder(
@@ -220,17 +299,35 @@ def read_csv_folder(
     delimiter: str = ",",
     max_bytes: int | None = None,
     suffixes: tuple[str, ...] = (".csv",),
+    names: dict[str, str] | None = None,
 ) -> CsvIntake:
-    """Manifest and tables of a folder. A header with line breaks in quotes is not supported."""
-    manifest = file_manifest(spark, path, delimiter, max_bytes, suffixes)
-    accepted = manifest.filter("code IS NULL").selectExpr(
-        "path", "size(headers) AS width", "multi_line"
-    )
-    grouped: dict[tuple[int, bool], list[str]] = {}
-    for row in accepted.collect():
-        grouped.setdefault((row["width"], row["multi_line"]), []).append(row["path"])
-    groups = [
-        (width, read_width(spark, paths, width, delimiter, multi_line))
-        for (width, multi_line), paths in sorted(grouped.items())
-    ]
-    return CsvIntake(manifest, groups)
+    """Manifest and tables of a folder. `names` gives datasets another name than their file's.
+
+    Lines, records and the manifest are written to the shared folder, one after the other.
+    """
+    work = new_run_dir(spark, "csv-intake")
+
+    def written(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    lines = written("lines", quoted_lines(spark, path, delimiter, suffixes))
+    states = written("states", split_states(lines))
+    parsed = written(
+        "records",
+        records(lines, states).selectExpr("file_id", "ord", f"{fields_of('text', delimiter)} AS fields"),
+    )
+    ends = states.groupBy("file_id").agg(F.expr("bool_or(open_end) AS open_end"))
+    counted = parsed.groupBy("file_id").agg(
+        F.expr("count(1) AS records"), F.expr("min_by(struct(fields, ord), ord) AS first")
+    )
+    facts = ends.join(counted, "file_id", "left").selectExpr(
+        "file_id", "open_end", "records", "first.fields AS header", "first.ord AS header_ord"
+    )
+    manifest = written("manifest", file_manifest(list_files(spark, path, suffixes), facts, max_bytes, names))
+    accepted = manifest.filter("code IS NULL").selectExpr("file_id", "header_ord", "size(headers) AS width")
+    rows = parsed.join(accepted, "file_id").filter("ord <> header_ord").selectExpr(
+        "file_id AS dataset_id", "ord",
+        "transform(fields, x -> nullif(x, '')) AS cells", "size(fields) <> width AS ragged",
+    )
+    return CsvIntake(manifest, rows)
