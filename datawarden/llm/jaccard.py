@@ -6,13 +6,16 @@ linked; the result is each document's component under links.
 Distances between unrelated texts are all about 1, so no small set of pivots tells them apart: with
 pivots taken from a sample, every document lies in the window of every region. The pivots are
 therefore chosen where points can be near, by a filter that loses no link: in any fixed order of all
-shingles, two linked sets share one among their first n - ceil(t n) + 1. The order is by hash, with
-the most frequent shingles last, so passages that many documents share seldom enter these prefixes.
+shingles, two linked sets share m among their first n - ceil(t n) + m. The order is by hash, with
+the most frequent shingles last, so passages that many documents share seldom enter these prefixes;
+and m grows with n, so a long document that shares a few passages with others is no candidate.
 
 1. Sets are written once. Equal sets are one point from here on.
-2. Among the points that share a prefix shingle, the one with the largest share of frequent shingles
-   in its prefix (the centre of a group of copies) is the pivot. A point belongs to the region of
-   every pivot that it shares a prefix shingle with; points near a border belong to several.
+2. The points that share a prefix shingle are chained by size: linked ones differ by less than
+   1 - t, so a wider gap parts them. A point stays if it has company for m of its prefix shingles.
+   In each chain, the point with the largest share of frequent shingles in its prefix (the centre of
+   a group of copies) is the pivot. A point belongs to the region of every pivot in whose chains it
+   is; points near a border belong to several.
 3. A region computes its points' distances to the pivot. Points within RADIUS are linked to it and
    need no pair among themselves. For the others, a triangle-inequality window bounds the distance
    to the pivot of any point they can be linked with; the region is joined again around the next
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from datawarden.llm.common import discard, materialize, narrow, release, written
@@ -40,6 +43,8 @@ from datawarden.llm.words import Block, blocks, mix, windows
 SHINGLE = 4
 #: Links: PERCENT * union <= 100 * intersection.
 PERCENT = 85
+#: Percent of a set's size by which prefixes are longer than one common shingle needs.
+EXTRA = 5
 #: Frequent shingles put last: counts from HOT on, at most HOT_MOST of them.
 HOT, HOT_MOST = 16, 1 << 17
 #: Points of a region that one task joins.
@@ -103,8 +108,8 @@ def document_sets(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, str]
 
 
 def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Of two linked sets, these many first elements of each share one: n - ceil(t n) + 1."""
-    return n - -(-(n * percent) // 100) + 1
+    """Of two linked sets, these many first elements of each share `common` of the smaller size."""
+    return n - -(-(n * percent) // 100) + 1 + n * EXTRA // 100
 
 
 class Order:
@@ -198,27 +203,44 @@ def regions(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             if passes is not None:
                 keep = passes(keys.view(np.int64))
                 owner, keys = owner[keep], keys[keep]
-            node = batch.column("node").to_numpy()
+            node, n = batch.column("node").to_numpy(), np.diff(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(node[owner]), pa.array(off[owner])], names=["h", "node", "off"]
+                [pa.array(keys.view(np.int64)), pa.array(node[owner]), pa.array(n[owner]), pa.array(off[owner])],
+                names=["h", "node", "n", "off"],
             )
 
-    schema, rows = "h long, node long, off int", sets.where("n > 0").select("node", "shingles")
-    pivots = (
+    schema, rows = "h long, node long, n long, off int", sets.where("n > 0").select("node", "shingles")
+    shared = (
         rows.mapInArrow(postings, schema)
         .groupBy("h")
-        .agg(F.min(F.struct("off", "node")).alias("pivot"), F.min("node").alias("low"), F.max("node").alias("high"))
+        .agg(F.min("node").alias("low"), F.max("node").alias("high"))
         .where("low < high")
-        .select("h", F.col("pivot.node").alias("region"))
+        .select("h")
     )
-    pivots = materialize(pivots, "jaccard-pivots")
-    release(spark)
-    sieve = spark.sparkContext.broadcast(sieve_of(pivots, "h"))
-    shared = rows.mapInArrow(lambda b: postings(b, sieve.value.passes), schema).select("h", "node").distinct()
-    found = shared.join(pivots, "h").select("region", "node").distinct()
-    found = materialize(found, "jaccard-regions")
+    shared, path = written(shared, "jaccard-shared")
+    sieve = spark.sparkContext.broadcast(sieve_of(shared, "h"))
+    discard(spark, path)
+    # shingles that only passed the sieve have one point, and no company below
+    found = rows.mapInArrow(lambda b: postings(b, sieve.value.passes), schema).distinct()
+    by_size = Window.partitionBy("h").orderBy("n", "node")
+    smaller = F.coalesce(F.lag("n").over(by_size) * 100 >= F.col("n") * percent, F.lit(False))
+    larger = F.coalesce(F.col("n") * 100 >= F.lead("n").over(by_size) * percent, F.lit(False))
+    company = found.withColumn("near", smaller | larger).where("near").drop("near")
+    for _ in range(2):  # each round drops points and so the company of others; any number is right
+        company = materialize(company, "jaccard-company")
+        least = F.floor(F.floor(F.col("n") * percent / 100) * EXTRA / 100) + 1
+        kept = company.groupBy("node").agg(F.count("*").alias("met"), F.min("n").alias("n"))
+        kept = kept.where(F.col("met") >= least).select("node")
+        company = company.join(kept, "node", "left_semi")
+        company = company.withColumn("near", smaller | larger).where("near").drop("near")
+    company = materialize(company, "jaccard-company")
+    chained = company.withColumn("cut", F.when(smaller, F.lit(0)).otherwise(F.lit(1)))
+    chained = chained.withColumn("chain", F.sum("cut").over(by_size)).select("h", "chain", "node", "off")
+    pivots = chained.groupBy("h", "chain").agg(F.min(F.struct("off", "node")).alias("pivot"))
+    members = chained.join(pivots, ["h", "chain"]).select(F.col("pivot.node").alias("region"), "node").distinct()
+    members = materialize(members, "jaccard-regions")
     release(spark)
-    return found
+    return members
 
 
 # --- joins within a region ------------------------------------------------------------------------
