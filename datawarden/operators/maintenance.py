@@ -14,22 +14,61 @@ from pyspark.sql import functions as F
 
 from datawarden.config import PII_CATEGORIES, SENSITIVITIES, Settings
 from datawarden.functions import scalars as s
-from datawarden.operators.score import reweight, trust_block
-from datawarden.operators.usage import value_scores
+from datawarden.operators.score import reweight, trust_block, value_from_windows
+from datawarden.operators.usage import value_scores, windows_at
 
 KEY = ["dataset_id", "position"]
 
 
 # --------------------------------------------------------------------------- settings
+def _weights_ok(keys: tuple[str, ...]) -> str:
+    names = ", ".join(s.text(k) for k in sorted(keys))
+    return (
+        f"coalesce(array_sort(map_keys(m)) = array({names}) "
+        "AND forall(map_values(m), x -> x BETWEEN 0 AND 1) "
+        "AND abs(aggregate(map_values(m), 0D, (a, x) -> a + x) - 1) <= 0.001, false)"
+    )
+
+
+def acceptable_settings(log: DataFrame) -> DataFrame:
+    """The entries that the settings' own checks would take; others never count.
+
+    A null value is a tombstone and always taken.
+    """
+    number = "try_cast(json_value AS DOUBLE)"
+    cuts = tuple(Settings().recommend)
+    checks = {
+        "classify_threshold": f"{number} BETWEEN 0 AND 1",
+        "freq_cap": f"{number} BETWEEN 1 AND 100000 AND {number} = floor({number})",
+        "half_life_days": f"{number} BETWEEN 0.5 AND 3650",
+        "recommend": f"array_sort(map_keys(m)) = array({', '.join(s.text(k) for k in sorted(cuts))}) "
+        "AND forall(map_values(m), x -> x BETWEEN 0 AND 100) "
+        f"AND m['{cuts[0]}'] <= m['{cuts[1]}'] AND m['{cuts[1]}'] <= m['{cuts[2]}']",
+        "sensitivity": "array_sort(map_keys(t)) = array("
+        + ", ".join(s.text(c) for c in sorted(PII_CATEGORIES))
+        + f") AND forall(map_values(t), x -> {s.one_of('x', SENSITIVITIES)})",
+    }
+    for block in ("quality", "trust", "value"):
+        checks[block] = _weights_ok(tuple(getattr(Settings(), block)))
+    cases = " ".join(f"WHEN '{k}' THEN coalesce({c}, false)" for k, c in checks.items())
+    parsed = log.selectExpr(
+        "*",
+        "from_json(json_value, 'map<string,double>') AS m",
+        "from_json(json_value, 'map<string,string>') AS t",
+    )
+    kept = parsed.filter(f"json_value IS NULL OR CASE key {cases} ELSE false END")
+    return kept.select(*log.columns)
+
+
 def effective_settings(log: DataFrame, defaults: Settings = Settings()) -> DataFrame:
     """Eight rows (key, value, overridden, updated_at) from settings_log(key, json_value,
     updated_at).
 
     A null json_value is a tombstone: it takes the key back to its default, as does a later
     tombstone under the key '*' for all keys. Later entries win; within one instant the larger
-    text does.
+    text does. Values that the settings would refuse are passed over.
     """
-    known = log.filter(s.one_of("key", [*defaults.keys(), "*"]))
+    known = acceptable_settings(log).filter(s.one_of("key", [*defaults.keys(), "*"]))
     latest = known.groupBy("key").agg(F.expr("max(struct(updated_at, json_value)) AS entry"))
     # At most nine rows are left: one per key and the reset marker.
     folded = latest.agg(F.expr("map_from_entries(collect_list(struct(key, entry))) AS entries"))
@@ -160,6 +199,24 @@ def recompute_value(
     )
 
 
+def value_history(
+    scores: DataFrame, events: DataFrame, instants: list[datetime | str], settings: Settings = Settings()
+) -> DataFrame:
+    """Snapshots of all scored datasets at several instants, Value as it was then.
+
+    The windows of all instants are counted in one pass over the events.
+    """
+    windows = windows_at(scores.select("dataset_id"), events, instants)
+    fresh = value_from_windows(windows, settings).selectExpr(
+        "dataset_id", "captured_at", "value.score AS value_score"
+    )
+    known = scores.filter("quality.score IS NOT NULL AND trust.score IS NOT NULL")
+    return known.join(fresh, "dataset_id").selectExpr(
+        "dataset_id", "quality.score AS quality_score", "trust.score AS trust_score", "value_score",
+        "captured_at",
+    )
+
+
 def score_snapshots(scores: DataFrame, captured_at: datetime | str) -> DataFrame:
     """Rows to append to the score history; a dataset needs all three scores."""
     return scores.filter("quality.score IS NOT NULL AND trust.score IS NOT NULL").selectExpr(

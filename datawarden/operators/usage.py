@@ -30,25 +30,23 @@ def of_type(events: DataFrame, access_type: str | None) -> DataFrame:
     return events.filter(f"access_type = '{access_type}'")
 
 
+def _within(now: datetime | str, newer: int, older: int) -> str:
+    return f"count_if({_AT} <= {s.days_before(now, newer)} AND {_AT} > {s.days_before(now, older)})"
+
+
 def access_windows(events: DataFrame, now: datetime | str) -> DataFrame:
     """Per dataset the three scoring windows and the days since the last access.
 
     Windows are half open: (now - 90d, now], (now - 30d, now], (now - 60d, now - 30d]. The last
     access is taken over all events, later ones than `now` included; its age is never negative.
     """
-
-    def within(newer: int, older: int) -> str:
-        return (
-            f"count_if({_AT} <= {s.days_before(now, newer)} AND {_AT} > {s.days_before(now, older)})"
-        )
-
     grouped = _grouped(
         events,
         ["dataset_id"],
         [
-            f"{within(0, 90)} AS accesses_90d",
-            f"{within(0, 30)} AS accesses_last30",
-            f"{within(30, 60)} AS accesses_prev30",
+            f"{_within(now, 0, 90)} AS accesses_90d",
+            f"{_within(now, 0, 30)} AS accesses_last30",
+            f"{_within(now, 30, 60)} AS accesses_prev30",
             f"max({_AT}) AS last_accessed_at",
         ],
     )
@@ -69,6 +67,26 @@ def windows_for(datasets: DataFrame, events: DataFrame, now: datetime | str) ->
     )
 
 
+def windows_at(datasets: DataFrame, events: DataFrame, instants: list[datetime | str]) -> DataFrame:
+    """The access windows of every dataset at each instant (captured_at), in one pass."""
+    counts = []
+    for i, at in enumerate(instants):
+        for c, newer, older in (("accesses_90d", 0, 90), ("accesses_last30", 0, 30), ("accesses_prev30", 30, 60)):
+            counts.append(f"{_within(at, newer, older)} AS {c}_{i}")
+    grouped = _grouped(events, ["dataset_id"], [*counts, f"max({_AT}) AS last_accessed_at"])
+    rows = ", ".join(
+        f"struct({s.instant(at)} AS captured_at, coalesce(accesses_90d_{i}, 0L) AS accesses_90d, "
+        f"coalesce(accesses_last30_{i}, 0L) AS accesses_last30, "
+        f"coalesce(accesses_prev30_{i}, 0L) AS accesses_prev30, last_accessed_at, "
+        f"greatest(0D, ({s.micros(at)}L - unix_micros(last_accessed_at)) / {s.double(s.DAY_MICROS)}) "
+        "AS days_since_last_access)"
+        for i, at in enumerate(instants)
+    )
+    return datasets.select("dataset_id").join(grouped, "dataset_id", "left").selectExpr(
+        "dataset_id", f"inline(array({rows}))"
+    )
+
+
 def value_scores(
     datasets: DataFrame, events: DataFrame, now: datetime | str, settings: Settings = Settings()
 ) -> DataFrame:

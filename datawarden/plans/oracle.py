@@ -31,7 +31,7 @@ from datawarden.functions.pii import (
     STRONG_CATEGORIES,
     VALUE_CATEGORIES,
 )
-from datawarden.plans.workload import CUSTOMER_COLUMNS, ORDER_COLUMNS
+from datawarden.plans.workload import ALL_LEVELS, CUSTOMER_COLUMNS, ORDER_COLUMNS
 
 NOW = "TIMESTAMP '1998-07-01 00:00:00'"
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$"
@@ -557,10 +557,11 @@ SELECT CASE WHEN event_id % 2500 = 0 THEN '*' WHEN event_type = 'purchase' THEN
             WHEN event_type = 'signup' THEN CAST(user_id % 30 + 10 AS VARCHAR)
             WHEN event_type = 'click'
             THEN '{"classification_coverage": 0.25, "consistency": 0.25, "quality": 0.5}'
-            WHEN event_type = 'view' THEN '{"NONE": "LOW"}'
+            WHEN event_type = 'view' THEN '@levels'
             ELSE '{"archive_below": 40, "optimize_below": 70, "retire_below": 20}' END AS json_value,
        ts AS updated_at
-FROM events"""
+FROM events
+WHERE event_id % 2500 = 0 OR user_id % 3 = 0 OR event_type <> 'view' OR user_id % 2 <> 0""".replace("@levels", ALL_LEVELS)
 
 CTES["text_tokens"] = """
 SELECT 'documents' AS dataset_id, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS position,

@@ -269,9 +269,19 @@ TYPED_TABLES = {
     "c_mktsegment STRING",
     "part": "p_partkey INTEGER, p_name STRING, p_brand STRING, p_type STRING, p_size INTEGER, "
     "p_retailprice FLOAT",
+    "lineitem": "l_orderkey INTEGER, l_partkey INTEGER, l_suppkey INTEGER, l_linenumber INTEGER, "
+    "l_quantity FLOAT, l_extendedprice FLOAT, l_discount FLOAT, l_tax FLOAT, l_returnflag STRING, "
+    "l_linestatus STRING, l_shipdate DATETIME",
+    "supplier": "s_suppkey INTEGER, s_name STRING, s_nationkey INTEGER, s_acctbal FLOAT",
+    "nation": "n_nationkey INTEGER, n_name STRING, n_regionkey INTEGER",
+    "region": "r_regionkey INTEGER, r_name STRING",
     "events": "event_id INTEGER, ts DATETIME, user_id INTEGER, event_type STRING, value FLOAT, "
     "props STRING",
     "documents": "doc_id INTEGER, text STRING, lang STRING, source STRING, n_chars INTEGER",
+    "labels": "doc_id INTEGER, quality INTEGER, toxic INTEGER",
+    "pages": "page_id INTEGER, url STRING, html STRING",
+    "embeddings": "vec_id INTEGER, embedding ARRAY, label INTEGER",
+    "benchmark": "item_id INTEGER, text STRING",
     "conversations": "conv_id INTEGER, turn INTEGER, role STRING, text STRING",
 }
 
@@ -281,7 +291,8 @@ def _typed_oracle() -> str:
     for table, listing in TYPED_TABLES.items():
         for i, entry in enumerate(listing.split(", ")):
             name, kind = entry.split()
-            cell = f"CASE WHEN trim({name}) <> '' THEN {name} END" if kind == "STRING" else name
+            kind, array = ("STRING", True) if kind == "ARRAY" else (kind, False)
+            cell = f"CASE WHEN trim({name}) <> '' THEN {name} END" if kind == "STRING" and not array else name
             parts.append(
                 f"SELECT '{table}' AS dataset_id, {i} AS position, '{name}' AS name, "
                 f"CASE WHEN count({cell}) = 0 THEN 'UNKNOWN' ELSE '{kind}' END AS data_type, "
@@ -783,8 +794,7 @@ def score_explain(spark, sf_dir):
 )
 def override_tags(spark, sf_dir):
     c = wl.Catalog(spark, sf_dir)
-    known = c.found.headers.join(c.ready, "dataset_id", "left_semi")
-    chosen = mt.valid_overrides(wl.override_requests(spark, sf_dir), known)
+    chosen = mt.valid_overrides(wl.override_requests(spark, sf_dir), c.columns)
     return mt.apply_overrides(c.tags, chosen).withColumn(
         "confidence", r6("confidence")
     )
@@ -802,8 +812,7 @@ def override_tags(spark, sf_dir):
 def override_trust(spark, sf_dir):
     """Some columns have no tag row yet; decisions about them raise the coverage."""
     c = wl.Catalog(spark, sf_dir)
-    known = c.found.headers.join(c.ready, "dataset_id", "left_semi")
-    chosen = mt.valid_overrides(wl.override_requests(spark, sf_dir), known)
+    chosen = mt.valid_overrides(wl.override_requests(spark, sf_dir), c.columns)
     tags = mt.apply_overrides(c.tags.filter("position % 4 <> 3"), chosen)
     out = mt.retrust(c.scores, c.listed, tags)
     return out.select(
@@ -825,8 +834,7 @@ def override_trust(spark, sf_dir):
 )
 def override_rejects(spark, sf_dir):
     c = wl.Catalog(spark, sf_dir)
-    known = c.found.headers.join(c.ready, "dataset_id", "left_semi")
-    bad = mt.rejected_overrides(wl.override_requests(spark, sf_dir), c.listed, known)
+    bad = mt.rejected_overrides(wl.override_requests(spark, sf_dir), c.listed, c.columns)
     return bad.groupBy("code").agg(F.count(F.lit(1)).alias("requests"))
 
 
@@ -858,8 +866,7 @@ _REMAP = (
 )
 def remap_tags(spark, sf_dir):
     c = wl.Catalog(spark, sf_dir)
-    known = c.found.headers.join(c.ready, "dataset_id", "left_semi")
-    chosen = mt.valid_overrides(wl.override_requests(spark, sf_dir), known)
+    chosen = mt.valid_overrides(wl.override_requests(spark, sf_dir), c.columns)
     tags = mt.apply_overrides(c.tags, chosen)
     return mt.remap_tags(tags, OTHER).select(
         "dataset_id", "position", "category", "overridden", "sensitivity", "changed"
@@ -920,12 +927,9 @@ _SNAPSHOTS = " UNION ALL ".join(
     },
 )
 def score_snapshots(spark, sf_dir):
-    """Value recomputed at three instants, each appended to the score history."""
+    """The score history at three instants, with Value as it was then."""
     c = wl.Catalog(spark, sf_dir)
-    parts = [
-        mt.score_snapshots(mt.recompute_value(c.scores, c.events, t), t) for t in SNAPSHOT_TIMES
-    ]
-    return union_all(parts).select(
+    return mt.value_history(c.scores, c.events, list(SNAPSHOT_TIMES)).select(
         "dataset_id",
         F.date_format("captured_at", "yyyy-MM-dd").alias("captured"),
         *[r6(s).alias(s) for s in ("quality_score", "trust_score", "value_score")],
@@ -981,18 +985,18 @@ def reprofile_one(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- csv
-CSV_FILES = 4  # per segment
+CSV_KEYS = 20_000  # order keys of a file
 
 
 def _write_csv(spark: SparkSession, sf_dir: str) -> str:
-    """The dirty orders as CSV files, a few per segment, written as plain lines.
+    """The dirty orders as CSV files of a range of keys each, so more rows make more files.
 
     MACHINERY has rows with a field too many, HOUSEHOLD quoted line breaks, and each FURNITURE
     file one quote that never closes.
     """
     folder = new_run_dir(spark, "csv")
     rows = wl.dirty_orders(spark, sf_dir).selectExpr(
-        "split(dataset_id, '-')[0] AS segment", f"pmod(hash(ord), {CSV_FILES}) AS file_no", "*"
+        "split(dataset_id, '-')[0] AS segment", f"ord DIV {CSV_KEYS} AS file_no", "*"
     )
     stray = (
         rows.filter("segment = 'FURNITURE' AND ord % 50 <> 0")

@@ -6,19 +6,23 @@ grows with them.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datawarden.config import Settings
+from datawarden.config import SENSITIVITY_BY_CATEGORY, Settings
 from datawarden.operators.catalog import with_scores
 from datawarden.operators.profile import headers_of, row_counts, text_cells, value_freq
 from datawarden.plans.ingest import Analysis
+from datawarden.session import new_run_dir, remove_run_dir
 from datawarden.sources import tables
+from datawarden.sources.catalog_store import CatalogStore, new_run_id
 
 NOW = "1998-07-01T00:00:00Z"
+ALL_LEVELS = json.dumps({**SENSITIVITY_BY_CATEGORY, "NONE": "LOW"}, sort_keys=True)
 
 ORDER_COLUMNS = (
     "order_id", "customer_email", "amount", "status", "order_date", "client_ip", "phone", "card",
@@ -221,17 +225,58 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def publish_catalog(spark: SparkSession, sf_dir: str) -> CatalogStore:
+    """Both text tables analysed and published, as an ingest leaves them: grouped values, row counts
+    and headers are written once and read by everything that follows."""
+    store = CatalogStore(spark, new_run_dir(spark, "catalog"), log_unit="month")
+    work = new_run_dir(spark, "catalog-input")
+
+    def written(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    t = text_tables(spark, sf_dir)
+    listed = written("manifest", manifest(spark, sf_dir))
+    ready = listed.filter("status = 'READY'").select("dataset_id")
+
+    def of_ready(df: DataFrame) -> DataFrame:
+        return df.join(ready, "dataset_id", "left_semi")
+
+    live = access_log(spark, sf_dir).withColumn("source", F.lit("LIVE"))
+    store.append("access_events", live, batch="first")
+    found = Analysis(
+        written("freq", of_ready(t.freq)), written("rows", of_ready(t.rows)),
+        written("headers", of_ready(t.headers)), store.access_events(), NOW,
+    )
+    run = new_run_id()
+    store.write("columns", found.counts, run)
+    store.write("tags", found.tags, run)
+    store.write("quality_checks", found.checks, run)
+    store.write("dataset_scores", found.scores, run)
+    store.write("datasets", listed, run)
+    store.publish(run, listed, NOW, ("datasets", "columns", "tags", "quality_checks", "dataset_scores"))
+    remove_run_dir(spark, work)
+    return store
+
+
 class Catalog:
-    """The catalogue tables of both text tables; only READY datasets have findings."""
+    """The published catalogue of both text tables; only READY datasets have findings.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, now: str = NOW):
-        self.listed = manifest(spark, sf_dir)
-        self.ready = self.listed.filter("status = 'READY'").select("dataset_id")
-        self.found = findings(spark, sf_dir, now)
-        self.events = self.found.events
+    It is published once for each application and folder, and read from the store.
+    """
 
-    def _ready(self, df: DataFrame) -> DataFrame:
-        return df.join(self.ready, "dataset_id", "left_semi")
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _STORES:
+            _STORES[key] = publish_catalog(spark, sf_dir).root
+        self.store = CatalogStore(spark, _STORES[key], log_unit="month")
+
+    @cached_property
+    def listed(self) -> DataFrame:
+        return self.store.read("datasets")
 
     @cached_property
     def datasets(self) -> DataFrame:
@@ -239,19 +284,38 @@ class Catalog:
 
     @cached_property
     def columns(self) -> DataFrame:
-        return self._ready(self.found.counts)
+        return self.store.read("columns")
 
     @cached_property
     def tags(self) -> DataFrame:
-        return self._ready(self.found.tags)
+        return self.store.read("tags")
 
     @cached_property
     def checks(self) -> DataFrame:
-        return self._ready(self.found.checks)
+        return self.store.read("quality_checks")
 
     @cached_property
     def scores(self) -> DataFrame:
-        return self._ready(self.found.scores)
+        return self.store.read("dataset_scores")
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return self.store.access_events()
+
+    def copy(self) -> CatalogStore:
+        """A store of its own with the same content, for changes."""
+        spark = self.store.spark
+        other = CatalogStore(spark, new_run_dir(spark, "catalog-copy"), log_unit="month")
+        run = new_run_id()
+        tables = {
+            "datasets": self.listed, "columns": self.columns, "tags": self.tags,
+            "dataset_scores": self.scores,
+        }
+        for name, rows in tables.items():
+            other.write(name, rows, run)
+        other.publish(run, self.listed, NOW, tuple(tables))
+        other.append("access_events", self.events, batch="first")
+        return other
 
 
 # --------------------------------------------------------------------------- logs
@@ -261,12 +325,13 @@ def settings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN event_id % 2500 = 0 THEN '*' WHEN event_type = 'purchase' THEN 'freq_cap' "
         "WHEN event_type = 'signup' THEN 'half_life_days' WHEN event_type = 'click' THEN 'trust' "
         "WHEN event_type = 'view' THEN 'sensitivity' ELSE 'recommend' END AS key",
+        # of the sensitivity maps, those of even users lack categories and must not count
         "CASE WHEN event_id % 2500 = 0 OR user_id % 3 = 0 THEN NULL "
         "WHEN event_type = 'purchase' THEN CAST(user_id % 50 + 20 AS STRING) "
         "WHEN event_type = 'signup' THEN CAST(user_id % 30 + 10 AS STRING) "
         "WHEN event_type = 'click' "
         """THEN '{"classification_coverage": 0.25, "consistency": 0.25, "quality": 0.5}' """
-        """WHEN event_type = 'view' THEN '{"NONE": "LOW"}' """
+        f"""WHEN event_type = 'view' THEN CASE WHEN user_id % 2 = 0 THEN '{{"NONE": "LOW"}}' ELSE '{ALL_LEVELS}' END """
         """ELSE '{"archive_below": 40, "optimize_below": 70, "retire_below": 20}' END """
         "AS json_value",
         "ts AS updated_at",

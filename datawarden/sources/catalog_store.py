@@ -16,8 +16,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from datawarden.config import Settings
 from datawarden.functions.scalars import instant, text, utc_day
-from datawarden.operators.maintenance import tombstones_by_name, without_deleted
+from datawarden.operators.maintenance import (
+    apply_overrides,
+    load_settings,
+    recompute_scores,
+    remap_tags,
+    retrust,
+    tombstones_by_name,
+    valid_overrides,
+    without_deleted,
+)
 
 LOGS = {
     "tombstones": "dataset_id string, deleted_at timestamp",
@@ -133,6 +143,53 @@ class CatalogStore:
         kept = without_deleted(self.log("score_snapshots"), self.log("tombstones"), "captured_at")
         return kept.orderBy("dataset_id", "captured_at")
 
+    # ------------------------------------------------------------------ changes
+    def _republish(self, at: datetime | str, run_id: str | None, **tables: DataFrame) -> str:
+        """A run of some tables only; readers take the others from earlier runs."""
+        run = run_id or new_run_id()
+        for name, rows in tables.items():
+            self.write(name, rows, run)
+        ids = None
+        for name in tables:
+            mine = self.spark.read.parquet(f"{self.root}/{name}/run_id={run}").select("dataset_id")
+            ids = mine if ids is None else ids.unionByName(mine)
+        self.publish(run, ids.distinct(), at, tuple(tables))
+        return run
+
+    def settings(self) -> Settings:
+        """The settings in force, from the log."""
+        return load_settings(self.log("settings_log"))
+
+    def apply_logged_overrides(self, at: datetime | str, run_id: str | None = None) -> str:
+        """Publishes the tags after all logged overrides, and Trust after their coverage, for the
+        datasets they name."""
+        settings, columns, tags = self.settings(), self.read("columns"), self.read("tags")
+        chosen = valid_overrides(self.log("tag_overrides"), columns, settings)
+        touched = chosen.select("dataset_id").distinct()
+
+        def mine(df: DataFrame) -> DataFrame:
+            return df.join(touched, "dataset_id", "left_semi")
+
+        changed = apply_overrides(mine(tags), chosen)
+        names = columns.select("dataset_id", "position", "name")
+        full = changed.join(names, ["dataset_id", "position"], "left").selectExpr(
+            "dataset_id", "position", "name", "category", "sensitivity", "confidence", "source",
+            "overridden", "false AS needs_review",
+        )
+        scores = retrust(mine(self.read("dataset_scores")), self.read("datasets"), changed, settings)
+        return self._republish(at, run_id, tags=full, dataset_scores=scores)
+
+    def rescore(self, at: datetime | str, run_id: str | None = None) -> str:
+        """Publishes all scores and automatic tags again under the logged settings."""
+        settings = self.settings()
+        scores = recompute_scores(self.read("dataset_scores"), self.access_events(), at, settings)
+        tags = remap_tags(self.read("tags"), settings).drop("changed")
+        return self._republish(at, run_id, dataset_scores=scores, tags=tags)
+
+    def write_values(self, scores: DataFrame, at: datetime | str, run_id: str | None = None) -> str:
+        """Publishes scores whose Value was recomputed, for their datasets alone."""
+        return self._republish(at, run_id, dataset_scores=scores)
+
     # ------------------------------------------------------------------ deletes
     def delete_all(self, at: datetime | str) -> None:
         self.append(

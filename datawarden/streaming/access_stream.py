@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from datawarden.config import Settings
 from datawarden.functions.scalars import utc_day
+from datawarden.operators.catalog import trackable
 from datawarden.operators.maintenance import recompute_value, score_snapshots
 from datawarden.sources.catalog_store import CatalogStore
 
@@ -41,10 +42,15 @@ def deduplicated(events: DataFrame, delay: str) -> DataFrame:
     return events.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def daily_counts(events: DataFrame) -> DataFrame:
-    """Running counts per UTC day, dataset and access type."""
+def daily_counts(events: DataFrame, delay: str | None = "2 days") -> DataFrame:
+    """Running counts per UTC day, dataset and access type.
+
+    Days older than the watermark leave the state, and events for them are dropped. Without a
+    `delay` the events must carry a watermark of their own.
+    """
+    marked = events if delay is None else events.withWatermark("occurred_at", delay)
     return (
-        events.groupBy(F.window("occurred_at", "1 day").alias("w"), "dataset_id", "access_type")
+        marked.groupBy(F.window("occurred_at", "1 day").alias("w"), "dataset_id", "access_type")
         .agg(F.expr("count(1) AS n"))
         .selectExpr("dataset_id", f"{utc_day('w.start')} AS date", "access_type", "n")
     )
@@ -71,13 +77,14 @@ def start_daily_usage(
     mode: str = "update",
     available_now: bool = False,
     every: str = "1 minute",
+    delay: str | None = "2 days",
 ) -> StreamingQuery:
     """Daily counts to `target`, one folder per batch. Update mode writes changed keys only."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/epoch={batch_id}")
 
-    return _start(daily_counts(events), sink, checkpoint, mode, available_now, every)
+    return _start(daily_counts(events, delay), sink, checkpoint, mode, available_now, every)
 
 
 def read_daily_usage(spark: SparkSession, target: str) -> DataFrame:
@@ -95,11 +102,16 @@ def start_intake(
     checkpoint: str,
     available_now: bool = False,
     every: str = "1 minute",
+    datasets: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Append events(event_id, dataset_id, access_type, source, occurred_at) to the store's log."""
+    """Append events(event_id, dataset_id, access_type, source, occurred_at) to the store's log.
+
+    With `datasets` (dataset_id, status), only READY ones record events.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        store.append("access_events", batch, batch=f"stream-{batch_id}")
+        allowed = batch if datasets is None else trackable(batch, datasets())
+        store.append("access_events", allowed, batch=f"stream-{batch_id}")
 
     return _start(events, sink, checkpoint, "append", available_now, every)
 
@@ -114,14 +126,16 @@ def start_value(
     available_now: bool = False,
     every: str = "1 minute",
 ) -> StreamingQuery:
-    """Per batch: log the events, recompute Value of the datasets they touch, append snapshots.
+    """Per batch: log the events of scored datasets, recompute the Value of those they touch, append
+    snapshots and publish the new scores and recommendations.
 
-    Value depends on the last 90 days alone (older events weigh nothing), so only their day
+    `scores` gives the present scores of READY datasets; events of others are not recorded. Value depends on the last 90 days alone (older events weigh nothing), so only their day
     folders are read back.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        store.append("access_events", batch, batch=f"value-{batch_id}")
+        allowed = batch.join(scores().select("dataset_id"), "dataset_id", "left_semi")
+        store.append("access_events", allowed, batch=f"value-{batch_id}")
         # The clock of a batch is the same when the batch is repeated only if the caller's is.
         now = clock()
         written = store.spark.read.parquet(f"{store.root}/access_events/batch=value-{batch_id}")
@@ -131,6 +145,8 @@ def start_value(
             touched, "dataset_id", "left_semi"
         )
         fresh = recompute_value(current, recent, now, settings)
-        store.append("score_snapshots", score_snapshots(fresh, now), batch=f"value-{batch_id}")
+        run = store.write_values(fresh, now, f"value-{batch_id:012d}")  # later batches win ties
+        stored = store.spark.read.parquet(f"{store.root}/dataset_scores/run_id={run}")
+        store.append("score_snapshots", score_snapshots(stored, now), batch=f"value-{batch_id}")
 
     return _start(events, sink, checkpoint, "append", available_now, every)
