@@ -37,7 +37,7 @@ from datawarden.operators.profile import (
     value_freq,
     with_samples,
 )
-from datawarden.operators.score import narrative
+from datawarden.operators.score import narrative, profile_scores
 from datawarden.operators.usage import (
     access_rollup,
     access_windows,
@@ -51,6 +51,7 @@ from datawarden.plans.workload import read_table
 from datawarden.session import new_run_dir, use_utc
 from datawarden.sources.catalog_store import CatalogStore
 from datawarden.sources.csv_files import read_csv_folder
+from datawarden.sources.tables import export_catalog
 from datawarden.streaming import access_stream as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1082,49 +1083,73 @@ def csv_intake(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- streams
-def _order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders file as a stream of access events, joined to the static customers."""
-    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
-    orders = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
-    )
-    customer = read_table(spark, sf_dir, "customer").selectExpr(
-        "c_custkey AS o_custkey", f"{wl.ASSET} AS dataset_id"
-    )
-    return stream.with_event_time(
-        orders.join(customer, "o_custkey").selectExpr(
-            "o_orderkey AS event_id",
-            "dataset_id",
-            f"{wl.ACCESS_TYPE} AS access_type",
-            "'LIVE' AS source",
-            "o_orderdate AS occurred_at",
-        )
-    )
+STREAM_DELAY = "30 days"
+
+
+def _stream_files(spark: SparkSession, sf_dir: str) -> str:
+    """All orders as event files, one a year, written in that order.
+
+    Every 40th event comes twice. Every 500th comes three years late, if the log lasts that long: by
+    then the watermark has passed it.
+    """
+    folder = new_run_dir(spark, "events")
+    log = wl.access_log(spark, sf_dir).withColumn("year", F.year("occurred_at"))
+    years = sorted(r["year"] for r in log.select("year").distinct().collect())  # a handful
+    late = f"event_id % 500 = 0 AND year + 3 <= {years[-1]}" if years else "false"
+    rows = log.selectExpr(
+        "event_id", "dataset_id", "access_type", "'LIVE' AS source", "occurred_at",
+        f"CASE WHEN {late} THEN year + 3 ELSE year END AS file",
+        "explode(CASE WHEN event_id % 40 = 0 THEN array(0, 1) ELSE array(0) END) AS copy",
+    ).drop("copy")
+    for year in years:
+        rows.filter(f"file = {year}").drop("file").coalesce(1).write.parquet(f"{folder}/year={year}")
+    return folder
+
+
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return stream.access_stream(spark, folder, STREAM_SCHEMA, files_per_batch=1)
+
+
+STREAM_SCHEMA = (
+    "event_id bigint, dataset_id string, access_type string, source string, occurred_at timestamp"
+)
+_IN_TIME = (
+    "SELECT * FROM access_log WHERE NOT (event_id % 500 = 0 AND year(occurred_at) + 3 <= "
+    "(SELECT max(year(occurred_at)) FROM access_log))"
+)
 
 
 @query(
-    """SELECT dataset_id, strftime(occurred_at, '%Y-%m-%d') AS date, access_type, count(*) AS n
-    FROM all_access GROUP BY ALL"""
+    """SELECT dataset_id, strftime(occurred_at, '%Y-%m-%d') AS date, access_type,
+    CAST(sum(CASE WHEN event_id % 40 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n
+    FROM in_time GROUP BY ALL""",
+    {"in_time": _IN_TIME},
 )
 def stream_daily_usage(spark, sf_dir):
+    """Running counts over a file a year; late events are dropped, repeats counted as they come."""
     work = new_run_dir(spark, "daily")
-    q = stream.start_daily_usage(
-        _order_stream(spark, sf_dir), f"{work}/counts", f"{work}/checkpoint", available_now=True
-    )
-    q.awaitTermination()
+    stream.start_daily_usage(
+        _event_stream(spark, _stream_files(spark, sf_dir)), f"{work}/counts", f"{work}/checkpoint",
+        available_now=True, delay=STREAM_DELAY,
+    ).awaitTermination()
     return stream.read_daily_usage(spark, f"{work}/counts").withColumn("date", day_text("date"))
 
 
 @query(
     """SELECT dataset_id, access_type, count(*) AS n, min(strftime(occurred_at, '%Y-%m-%d'))
-    AS first_day FROM all_access GROUP BY dataset_id, access_type"""
+    AS first_day FROM in_time WHERE dataset_id IN (SELECT dataset_id FROM ready)
+    GROUP BY dataset_id, access_type""",
+    {"in_time": _IN_TIME},
 )
 def stream_intake(spark, sf_dir):
-    """Events deduplicated by id within a watermark and appended to the day-partitioned log."""
+    """Events of READY datasets, deduplicated by id within a watermark, appended to the log."""
     work = new_run_dir(spark, "intake")
     store = CatalogStore(spark, f"{work}/store", log_unit="month")
-    events = stream.deduplicated(_order_stream(spark, sf_dir), "30 days")
-    stream.start_intake(events, store, f"{work}/checkpoint", available_now=True).awaitTermination()
+    events = stream.deduplicated(_event_stream(spark, _stream_files(spark, sf_dir)), STREAM_DELAY)
+    listed = wl.Catalog(spark, sf_dir).listed
+    stream.start_intake(
+        events, store, f"{work}/checkpoint", available_now=True, datasets=lambda: listed
+    ).awaitTermination()
     return store.access_events().groupBy("dataset_id", "access_type").agg(
         F.expr("count(1) AS n"), F.expr("date_format(min(occurred_at), 'yyyy-MM-dd') AS first_day")
     )
@@ -1132,32 +1157,302 @@ def stream_intake(spark, sf_dir):
 
 @query(
     """SELECT dataset_id, round(quality_score, 6) AS quality_score,
-    round(trust_score, 6) AS trust_score, round(sv.value_score, 6) AS value_score
-    FROM ready_scores JOIN stream_value_scores sv USING (dataset_id)
-    WHERE dataset_id IN (SELECT dataset_id FROM access_log)""",
+    round(trust_score, 6) AS trust_score, round(sv.value_score, 6) AS value_score,
+    sv.recommendation FROM ready_scores JOIN stream_value_scores sv USING (dataset_id)""",
     {
-        "stream_windows": sql.windows("assets", "access_log", sql.NOW),
+        "in_time": _IN_TIME,
+        "stream_windows": sql.windows("profiled", "in_time", sql.NOW),
         "stream_value_scores": sql.value("SELECT * FROM stream_windows"),
     },
 )
 def stream_value(spark, sf_dir):
-    """Value of every touched dataset after the stream, as appended snapshots."""
-    work = new_run_dir(spark, "value")
-    store = CatalogStore(spark, f"{work}/store", log_unit="month")
-    # The scores a stream starts from are stored, as an ingest leaves them.
-    wl.Catalog(spark, sf_dir).scores.write.parquet(f"{work}/scores")
+    """Scores and recommendations of the store after the stream: Value of every touched dataset is
+    written back, the others keep theirs."""
+    store = wl.Catalog(spark, sf_dir).copy(events=False)
     now = datetime(1998, 7, 1, tzinfo=timezone.utc)
-    events = _order_stream(spark, sf_dir)
+    events = stream.deduplicated(_event_stream(spark, _stream_files(spark, sf_dir)), STREAM_DELAY)
+    work = new_run_dir(spark, "value")
     stream.start_value(
-        events, store, lambda: spark.read.parquet(f"{work}/scores"), lambda: now,
-        f"{work}/checkpoint", available_now=True,
+        events, store, lambda: store.read("dataset_scores"), lambda: now, f"{work}/checkpoint",
+        available_now=True,
     ).awaitTermination()
-    last = store.log("score_snapshots").groupBy("dataset_id").agg(
-        F.max_by(F.struct("quality_score", "trust_score", "value_score"), "captured_at").alias("s")
+    return flat_scores(store.read("dataset_scores"))
+
+
+# --------------------------------------------------------------------------- more of the catalogue
+@query(
+    """SELECT 'datasets' AS table_name, count(*) AS n FROM manifest
+    UNION ALL SELECT 'columns', count(*) FROM ready_columns
+    UNION ALL SELECT 'tags', count(*) FROM ready_tags
+    UNION ALL SELECT 'dataset_scores', count(*) FROM ready_scores
+    UNION ALL SELECT 'access_events', count(*) FROM access_log"""
+)
+def catalog_publish(spark, sf_dir):
+    """A catalogue analysed, published and read back."""
+    store = wl.publish_catalog(spark, sf_dir)
+    tables = {t: store.read(t) for t in ("datasets", "columns", "tags", "dataset_scores")}
+    return _sizes(tables | {"access_events": store.access_events()})
+
+
+def _sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    return union_all(
+        [
+            df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+            for name, df in tables.items()
+        ]
     )
-    return last.select(
-        "dataset_id",
-        *[r6(f"s.{c}").alias(c) for c in ("quality_score", "trust_score", "value_score")],
+
+
+@query(
+    """SELECT 'before' AS step, count(*) AS datasets,
+    (SELECT count(*) FROM ready_tags) AS tags FROM manifest
+    UNION ALL SELECT 'republished', count(*), (SELECT count(*) FROM ready_tags) FROM manifest
+    UNION ALL SELECT 'deleted', 0, 0
+    UNION ALL SELECT 'again', count(*), (SELECT count(*) FROM ready_tags WHERE dataset_id IN
+      (SELECT dataset_id FROM manifest WHERE name_starts)) FROM manifest WHERE name_starts""",
+    {"manifest": sql.CTES["manifest"].replace("SELECT dataset_id, count(*) +", "SELECT dataset_id, "
+     "dataset_id LIKE 'B%' AS name_starts, count(*) +").replace("SELECT 'customers-' || c_mktsegment,",
+     "SELECT 'customers-' || c_mktsegment, false,")},
+)
+def store_round_trip(spark, sf_dir):
+    """Published, published again, deleted altogether, and some datasets published once more."""
+    c = wl.Catalog(spark, sf_dir)
+    store = c.copy()
+    states = []
+
+    def note(step: str) -> None:
+        counts = store.read("datasets").agg(F.count(F.lit(1)).alias("datasets")).crossJoin(
+            store.read("tags").agg(F.count(F.lit(1)).alias("tags"))
+        )  # two single rows
+        path = new_run_dir(spark, "round-trip")
+        counts.select(F.lit(step).alias("step"), "datasets", "tags").write.parquet(path)
+        states.append(spark.read.parquet(path))
+
+    def again(condition: str, at: str) -> None:
+        run = f"run-{at[:10]}"
+        some = c.listed.filter(condition)
+        store.write("datasets", some, run)
+        store.write("tags", c.tags.join(some.select("dataset_id"), "dataset_id", "left_semi"), run)
+        store.publish(run, some, at, ("datasets", "tags"))
+
+    note("before")
+    again("true", "1998-07-02T00:00:00Z")
+    note("republished")
+    store.delete_all("1998-07-03T00:00:00Z")
+    note("deleted")
+    again("dataset_id LIKE 'B%'", "1998-07-04T00:00:00Z")
+    note("again")
+    return union_all(states)
+
+
+@query(
+    """SELECT dataset_id, round(quality_score, 6) AS quality_score, round(coverage, 6) AS coverage,
+    round(100 * 0.45::DOUBLE * quality_score / 100 + 100 * 0.3::DOUBLE * consistency
+          + 100 * 0.25::DOUBLE * coverage, 6) AS trust_score, manual
+    FROM (SELECT s.*, tagged / column_count::DOUBLE AS coverage, manual FROM ready_scores s
+          JOIN (SELECT dataset_id, count(category) AS tagged,
+                       count(*) FILTER (WHERE overridden) AS manual FROM overridden_tags
+                GROUP BY dataset_id) USING (dataset_id))"""
+)
+def override_publish(spark, sf_dir):
+    """Logged overrides applied and published by the store, read back from it."""
+    store = wl.Catalog(spark, sf_dir).copy()
+    store.append("tag_overrides", wl.override_requests(spark, sf_dir), batch="first")
+    store.apply_logged_overrides("1998-07-02T00:00:00Z")
+    manual = store.read("tags").groupBy("dataset_id").agg(F.count_if("overridden").alias("manual"))
+    return store.read("dataset_scores").join(manual, "dataset_id").select(
+        "dataset_id", r6("quality.score").alias("quality_score"),
+        r6("trust.inputs.classification_coverage").alias("coverage"),
+        r6("trust.score").alias("trust_score"), "manual",
+    )
+
+
+@query(
+    f"""SELECT dataset_id, round(quality_score, 6) AS quality_score,
+    round(trust_score, 6) AS trust_score, round(value_score, 6) AS value_score, recommendation,
+    moved FROM other_quality JOIN other_value USING (dataset_id) JOIN (
+      SELECT dataset_id, count(*) FILTER (WHERE category IN ('EMAIL', 'NONE', 'NAME')) AS moved
+      FROM ready_tags GROUP BY dataset_id) USING (dataset_id)""",
+    {
+        "other_quality": sql.quality_trust(OTHER),
+        "other_value": sql.value("SELECT * FROM profiled_windows", OTHER),
+    },
+)
+def rescore_publish(spark, sf_dir):
+    """Settings logged, one bad entry among them, then all scores and tags published again."""
+    c = wl.Catalog(spark, sf_dir)
+    store = c.copy()
+    given = {k: v for k, v in OTHER.as_json().items() if v != Settings().as_json()[k]}
+    rows = [(k, v, datetime(1998, 7, 1)) for k, v in given.items()]
+    rows.append(("trust", '{"quality": 7}', datetime(1998, 7, 2)))
+    rows.append(("freq_cap", "many", datetime(1998, 7, 2)))
+    store.append("settings_log", spark.createDataFrame(rows, "key string, json_value string, updated_at timestamp"))
+    store.rescore(wl.NOW, "run-rescored")
+    before = c.tags.select("dataset_id", "position", F.col("sensitivity").alias("old"))
+    moved = store.read("tags").join(before, ["dataset_id", "position"]).groupBy("dataset_id").agg(
+        F.count_if(F.col("sensitivity") != F.col("old")).alias("moved")
+    )
+    return flat_scores(store.read("dataset_scores")).join(moved, "dataset_id")
+
+
+@query(
+    f"""SELECT recommendation, sensitivity, count(*) AS total FROM datasets
+    JOIN (SELECT DISTINCT dataset_id, sensitivity FROM ready_tags) USING (dataset_id)
+    WHERE recommendation IN ('ARCHIVE', 'RETIRE') AND sensitivity IN ('HIGH', 'MEDIUM')
+    GROUP BY recommendation, sensitivity"""
+)
+def catalog_total(spark, sf_dir):
+    """The total beside a page, for filters on recommendation and sensitivity together."""
+    c = wl.Catalog(spark, sf_dir)
+    parts = []
+    for recommendation in ("ARCHIVE", "RETIRE"):
+        for level in ("HIGH", "MEDIUM"):
+            found = cat.matching(c.datasets, c.tags, level, recommendation)
+            parts.append(
+                found.agg(F.count(F.lit(1)).alias("total")).select(
+                    F.lit(recommendation).alias("recommendation"), F.lit(level).alias("sensitivity"), "total"
+                )
+            )
+    return union_all(parts).where("total > 0")
+
+
+_SORTS = " UNION ALL ".join(
+    f"SELECT '{sign}{key}' AS sort, CAST(row_number() OVER (ORDER BY {key} "
+    f"{'DESC' if sign else 'ASC'} NULLS LAST, dataset_id) AS INTEGER) AS place, dataset_id FROM datasets"
+    for key in cat.SORT_KEYS
+    for sign in ("", "-")
+)
+
+
+@query(f"SELECT * FROM ({_SORTS}) WHERE place <= 10")
+def catalog_sorts(spark, sf_dir):
+    """The first ten datasets in each of the twelve orders."""
+    c = wl.Catalog(spark, sf_dir)
+    parts = []
+    for key in cat.SORT_KEYS:
+        for sign in ("", "-"):
+            top = cat.sorted_catalog(c.datasets, sign + key).limit(10)
+            ranked = top.select(key, "dataset_id").selectExpr(
+                "dataset_id",
+                f"row_number() OVER (ORDER BY {key} {'DESC' if sign else 'ASC'} NULLS LAST, dataset_id) AS place",
+            )
+            parts.append(ranked.select(F.lit(sign + key).alias("sort"), "place", "dataset_id"))
+    return union_all(parts)
+
+
+@query(
+    """SELECT 'column' AS part, dataset_id, CAST(row_number() OVER (ORDER BY position) AS INTEGER)
+    AS place, name AS what FROM ready_columns WHERE dataset_id = 'customers-BUILDING'
+    UNION ALL SELECT 'check', dataset_id, CAST(row_number() OVER (ORDER BY position NULLS LAST,
+    check_type) AS INTEGER), check_type FROM checks WHERE dataset_id = 'customers-BUILDING'
+    UNION ALL SELECT 'check of a column', dataset_id, CAST(row_number() OVER (ORDER BY check_type)
+    AS INTEGER), check_type FROM checks WHERE dataset_id = 'customers-BUILDING' AND position = 3"""
+)
+def dataset_detail(spark, sf_dir):
+    """Columns and findings of one dataset in their order, and the findings of one column."""
+    c = wl.Catalog(spark, sf_dir)
+    one = "customers-BUILDING"
+    found = cat.detail(one, c.datasets, c.columns, c.tags, c.checks, c.events, wl.NOW)
+
+    def placed(part: str, rows: DataFrame, what: str, order: str) -> DataFrame:
+        return rows.selectExpr(
+            f"'{part}' AS part", "dataset_id", f"row_number() OVER (ORDER BY {order}) AS place", f"{what} AS what"
+        )
+
+    return union_all(
+        [
+            placed("column", found["columns"], "name", "position"),
+            placed("check", found["checks"], "check_type", "position NULLS LAST, check_type"),
+            placed("check of a column", cat.checks_of_column(c.checks, one, 3), "check_type", "check_type"),
+        ]
+    )
+
+
+@query(
+    """SELECT dataset_id, round(tagged / column_count::DOUBLE, 6) AS coverage,
+    round(100 * 0.45::DOUBLE * quality_score / 100 + 100 * 0.3::DOUBLE * consistency
+          + 100 * 0.25::DOUBLE * (tagged / column_count::DOUBLE), 6) AS trust_score
+    FROM quality_trust JOIN (SELECT dataset_id, count(*) AS tagged FROM tags WHERE position % 4 <> 3
+                             GROUP BY dataset_id) USING (dataset_id)"""
+)
+def trust_coverage(spark, sf_dir):
+    """Trust where some columns carry no tag."""
+    found = wl.findings(spark, sf_dir)
+    parts = profile_scores(found.counts, found.profile, found.tags.filter("position % 4 <> 3"))
+    return parts.select(
+        "dataset_id", r6("trust.inputs.classification_coverage").alias("coverage"),
+        r6("trust.score").alias("trust_score"),
+    )
+
+
+@query("SELECT dataset_id, name, status, recommendation, row_count FROM datasets")
+def catalog_export(spark, sf_dir):
+    """The catalogue exported as JSON lines and read back."""
+    c = wl.Catalog(spark, sf_dir)
+    path = new_run_dir(spark, "export")
+    export_catalog(cat.summaries(c.datasets, c.tags, c.events, wl.NOW), path)
+    back = spark.read.schema("dataset_id string, name string, status string, recommendation string, row_count bigint")
+    return back.json(path)
+
+
+@query(
+    _histogram("special"),
+    {
+        "special": "SELECT 'lineitem' AS dataset_id, 0 AS position, l_quantity AS x, count(*) AS n "
+        "FROM lineitem WHERE l_linenumber <> 7 AND l_quantity IS NOT NULL GROUP BY l_quantity",
+        "num_stats": _STATS.format("special"),
+    },
+)
+def numeric_histogram_special(spark, sf_dir):
+    """Infinite and undefined numbers are left out; dates and texts of no number have no histogram."""
+    df = read_table(spark, sf_dir, "lineitem").selectExpr(
+        "'lineitem' AS dataset_id",
+        "CASE WHEN l_linenumber = 7 THEN CASE WHEN l_orderkey % 2 = 0 THEN double('Infinity') "
+        "ELSE double('NaN') END ELSE l_quantity END AS quantity",
+        "CAST(l_shipdate AS DATE) AS shipped", "l_returnflag = 'R' AS returned", "l_shipdate AS at",
+    )
+    freqs = [f for _, f in typed_value_freq(df, df.columns[1:], "dataset_id")]
+    return flat_histogram(union_all([views.numeric_histogram(f) for f in freqs]))
+
+
+@query(
+    """SELECT c_nationkey AS nation, CASE c_nationkey % 5 WHEN 0 THEN 'unsupported_file_type'
+    WHEN 1 THEN 'empty_file' WHEN 2 THEN 'invalid_file' END AS code,
+    CASE c_nationkey % 5 WHEN 0 THEN 'Only .csv files can be read; save other formats as CSV.'
+    WHEN 1 THEN 'File is empty or has no data rows.' WHEN 2 THEN 'File has an unterminated quote.'
+    END AS message,
+    CASE WHEN c_nationkey % 5 > 2 THEN 3 ELSE 0 END AS columns,
+    CASE WHEN c_nationkey % 5 > 2 THEN count(*) ELSE 0 END AS row_count,
+    CASE WHEN c_nationkey % 5 > 2 THEN count(DISTINCT c_name) ELSE 0 END AS names
+    FROM customer GROUP BY c_nationkey"""
+)
+def csv_rejects(spark, sf_dir):
+    """The customers of a nation as a file each: another type, only a header, an open quote, NUL
+    characters in the cells, or quoted line breaks and inch marks."""
+    folder = new_run_dir(spark, "nations")
+    rows = read_table(spark, sf_dir, "customer").selectExpr("c_nationkey AS nation", "c_custkey AS ord", "c_name")
+    first = rows.groupBy("nation").agg(F.min("ord").alias("first"))
+    lines = rows.join(first, "nation").selectExpr(
+        "nation", "ord",
+        "CASE nation % 5 WHEN 2 THEN concat(ord, ',', c_name, CASE WHEN ord = first THEN ',\"open' ELSE ',x' END) "
+        "WHEN 3 THEN concat(ord, ',', char(0), c_name, char(0), ',') "
+        "ELSE concat(ord, ',\"', c_name, '\",\"a ', char(10), ' \"\"b\"\"\"') END AS line",
+    )
+    heads = first.selectExpr("nation", "CAST(-1 AS BIGINT) AS ord", "'key,name,note' AS line")
+    plain = lines.filter("nation % 5 <> 1").unionByName(heads).repartition("nation").sortWithinPartitions("nation", "ord")
+    texts = plain.filter("nation % 5 <> 0").select("nation", "line").write.partitionBy("nation")
+    texts.option("compression", "none").text(folder)
+    plain.filter("nation % 5 = 0").select("nation", "line").write.mode("append").partitionBy("nation").json(folder)
+    intake = read_csv_folder(spark, folder, suffixes=(".csv", ".txt"))
+    listed = intake.manifest.filter("file_name LIKE 'part-%'").selectExpr(
+        "file_id AS dataset_id", "CAST(regexp_extract(file_id, 'nation=([0-9]+)', 1) AS INT) AS nation",
+        "code", "message", "coalesce(size(headers), 0) AS columns",
+    )
+    found = intake.rows.groupBy("dataset_id").agg(
+        F.expr("count(1) AS row_count"), F.expr("count(DISTINCT cells[1]) AS names")
+    )
+    return listed.join(found, "dataset_id", "left").selectExpr(
+        "nation", "code", "message", "columns", "coalesce(row_count, 0L) AS row_count", "coalesce(names, 0L) AS names"
     )
 
 

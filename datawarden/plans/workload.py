@@ -302,8 +302,8 @@ class Catalog:
     def events(self) -> DataFrame:
         return self.store.access_events()
 
-    def copy(self) -> CatalogStore:
-        """A store of its own with the same content, for changes."""
+    def copy(self, events: bool = True) -> CatalogStore:
+        """A store of its own with the same content, for changes; without `events`, an empty log."""
         spark = self.store.spark
         other = CatalogStore(spark, new_run_dir(spark, "catalog-copy"), log_unit="month")
         run = new_run_id()
@@ -314,7 +314,8 @@ class Catalog:
         for name, rows in tables.items():
             other.write(name, rows, run)
         other.publish(run, self.listed, NOW, tuple(tables))
-        other.append("access_events", self.events, batch="first")
+        if events:
+            other.append("access_events", self.events, batch="first")
         return other
 
 

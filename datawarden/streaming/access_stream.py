@@ -19,7 +19,7 @@ from datawarden.config import Settings
 from datawarden.functions.scalars import utc_day
 from datawarden.operators.catalog import trackable
 from datawarden.operators.maintenance import recompute_value, score_snapshots
-from datawarden.sources.catalog_store import CatalogStore
+from datawarden.sources.catalog_store import LOGS, CatalogStore
 
 
 def access_stream(
@@ -138,7 +138,10 @@ def start_value(
         store.append("access_events", allowed, batch=f"value-{batch_id}")
         # The clock of a batch is the same when the batch is repeated only if the caller's is.
         now = clock()
-        written = store.spark.read.parquet(f"{store.root}/access_events/batch=value-{batch_id}")
+        folder = f"{store.root}/access_events/batch=value-{batch_id}"
+        written = store.spark.read.schema(LOGS["access_events"]).parquet(folder)
+        if written.isEmpty():
+            return
         touched = written.select("dataset_id").distinct()
         current = scores().join(touched, "dataset_id", "left_semi")
         recent = store.access_events(since=now - timedelta(days=91)).join(
