@@ -19,7 +19,7 @@ from datawarden.llm.common import narrow
 
 K, S = 6, 2
 #: Ids in one range of the neighbour search. Ranges are sorted apart; only their heads meet.
-RANGE = 512
+RANGE = 64
 
 
 def words_of(text: Column) -> Column:
