@@ -190,6 +190,31 @@ class CatalogStore:
         """Publishes scores whose Value was recomputed, for their datasets alone."""
         return self._republish(at, run_id, dataset_scores=scores)
 
+    def compact(self, at: datetime | str) -> str:
+        """The present state as one run, published now; the runs it replaces are removed.
+
+        For a time without other readers or writers. Reads before it list and join every run.
+        """
+        run, present = new_run_id(), []
+        old = [r["run_id"] for r in self._read("published").select("run_id").distinct().collect()]
+        for table in TABLES:
+            try:
+                rows = self.read(table)
+            except AnalysisException as error:
+                if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                    raise
+                continue
+            self.write(table, rows, run)
+            present.append(table)
+        self.publish(run, self.read("datasets"), at, tuple(present))
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in (*TABLES, "covered", "published"):
+            for gone in old:
+                path = hadoop.Path(f"{self.root}/{name}/run_id={gone}")
+                path.getFileSystem(conf).delete(path, True)
+        return run
+
     # ------------------------------------------------------------------ deletes
     def delete_all(self, at: datetime | str) -> None:
         self.append(

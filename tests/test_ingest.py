@@ -338,13 +338,42 @@ def test_recompute(store):
     assert tuple(counts.first()) == (9, 2, 0)
 
 
+def test_compaction_keeps_the_present_state(spark, store):
+    tables = ("datasets", "columns", "tags", "quality_checks", "dataset_scores", "preview_rows")
+    before = {t: sorted(map(str, store.read(t).collect())) for t in tables}
+    run = store.compact(datetime(2026, 1, 3, tzinfo=timezone.utc))
+    assert {t: sorted(map(str, store.read(t).collect())) for t in tables} == before
+    assert {r["run_id"] for r in spark.read.parquet(f"{store.root}/covered").select("run_id").collect()} == {run}
+
+
+def test_logged_changes_are_published(spark, store):
+    four = ids_of(store)["four.CSV"]
+    at = datetime(2026, 1, 4, tzinfo=timezone.utc)
+    schema = "dataset_id string, position int, category string, sensitivity string, requested_at timestamp"
+    store.append("tag_overrides", spark.createDataFrame([(four, 2, "ID_NUMBER", None, at), (four, 0, "BAD", None, at)], schema))
+    others = sorted(map(str, store.read("tags").filter(f"dataset_id <> '{four}'").collect()))
+    store.apply_logged_overrides(at)
+    tags = {r["position"]: r for r in store.read("tags").filter(f"dataset_id = '{four}'").collect()}
+    assert (tags[2]["category"], tags[2]["sensitivity"], tags[2]["overridden"]) == ("ID_NUMBER", "HIGH", True)
+    assert (tags[0]["category"], tags[0]["overridden"]) == ("EMAIL", False)
+    assert sorted(map(str, store.read("tags").filter(f"dataset_id <> '{four}'").collect())) == others
+    entries = [("sensitivity", Settings().with_overrides({"sensitivity": {**Settings().sensitivity, "EMAIL": "LOW"}}).as_json()["sensitivity"], at),
+               ("freq_cap", "0", at), ("trust", "not json", at)]
+    store.append("settings_log", spark.createDataFrame(entries, "key string, json_value string, updated_at timestamp"))
+    assert store.settings().freq_cap == Settings().freq_cap and store.settings().sensitivity["EMAIL"] == "LOW"
+    store.rescore(datetime(2026, 1, 5, tzinfo=timezone.utc))
+    tags = {r["position"]: r["sensitivity"] for r in store.read("tags").filter(f"dataset_id = '{four}'").collect()}
+    assert (tags[0], tags[2]) == ("LOW", "HIGH")
+
+
 def test_deletes(spark, store, folder):
-    store.delete_named(["collide.csv", "unknown"], NOW)
+    later = datetime(2026, 1, 10, tzinfo=timezone.utc)
+    store.delete_named(["collide.csv", "unknown"], later)
     assert store.read("datasets").count() == 10
     assert store.read("columns").select("dataset_id").distinct().count() == 8
-    store.delete_one(ids_of(store)["four.CSV"], NOW)
+    store.delete_one(ids_of(store)["four.CSV"], later)
     assert store.access_events().count() == 0 and store.score_snapshots().count() == 7
-    store.delete_all(NOW)
+    store.delete_all(later)
     assert store.read("datasets").count() == 0 and store.read("tags").count() == 0
     # A later ingest of the same files brings them back, without their old events.
     ingest_csv(spark, folder, store, datetime(2026, 2, 1, tzinfo=timezone.utc))
