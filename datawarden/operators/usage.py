@@ -50,21 +50,31 @@ def access_windows(events: DataFrame, now: datetime | str) -> DataFrame:
             f"max({_AT}) AS last_accessed_at",
         ],
     )
-    age = f"({s.micros(now)}L - unix_micros(last_accessed_at)) / {s.double(s.DAY_MICROS)}"
-    return grouped.selectExpr("*", f"greatest(0D, {age}) AS days_since_last_access")
+    return grouped.selectExpr("*", f"{_age(now)} AS days_since_last_access")
+
 
+def windows_for(
+    datasets: DataFrame, events: DataFrame, now: datetime | str, rollup: DataFrame | None = None
+) -> DataFrame:
+    """Access windows of every dataset; one without events has zero counts and no last access.
 
-def windows_for(datasets: DataFrame, events: DataFrame, now: datetime | str) -> DataFrame:
-    """Access windows of every dataset; one without events has zero counts and no last access."""
+    With a `rollup` (dataset_id, last_accessed_at) of the older log, `events` need to hold the last
+    90 days only.
+    """
     counts = ("accesses_90d", "accesses_last30", "accesses_prev30")
-    return datasets.select("dataset_id").join(
-        access_windows(events, now), "dataset_id", "left"
-    ).selectExpr(
-        "dataset_id",
-        *[f"coalesce({c}, 0L) AS {c}" for c in counts],
-        "last_accessed_at",
-        "days_since_last_access",
-    )
+    found = datasets.select("dataset_id").join(access_windows(events, now), "dataset_id", "left")
+    last = "last_accessed_at"
+    if rollup is not None:
+        older = rollup.selectExpr("dataset_id", "last_accessed_at AS older")
+        found, last = found.join(older, "dataset_id", "left"), "greatest(last_accessed_at, older)"
+    return found.selectExpr(
+        "dataset_id", *[f"coalesce({c}, 0L) AS {c}" for c in counts], f"{last} AS last_accessed_at"
+    ).selectExpr("*", f"{_age(now)} AS days_since_last_access")
+
+
+def _age(now: datetime | str) -> str:
+    age = f"({s.micros(now)}L - unix_micros(last_accessed_at)) / {s.double(s.DAY_MICROS)}"
+    return f"CASE WHEN last_accessed_at IS NOT NULL THEN greatest(0D, {age}) END"
 
 
 def windows_at(datasets: DataFrame, events: DataFrame, instants: list[datetime | str]) -> DataFrame:
@@ -78,8 +88,7 @@ def windows_at(datasets: DataFrame, events: DataFrame, instants: list[datetime |
         f"struct({s.instant(at)} AS captured_at, coalesce(accesses_90d_{i}, 0L) AS accesses_90d, "
         f"coalesce(accesses_last30_{i}, 0L) AS accesses_last30, "
         f"coalesce(accesses_prev30_{i}, 0L) AS accesses_prev30, last_accessed_at, "
-        f"greatest(0D, ({s.micros(at)}L - unix_micros(last_accessed_at)) / {s.double(s.DAY_MICROS)}) "
-        "AS days_since_last_access)"
+        f"{_age(at)} AS days_since_last_access)"
         for i, at in enumerate(instants)
     )
     return datasets.select("dataset_id").join(grouped, "dataset_id", "left").selectExpr(
@@ -88,9 +97,13 @@ def windows_at(datasets: DataFrame, events: DataFrame, instants: list[datetime |
 
 
 def value_scores(
-    datasets: DataFrame, events: DataFrame, now: datetime | str, settings: Settings = Settings()
+    datasets: DataFrame,
+    events: DataFrame,
+    now: datetime | str,
+    settings: Settings = Settings(),
+    rollup: DataFrame | None = None,
 ) -> DataFrame:
-    return value_from_windows(windows_for(datasets, events, now), settings)
+    return value_from_windows(windows_for(datasets, events, now, rollup), settings)
 
 
 def _check_days(days: int) -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datawarden.config import Settings
-from datawarden.functions.scalars import instant, text, utc_day
+from datawarden.functions.scalars import DAY_MICROS, instant, micros, text, utc_day
 from datawarden.operators.maintenance import (
     apply_overrides,
     load_settings,
@@ -139,6 +139,28 @@ class CatalogStore:
             )
         return without_deleted(events, self.log("tombstones"), "occurred_at")
 
+    def roll_up(self, until: datetime | str) -> None:
+        """Per dataset the count and the last of its events in the folders before `until`'s. Events
+        that arrive for those folders later need a new roll-up of the same instant."""
+        old = self.access_events().filter(f"event_date < {self._log_folder(instant(until))}")
+        facts = old.groupBy("dataset_id").agg(
+            F.expr("count(1) AS access_count"), F.expr("max(occurred_at) AS last_accessed_at")
+        )
+        facts.write.mode("overwrite").parquet(f"{self.root}/rollups/until_us={micros(until)}")
+
+    def usage_before(self, now: datetime | str) -> tuple[DataFrame, DataFrame]:
+        """(events, roll-up) that together hold all usage: the latest roll-up that leaves 90 days of
+        folders to read, and the events from there on. Without one, the whole log and no rows."""
+        schema = "dataset_id string, access_count bigint, last_accessed_at timestamp, until_us bigint"
+        rollups = self._read("rollups", schema)
+        fitting = rollups.filter(f"until_us <= {micros(now) - 91 * DAY_MICROS}L")
+        at = fitting.agg(F.max("until_us").alias("at")).first()["at"]
+        if at is None:
+            return self.access_events(), rollups.limit(0).drop("until_us")
+        folder = self._log_folder(f"timestamp_micros({at}L)")
+        events = self.access_events().filter(f"event_date >= {folder}")
+        return events, rollups.filter(f"until_us = {at}L").drop("until_us")
+
     def score_snapshots(self) -> DataFrame:
         kept = without_deleted(self.log("score_snapshots"), self.log("tombstones"), "captured_at")
         return kept.orderBy("dataset_id", "captured_at")

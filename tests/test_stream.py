@@ -83,3 +83,21 @@ def test_value_follows_touched_datasets(spark, tmp_path):
     assert max(r["value_score"] for r in got if r["dataset_id"] == "b") == expected["b"]
     assert {r["value_score"] for r in got if r["dataset_id"] == "a"} == {expected["a"]}
     assert all(r["quality_score"] == 90 for r in got)
+
+
+def test_rollup_spares_the_old_log(spark, tmp_path):
+    store = CatalogStore(spark, f"{tmp_path}/store")
+    rows = [(i, "abc"[i % 3], "VIEW", "LIVE", BASE - timedelta(days=3 * i)) for i in range(120)]
+    rows += [(900, "old", "VIEW", "LIVE", BASE - timedelta(days=300)), (901, "new", "VIEW", "LIVE", BASE + timedelta(days=2))]
+    store.append("access_events", spark.createDataFrame(rows, SCHEMA), batch="all")
+    ids = spark.createDataFrame([(x,) for x in ("a", "b", "c", "old", "new", "none")], "dataset_id string")
+    whole, nothing = store.usage_before(BASE)
+    assert nothing.count() == 0
+    want = sorted(map(str, value_scores(ids, whole, BASE).collect()))
+    store.roll_up(BASE - timedelta(days=120))
+    store.roll_up(BASE - timedelta(days=30))  # too late for BASE: 90 days would be missing
+    events, rollup = store.usage_before(BASE)
+    assert events.count() == 42 and rollup.count() == 4
+    assert sorted(map(str, value_scores(ids, events, BASE, rollup=rollup).collect())) == want
+    plan = events._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
