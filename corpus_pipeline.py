@@ -9,6 +9,8 @@ from datawarden.llm import jaccard, language, mixing, packing, substrings
 from datawarden.llm.common import materialize, release, ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Of the near-duplicate stage; the defaults of `jaccard` are those of the query op4 alone. Fixed values.
+SHINGLE, PERCENT = 5, 80
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +22,10 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by shingle overlap."""
+    """One document, that of the smallest id, of each group linked by an overlap of 0.8 in shingles
+    of five words."""
     ship(spark)
-    return jaccard.one_of_each(docs.select(*COLUMNS))
+    return jaccard.one_of_each(docs.select(*COLUMNS), size=SHINGLE, percent=PERCENT)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from datawarden.llm import mixing, packing, substrings
 from datawarden.llm.common import ship
-from test_search import _components
+from test_search import _components, _copies
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -138,6 +138,47 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert lengths == {i: n * (len(encoder.whole.encode(cleaned[i], add_special_tokens=False).ids) + 1) for i, n in copies.items()}
 
 
+def _one_of_each(rows):
+    """(doc_id, text) rows without those linked to a smaller id by 0.8 of their five-word shingles."""
+    rows, sets = list(dict.fromkeys(rows)), []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                group = [group[j] if g == group[i] else g for g in group]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    first = {}
+    for i in order:
+        first.setdefault(group[i], i)
+    return [rows[i] for i in first.values()]
+
+
+def test_near_duplicates_by_five_words(spark):
+    rng = np.random.default_rng(11)
+    rows = [(r[0], r[1]) for r in _copies()]
+    for g, run in enumerate((70, 85, 100, 106, 112, 150)):  # 4 words and 0.85 link the first alone
+        text = [f"t{g}_{i}" for i in range(1000)]
+        rows.append((30000 + 2 * g, " ".join(text)))
+        text[400 : 400 + run] = [f"u{g}_{i}" for i in range(run)]
+        rows.append((30001 + 2 * g, " ".join(text)))
+    for g, edits in enumerate((15, 21, 24)):
+        text = [f"v{g}_{i}" for i in range(1000)]
+        rows.append((40000 + 2 * g, " ".join(text)))
+        for i in range(edits):
+            text[i * 40 + int(rng.integers(5, 30))] = f"x{g}_{i}"
+        rows.append((40001 + 2 * g, " ".join(text)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], COLUMNS)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, None).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, _one_of_each(rows)))
+    ids = {i for i, _ in got}
+    assert [i for i in (30001, 30003, 30005, 30007, 30009, 30011) if i in ids] == [30009, 30011]
+    assert [i for i in (40001, 40003, 40005) if i in ids] == [40005]
+
+
 def test_pipeline_of_an_empty_table(spark, sf_dir):
     docs = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
