@@ -6,8 +6,9 @@ on its own words alone, so an edit changes only the anchors that touch it, and t
 texts can be matched by their place in the sequence. Of random text about 2/(k-s+1) of the windows
 are anchors, and two anchors are never more than k-s words apart.
 
-A fingerprint is the sequence of the distinct anchor hashes, in order of first place. A text of
-fewer than k words has one anchor, its whole word sequence; one without words has none.
+A fingerprint is the sequence of the distinct anchor hashes, in order of first place. Only k-s
+consecutive windows are sure to hold an anchor: a text of fewer windows, of which none is chosen, has
+one anchor, its whole word sequence. A text without words has none.
 """
 
 from __future__ import annotations
@@ -40,11 +41,13 @@ def with_anchors(df: DataFrame, text: str, into: str, k: int = K, s: int = S) ->
     chosen = F.transform(
         F.filter(F.sequence(F.lit(0), n - k), edge), lambda i: F.hash(F.slice(words, i + 1, k))
     )
-    whole = F.when(n > 0, F.array(F.hash(words))).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    whole = F.when(n > 0, F.array(F.hash(words))).otherwise(none)
     return (
         df.withColumn(words, words_of(F.col(text)))
         .withColumn(smers, hashed)
-        .withColumn(into, F.when(n >= k, F.array_distinct(chosen)).otherwise(whole))
+        .withColumn(into, F.when(n >= k, F.array_distinct(chosen)).otherwise(none))
+        .withColumn(into, F.when(F.size(into) > 0, F.col(into)).otherwise(whole))
         .drop(words, smers)
     )
 

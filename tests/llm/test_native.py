@@ -113,6 +113,23 @@ def test_syncmers_match_brute_force(spark):
     assert one.edited == "abab"
 
 
+def test_short_texts_have_an_anchor(spark):
+    """Six to eight words are one to three windows, of which often none is chosen."""
+    texts = [" ".join(f"w{n}x{i}x{j}" for j in range(n)) for n in (1, 5, 6, 7, 8, 9, 12) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(texts)], DOCS)
+    found = {r.text: tuple(r.anchors) for r in syncmers.fingerprints(docs).collect()}
+    assert all(found[t] for t in texts) and len(set(found.values())) == len(texts)
+    bare = [t for t in texts if len(t.split()) in (6, 7, 8) and not _chosen(t.split())]
+    assert len(bare) > 20 and all(len(found[t]) == 1 for t in bare)
+    rows = syncmers.edited_neighbours(docs).select(syncmers.likeness(F.col("anchors"), F.col("next_anchors")).alias("near"))
+    assert {r.near for r in rows.collect()} == {0.0}
+
+
+def _chosen(words, k=syncmers.K, s=syncmers.S):
+    small, span = [_hash64(words[i : i + s]) for i in range(len(words) - s + 1)], k - s + 1
+    return [i for i in range(len(words) - k + 1) if min(small[i : i + span]) in (small[i], small[i + span - 1])]
+
+
 def test_edited_digest_of_given_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = sorted(docs.collect(), key=lambda r: -r.doc_id)
