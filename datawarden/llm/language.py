@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from datawarden.llm.common import crc_remainder, narrow
-from datawarden.llm.words import LETTERS, blocks
+from datawarden.llm.words import LETTERS, blocks, mix
 
 PER_LANGUAGE = 3000
 WORDS = 40_000
@@ -32,15 +32,27 @@ COUNTS = "lang string, size int, feature long, n long"
 
 
 def _grams(data: np.ndarray, start: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word, packed bytes) of all n-grams of `size` bytes of the given words."""
-    per = np.maximum(length - size + 1, 0)
-    word = np.repeat(np.arange(len(start)), per)
-    place = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
-    at = start[word] + place
-    packed = np.zeros(len(at), dtype=np.uint64)
+    """(word, key) of all n-grams of `size` characters of the given words. The key of an ASCII one is
+    its bytes; others are hashed to 62 bits and have a bit that no ASCII one has."""
+    word = np.repeat(np.arange(len(start)), length)
+    at = np.arange(len(word)) - np.repeat(np.cumsum(length) - length, length) + start[word]
+    first = (data[at] & 0xC0) != 0x80
+    word, at = word[first], at[first]
+    code, inside = data[at].astype(np.uint64), np.ones(len(at), dtype=bool)
+    for j in (1, 2, 3):  # the bytes of a character that follow its first
+        byte = data[np.minimum(at + j, len(data) - 1)]
+        inside &= (at + j < len(data)) & ((byte & 0xC0) == 0x80)
+        code |= np.where(inside, byte, 0).astype(np.uint64) << np.uint64(8 * j)
+    n = max(len(word) - size + 1, 0)
+    begin = np.flatnonzero(word[:n] == word[size - 1 :])
+    packed = np.zeros(len(begin), dtype=np.uint64)
+    hashed, ascii_only = packed.copy(), np.ones(len(begin), dtype=bool)
     for j in range(size):
-        packed |= data[at + j].astype(np.uint64) << np.uint64(8 * j)
-    return word, packed
+        c = code[begin + j]
+        packed |= (c & np.uint64(0x7F)) << np.uint64(8 * j)
+        hashed = mix(hashed + c + np.uint64(1))
+        ascii_only &= c < 0x80
+    return word[begin], np.where(ascii_only, packed, hashed >> np.uint64(2) | np.uint64(1 << 62))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

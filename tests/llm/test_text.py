@@ -70,6 +70,28 @@ def test_language_words_and_backoff(spark):
     assert all(0 <= g[3] <= 1 for g in got)
 
 
+def test_language_grams_are_of_characters():
+    texts = ["abcdefg", "привет", "日本語の文章", "aé日😀zé日😀z", "x", "ß"]
+    block = next(words.blocks(pa.array([" ".join(texts)]), words.LETTERS, lower=True))
+    for size in language.LENGTHS:
+        word, key = language._grams(block.data, block.start, block.length, size)
+        want = [(i, t[j : j + size]) for i, t in enumerate(texts) for j in range(len(t) - size + 1)]
+        assert word.tolist() == [i for i, _ in want]
+        assert len(set(zip(key.tolist(), (g for _, g in want)))) == len(set(key.tolist())) == len({g for _, g in want})
+        assert key[: 7 - size + 1].tolist() == [int.from_bytes(g.encode(), "little") for i, g in want if i == 0]
+
+
+def test_language_backoff_beyond_ascii(spark):
+    """Two languages whose words have the same runs of three letters, as often, and differ in longer ones."""
+    cycles = {"xa": "аааб" + "аббб", "xb": "аааб" + "ббаб"}
+    word = lambda lang, i, n: "".join(cycles[lang][(i + j) % 8] for j in range(n))
+    rows = [(k, " ".join(word(lang, i, 16) for i in range(8)), lang, 0.0, 0) for lang in cycles for k in range(5)]
+    model = language.fit(spark.createDataFrame(rows, DOCS))
+    asked = [(i, word(lang, i, 17), lang, 0.0, 0) for lang in cycles for i in range(8)]
+    out = language.predict(spark.createDataFrame(asked, DOCS), model).collect()
+    assert len(out) == 16 and all(r.lang_pred == r.lang for r in out)
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "words here", None, None, None)], DOCS)
     assert language.predict(docs, language.fit(docs)).first().lang_pred == "und"
