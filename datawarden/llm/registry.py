@@ -7,7 +7,21 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datawarden.llm import chat, jaccard, language, licenses, mixing, packing, substrings, suffix_tree, syncmers, topk
+from datawarden.llm import (
+    chat,
+    filter_audit,
+    infill,
+    jaccard,
+    language,
+    licenses,
+    mixing,
+    packing,
+    secrets,
+    substrings,
+    suffix_tree,
+    syncmers,
+    topk,
+)
 from datawarden.llm.common import ship
 
 
@@ -31,6 +45,9 @@ _QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_pack": packing.op10_pack,
+    "op11_fill_in_middle": infill.op11_fill_in_middle,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_secret_scan": secrets.op13_secret_scan,
 }
 
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
@@ -40,4 +57,7 @@ ORACLE = {
     "op2_top_k": topk.SQL,
     "op3_mix_sources": mixing.SQL,
     "op9_substring_dedup": substrings.SQL,
+    "op11_fill_in_middle": infill.SQL,
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_secret_scan": secrets.SQL,
 }
