@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from datawarden.config import RECOMMENDATIONS, SENSITIVITIES, STATUSES
@@ -154,6 +154,53 @@ def catalog_page(
     return sorted_catalog(summaries(page, *mine, now), sort)
 
 
+Cursor = tuple[object, str]
+
+
+def cursor_of(row: Row, sort: str = "-uploaded_at") -> Cursor:
+    """The place of a page's last row in the order of `sort`, for `catalog_page_after`."""
+    return row[sort.removeprefix("-")], row["dataset_id"]
+
+
+def beyond(datasets: DataFrame, sort: str, after: Cursor | None) -> DataFrame:
+    """Rows that come later than a cursor in the order of `sort`; all of them without one."""
+    if after is None:
+        return datasets
+    value, dataset_id = after
+    key, later_id = F.col(sort.removeprefix("-")), F.col("dataset_id") > F.lit(dataset_id)
+    if value is None:
+        return datasets.filter(key.isNull() & later_id)
+    past = key < F.lit(value) if sort.startswith("-") else key > F.lit(value)
+    return datasets.filter(past | ((key == F.lit(value)) & later_id) | key.isNull())
+
+
+def catalog_page_after(
+    datasets: DataFrame,
+    tags: DataFrame,
+    events: DataFrame,
+    now: datetime | str,
+    sort: str = "-uploaded_at",
+    after: Cursor | None = None,
+    sensitivity: str | None = None,
+    recommendation: str | None = None,
+    limit: int = 20,
+) -> DataFrame:
+    """The page of summaries behind a cursor (the first one without), at most 100 rows.
+
+    However far into the list, each task keeps `limit` rows: what lies before the cursor is
+    filtered out, where an offset would keep and sort it. Rows that are added or removed before
+    the cursor do not shift the page.
+    """
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must lie in 1..100")
+    order = _order(sort)
+    chosen = beyond(matching(datasets, tags, sensitivity, recommendation), sort, after)
+    page = chosen.orderBy(*order).limit(limit)
+    ids = page.select("dataset_id")
+    mine = [df.join(ids, "dataset_id", "left_semi") for df in (tags, events)]
+    return sorted_catalog(summaries(page, *mine, now), sort)
+
+
 def detail(
     dataset_id: str,
     datasets: DataFrame,

@@ -105,29 +105,23 @@ def structural_issues(headers: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- column profile
-def column_counts(freq: DataFrame, approximate: bool = False) -> DataFrame:
-    """Counts per column: rows, present, distinct and values matching each type.
-
-    With `approximate`, `freq` may be plain cells: distinct counts are then estimates and
-    nothing but one row per column and task is shuffled.
-    """
-    n = "n" if "n" in freq.columns else "1L AS n"
+def column_counts(freq: DataFrame) -> DataFrame:
+    """Counts per column: rows, present, distinct and values matching each type."""
     tests = type_tests("t")
-    cells = freq.selectExpr(*KEY, n, "value", f"{s.trimmed('value')} AS t")
+    cells = freq.selectExpr(*KEY, "n", "value", f"{s.trimmed('value')} AS t")
     flagged = cells.selectExpr(*KEY, "n", "value", *[f"{t} AS is_{k}" for k, t in tests.items()])
     other = "NOT (" + " OR ".join(f"is_{k}" for k in tests) + ")"
 
     def total(condition: str) -> str:
         return f"coalesce(sum(CASE WHEN value IS NOT NULL AND {condition} THEN n END), 0L)"
 
-    distinct = "approx_count_distinct(value)" if approximate else "count(value)"
     return _grouped(
         flagged,
         KEY,
         [
             "sum(n) AS row_count",
             f"{total('true')} AS non_null_count",
-            f"{distinct} AS distinct_count",
+            "count(value) AS distinct_count",
             *[f"{total(f'is_{k}')} AS m_{k}" for k in tests],
             f"{total(other)} AS m_STRING",
         ],
@@ -345,34 +339,43 @@ def typed_value_freq(
 def typed_column_profile(
     df: DataFrame, columns: Sequence[str], dataset_id: str = "dataset_id"
 ) -> DataFrame:
-    """Profile of a table with native types: the schema is the type, only NaN is invalid."""
-    parts = []
-    for data_type, freq in typed_value_freq(df, columns, dataset_id):
-        floating = isinstance(freq.schema["value"].dataType, T.DoubleType)
-        valid = "value IS NOT NULL" + (" AND NOT isnan(value)" if floating else "")
-        counts = _grouped(
-            freq,
-            KEY,
-            [
-                "sum(n) AS row_count",
-                "coalesce(sum(CASE WHEN value IS NOT NULL THEN n END), 0L) AS non_null_count",
-                "count(value) AS distinct_count",
-                f"coalesce(sum(CASE WHEN {valid} THEN n END), 0L) AS type_match_count",
-            ],
-        )
-        share = "CASE WHEN non_null_count = 0 THEN 1D ELSE type_match_count / non_null_count END"
-        parts.append(
-            counts.selectExpr(
-                *KEY,
-                f"CASE WHEN non_null_count = 0 THEN 'UNKNOWN' ELSE '{data_type}' END AS data_type",
-                *_MEASURES,
-                "type_match_count",
-                f"{share} AS dominant_type_share",
-                f"{share} AS validity",
-            )
-        )
-    out = union_all(parts)
-    names = f"array({', '.join(s.text(c) for c in columns)})"
-    return out.selectExpr(
-        *KEY, f"get({names}, position) AS name", *[c for c in out.columns if c not in KEY]
+    """Profile of a table with native types: the schema is the type, only NaN is invalid.
+
+    All columns are inlined in one scan, each into the slot of its storage type, and grouped by
+    column and slot at once, whatever types the table has.
+    """
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    families = [_family(fields[c]) for c in columns]
+    slots = {storage: f"v{i}" for i, storage in enumerate(dict.fromkeys(f[0] for f in families))}
+    rows = []
+    for i, (column, (storage, _)) in enumerate(zip(columns, families, strict=True)):
+        x = s.name(column)
+        if storage == "string":
+            x = s.cell(_plain_text(fields[column], x))
+        cells = [f"CAST({x if k == storage else 'NULL'} AS {k}) AS {v}" for k, v in slots.items()]
+        rows.append(f"struct({i} AS position, {', '.join(cells)})")
+    long = df.selectExpr(f"{_id(dataset_id)} AS dataset_id", f"inline(array({', '.join(rows)}))")
+    freq = _grouped(long, [*KEY, *slots.values()], ["count(1) AS n"])
+    present = f"({' OR '.join(f'{v} IS NOT NULL' for v in slots.values())})"
+    valid = present + "".join(f" AND NOT coalesce(isnan({v}), false)" for k, v in slots.items() if k == "double")
+    counts = _grouped(
+        freq,
+        KEY,
+        [
+            "sum(n) AS row_count",
+            f"coalesce(sum(CASE WHEN {present} THEN n END), 0L) AS non_null_count",
+            f"count_if({present}) AS distinct_count",
+            f"coalesce(sum(CASE WHEN {valid} THEN n END), 0L) AS type_match_count",
+        ],
+    )
+    share = "CASE WHEN non_null_count = 0 THEN 1D ELSE type_match_count / non_null_count END"
+    names, kinds = (f"array({', '.join(s.text(x) for x in xs)})" for xs in (columns, [f[1] for f in families]))
+    return counts.selectExpr(
+        *KEY,
+        f"get({names}, position) AS name",
+        f"CASE WHEN non_null_count = 0 THEN 'UNKNOWN' ELSE get({kinds}, position) END AS data_type",
+        *_MEASURES,
+        "type_match_count",
+        f"{share} AS dominant_type_share",
+        f"{share} AS validity",
     )

@@ -2,6 +2,10 @@
 
 Each is one grouped pass with conditional counts. A dataset with a third of all events costs
 nothing special: its rows collapse in the partial aggregate before the shuffle.
+
+Events may carry a weight `n`: a row then stands for n events of one day, the last of them at its
+`occurred_at`. A log that is rolled up by day answers the same questions as the log itself, as
+long as the days in which a window begins or ends come event by event (`edge_days`).
 """
 
 from __future__ import annotations
@@ -30,8 +34,31 @@ def of_type(events: DataFrame, access_type: str | None) -> DataFrame:
     return events.filter(f"access_type = '{access_type}'")
 
 
-def _within(now: datetime | str, newer: int, older: int) -> str:
-    return f"count_if({_AT} <= {s.days_before(now, newer)} AND {_AT} > {s.days_before(now, older)})"
+def _total(events: DataFrame, condition: str = "true") -> str:
+    """The number of events that meet a condition."""
+    if "n" not in events.columns:
+        return f"count_if({condition})"
+    return f"coalesce(sum(CASE WHEN {condition} THEN n END), 0L)"
+
+
+def _within(events: DataFrame, now: datetime | str, newer: int, older: int) -> str:
+    return _total(events, f"{_AT} <= {s.days_before(now, newer)} AND {_AT} > {s.days_before(now, older)}")
+
+
+def edge_days(now: datetime | str) -> list[date]:
+    """The UTC days in which a scoring window begins or ends, in order."""
+    at = s.micros(now) // s.DAY_MICROS
+    return sorted({date(1970, 1, 1) + timedelta(days=at - back) for back in (0, 30, 60, 90)})
+
+
+def daily_rollup(events: DataFrame, *keys: str) -> DataFrame:
+    """Events per dataset, type and UTC day (and other `keys`): their number, first and last."""
+    dated = events.withColumn("date", F.expr(s.utc_day("occurred_at")))
+    return _grouped(
+        dated,
+        ["dataset_id", "access_type", "date", *keys],
+        [f"{_total(events)} AS n", f"min({_AT}) AS first_at", f"max({_AT}) AS last_at"],
+    )
 
 
 def access_windows(events: DataFrame, now: datetime | str) -> DataFrame:
@@ -44,51 +71,45 @@ def access_windows(events: DataFrame, now: datetime | str) -> DataFrame:
         events,
         ["dataset_id"],
         [
-            f"{_within(now, 0, 90)} AS accesses_90d",
-            f"{_within(now, 0, 30)} AS accesses_last30",
-            f"{_within(now, 30, 60)} AS accesses_prev30",
+            f"{_within(events, now, 0, 90)} AS accesses_90d",
+            f"{_within(events, now, 0, 30)} AS accesses_last30",
+            f"{_within(events, now, 30, 60)} AS accesses_prev30",
             f"max({_AT}) AS last_accessed_at",
         ],
     )
     return grouped.selectExpr("*", f"{_age(now)} AS days_since_last_access")
 
 
-def windows_for(
-    datasets: DataFrame, events: DataFrame, now: datetime | str, rollup: DataFrame | None = None
-) -> DataFrame:
-    """Access windows of every dataset; one without events has zero counts and no last access.
-
-    With a `rollup` (dataset_id, last_accessed_at) of the older log, `events` need to hold the last
-    90 days only.
-    """
+def windows_for(datasets: DataFrame, events: DataFrame, now: datetime | str) -> DataFrame:
+    """Access windows of every dataset; one without events has zero counts and no last access."""
     counts = ("accesses_90d", "accesses_last30", "accesses_prev30")
     found = datasets.select("dataset_id").join(access_windows(events, now), "dataset_id", "left")
-    last = "last_accessed_at"
-    if rollup is not None:
-        older = rollup.selectExpr("dataset_id", "last_accessed_at AS older")
-        found, last = found.join(older, "dataset_id", "left"), "greatest(last_accessed_at, older)"
     return found.selectExpr(
-        "dataset_id", *[f"coalesce({c}, 0L) AS {c}" for c in counts], f"{last} AS last_accessed_at"
+        "dataset_id", *[f"coalesce({c}, 0L) AS {c}" for c in counts], "last_accessed_at"
     ).selectExpr("*", f"{_age(now)} AS days_since_last_access")
 
 
-def _age(now: datetime | str) -> str:
-    age = f"({s.micros(now)}L - unix_micros(last_accessed_at)) / {s.double(s.DAY_MICROS)}"
-    return f"CASE WHEN last_accessed_at IS NOT NULL THEN greatest(0D, {age}) END"
+def _age(now: datetime | str, last: str = "last_accessed_at") -> str:
+    age = f"({s.micros(now)}L - unix_micros({last})) / {s.double(s.DAY_MICROS)}"
+    return f"CASE WHEN {last} IS NOT NULL THEN greatest(0D, {age}) END"
 
 
 def windows_at(datasets: DataFrame, events: DataFrame, instants: list[datetime | str]) -> DataFrame:
-    """The access windows of every dataset at each instant (captured_at), in one pass."""
-    counts = []
+    """The access windows of every dataset as they were at each instant (captured_at), in one pass.
+
+    The last access is the last one up to the instant: what came later could not be known.
+    """
+    facts = []
     for i, at in enumerate(instants):
         for c, newer, older in (("accesses_90d", 0, 90), ("accesses_last30", 0, 30), ("accesses_prev30", 30, 60)):
-            counts.append(f"{_within(at, newer, older)} AS {c}_{i}")
-    grouped = _grouped(events, ["dataset_id"], [*counts, f"max({_AT}) AS last_accessed_at"])
+            facts.append(f"{_within(events, at, newer, older)} AS {c}_{i}")
+        facts.append(f"max(CASE WHEN {_AT} <= {s.instant(at)} THEN {_AT} END) AS last_accessed_at_{i}")
+    grouped = _grouped(events, ["dataset_id"], facts)
     rows = ", ".join(
         f"struct({s.instant(at)} AS captured_at, coalesce(accesses_90d_{i}, 0L) AS accesses_90d, "
         f"coalesce(accesses_last30_{i}, 0L) AS accesses_last30, "
-        f"coalesce(accesses_prev30_{i}, 0L) AS accesses_prev30, last_accessed_at, "
-        f"{_age(at)} AS days_since_last_access)"
+        f"coalesce(accesses_prev30_{i}, 0L) AS accesses_prev30, last_accessed_at_{i} AS last_accessed_at, "
+        f"{_age(at, f'last_accessed_at_{i}')} AS days_since_last_access)"
         for i, at in enumerate(instants)
     )
     return datasets.select("dataset_id").join(grouped, "dataset_id", "left").selectExpr(
@@ -101,9 +122,8 @@ def value_scores(
     events: DataFrame,
     now: datetime | str,
     settings: Settings = Settings(),
-    rollup: DataFrame | None = None,
 ) -> DataFrame:
-    return value_from_windows(windows_for(datasets, events, now, rollup), settings)
+    return value_from_windows(windows_for(datasets, events, now), settings)
 
 
 def _check_days(days: int) -> None:
@@ -134,9 +154,10 @@ def daily_usage(
     if "event_date" in events.columns:
         low, high = (date(1970, 1, 1) + timedelta(days=start + d) for d in (0, days - 1))
         events = events.filter(f"event_date >= DATE'{low.replace(day=1)}' AND event_date <= DATE'{high}'")
-    counts = [f"count_if(access_type = '{t}') AS {t.lower()}" for t in ACCESS_TYPES]
+    counts = [f"{_total(events, f"access_type = '{t}'")} AS {t.lower()}" for t in ACCESS_TYPES]
+    weight = ["n"] if "n" in events.columns else []
     dated = of_type(events, access_type).selectExpr(
-        "dataset_id", "access_type", f"{s.utc_day('occurred_at')} AS date"
+        "dataset_id", "access_type", *weight, f"{s.utc_day('occurred_at')} AS date"
     )
     counted = _grouped(
         dated.filter(f"date BETWEEN {first} AND {today}"), ["dataset_id", "date"], counts
@@ -179,8 +200,8 @@ def access_rollup(events: DataFrame, now: datetime | str) -> DataFrame:
         events,
         ["dataset_id"],
         [
-            "count(1) AS access_count",
-            f"count_if({_AT} >= {s.days_before(now, 90)}) AS access_count_90d",
+            f"{_total(events)} AS access_count",
+            f"{_total(events, f'{_AT} >= {s.days_before(now, 90)}')} AS access_count_90d",
             f"max({_AT}) AS last_accessed_at",
         ],
     )

@@ -9,6 +9,7 @@ from datawarden.functions.cell_types import number
 from datawarden.functions.scalars import trimmed
 
 KEY = ["dataset_id", "position"]
+SALTS = 64
 SCORE_PARTS = {
     "quality": ("completeness", "validity", "uniqueness"),
     "trust": ("quality", "consistency", "classification_coverage"),
@@ -93,8 +94,11 @@ def numeric_histogram(freq: DataFrame, bins: int = 6) -> DataFrame:
         F.expr("min(x) AS lo"), F.expr("max(x) AS hi"), F.expr("sum(n) AS total")
     ).filter("total >= 2")
     width = f"((hi - lo) / {float(bins)}D)"
-    # One row per column on the right; a hot column is split by the adaptive skew join.
-    placed = numbers.join(stats, KEY).selectExpr(
+    # A column of unique numbers has as many rows as its table: they are dealt over salted keys, and the
+    # one row of bounds goes to each of them.
+    salted = numbers.withColumn("salt", F.expr(f"pmod(xxhash64(x), {SALTS}L)"))
+    bounds = stats.withColumn("salt", F.expr(f"explode(sequence(0L, {SALTS - 1}L))"))
+    placed = salted.join(bounds, [*KEY, "salt"]).selectExpr(
         *KEY,
         "n",
         f"CASE WHEN lo = hi THEN 0 ELSE least({bins - 1}, CAST(floor((x - lo) / {width}) AS INT)) "

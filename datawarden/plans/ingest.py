@@ -113,7 +113,7 @@ def ingest_csv(
         written("freq", pf.value_freq(only_good(intake.cells()))),
         written("rows", only_good(intake.row_counts())),
         written("headers", only_good(intake.headers())),
-        store.access_events(),
+        store.usage(now),
         now,
         settings,
         refinements,

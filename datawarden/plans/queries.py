@@ -18,6 +18,7 @@ from datawarden.functions.cell_types import TYPE_ORDER
 from datawarden.functions.pii import VALUE_CATEGORIES
 from datawarden.operators import catalog as cat
 from datawarden.operators import maintenance as mt
+from datawarden.operators import sketch as sk
 from datawarden.operators import views
 from datawarden.operators.classify import (
     apply_refinements,
@@ -31,6 +32,7 @@ from datawarden.operators.profile import (
     dataset_profile,
     preview_rows,
     sample_values,
+    text_cells,
     typed_column_profile,
     typed_value_freq,
     union_all,
@@ -55,6 +57,7 @@ from datawarden.sources.tables import export_catalog
 from datawarden.streaming import access_stream as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
+_COLUMN = ["dataset_id", "position"]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
@@ -200,9 +203,8 @@ def usage_daily_typed(spark, sf_dir):
     },
 )
 def usage_summary_query(spark, sf_dir):
-    return usage_summary(
-        wl.assets(spark, sf_dir), wl.access_log(spark, sf_dir), wl.NOW, 60, "VIEW"
-    ).select(
+    usage = wl.Catalog(spark, sf_dir).usage
+    return usage_summary(wl.assets(spark, sf_dir), usage, wl.NOW, 60, "VIEW").select(
         "dataset_id", day_text("from_date").alias("from_date"), day_text("to_date").alias("to_date"),
         "accesses_90d", "accesses_last30", "accesses_prev30",
         seconds("last_accessed_at").alias("last_accessed_s"),
@@ -215,13 +217,60 @@ def usage_summary_query(spark, sf_dir):
     {"full_rollup": sql.rollup("all_access")},
 )
 def access_rollup_query(spark, sf_dir):
-    """All-time counts over the whole log; the list's 90-day count has no upper bound."""
-    return access_rollup(wl.access_log(spark, sf_dir), wl.NOW).select(
+    """All-time counts of all events, from the store's roll-up; the 90-day count has no upper bound."""
+    return access_rollup(wl.Catalog(spark, sf_dir).usage, wl.NOW).select(
         "dataset_id", "access_count", "access_count_90d",
         seconds("last_accessed_at").alias("last_accessed_s"),
     )
 
 
+_ROLLED_TIMES = ("1996-03-15T12:00:00Z", wl.NOW)
+
+
+def _rolled_sql() -> str:
+    parts = []
+    for at in _ROLLED_TIMES:
+        now = f"TIMESTAMP '{at[:10]} {at[11:19]}'"
+        counts = sql.rollup("live_log").replace(sql.NOW, now)
+        parts.append(
+            f"SELECT '{at}' AS at, dataset_id, accesses_90d, accesses_last30, accesses_prev30, "
+            f"{_SEC.format('r.last_accessed_at')} AS last_accessed_s, access_count, access_count_90d "
+            f"FROM ({sql.windows('assets', 'live_log', now)}) JOIN ({counts}) r USING (dataset_id)"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    _rolled_sql(),
+    {
+        "live_log": "SELECT * FROM access_log WHERE NOT (dataset_id LIKE 'BUILDING-%' AND occurred_at "
+        "<= TIMESTAMP '1995-06-15 00:00:00')"
+    },
+)
+def usage_rolled(spark, sf_dir):
+    """The log in three batches, one of them late, summed up in between, with a backdated delete."""
+    store = CatalogStore(spark, new_run_dir(spark, "usage"), log_unit="month")
+    log = wl.access_log(spark, sf_dir).withColumn("source", F.lit("LIVE"))
+    late = "(event_id % 10 = 0 AND occurred_at < TIMESTAMP'1997-01-01 00:00:00Z')"
+    store.append("access_events", log.filter(f"NOT {late} AND occurred_at < TIMESTAMP'1997-01-01 00:00:00Z'"), "old")
+    store.roll_up("1995-01-01T00:00:00Z")
+    store.append("access_events", log.filter("occurred_at >= TIMESTAMP'1997-01-01 00:00:00Z'"), "new")
+    store.append("access_events", log.filter(late), "late")
+    store.roll_up("1996-06-01T00:00:00Z")
+    gone = wl.assets(spark, sf_dir).filter("dataset_id LIKE 'BUILDING-%'")
+    store.append("tombstones", gone.selectExpr("dataset_id", "TIMESTAMP'1995-06-15 00:00:00Z' AS deleted_at"))
+    parts = []
+    for at in _ROLLED_TIMES:
+        usage = store.usage(at)
+        parts.append(
+            access_windows(usage, at).join(access_rollup(usage, at).drop("last_accessed_at"), "dataset_id").select(
+                F.lit(at).alias("at"), "dataset_id", "accesses_90d", "accesses_last30", "accesses_prev30",
+                seconds("last_accessed_at").alias("last_accessed_s"), "access_count", "access_count_90d",
+            )
+        )
+    return union_all(parts)
+
+
 @query(
     """SELECT access_type, count(*) AS events FROM access_log
     WHERE dataset_id IN (SELECT dataset_id FROM ready) GROUP BY access_type"""
@@ -238,7 +287,7 @@ def trackable_events(spark, sf_dir):
 )
 def usage_normalised(spark, sf_dir):
     c = wl.Catalog(spark, sf_dir)
-    page = cat.catalog_page(c.datasets, c.tags, c.events, wl.NOW, limit=100)
+    page = cat.catalog_page(c.datasets, c.tags, c.usage, wl.NOW, limit=100)
     return views.usage_normalised(page).withColumn("usage_share", r6("usage_share"))
 
 
@@ -435,6 +484,33 @@ def preview_rows_query(spark, sf_dir):
     return rows.selectExpr("dataset_id", "row_number", f"{text} AS cells")
 
 
+@query(
+    """SELECT dataset_id, position, row_count, non_null_count, m_INTEGER AS m_integer, m_STRING AS m_string,
+    true AS merged_is_whole, true AS within_bound FROM counts"""
+)
+def column_sketches(spark, sf_dir):
+    """Both text tables profiled in three parts, each appended on its own, and merged: the estimated
+    distinct counts equal those of one sketch of everything and lie within the stated bound."""
+    store = CatalogStore(spark, new_run_dir(spark, "sketches"))
+    orders, customers = wl.dirty_orders(spark, sf_dir), wl.dirty_customers(spark, sf_dir)
+
+    def cells(condition: str) -> DataFrame:
+        parts = ((orders, wl.ORDER_COLUMNS), (customers, wl.CUSTOMER_COLUMNS))
+        return union_all([text_cells(df.filter(condition), columns) for df, columns in parts])
+
+    for k in range(3):
+        part = sk.column_sketches(cells(f"ord % 3 = {k}")).withColumn("profiled_at", F.expr(f"TIMESTAMP'{wl.NOW}'"))
+        store.append("column_sketches", part, batch=f"part-{k}")
+    merged = sk.sketched_counts(store.column_sketches())
+    whole = sk.sketched_counts(sk.column_sketches(cells("true"))).selectExpr(*_COLUMN, "distinct_count AS whole")
+    exact = column_counts(value_freq(cells("true"))).selectExpr(*_COLUMN, "distinct_count AS exact")
+    return merged.join(whole, _COLUMN).join(exact, _COLUMN).selectExpr(
+        *_COLUMN, "row_count", "non_null_count", "m_INTEGER AS m_integer", "m_STRING AS m_string",
+        "distinct_count = whole AS merged_is_whole",
+        f"abs(distinct_count - exact) <= {sk.ERROR_BOUND} * exact AS within_bound",
+    )
+
+
 # --------------------------------------------------------------------------- classification
 @query("SELECT dataset_id, position, name, header_category FROM header_hints")
 def header_categories_query(spark, sf_dir):
@@ -652,7 +728,7 @@ def catalog_list(spark, sf_dir):
     c = wl.Catalog(spark, sf_dir)
     return flat_summary(
         cat.catalog_page(
-            c.datasets, c.tags, c.events, wl.NOW, sort="-quality_score", limit=20, offset=20
+            c.datasets, c.tags, c.usage, wl.NOW, sort="-quality_score", limit=20, offset=20
         )
     )
 
@@ -660,7 +736,7 @@ def catalog_list(spark, sf_dir):
 @query(_SUMMARY)
 def catalog_summaries(spark, sf_dir):
     c = wl.Catalog(spark, sf_dir)
-    return flat_summary(cat.summaries(c.datasets, c.tags, c.events, wl.NOW))
+    return flat_summary(cat.summaries(c.datasets, c.tags, c.usage, wl.NOW))
 
 
 @query(
@@ -851,7 +927,7 @@ def override_rejects(spark, sf_dir):
 )
 def recompute_scores(spark, sf_dir):
     c = wl.Catalog(spark, sf_dir)
-    return flat_scores(mt.recompute_scores(c.scores, c.events, wl.NOW, OTHER))
+    return flat_scores(mt.recompute_scores(c.scores, c.usage, wl.NOW, OTHER))
 
 
 _REMAP = (
@@ -921,7 +997,11 @@ _SNAPSHOTS = " UNION ALL ".join(
         "ready_quality": "SELECT dataset_id, quality_score, trust_score FROM quality_trust "
         "WHERE dataset_id IN (SELECT dataset_id FROM ready)",
         **{
-            f"w{i}": sql.windows("profiled", "access_log", f"TIMESTAMP '{t} 00:00:00'")
+            f"w{i}": sql.windows("profiled", f"l{i}", f"TIMESTAMP '{t} 00:00:00'")
+            for i, t in enumerate(SNAPSHOT_TIMES)
+        },
+        **{
+            f"l{i}": f"SELECT * FROM access_log WHERE occurred_at <= TIMESTAMP '{t} 00:00:00'"
             for i, t in enumerate(SNAPSHOT_TIMES)
         },
         **{f"v{i}": sql.value(f"SELECT * FROM w{i}") for i, _ in enumerate(SNAPSHOT_TIMES)},
@@ -1086,8 +1166,11 @@ def csv_intake(spark, sf_dir):
 STREAM_DELAY = "30 days"
 
 
-def _stream_files(spark: SparkSession, sf_dir: str) -> str:
-    """All orders as event files, one a year, written in that order.
+EVENTS_A_FILE = 1_000_000
+
+
+def _stream_files(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """All orders as event files, equally many a year, written year by year.
 
     Every 40th event comes twice. Every 500th comes three years late, if the log lasts that long: by
     then the watermark has passed it.
@@ -1095,6 +1178,7 @@ def _stream_files(spark: SparkSession, sf_dir: str) -> str:
     folder = new_run_dir(spark, "events")
     log = wl.access_log(spark, sf_dir).withColumn("year", F.year("occurred_at"))
     years = sorted(r["year"] for r in log.select("year").distinct().collect())  # a handful
+    files = 1 + log.count() // (EVENTS_A_FILE * max(1, len(years)))
     late = f"event_id % 500 = 0 AND year + 3 <= {years[-1]}" if years else "false"
     rows = log.selectExpr(
         "event_id", "dataset_id", "access_type", "'LIVE' AS source", "occurred_at",
@@ -1102,12 +1186,13 @@ def _stream_files(spark: SparkSession, sf_dir: str) -> str:
         "explode(CASE WHEN event_id % 40 = 0 THEN array(0, 1) ELSE array(0) END) AS copy",
     ).drop("copy")
     for year in years:
-        rows.filter(f"file = {year}").drop("file").coalesce(1).write.parquet(f"{folder}/year={year}")
-    return folder
+        rows.filter(f"file = {year}").drop("file").repartition(files).write.parquet(f"{folder}/year={year}")
+    return folder, files
 
 
-def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return stream.access_stream(spark, folder, STREAM_SCHEMA, files_per_batch=1)
+def _event_stream(spark: SparkSession, folder: str, files: int) -> DataFrame:
+    """A batch for each year of files."""
+    return stream.access_stream(spark, folder, STREAM_SCHEMA, files_per_batch=files)
 
 
 STREAM_SCHEMA = (
@@ -1129,8 +1214,8 @@ def stream_daily_usage(spark, sf_dir):
     """Running counts over a file a year; late events are dropped, repeats counted as they come."""
     work = new_run_dir(spark, "daily")
     stream.start_daily_usage(
-        _event_stream(spark, _stream_files(spark, sf_dir)), f"{work}/counts", f"{work}/checkpoint",
-        available_now=True, delay=STREAM_DELAY,
+        _event_stream(spark, *_stream_files(spark, sf_dir)), f"{work}/counts", f"{work}/checkpoint",
+        available_now=True, delay=STREAM_DELAY, unit="month",
     ).awaitTermination()
     return stream.read_daily_usage(spark, f"{work}/counts").withColumn("date", day_text("date"))
 
@@ -1145,7 +1230,7 @@ def stream_intake(spark, sf_dir):
     """Events of READY datasets, deduplicated by id within a watermark, appended to the log."""
     work = new_run_dir(spark, "intake")
     store = CatalogStore(spark, f"{work}/store", log_unit="month")
-    events = stream.deduplicated(_event_stream(spark, _stream_files(spark, sf_dir)), STREAM_DELAY)
+    events = stream.deduplicated(_event_stream(spark, *_stream_files(spark, sf_dir)), STREAM_DELAY)
     listed = wl.Catalog(spark, sf_dir).listed
     stream.start_intake(
         events, store, f"{work}/checkpoint", available_now=True, datasets=lambda: listed
@@ -1170,7 +1255,7 @@ def stream_value(spark, sf_dir):
     written back, the others keep theirs."""
     store = wl.Catalog(spark, sf_dir).copy(events=False)
     now = datetime(1998, 7, 1, tzinfo=timezone.utc)
-    events = stream.deduplicated(_event_stream(spark, _stream_files(spark, sf_dir)), STREAM_DELAY)
+    events = stream.deduplicated(_event_stream(spark, *_stream_files(spark, sf_dir)), STREAM_DELAY)
     work = new_run_dir(spark, "value")
     stream.start_value(
         events, store, lambda: store.read("dataset_scores"), lambda: now, f"{work}/checkpoint",
@@ -1179,6 +1264,52 @@ def stream_value(spark, sf_dir):
     return flat_scores(store.read("dataset_scores"))
 
 
+AGEING_DAYS = 30
+
+
+@query(
+    f"""SELECT dataset_id, strftime(captured_at, '%Y-%m-%d') AS date, accesses_90d, accesses_last30,
+    accesses_prev30, round(value_score, 6) AS value_score, recommendation FROM aged_values""",
+    {
+        "in_time": _IN_TIME,
+        "instants": f"SELECT TIMESTAMP '1970-01-01' + to_days(CAST(k * {AGEING_DAYS} AS INTEGER)) AS captured_at "
+        f"FROM range(20000 // {AGEING_DAYS}) r(k)",
+        "bounds": "SELECT dataset_id, captured_at FROM (SELECT DISTINCT dataset_id FROM in_time), instants "
+        f"WHERE captured_at <= {sql.NOW}",
+        "aged_all": """SELECT dataset_id, captured_at,
+          count(*) FILTER (occurred_at > captured_at - INTERVAL 90 DAY) AS accesses_90d,
+          count(*) FILTER (occurred_at > captured_at - INTERVAL 30 DAY) AS accesses_last30,
+          count(*) FILTER (occurred_at > captured_at - INTERVAL 60 DAY AND occurred_at <= captured_at - INTERVAL 30 DAY)
+            AS accesses_prev30,
+          max(occurred_at) AS last_accessed_at,
+          (epoch_us(captured_at) - epoch_us(max(occurred_at))) / 86400e6 AS days_since_last_access
+          FROM bounds JOIN in_time USING (dataset_id) WHERE occurred_at <= captured_at GROUP BY dataset_id, captured_at""",
+        "aged": "SELECT * FROM (SELECT *, lag(accesses_90d) OVER (PARTITION BY dataset_id ORDER BY captured_at) "
+        "AS earlier FROM aged_all) WHERE accesses_90d > 0 OR earlier > 0",
+        "aged_values": sql.value("SELECT * FROM aged"),
+    },
+)
+def stream_value_ageing(spark, sf_dir):
+    """Value of every dataset at every 30th midnight, as the watermark passes it; datasets age and
+    retire without events of their own."""
+    work = new_run_dir(spark, "ageing")
+    folder, files = _stream_files(spark, sf_dir)
+    # Heartbeats as the last file: the clock goes on to noon of the day before the last instant's
+    # watermark, so that all instants up to NOW have passed.
+    spark.range(1, numPartitions=1).selectExpr(
+        "CAST(NULL AS BIGINT) AS event_id", "CAST(NULL AS STRING) AS dataset_id", "CAST(NULL AS STRING) AS access_type",
+        "'LIVE' AS source", "TIMESTAMP'1998-07-01 12:00:00Z' + INTERVAL 30 DAYS AS occurred_at",
+    ).write.parquet(f"{folder}/year=heartbeat")
+    events = stream.deduplicated(_event_stream(spark, folder, files), STREAM_DELAY)
+    store = CatalogStore(spark, f"{work}/store")
+    stream.start_ageing_value(events, store, f"{work}/checkpoint", every_days=AGEING_DAYS, available_now=True).awaitTermination()
+    return store.log("value_log").select(
+        "dataset_id", F.date_format("captured_at", "yyyy-MM-dd").alias("date"),
+        *[F.col(f"value.raw.{c}").alias(c) for c in ("accesses_90d", "accesses_last30", "accesses_prev30")],
+        r6("value.score").alias("value_score"), "recommendation",
+    ).filter(f"date <= '{wl.NOW[:10]}'")
+
+
 # --------------------------------------------------------------------------- more of the catalogue
 @query(
     """SELECT 'datasets' AS table_name, count(*) AS n FROM manifest
@@ -1340,6 +1471,30 @@ def catalog_sorts(spark, sf_dir):
     return union_all(parts)
 
 
+_PAGE, _PAGES = 7, 3
+
+
+@query(f"SELECT * FROM ({_SORTS}) WHERE place > {_PAGE * (_PAGES - 1)} AND place <= {_PAGE * _PAGES}")
+def catalog_keyset(spark, sf_dir):
+    """The third page of each of the twelve orders, reached by the last row of the one before."""
+    c = wl.Catalog(spark, sf_dir)
+    parts = []
+    for key in cat.SORT_KEYS:
+        for sign in ("", "-"):
+            after, sort = None, sign + key
+            for _ in range(_PAGES - 1):
+                page = cat.sorted_catalog(cat.beyond(c.datasets, sort, after), sort).limit(_PAGE)
+                after = cat.cursor_of(page.select(key, "dataset_id").collect()[-1], sort)
+            page = cat.catalog_page_after(c.datasets, c.tags, c.usage, wl.NOW, sort, after, limit=_PAGE)
+            ranked = page.select(key, "dataset_id").selectExpr(
+                "dataset_id",
+                f"{_PAGE * (_PAGES - 1)} + row_number() OVER (ORDER BY {key} {'DESC' if sign else 'ASC'} NULLS LAST, "
+                "dataset_id) AS place",
+            )
+            parts.append(ranked.select(F.lit(sort).alias("sort"), "place", "dataset_id"))
+    return union_all(parts)
+
+
 @query(
     """SELECT 'column' AS part, dataset_id, CAST(row_number() OVER (ORDER BY position) AS INTEGER)
     AS place, name AS what FROM ready_columns WHERE dataset_id = 'customers-BUILDING'
@@ -1352,7 +1507,7 @@ def dataset_detail(spark, sf_dir):
     """Columns and findings of one dataset in their order, and the findings of one column."""
     c = wl.Catalog(spark, sf_dir)
     one = "customers-BUILDING"
-    found = cat.detail(one, c.datasets, c.columns, c.tags, c.checks, c.events, wl.NOW)
+    found = cat.detail(one, c.datasets, c.columns, c.tags, c.checks, c.usage, wl.NOW)
 
     def placed(part: str, rows: DataFrame, what: str, order: str) -> DataFrame:
         return rows.selectExpr(
@@ -1390,7 +1545,7 @@ def catalog_export(spark, sf_dir):
     """The catalogue exported as JSON lines and read back."""
     c = wl.Catalog(spark, sf_dir)
     path = new_run_dir(spark, "export")
-    export_catalog(cat.summaries(c.datasets, c.tags, c.events, wl.NOW), path)
+    export_catalog(cat.summaries(c.datasets, c.tags, c.usage, wl.NOW), path)
     back = spark.read.schema("dataset_id string, name string, status string, recommendation string, row_count bigint")
     return back.json(path)
 

@@ -22,6 +22,8 @@ from datawarden.sources import tables
 from datawarden.sources.catalog_store import CatalogStore, new_run_id
 
 NOW = "1998-07-01T00:00:00Z"
+#: Usage before this day is summed up; no window or series reaches back so far.
+LONG_AGO = "1997-01-01T00:00:00Z"
 ALL_LEVELS = json.dumps({**SENSITIVITY_BY_CATEGORY, "NONE": "LOW"}, sort_keys=True)
 
 ORDER_COLUMNS = (
@@ -225,7 +227,17 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_STORES: dict[tuple[str, str], str] = {}
+_STORES: dict[tuple[str, str, tuple[int, ...]], str] = {}
+
+
+def _changed_at(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
+    """When the tables that the catalogue is made of were last changed."""
+    out = []
+    for name in ("customer", "orders"):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out.append(system.getFileStatus(path).getModificationTime())
+    return tuple(out)
 
 
 def publish_catalog(spark: SparkSession, sf_dir: str) -> CatalogStore:
@@ -247,9 +259,10 @@ def publish_catalog(spark: SparkSession, sf_dir: str) -> CatalogStore:
 
     live = access_log(spark, sf_dir).withColumn("source", F.lit("LIVE"))
     store.append("access_events", live, batch="first")
+    store.roll_up(LONG_AGO)
     found = Analysis(
         written("freq", of_ready(t.freq)), written("rows", of_ready(t.rows)),
-        written("headers", of_ready(t.headers)), store.access_events(), NOW,
+        written("headers", of_ready(t.headers)), store.usage(NOW), NOW,
     )
     run = new_run_id()
     store.write("columns", found.counts, run)
@@ -265,11 +278,12 @@ def publish_catalog(spark: SparkSession, sf_dir: str) -> CatalogStore:
 class Catalog:
     """The published catalogue of both text tables; only READY datasets have findings.
 
-    It is published once for each application and folder, and read from the store.
+    It is published once for each application and state of the folder's tables, and read from the
+    store.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        key = (spark.sparkContext.applicationId, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir, _changed_at(spark, sf_dir))
         if key not in _STORES:
             _STORES[key] = publish_catalog(spark, sf_dir).root
         self.store = CatalogStore(spark, _STORES[key], log_unit="month")
@@ -302,6 +316,11 @@ class Catalog:
     def events(self) -> DataFrame:
         return self.store.access_events()
 
+    @cached_property
+    def usage(self) -> DataFrame:
+        """The log as weighted events, rolled up by day."""
+        return self.store.usage(NOW)
+
     def copy(self, events: bool = True) -> CatalogStore:
         """A store of its own with the same content, for changes; without `events`, an empty log."""
         spark = self.store.spark

@@ -1,11 +1,12 @@
 """CSV intake: a folder of files becomes one dataset per file, or a reject with a reason.
 
-The folder is read once, as plain lines, split by split. Whether a line starts inside quotes depends on
-all lines before it, but only through one bit: every line maps the state it starts in (outside or
-inside) to the state it ends in, and these maps compose. Running windows compose them within a
-split, a second one over the few splits of a file, so a file with quoted line breaks is read by as
-many tasks as any other. Lines that belong to one record are joined, records are cut into fields,
-and both are written once; everything else reads what was written.
+The folder is read as plain lines, split by split, twice. Whether a line starts inside quotes depends
+on all lines before it, but only through one bit: every line maps the state it starts in (outside
+or inside) to the state it ends in, and these maps compose. The first pass keeps two bits for each
+line that holds a quote, composes them within a split and over the few splits of a file, and so
+learns the state in which each split starts. The second pass carries the state along each split.
+No text is shuffled but that of records of several lines, no file is read whole by one task, and
+cells are written once; everything else reads those.
 
 The driver holds file paths (as Spark's own file index does), never file content.
 """
@@ -13,6 +14,8 @@ The driver holds file paths (as Spark's own file index does), never file content
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -30,6 +33,7 @@ MESSAGES = {
     "file_too_large": "File exceeds the size cap.",
     "empty_file": "File is empty or has no data rows.",
     "invalid_file": "File has an unterminated quote.",
+    "record_too_long": "File has a quoted field that spans too many lines.",
     "invalid_name": "Name must have 1 to 255 characters.",
     "ragged": "File is not rectangular: a row's field count does not match the header.",
     "failed": "Ingestion failed: the file could not be profiled.",
@@ -99,14 +103,29 @@ def _open_after(line: str, delimiter: str) -> str:
     return f"""rlike({rest}, r'(^|{d})"')"""
 
 
-def quoted_lines(
+#: A record of more lines rejects its file: its lines meet in one task.
+MAX_RECORD_LINES = 1_000_000
+
+
+@contextmanager
+def same_splits(spark: SparkSession) -> Iterator[None]:
+    """Files are cut at the same places by all reads inside, though the cluster may grow between."""
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def mapped_lines(
     spark: SparkSession, path: str, delimiter: str = ",", suffixes: tuple[str, ...] = (".csv",)
 ) -> DataFrame:
-    """Every line of the files with its map of quote states and the maps before it in its split.
+    """Every line of the files with its map of quote states, in the order of the files.
 
     `from_out` and `from_in` are the states (true: inside) after a line that starts outside or
-    inside. Before a line lie `flips` lines that turn the state round and, if there is any, a last
-    one that sets it: to `set_to`, at `set_flips` flips.
+    inside; a line without quotes keeps the state.
     """
     lines = (
         spark.read.option("recursiveFileLookup", True)
@@ -122,48 +141,39 @@ def quoted_lines(
         )
     )
     closed = """regexp_replace(plain, r'^[^"]*"', 'x')"""
-    mapped = lines.selectExpr(
+    return lines.selectExpr(
         "file_id", "block", "row", "line",
-        f"""{_open_after("regexp_replace(plain, r'^\\x{FEFF}', '')", delimiter)} AS from_out""",
+        f"""contains(plain, '"') AND {_open_after("regexp_replace(plain, r'^\\x{FEFF}', '')", delimiter)} AS from_out""",
         f"""NOT contains(plain, '"') OR {_open_after(closed, delimiter)} AS from_in""",
     )
-    order = "OVER (PARTITION BY file_id, block ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND {})"
-    counted = mapped.selectExpr(
-        "*", f"count_if(from_out AND NOT from_in) {order.format('CURRENT ROW')} AS upto"
-    )
-    sets = "CASE WHEN from_out = from_in THEN struct(from_out AS v, upto AS n) END"
-    return counted.selectExpr(
-        "*",
-        "upto - CAST(from_out AND NOT from_in AS INT) AS flips",
-        f"last({sets}, true) {order.format('1 PRECEDING')} AS setter",
-    ).selectExpr(
-        "file_id", "block", "row", "line", "from_out", "from_in", "flips",
-        "setter.v AS set_to", "setter.n AS set_flips",
-    )
 
 
-def _state(start: str) -> str:
-    """The state in which a line starts, given the state at the start of its split."""
-    return (
-        "CASE WHEN set_to IS NULL THEN " + f"{start} <> (flips % 2 = 1) "
-        "ELSE set_to <> ((flips - set_flips) % 2 = 1) END"
-    )
-
+def split_maps(lines: DataFrame) -> DataFrame:
+    """(file_id, block, from_out, from_in): the maps of whole splits.
 
-def split_states(lines: DataFrame) -> DataFrame:
-    """Per file and split the state it starts in, and the state in which the file ends."""
-    last = lines.groupBy("file_id", "block").agg(
-        F.expr("max_by(struct(from_out, from_in, flips, set_to, set_flips), row) AS last")
+    Lines without quotes collapse to one row a split before they are shuffled, so what moves is two
+    bits for each line that holds one.
+    """
+    quoted = "from_out OR NOT from_in"
+    kept = lines.selectExpr(
+        "file_id", "block", f"CASE WHEN {quoted} THEN row END AS row", "from_out", "from_in"
+    ).groupBy("file_id", "block", "row").agg(F.max("from_out").alias("from_out"), F.max("from_in").alias("from_in"))
+    order = "OVER (PARTITION BY file_id, block ORDER BY row NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    counted = kept.selectExpr("*", f"count_if(from_out AND NOT from_in) {order} AS upto")
+    # flips after the last line that sets the state, whatever it was before
+    setter = "CASE WHEN from_out = from_in THEN struct(row, from_out AS v, upto AS n) END"
+    whole = counted.groupBy("file_id", "block").agg(
+        F.expr("max(upto) AS flips"), F.expr(f"max({setter}) AS setter")
+    )
+    return whole.selectExpr(
+        "file_id", "block",
+        "CASE WHEN setter IS NULL THEN flips % 2 = 1 ELSE setter.v <> ((flips - setter.n) % 2 = 1) END AS from_out",
+        "CASE WHEN setter IS NULL THEN flips % 2 = 0 ELSE setter.v <> ((flips - setter.n) % 2 = 1) END AS from_in",
     )
-    after = "CASE WHEN {0} THEN last.from_in ELSE last.from_out END"
 
-    def end(start: str) -> str:
-        state = _state(start)
-        for c in ("flips", "set_to", "set_flips"):
-            state = re.sub(rf"\b{c}\b", f"last.{c}", state)
-        return after.format(f"({state})")
 
-    maps = last.selectExpr("file_id", "block", f"{end('false')} AS from_out", f"{end('true')} AS from_in")
+def split_states(maps: DataFrame) -> DataFrame:
+    """Per file and split the state it starts in, and the state in which the file ends."""
     # One row for each split of a file.
     over = "OVER (PARTITION BY file_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND {})"
     counted = maps.selectExpr(
@@ -185,37 +195,96 @@ def split_states(lines: DataFrame) -> DataFrame:
     )
 
 
-def records(lines: DataFrame, states: DataFrame) -> DataFrame:
-    """(file_id, ord, text): the records of all files whose quotes close.
-
-    Lines of one record are joined by line feeds. Blank lines between records are none.
-    """
-    good = states.filter("NOT open_end").select("file_id", "block", "starts")
-    placed = lines.join(good, ["file_id", "block"]).selectExpr(
-        "file_id", "block", "row", "line", f"{_state('starts')} AS inside", "from_out", "from_in"
-    ).selectExpr("*", "CASE WHEN inside THEN from_in ELSE from_out END AS goes_on")
-    whole = placed.filter("NOT inside AND NOT goes_on AND trim(line) <> ''").selectExpr(
-        "file_id", "struct(block, row) AS ord", "line AS text"
+def _carried():
+    """A scan along the splits of a task: per line the state it starts in and the line that heads
+    its record (-1: one of an earlier split). It gets bits and numbers, never text."""
+
+    def scan(batches):
+        import numpy as np
+        import pandas as pd
+
+        split = state = head = None  # of the line before
+        for keys, rows, from_out, from_in, starts in batches:
+            k, row = keys.to_numpy(), rows.to_numpy()
+            out, into, begin = (x.to_numpy(dtype=bool) for x in (from_out, from_in, starts))
+            n = len(k)
+            if n == 0:
+                yield pd.DataFrame({"inside": out, "head": row})
+                continue
+            first = np.ones(n, dtype=bool)
+            first[1:] = k[1:] != k[:-1]
+            first[0] = split is None or k[0] != split
+            # where the state is known: before the first line of a split, behind a line that sets it
+            known = np.full(n + 1, -1, dtype=np.int8)
+            known[1:][out == into] = out[out == into]
+            known[:-1][first] = begin[first]
+            if not first[0]:
+                known[0] = state
+            flips = np.concatenate([[0], np.cumsum(out & ~into)])
+            at = np.maximum.accumulate(np.where(known >= 0, np.arange(n + 1), 0))
+            now = known[at] ^ ((flips - flips[at]) & 1).astype(np.int8)
+            inside = now[:-1].astype(bool)
+            heads = np.where(inside, np.int64(-1), row)
+            if not first[0] and inside[0]:
+                heads[0] = head
+            sets = ~inside | first
+            sets[0] = True
+            heads = heads[np.maximum.accumulate(np.where(sets, np.arange(n), 0))]
+            split, state, head = k[-1], now[-1], heads[-1]
+            yield pd.DataFrame({"inside": inside, "head": heads})
+
+    return scan
+
+
+def placed_lines(lines: DataFrame, states: DataFrame) -> DataFrame:
+    """Lines with the state they start in (`inside`), whether they leave it open (`goes_on`) and the
+    row that heads their record. The splits that start inside quotes, at most one row for each split
+    of the input, are broadcast: the lines must not move, as their order is what is scanned."""
+    inner = states.filter("starts").select("file_id", "block", "starts")
+    joined = lines.join(F.broadcast(inner), ["file_id", "block"], "left")
+    scan = F.pandas_udf(_typed(_carried()), "inside boolean, head bigint")
+    scanned = joined.select(
+        "file_id", "block", "row", "line", "from_out", "from_in",
+        scan(
+            F.xxhash64("file_id", "block"), F.col("row"), F.col("from_out"), F.col("from_in"),
+            F.coalesce("starts", F.lit(False)),
+        ).alias("s"),
     )
-    parts = placed.filter("inside OR goes_on").selectExpr(
-        "file_id", "block", "row", "line",
-        "last(CASE WHEN NOT inside THEN struct(block, row) END, true) OVER "
-        "(PARTITION BY file_id, block ORDER BY row) AS head",
+    return scanned.selectExpr(
+        "file_id", "block", "row", "line", "s.inside AS inside", "s.head AS head",
+        "CASE WHEN s.inside THEN from_in ELSE from_out END AS goes_on",
     )
-    # A record may go on from an earlier split: its head is the last one before.
-    heads = parts.groupBy("file_id", "block").agg(F.expr("max(head) AS head"))
+
+
+def _typed(scan):
+    """Type hints for an iterator function, given here so that it carries no reference to a module."""
+    import pandas as pd
+
+    scan.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
+    return scan
+
+
+def long_records(parts: DataFrame, states: DataFrame) -> DataFrame:
+    """`parts` (file_id, block, row, head, line) of records of several lines, with `ord`: the place of
+    the line that heads the record, also where that lies in an earlier split."""
+    heads = parts.groupBy("file_id", "block").agg(F.expr("max(CASE WHEN head >= 0 THEN head END) AS head"))
     before = states.select("file_id", "block").join(heads, ["file_id", "block"], "left").selectExpr(
         "file_id", "block",
-        "last(head, true) OVER (PARTITION BY file_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING "
-        "AND 1 PRECEDING) AS earlier",
+        "last(CASE WHEN head IS NOT NULL THEN struct(block, head AS row) END, true) OVER (PARTITION BY file_id "
+        "ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier",
+    )
+    here = parts.filter("head >= 0").selectExpr("file_id", "struct(block, head AS row) AS ord", "block", "row", "line")
+    across = parts.filter("head < 0").join(before, ["file_id", "block"]).selectExpr(
+        "file_id", "earlier AS ord", "block", "row", "line"
     )
-    joined = (
-        parts.join(before, ["file_id", "block"])
-        .selectExpr("file_id", "coalesce(head, earlier) AS ord", "struct(block, row, line) AS part")
-        .groupBy("file_id", "ord")
-        .agg(F.expr("array_join(transform(array_sort(collect_list(part)), p -> p.line), char(10)) AS text"))
+    return here.unionByName(across)
+
+
+def joined_records(lines: DataFrame) -> DataFrame:
+    """(file_id, ord, text): lines of one record joined by line feeds."""
+    return lines.selectExpr("file_id", "ord", "struct(block, row, line) AS part").groupBy("file_id", "ord").agg(
+        F.expr("array_join(transform(array_sort(collect_list(part)), p -> p.line), char(10)) AS text")
     )
-    return whole.unionByName(joined)
 
 
 def file_manifest(
@@ -232,6 +301,7 @@ def file_manifest(
         f"WHEN {too_large} THEN 'file_too_large' "
         f"WHEN length(trim(given)) NOT BETWEEN 1 AND {DATASET_NAME_CHARS} THEN 'invalid_name' "
         "WHEN open_end THEN 'invalid_file' "
+        "WHEN too_long THEN 'record_too_long' "
         "WHEN coalesce(records, 0L) < 2 THEN 'empty_file' END"
     )
     judged = files.selectExpr("*", f"{given} AS given").join(facts, "file_id", "left")
@@ -300,10 +370,11 @@ def read_csv_folder(
     max_bytes: int | None = None,
     suffixes: tuple[str, ...] = (".csv",),
     names: dict[str, str] | None = None,
+    max_record_lines: int = MAX_RECORD_LINES,
 ) -> CsvIntake:
     """Manifest and tables of a folder. `names` gives datasets another name than their file's.
 
-    Lines, records and the manifest are written to the shared folder, one after the other.
+    Split states, records and the manifest are written to the shared folder, one after the other.
     """
     work = new_run_dir(spark, "csv-intake")
 
@@ -311,18 +382,45 @@ def read_csv_folder(
         df.write.parquet(f"{work}/{name}")
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
-    lines = written("lines", quoted_lines(spark, path, delimiter, suffixes))
-    states = written("states", split_states(lines))
-    parsed = written(
-        "records",
-        records(lines, states).selectExpr("file_id", "ord", f"{fields_of('text', delimiter)} AS fields"),
-    )
+    with same_splits(spark):
+        lines = mapped_lines(spark, path, delimiter, suffixes)
+        states = written("states", split_states(split_maps(lines)))
+        placed = placed_lines(lines, states)
+        several = "inside OR goes_on"
+        pieces = written(
+            "pieces",
+            placed.filter(f"{several} OR trim(line) <> ''").selectExpr(
+                "file_id", "block", "row", f"CASE WHEN {several} THEN head END AS head",
+                f"CASE WHEN {several} THEN line END AS line",
+                f"CASE WHEN NOT ({several}) THEN {fields_of('line', delimiter)} END AS fields",
+            ),
+        )
     ends = states.groupBy("file_id").agg(F.expr("bool_or(open_end) AS open_end"))
+    parts = long_records(pieces.filter("head IS NOT NULL").drop("fields"), states)
+    too_long = written(
+        "too-long",
+        parts.groupBy("file_id", "ord").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {int(max_record_lines)}")
+        .select("file_id").distinct(),
+    )
+    unfit = ends.filter("open_end").select("file_id").unionByName(too_long)
+    joined = written(
+        "joined",
+        joined_records(parts.join(unfit, "file_id", "left_anti")).selectExpr(
+            "file_id", "ord", f"{fields_of('text', delimiter)} AS fields"
+        ),
+    )
+    single = pieces.filter("fields IS NOT NULL").selectExpr("file_id", "struct(block, row) AS ord", "fields")
+    parsed = single.unionByName(joined)
     counted = parsed.groupBy("file_id").agg(
         F.expr("count(1) AS records"), F.expr("min_by(struct(fields, ord), ord) AS first")
     )
-    facts = ends.join(counted, "file_id", "left").selectExpr(
-        "file_id", "open_end", "records", "first.fields AS header", "first.ord AS header_ord"
+    facts = (
+        ends.join(counted, "file_id", "left")
+        .join(too_long.withColumn("too_long", F.lit(True)), "file_id", "left")
+        .selectExpr(
+            "file_id", "open_end", "coalesce(too_long, false) AS too_long", "records", "first.fields AS header",
+            "first.ord AS header_ord",
+        )
     )
     manifest = written("manifest", file_manifest(list_files(spark, path, suffixes), facts, max_bytes, names))
     accepted = manifest.filter("code IS NULL").selectExpr("file_id", "header_ord", "size(headers) AS width")

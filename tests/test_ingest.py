@@ -12,7 +12,7 @@ from datawarden.operators import maintenance as mt
 from datawarden.operators import profile as pf
 from datawarden.plans.ingest import ingest_csv
 from datawarden.sources.catalog_store import CatalogStore, new_run_id
-from datawarden.sources.csv_files import read_csv_folder
+from datawarden.sources.csv_files import mapped_lines, placed_lines, read_csv_folder, split_maps, split_states
 from datawarden.sources.tables import export_catalog
 
 NOW = datetime(2026, 1, 1, tzinfo=timezone.utc)
@@ -148,6 +148,23 @@ def test_quotes_in_splits(spark, tmp_path, split):
             assert [r[1] for r in rows[name]] == want[1:], name
 
 
+def test_long_records_reject_their_file(spark, tmp_path):
+    (tmp_path / "long.csv").write_text('a,b\n1,"x' + "\n" * 50 + '"\n2,3\n')
+    (tmp_path / "good.csv").write_text('a,b\n1,"x' + "\n" * 20 + '"\n2,3\n')
+    intake = read_csv_folder(spark, str(tmp_path), max_record_lines=30)
+    codes = {r.file_name: r.code for r in intake.manifest.collect()}
+    assert codes == {"long.csv": "record_too_long", "good.csv": None}
+    assert sorted(r.cells[1] for r in intake.rows.collect()) == ["3", "x" + "\n" * 20]
+
+
+def test_lines_are_placed_without_moving(spark, folder):
+    lines = mapped_lines(spark, folder)
+    states = split_states(split_maps(lines))
+    plan = placed_lines(lines, states)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "line#" in x]
+    assert moved == [] and "ArrowEvalPython" in plan
+
+
 def test_size_cap(spark, folder):
     m = {r["file_name"]: r["code"] for r in read_csv_folder(spark, folder, max_bytes=500).manifest.collect()}
     assert m["stray.csv"] == "file_too_large" and m["nul.csv"] is None
@@ -341,9 +358,52 @@ def test_recompute(store):
 def test_compaction_keeps_the_present_state(spark, store):
     tables = ("datasets", "columns", "tags", "quality_checks", "dataset_scores", "preview_rows")
     before = {t: sorted(map(str, store.read(t).collect())) for t in tables}
+    reader = store.read("columns")  # opened before, read after
     run = store.compact(datetime(2026, 1, 3, tzinfo=timezone.utc))
     assert {t: sorted(map(str, store.read(t).collect())) for t in tables} == before
-    assert {r["run_id"] for r in spark.read.parquet(f"{store.root}/covered").select("run_id").collect()} == {run}
+    assert sorted(map(str, reader.collect())) == before["columns"]
+    store.vacuum(keep=1)
+    assert {t: sorted(map(str, store.read(t).collect())) for t in tables} == before
+    assert all(store._folders(t) == [run] for t in tables) and len(store._versions()) == 1
+
+
+def test_readers_open_one_version_and_its_runs(spark, tmp_path):
+    store = CatalogStore(spark, str(tmp_path))
+    ids = lambda *x: spark.createDataFrame([(i, f"v{len(x)}") for i in x], "dataset_id string, name string")
+    for k in range(8):
+        run = f"run-{k}"
+        rows = ids("a", "b") if k % 2 else ids("a")
+        store.write("datasets", rows, run)
+        store.publish(run, rows, NOW.replace(day=1 + k), ("datasets",))
+    store.write("datasets", ids("z"), "run-unpublished")
+    store.publish("run-3", ids("a", "b"), NOW.replace(day=2), ("datasets",))  # older than what is there
+    read = store.read("datasets")
+    assert sorted(map(tuple, read.collect())) == [("a", "v2"), ("b", "v2")]
+    assert {f.split("run_id=")[1].split("/")[0] for f in read.inputFiles() if "run_id=" in f} == {"run-7"}
+    versions = [f for f in read.inputFiles() if "/state/" in f]
+    assert len({f.split("version=")[1].split("/")[0] for f in versions}) == 1
+    # a version that was not finished is not seen
+    (tmp_path / "state" / f"version={99:012d}").mkdir()
+    assert store.read("datasets").count() == 2
+    with pytest.raises(ValueError):
+        store.publish("007", ids("a"), NOW)
+
+
+def test_pages_by_cursor_equal_pages_by_offset(spark):
+    rows = [(f"d{i:02d}", None if i % 4 == 0 else float(i % 5), NOW.replace(day=1 + i % 9), f"n{i % 7}", i % 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "dataset_id string, quality_score double, uploaded_at timestamp, name string, row_count int")
+    for sort in ("quality_score", "-quality_score", "uploaded_at", "-uploaded_at", "-name", "row_count"):
+        whole = [r.dataset_id for r in cat.sorted_catalog(df, sort).collect()]
+        got, after = [], None
+        while True:
+            page = cat.sorted_catalog(cat.beyond(df, sort, after), sort).limit(7).collect()
+            if not page:
+                break
+            got += [r.dataset_id for r in page]
+            after = cat.cursor_of(page[-1], sort)
+        assert got == whole
+    page = cat.sorted_catalog(cat.beyond(df, "-name", ("n3", "d10")), "-name").limit(7)
+    assert "TakeOrderedAndProject(limit=7" in page._jdf.queryExecution().executedPlan().toString()
 
 
 def test_logged_changes_are_published(spark, store):

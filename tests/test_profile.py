@@ -1,7 +1,10 @@
 import pytest
 from helpers import column_cases, profiles, table_case
+from pyspark.sql import functions as F
 
 from datawarden.operators import profile as pf
+from datawarden.operators import sketch as sk
+from datawarden.operators import views
 
 
 def test_type_table(spark):
@@ -128,14 +131,44 @@ def test_typed_profile(spark):
     assert p["f"]["validity"] == 0.75 and p["s"]["missing_count"] == 1
 
 
-def test_approximate_counts_need_no_value_shuffle(spark):
-    rows = [("d", str(i), "1") for i in range(2000)]
-    cells = pf.text_cells(spark.createDataFrame(rows, "dataset_id string, a string, b string"), ["a", "b"])
-    exact = {r["position"]: r for r in pf.column_counts(pf.value_freq(cells)).collect()}
-    rough = {r["position"]: r for r in pf.column_counts(cells, approximate=True).collect()}
-    for pos in (0, 1):
-        assert rough[pos]["m_INTEGER"] == exact[pos]["m_INTEGER"] == 2000
-        assert rough[pos]["distinct_count"] == pytest.approx(exact[pos]["distinct_count"], rel=0.1)
+def test_typed_profile_reads_once(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("dataset_id", F.lit("o"))
+    profile = pf.typed_column_profile(df, [c for c in df.columns if c != "dataset_id"])
+    plan = profile._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_sketches_merge_to_the_whole(spark):
+    rows = [("ab"[i % 5 == 0], i, str(i % 700), None if i % 3 else "7.5", "x") for i in range(5000)]
+    df = spark.createDataFrame(rows, "dataset_id string, i int, a string, b string, c string")
+    cells = lambda where: pf.text_cells(df.filter(where), ["a", "b", "c"])
+    parts = pf.union_all([sk.column_sketches(cells(f"i % 4 = {k}")) for k in range(4)])
+    nested = sk.merge_sketches(sk.merge_sketches(parts.filter("position < 2")).unionByName(parts.filter("position = 2")))
+    whole = sorted(map(str, sk.sketched_counts(sk.column_sketches(cells("true"))).collect()))
+    assert sorted(map(str, sk.sketched_counts(sk.merge_sketches(parts)).collect())) == whole
+    assert sorted(map(str, sk.sketched_counts(nested).collect())) == whole
+    exact = {(r.dataset_id, r.position): r for r in pf.column_counts(pf.value_freq(cells("true"))).collect()}
+    for r in sk.sketched_counts(sk.merge_sketches(parts)).collect():
+        want = exact[r.dataset_id, r.position]
+        assert abs(r.distinct_count - want.distinct_count) <= sk.ERROR_BOUND * want.distinct_count
+        assert (r.row_count, r.non_null_count, r.m_INTEGER, r.m_STRING) == (
+            want.row_count, want.non_null_count, want.m_INTEGER, want.m_STRING)
+    # nothing but one row a column and task is shuffled
+    plan = sk.column_sketches(cells("true"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_hll_sketch_agg" in plan
+    headers = pf.headers_of(spark.createDataFrame([("a",), ("b",)], "dataset_id string"), ["a", "b", "c", "d"])
+    profile = {(r.dataset_id, r.name): r.data_type for r in sk.sketched_profile(parts, headers).collect()}
+    assert profile["a", "a"] == "INTEGER" and profile["b", "b"] == "FLOAT" and profile["a", "d"] == "UNKNOWN"
+
+
+def test_histogram_does_not_meet_values_by_column(spark):
+    rows = [("d", str(i)) for i in range(6000)] + [("e", "5"), ("e", "5"), ("f", "1"), ("g", "x")]
+    freq = pf.value_freq(pf.text_cells(spark.createDataFrame(rows, "dataset_id string, a string"), ["a"]))
+    got = views.numeric_histogram(freq)
+    assert sorted((r.dataset_id, r.bin, r.n) for r in got.collect()) == [("d", b, 1000) for b in range(6)] + [("e", 0, 2)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "bin_from" not in line]
+    assert any("salt" in line for line in joins)
 
 
 def test_counts_and_samples_share_one_shuffle(spark, sf_dir):
