@@ -201,25 +201,75 @@ def test_suffix_tree_base_and_gain(spark, vocabulary):
         assert sum(r.score for r in test) > sum(r.base_score for r in test) + 4 * len(test)
 
 
-def test_distributions_sum_to_one(spark):
-    docs = spark.createDataFrame(_texts(), DOCS)
-    tree, _ = suffix_tree.learn(docs.select("text"))
-    retained = [int(level.retained.sum()) for level in tree.levels]
-    assert retained[0] > 0
-    ids = np.arange(len(tree.words))
-    unseen = 10 ** -np.log10(tree.n + tree.v + 1)
-    for context in (["the"], ["le", "chat"], ["cat", "the"], ["rare7"]):
-        total = 0.0
-        from datawarden.llm.words import blocks
-
-        block = next(blocks(pa.array([" ".join(context)])))
-        before = tree.ids(block.hash)
-        for word in [*ids, -1]:
-            seq = np.append(before, word)
-            gain = tree.gains(seq, np.zeros(len(seq), dtype=int))[-1]
-            base = 10 ** tree.log_root(ids[word : word + 1])[0] if word >= 0 else unseen
-            total += base * 10**gain
-        assert total == pytest.approx(1.0, abs=1e-6)
+class TreeByHand:
+    """The tree from its definition, with dictionaries keyed by the words themselves."""
+
+    def __init__(self, texts, depth):
+        self.grams = {}
+        for t in texts:
+            w = [*(t or "").encode().lower().split(), None]
+            for size in range(1, depth + 2):
+                for i in range(len(w) - size + 1):
+                    g = tuple(w[i : i + size])
+                    self.grams[g] = self.grams.get(g, 0) + 1
+        one = {g[0]: c for g, c in self.grams.items() if len(g) == 1}
+        self.one, self.n, self.v = one, sum(one.values()), len(one)
+        self.states, self.entries = {}, {}
+        for size in range(1, depth + 1):
+            found = {}
+            for g, c in self.grams.items():
+                if len(g) == size + 1 and c >= suffix_tree.MIN_NEXT and self.grams[g[:-1]] >= suffix_tree.MIN_CONTEXT:
+                    found.setdefault(g[:-1], {})[g[-1]] = c
+            for context, kept in found.items():
+                total = self.grams[context]
+                suffix = {w: self.p(context[1:], w) for w in kept}
+                rest = 1 - sum(c - suffix_tree.DISCOUNT for c in kept.values()) / total
+                gain = sum(c / total * math.log(c / total / suffix[w]) for w, c in kept.items())
+                left, before = 1 - sum(kept.values()) / total, sum(suffix.values())
+                if left > 1e-12 and before < 1:
+                    gain += left * math.log(left / max(1 - before, 1e-12))
+                if total * gain > 0.5 * len(kept) * math.log(max(total, 2)):
+                    self.states[context] = rest
+                    self.entries |= {(context, w): (c - suffix_tree.DISCOUNT) / total + rest * suffix[w] for w, c in kept.items()}
+
+    def p(self, context, word):
+        if not context:
+            return (self.one.get(word, 0) + 1) / (self.n + self.v + 1)
+        if context not in self.states:
+            return self.p(context[1:], word)
+        own = self.entries.get((context, word))
+        return self.states[context] * self.p(context[1:], word) if own is None else own
+
+    def score(self, text, depth):
+        w = [*(text or "").encode().lower().split(), None]
+        return sum(math.log10(self.p(tuple(w[max(0, i - depth) : i]), x)) for i, x in enumerate(w))
+
+
+@pytest.mark.parametrize("depth", [5, 2])
+def test_suffix_tree_against_brute_force(spark, monkeypatch, depth):
+    monkeypatch.setattr(suffix_tree, "CHUNK", 7)
+    rng = np.random.default_rng(4)
+    rows = [r for r in _texts() if r[0] != 902] + [(903, "le chat dort " * 300, 0, 0.0, 0)]
+    phrase = "one phrase of eight words that comes thrice"
+    rows += [(2000 + i, f"a{i} {phrase} b{i}", 0, 0.0, 0) for i in (0, 1, 3)] + [(2010, phrase, 0, 0.0, 0), (2011, "thrice comes that", 0, 0.0, 0)]
+    rows += [(3000 + i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 60)), 0, 0.0, 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("held_out", F.col("doc_id") % 4 == 2)
+    hand = TreeByHand([r[1] for r in rows if not (r[0] is not None and r[0] % 4 == 2)], depth)
+    tree, rare = suffix_tree.learn(docs.where("NOT coalesce(held_out, false)").select("text"), depth=depth)
+    assert tree.depth == depth and {len(c) for c in hand.states} == set(range(1, depth + 1))
+    states = tree.grams.where("rest IS NOT NULL").count()
+    assert (states, tree.grams.where("entry IS NOT NULL").count()) == (len(hand.states), len(hand.entries))
+    out = suffix_tree.score_texts(docs.select("doc_id", "text", "held_out"), tree, rare).collect()
+    want = sorted((str(r[0]), round(hand.score(r[1], depth), 6)) for r in rows)
+    got = sorted((str(r.doc_id), round(r.score, 6)) for r in out)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=2e-6)
+    # a phrase that was seen three times is worth more than its words, in any corpus
+    by_id = {r.doc_id: r for r in out}
+    assert by_id[2010].score > by_id[2010].base_score + 8
+    for context in ((b"the",), (b"le", b"chat"), (b"phrase", b"of"), (b"rare7",)):
+        words = [*hand.one, b"never seen"]
+        assert sum(hand.p(context[-depth:], w) for w in words) == pytest.approx(1.0, abs=1e-9)
 
 
 def test_suffix_tree_without_training_texts(spark):
