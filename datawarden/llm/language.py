@@ -6,9 +6,9 @@ n-gram of the word is known scores it, by the mean of their log frequencies. A t
 the sums over its words and the log share of each language, and the best one wins.
 
 The model is fitted on a bounded sample of the labelled rows: in expectation PER_LANGUAGE of each
-language, chosen by the hash of the id, or all where there are fewer. It keeps the WORDS most
-frequent words and the GRAMS most frequent n-grams of each length and language, so its size is
-bounded as well. Predictions cover every row and whole texts.
+language, chosen by the hash of the id, or all where there are fewer. It keeps every word and n-gram
+that occurs MIN_COUNT times in a language's sample, so the sample bounds its size. Predictions cover
+every row and whole texts. Texts are lower-cased, and typographic signs end a word.
 """
 
 from __future__ import annotations
@@ -17,20 +17,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datawarden.llm.common import crc_remainder, narrow
 from datawarden.llm.words import LETTERS, blocks, mix
 
 PER_LANGUAGE = 3000
-WORDS = 40_000
-GRAMS = 20_000
+MIN_COUNT = 2
+#: Signs outside ASCII that are no letters: quotes, dashes, dots, marks, special blanks.
+SIGNS = "\u2018\u2019\u201a\u201c\u201d\u201e\u00ab\u00bb\u2039\u203a\u2010\u2011\u2012\u2013\u2014\u2015\u2026\u2022\u00b7\u00bf\u00a1\u00a0\u202f\u2009\u3000\u3001\u3002"
 LENGTHS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 COUNTS = "lang string, size int, feature long, n long"
 
 
+def plain(text: Column) -> Column:
+    """The text as words are taken from it."""
+    return F.lower(F.translate(text, SIGNS, " " * len(SIGNS)))
+
+
 def _grams(data: np.ndarray, start: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(word, key) of all n-grams of `size` characters of the given words. The key of an ASCII one is
     its bytes; others are hashed to 62 bits and have a bit that no ASCII one has."""
@@ -59,7 +65,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (size 0) and n-grams of each language in a batch."""
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-        for block in blocks(batch.column("text"), LETTERS, lower=True):
+        for block in blocks(batch.column("text"), LETTERS):
             own = langs[block.row : block.row + block.n]
             doc = block.doc_of()
             for lang in sorted(set(own)):
@@ -80,11 +86,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies of words and n-grams by language; size bounded by WORDS and GRAMS."""
+    """Log frequencies of words and n-grams by language, and the share of each language."""
 
     def __init__(self, rows: list[tuple], shares: dict[str, int]):
         self.langs = sorted(shares)
         total = sum(shares.values())
+        self.shares = {x: shares[x] / total for x in self.langs}
         self.prior = np.log(np.array([shares[x] / total for x in self.langs])) if self.langs else np.zeros(0)
         place = {x: i for i, x in enumerate(self.langs)}
         self.keys, self.logs = {}, {}
@@ -132,27 +139,26 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         F.create_map(*(F.lit(x) for k, n in shares.items() for x in (k, min(1.0, per_language / n)))), F.col("lang")
     ) if shares else F.lit(0.0)
     draw = F.crc32(F.concat(F.lit("fit "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sample = rows.where(draw < part * float(1 << 32)).select("lang", "text")
+    sample = rows.where(draw < part * float(1 << 32)).select("lang", plain(F.col("text")).alias("text"))
     features = sample.mapInArrow(_counted, COUNTS).groupBy("lang", "size", "feature").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang", "size").orderBy(F.col("n").desc(), "feature")
-    kept = (
-        features.withColumn("place", F.row_number().over(best))
-        .where(f"place <= CASE WHEN size = 0 THEN {WORDS} ELSE {GRAMS} END")
-        .select("lang", "size", "feature", "n")
-        .toArrow()
-    )
+    kept = features.where(F.col("n") >= MIN_COUNT).toArrow()
     return Model(list(zip(*(kept.column(i).to_pylist() for i in range(4)))), shares)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` (its doc_id, text and other columns) with lang_pred and score.
+    """`docs` (its doc_id, text and other columns) with lang_pred and score, which replace columns of
+    these names.
 
     `und` with score 0 where the text is null or has no letter, or where the model has no language.
     The score is the winner's share of the likelihood; ties go to the first language by code point.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "_letters")]
-    lettered = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "_letters", "_plain")]
+    lettered = docs.select(
+        *(F.col(f"`{c}`") for c in kept),
+        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"),
+        plain(F.col("text")).alias("_plain"),
+    )
     schema = docs.select(*(f"`{c}`" for c in kept)).withColumns(
         {"lang_pred": F.lit(""), "score": F.lit(0.0)}
     ).schema
@@ -162,7 +168,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             letters = batch.column("_letters").to_numpy(zero_copy_only=False)
             pred, score = [], []
-            for block in blocks(batch.column("text"), LETTERS, lower=True):
+            for block in blocks(batch.column("_plain"), LETTERS):
                 total = np.tile(m.prior, (block.n, 1))
                 if len(block.hash) and m.langs:
                     hashes, sample, which = np.unique(block.hash, return_index=True, return_inverse=True)

@@ -5,10 +5,14 @@ A notice that may have e edits is split into e + 1 pieces; by the pigeonhole pri
 stands unedited in every match, so exact search for the pieces finds all candidates. The regex
 library's bounded-error matching then verifies a window around each candidate and reports the span
 and its edits. Edits are counted in UTF-8 bytes, and matches begin and end at word edges.
+
+Words that decide which license it is (a version, a number of clauses, nc, nd, sa) stand in braces
+in a notice, and allow no edit. Of matches that overlap, the one with the most words gives the label.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -21,14 +25,43 @@ from datawarden.llm.words import WORDY, Block, blocks
 
 #: Phrases whose exact places are counted. Fixed values.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Notices that the fuzzy search looks for besides.
+_RIGHTS = ("noncommercial", "noderivatives", "sharealike")
+_SHORT = {"noncommercial": "nc", "noderivatives": "nd", "sharealike": "sa"}
+_KINDS = ((), *((r,) for r in _RIGHTS), ("noncommercial", "noderivatives"), ("noncommercial", "sharealike"))
+
+
+def _creative_commons() -> dict[str, str]:
+    """The licenses by their long and their short names."""
+    out = {}
+    for rights in _KINDS:
+        label = "-".join(["cc-by", *(_SHORT[r] for r in rights)])
+        out[" ".join(["creative commons attribution", *(f"{{{r}}}" for r in rights)])] = label
+        out[" ".join(["{cc} {by}", *(f"{{{_SHORT[r]}}}" for r in rights)])] = label
+    return out
+
+
+#: Notices that the fuzzy search looks for: those of the base, with their deciding words, and others.
 MORE = {
-    "bsd 3 clause license": "bsd-3",
+    "under the {mit} license": "mit",
+    "apache license version {2}": "apache-2",
+    "apache license version {1} {1}": "apache-1.1",
+    "bsd {2} clause license": "bsd-2",
+    "bsd {3} clause license": "bsd-3",
+    "bsd {4} clause license": "bsd-4",
     "gnu general public license": "gpl",
-    "gnu lesser general public license": "lgpl",
+    "gnu general public license version {2}": "gpl-2",
+    "gnu general public license version {3}": "gpl-3",
+    "gnu {lesser} general public license": "lgpl",
+    "gnu {affero} general public license": "agpl",
+    "gnu free documentation license": "gfdl",
     "mozilla public license": "mpl",
-    "creative commons attribution": "cc-by",
-}
+    "mozilla public license version {2}": "mpl-2",
+    "eclipse public license": "epl",
+    "boost software license": "bsl",
+    "under the {isc} license": "isc",
+    "released into the public domain": "public-domain",
+    "{cc0} universal public domain dedication": "cc0",
+} | _creative_commons()
 
 SPANS = "doc_id long, label string, first_word long, last_word long, edits int, likeness double, matched string"
 SCAN = (
@@ -37,9 +70,18 @@ SCAN = (
 )
 
 
-def allowed_edits(phrase: str) -> int:
-    """One edit for each eight bytes, two at most."""
-    return min(2, len(phrase.encode()) // 8)
+def parts_of(notice: str) -> list[tuple[str, bool]]:
+    """A notice's runs of text and whether each is guarded; blanks belong to the runs outside."""
+    out = []
+    for k, run in enumerate(re.split(r"[{}]", notice)):
+        if run:
+            out.append((run, k % 2 == 1))
+    return out
+
+
+def allowed_edits(notice: str) -> int:
+    """One edit for each eight bytes that may be edited, two at most."""
+    return min(2, sum(len(run.encode()) for run, guarded in parts_of(notice) if not guarded) // 8)
 
 
 def pieces(phrase: bytes, edits: int) -> list[tuple[int, bytes]]:
@@ -82,16 +124,21 @@ def compiled(notices: Mapping[str, str]) -> list[Notice]:
     import regex
 
     out = []
-    for phrase, label in notices.items():
-        raw, edits = phrase.encode(), allowed_edits(phrase)
-        pattern = regex.compile(rb"(?b)(?<=[ \n])(?:" + regex.escape(raw, literal_spaces=True) + b"){e<=%d}(?=[ \n])" % edits)
+    for notice, label in notices.items():
+        edits, body = allowed_edits(notice), b""
+        for run, guarded in parts_of(notice):
+            plain = regex.escape(run.encode(), literal_spaces=True)
+            # a guarded word is a whole word as it stands; edits go to what lies around it
+            body += b"(?<=[ \n])" + plain + b"(?=[ \n])" if guarded else b"(?:" + plain + b"){e<=%d}" % edits
+        pattern = regex.compile(b"(?b)(?<=[ \n])" + body + b"(?=[ \n])")
+        raw = "".join(run for run, _ in parts_of(notice)).encode()
         out.append(Notice(raw, label, edits, pattern, pieces(raw, edits)))
     return out
 
 
 def fuzzy_spans(text: bytes, begin: np.ndarray, notices: list[Notice]) -> list[tuple[int, int, str, int, float, bytes]]:
-    """(first word, last word, label, edits, likeness, matched bytes) of every verified candidate,
-    one for each label and place."""
+    """(first word, last word, label, edits, likeness, matched bytes) of the verified candidates, one
+    for each label and place, without those that lie within a longer one."""
     found = {}
     for notice in notices:
         slack, size = notice.edits, len(notice.phrase)
@@ -104,6 +151,8 @@ def fuzzy_spans(text: bytes, begin: np.ndarray, notices: list[Notice]) -> list[t
             if hit is None:
                 continue
             edits = sum(hit.fuzzy_counts)
+            if edits > notice.edits:  # each run between guarded words kept its own bound
+                continue
             start, stop = hit.span()
             first = int(np.searchsorted(begin, start, side="left"))
             last = int(np.searchsorted(begin, stop, side="left")) - 1
@@ -112,7 +161,18 @@ def fuzzy_spans(text: bytes, begin: np.ndarray, notices: list[Notice]) -> list[t
             key = (first, notice.label)
             if key not in found or edits < found[key][3]:
                 found[key] = (first, last, notice.label, edits, 1 - edits / size, hit.group())
-    return sorted(found.values())
+    return longest(sorted(found.values()))
+
+
+def longest(spans: list[tuple]) -> list[tuple]:
+    """Spans (first, last, ...), in order, that lie within no other one of more words."""
+    out: list[tuple] = []
+    for span in sorted(spans, key=lambda s: (s[0], -s[1])):
+        # by first word, longest first: one that holds this span came before it and reaches as far
+        if out and out[-1][1] >= span[1] and out[-1][:2] != span[:2]:
+            continue
+        out.append(span)
+    return out
 
 
 def base_places(text: bytes, begin: np.ndarray, phrases: Mapping[str, str]) -> list[tuple[int, str]]:
@@ -125,7 +185,7 @@ def base_places(text: bytes, begin: np.ndarray, phrases: Mapping[str, str]) -> l
 
 def license_spans(docs: DataFrame, notices: Mapping[str, str] | None = None) -> DataFrame:
     """Every fuzzy match in `docs` (doc_id, text): its label, words from-to, edits and text."""
-    table = dict(BASE | MORE if notices is None else notices)
+    table = dict(MORE if notices is None else notices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = compiled(table)
@@ -150,10 +210,10 @@ def scan_licenses(docs: DataFrame, base: Mapping[str, str] | None = None, more:
     n_base counts all exact places of the base phrases, first_word and last_word are the smallest
     and largest of their starts (null without any). `labels` has those of exact and fuzzy matches,
     `score` the likeness of the best one, 0 without any. Null and empty texts have no words and no
-    labels (empty strings). Repeated rows are scanned alike, null ids kept.
+    labels (empty strings). `more` are the notices of the fuzzy search, deciding words in braces. Repeated rows are scanned alike, null ids kept.
     """
     exact = dict(BASE if base is None else base)
-    table = exact | dict(MORE if more is None else more)
+    table = dict(MORE if more is None else more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = compiled(table)

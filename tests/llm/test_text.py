@@ -108,6 +108,62 @@ def test_language_held_out_accuracy(spark, sf_dir):
     assert held == {r.doc_id for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
 
 
+class LanguagesByHand:
+    """The model from its definition, over (text, lang) rows."""
+
+    def __init__(self, rows):
+        rows = [r for r in rows if r[0] is not None and r[1] is not None]
+        self.langs = sorted({r[1] for r in rows})
+        self.shares = {x: sum(r[1] == x for r in rows) / len(rows) for x in self.langs}
+        counts = {}
+        for text, lang in rows:
+            for w in self.words(text):
+                for size, feature in [(0, w), *((k, w[i : i + k]) for k in language.LENGTHS for i in range(len(w) - k + 1))]:
+                    counts.setdefault(size, {}).setdefault(feature, {}).setdefault(lang, 0)
+                    counts[size][feature][lang] += 1
+        self.logs = {}
+        for size, features in counts.items():
+            kept = {f: {x: n for x, n in c.items() if n >= language.MIN_COUNT} for f, c in features.items()}
+            kept = {f: c for f, c in kept.items() if c}
+            total = {x: sum(c.get(x, 0) + language.SMOOTHING for c in kept.values()) for x in self.langs}
+            self.logs[size] = {f: [np.log((c.get(x, 0) + language.SMOOTHING) / total[x]) for x in self.langs] for f, c in kept.items()}
+
+    @staticmethod
+    def words(text):
+        text = "".join(" " if c in language.SIGNS else c for c in text).lower()
+        return re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text)
+
+    def predict(self, text):
+        if not re.search(r"[^\W\d_]", text or ""):
+            return "und", 0.0
+        total = np.log([self.shares[x] for x in self.langs])
+        for w in self.words(text):
+            found = [self.logs[0][w]] if w in self.logs[0] else []
+            for k in language.LENGTHS if not found else ():
+                found = [self.logs[k][g] for i in range(len(w) - k + 1) if (g := w[i : i + k]) in self.logs.get(k, {})]
+                if found:
+                    break
+            if found:
+                total = total + np.mean(found, axis=0)
+        best = int(np.argmax(total))
+        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+
+
+def test_language_id_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    held = docs.where("doc_id % 3 = 0")
+    hand = LanguagesByHand([(r.text, r.lang) for r in docs.where("doc_id % 3 <> 0").collect()])
+    model = language.fit(docs.where("doc_id % 3 <> 0"))
+    assert {k: len(v) for k, v in model.keys.items()} == {k: len(v) for k, v in hand.logs.items()}
+    extra = ["\u201cThe house\u201d \u2014 \u00abil est\u00bb", "ÉTÉ Straße", "漢字 かな", "12 34", "", None, "zq", "The\u00a0end\u2026"]
+    rows = held.unionByName(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(extra)], held.schema))
+    got = language.predict(rows, model).collect()
+    assert len(got) == held.count() + len(extra)
+    for r in got:
+        lang, score = hand.predict(r.text)
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score, abs=1e-6)), r.text
+
+
 # --- licenses ---
 
 
@@ -157,6 +213,30 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_deciding_words_allow_no_edit(spark):
+    want = {
+        "CC BY-ND 4.0": "cc-by-nd",
+        "CC-BY 4.0": "cc-by",
+        "CC BY-NC-SA": "cc-by-nc,cc-by-nc-sa",  # the first by the base's phrase
+        "BSD 2-Clause License": "bsd-2",
+        "BSD 3 Clause Licence": "bsd-3",
+        "BSD 5-Clause License": "",
+        "Apache License, Version 1.1": "apache-1.1",
+        "Apache License, Version 3.0": "",
+        "Apache License Version 12": "",
+        "the Apache Licence, Version 2.0": "apache-2",
+        "under the bit license": "",
+        "under the mit licence": "mit",
+        "Creative Commons Attribution-NonCommercial": "cc-by-nc",
+        "Creative Commons Atribution": "cc-by",
+        "GNU Lesser General Public License": "lgpl",
+        "GNU General Public License, version 3": "gpl-3",
+    }
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(want)], DOCS)
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()}
+    assert {t: got[i] for i, t in enumerate(want)} == want
+
+
 def test_fuzzy_search_finds_all_that_a_plain_scan_finds():
     import regex
 
