@@ -11,14 +11,27 @@ from datawarden.llm.common import materialize, release, ship
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Of the near-duplicate stage; the defaults of `jaccard` are those of the query op4 alone. Fixed values.
 SHINGLE, PERCENT = 5, 80
+#: Of the language stage.
+MIN_SHARE, MIN_SCORE = 0.01, 0.5
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; those without any letter go."""
+    """Documents of a target language, with the predicted one as their `lang`.
+
+    Targets are the languages of at least MIN_SHARE of the labelled documents. A document goes if it has
+    no letter, if its language is no target, if the others together are likelier (MIN_SCORE), or if
+    its text makes its language no likelier than the share of that language alone does: then no
+    part of it is known to the model.
+    """
     ship(spark)
     docs = docs.select(*COLUMNS)
     model = language.fit(docs)
-    return language.predict(docs, model).where("lang_pred <> 'und'").select(*COLUMNS)
+    share = F.lit(None).cast("double")
+    for name, part in model.shares.items():
+        if part >= MIN_SHARE:
+            share = F.when(F.col("lang_pred") == name, part).otherwise(share)
+    kept = language.predict(docs, model).where((F.col("score") >= MIN_SCORE) & ((F.col("score") > share * (1 + 1e-9)) | (share == 1)))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
