@@ -10,7 +10,8 @@ import pytest
 import corpus_pipeline
 from datawarden.llm import mixing, packing, substrings
 from datawarden.llm.common import ship
-from test_search import _components, _copies
+from test_search import _copies
+from test_text import LanguagesByHand
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -101,6 +102,10 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     extra = [(-1, None, None, None, None), (-2, "123 456", "en", "src0", 7), (-3, "", None, "src1", 0)]
     first = docs.select(*corpus_pipeline.COLUMNS).collect()
     extra += [tuple(first[3]), tuple(first[4])]  # repeated rows
+    # foreign ones: unknown scripts, and a language that hardly any document has
+    extra += [(-4, "漢字 かな交じり 文", None, "src0", 10), (-5, "Это русский текст о погоде", "en", "src1", 26)]
+    extra += [(-6, "Sana ei ole suomea täällä " * 20, "fi", "src1", 520)]
+    extra += [(-7, next(r.text for r in first if r.lang == "en" and len(r.text) > 400)[:300] + " tail", "de", "src2", 305)]  # a wrong label
     docs = docs.select(*corpus_pipeline.COLUMNS).unionByName(spark.createDataFrame(extra, docs.select(*corpus_pipeline.COLUMNS).schema))
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "near_duplicates", "repeated_passages", "source_mix", "packing"]
@@ -112,11 +117,18 @@ def test_pipeline_against_brute_force(spark, sf_dir):
         if stage is not corpus_pipeline.STAGES[-1][1]:
             assert out.columns == list(corpus_pipeline.COLUMNS)
             before = spark.createDataFrame(rows, out.schema)
-    kept = [r for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")]
-    assert sorted(map(str, outs[0][1])) == sorted(map(str, kept))
-    named = _components([(r.doc_id, r.text) for r in kept])
-    want = {n[2] for n in named}
-    assert sorted(str(r.doc_id) for r in outs[1][1]) == sorted(want)
+    given = docs.collect()
+    model, kept = LanguagesByHand([(r.text, r.lang) for r in given]), []
+    for r in given:
+        lang, score = model.predict(r.text)
+        share = model.shares.get(lang, 1)
+        if lang != "und" and share >= corpus_pipeline.MIN_SHARE and score >= corpus_pipeline.MIN_SCORE and score > share * (1 + 1e-9):
+            kept.append((r.doc_id, r.text, lang, r.source, r.n_chars))
+    assert sorted(map(str, map(tuple, outs[0][1]))) == sorted(map(str, kept))
+    gone = {r.doc_id for r in given} - {k[0] for k in kept}
+    assert {-1, -2, -3, -4, -5, -6} <= gone and len(gone) <= 8 and (-7, "en") in {(k[0], k[2]) for k in kept}
+    want = _one_of_each([k[:2] for k in kept])
+    assert sorted(str((r.doc_id, r.text)) for r in outs[1][1]) == sorted(map(str, want))
     cleaned = {}
     for r, (i, w, k) in zip(outs[1][1], _deduplicated([(r.doc_id, r.text) for r in outs[1][1]])):
         if k or not w:
