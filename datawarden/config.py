@@ -52,6 +52,13 @@ PREVIEW_ROWS = 50
 SAMPLE_CHARS = 256
 MAX_FILE_BYTES = 100 * 1024 * 1024
 DATASET_NAME_CHARS = 255
+# Bounds of the settings, ends included, and how far a block's weights may sum from 1.
+WEIGHT_RANGE = (0, 1)
+WEIGHT_TOLERANCE = 0.001
+THRESHOLD_RANGE = (0, 1)
+FREQ_CAP_RANGE = (1, 100_000)
+HALF_LIFE_RANGE = (0.5, 3650)
+CUTOFF_RANGE = (0, 100)
 # ---------------------------------------------------------------------------
 
 
@@ -62,13 +69,14 @@ class SettingsError(ValueError):
 def _check_weights(name: str, given: dict[str, float], expected: dict[str, float]) -> None:
     if set(given) != set(expected):
         raise SettingsError(f"{name}: expected exactly the keys {sorted(expected)}")
-    if any(not 0 <= w <= 1 for w in given.values()):
-        raise SettingsError(f"{name}: every weight must lie in [0, 1]")
-    if abs(sum(given.values()) - 1) > 0.001:
-        raise SettingsError(f"{name}: weights must sum to 1.0 (tolerance 0.001)")
+    for key, weight in given.items():
+        _check_range(f"{name}.{key}", weight, WEIGHT_RANGE)
+    if abs(sum(given.values()) - 1) > WEIGHT_TOLERANCE:
+        raise SettingsError(f"{name}: weights must sum to 1.0 (tolerance {WEIGHT_TOLERANCE})")
 
 
-def _check_range(name: str, value: float, low: float, high: float) -> None:
+def _check_range(name: str, value: float, bounds: tuple[float, float]) -> None:
+    low, high = bounds
     if isinstance(value, bool) or not low <= value <= high:
         raise SettingsError(f"{name}: must lie in [{low}, {high}]")
 
@@ -90,15 +98,15 @@ class Settings:
         _check_weights("quality", self.quality, QUALITY_WEIGHTS)
         _check_weights("trust", self.trust, TRUST_WEIGHTS)
         _check_weights("value", self.value, VALUE_WEIGHTS)
-        _check_range("classify_threshold", self.classify_threshold, 0, 1)
-        _check_range("freq_cap", self.freq_cap, 1, 100_000)
+        _check_range("classify_threshold", self.classify_threshold, THRESHOLD_RANGE)
+        _check_range("freq_cap", self.freq_cap, FREQ_CAP_RANGE)
         if int(self.freq_cap) != self.freq_cap:
             raise SettingsError("freq_cap: must be a whole number")
-        _check_range("half_life_days", self.half_life_days, 0.5, 3650)
+        _check_range("half_life_days", self.half_life_days, HALF_LIFE_RANGE)
         if set(self.recommend) != set(RECOMMEND_CUTOFFS):
             raise SettingsError(f"recommend: expected exactly the keys {sorted(RECOMMEND_CUTOFFS)}")
         for key, cutoff in self.recommend.items():
-            _check_range(f"recommend.{key}", cutoff, 0, 100)
+            _check_range(f"recommend.{key}", cutoff, CUTOFF_RANGE)
         r = self.recommend
         if not r["retire_below"] <= r["archive_below"] <= r["optimize_below"]:
             raise SettingsError("recommend: cutoffs must ascend")

@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from datawarden import config as cfg
 from datawarden.config import PII_CATEGORIES, SENSITIVITIES, Settings
 from datawarden.functions import scalars as s
 from datawarden.operators.score import reweight, trust_block, value_from_windows
@@ -21,12 +22,16 @@ KEY = ["dataset_id", "position"]
 
 
 # --------------------------------------------------------------------------- settings
+def _between(x: str, bounds: tuple[float, float]) -> str:
+    return f"{x} BETWEEN {bounds[0]} AND {bounds[1]}"
+
+
 def _weights_ok(keys: tuple[str, ...]) -> str:
     names = ", ".join(s.text(k) for k in sorted(keys))
     return (
         f"coalesce(array_sort(map_keys(m)) = array({names}) "
-        "AND forall(map_values(m), x -> x BETWEEN 0 AND 1) "
-        "AND abs(aggregate(map_values(m), 0D, (a, x) -> a + x) - 1) <= 0.001, false)"
+        f"AND forall(map_values(m), x -> {_between('x', cfg.WEIGHT_RANGE)}) "
+        f"AND abs(aggregate(map_values(m), 0D, (a, x) -> a + x) - 1) <= {cfg.WEIGHT_TOLERANCE}, false)"
     )
 
 
@@ -38,11 +43,11 @@ def acceptable_settings(log: DataFrame) -> DataFrame:
     number = "try_cast(json_value AS DOUBLE)"
     cuts = tuple(Settings().recommend)
     checks = {
-        "classify_threshold": f"{number} BETWEEN 0 AND 1",
-        "freq_cap": f"{number} BETWEEN 1 AND 100000 AND {number} = floor({number})",
-        "half_life_days": f"{number} BETWEEN 0.5 AND 3650",
+        "classify_threshold": _between(number, cfg.THRESHOLD_RANGE),
+        "freq_cap": f"{_between(number, cfg.FREQ_CAP_RANGE)} AND {number} = floor({number})",
+        "half_life_days": _between(number, cfg.HALF_LIFE_RANGE),
         "recommend": f"array_sort(map_keys(m)) = array({', '.join(s.text(k) for k in sorted(cuts))}) "
-        "AND forall(map_values(m), x -> x BETWEEN 0 AND 100) "
+        f"AND forall(map_values(m), x -> {_between('x', cfg.CUTOFF_RANGE)}) "
         f"AND m['{cuts[0]}'] <= m['{cuts[1]}'] AND m['{cuts[1]}'] <= m['{cuts[2]}']",
         "sensitivity": "array_sort(map_keys(t)) = array("
         + ", ".join(s.text(c) for c in sorted(PII_CATEGORIES))

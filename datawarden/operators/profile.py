@@ -24,8 +24,11 @@ from pyspark.sql import types as T
 from datawarden.config import PREVIEW_ROWS, SAMPLE_VALUES
 from datawarden.functions import scalars as s
 from datawarden.functions.cell_types import TYPE_ORDER, type_tests
+from datawarden.session import new_run_dir
 
 KEY = ["dataset_id", "position"]
+#: Repeated row hashes up to this number (some 40 MB) are broadcast.
+BROADCAST_HASHES = 1 << 20
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -231,17 +234,22 @@ def _plain_text(kind: T.DataType, x: str) -> str:
     return f"CAST({x} AS STRING)"
 
 
-def row_digest(df: DataFrame, columns: Sequence[str]) -> str:
-    """SHA-256 of the row in an unambiguous spelling: equal digests mean equal rows.
-
-    The duplicate count shuffles 32 bytes a row instead of the row.
-    """
+def spelled_row(df: DataFrame, columns: Sequence[str]) -> str:
+    """The row in a spelling that is equal exactly where the rows are."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     parts = []
     for column in columns:
         x = _plain_text(fields[column], s.name(column))
         parts.append(f"coalesce(concat(length({x}), ':', {x}), '~')")
-    return f"unhex(sha2(concat({', '.join(parts)}), 256))"
+    return f"concat({', '.join(parts)})"
+
+
+def row_digest(df: DataFrame, columns: Sequence[str]) -> str:
+    """SHA-256 of the row's spelling: equal digests mean equal rows.
+
+    The duplicate count shuffles 32 bytes a row instead of the row.
+    """
+    return f"unhex(sha2({spelled_row(df, columns)}, 256))"
 
 
 def row_counts(
@@ -262,6 +270,41 @@ def digest_counts(digests: DataFrame) -> DataFrame:
     )
 
 
+def two_level_counts(rows: DataFrame) -> DataFrame:
+    """The same from (dataset_id, spelled), shuffling 8 bytes a row.
+
+    Rows are grouped by a 64-bit hash first. Only rows whose hash occurs again within their dataset can be
+    duplicates; they alone are digested and grouped, so that hash collisions count for nothing. The
+    repeated hashes are written, counted, and broadcast up to BROADCAST_HASHES; where there are
+    more, most rows would be digested anyway, and all are.
+    """
+    spark = rows.sparkSession
+    hashed = rows.selectExpr("dataset_id", "xxhash64(spelled) AS h", "spelled")
+    groups = _grouped(hashed.drop("spelled"), ["dataset_id", "h"], ["count(1) AS n"])
+    path = new_run_dir(spark, "repeated-hashes")
+    again = groups.filter("n > 1").select("dataset_id", "h")
+    again.write.parquet(path)
+    again = spark.read.schema(again.schema).parquet(path)
+    digest = "unhex(sha2(spelled, 256)) AS digest"
+    if again.count() > BROADCAST_HASHES:
+        return digest_counts(rows.selectExpr("dataset_id", digest))
+    company = hashed.join(F.broadcast(again), ["dataset_id", "h"], "left_semi")
+    repeats = digest_counts(company.selectExpr("dataset_id", digest)).drop("row_count")
+    totals = _grouped(rows, ["dataset_id"], ["count(1) AS row_count"])
+    return totals.join(repeats, "dataset_id", "left").selectExpr(
+        "dataset_id", "row_count", "coalesce(duplicate_row_count, 0L) AS duplicate_row_count"
+    )
+
+
+def two_level_row_counts(
+    df: DataFrame, columns: Sequence[str], dataset_id: str = "dataset_id"
+) -> DataFrame:
+    """`row_counts` in two levels. It runs the first one when it is called."""
+    return two_level_counts(
+        df.selectExpr(f"{_id(dataset_id)} AS dataset_id", f"{spelled_row(df, columns)} AS spelled")
+    )
+
+
 def dataset_profile(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Rows, columns, duplicates and header defects per dataset."""
     return structural_issues(headers).join(rows, "dataset_id", "left").selectExpr(

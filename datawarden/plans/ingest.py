@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datawarden.config import Settings
+from datawarden.config import MAX_FILE_BYTES, Settings
 from datawarden.functions.scalars import instant
 from datawarden.operators import profile as pf
 from datawarden.operators.classify import apply_refinements, classify
@@ -81,12 +81,13 @@ def ingest_csv(
     settings: Settings = Settings(),
     refinements: DataFrame | None = None,
     delimiter: str = ",",
-    max_bytes: int | None = None,
+    max_bytes: int | None = MAX_FILE_BYTES,
     names: dict[str, str] | None = None,
 ) -> DataFrame:
     """Ingest a folder of CSV files and publish the result; returns the rejects.
 
-    `names` gives datasets another name than their file's, by file name; one that is blank or longer
+    Files beyond `max_bytes` are rejected; None takes files of any size. `names` gives datasets another
+    name than their file's, by file id or file name; one that is blank or longer
     than 255 characters is rejected.
 
     A file that is not rectangular is catalogued as FAILED, without scores, columns or tags. The

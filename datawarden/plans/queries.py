@@ -33,6 +33,7 @@ from datawarden.operators.profile import (
     preview_rows,
     sample_values,
     text_cells,
+    two_level_row_counts,
     typed_column_profile,
     typed_value_freq,
     union_all,
@@ -52,7 +53,7 @@ from datawarden.plans import workload as wl
 from datawarden.plans.workload import read_table
 from datawarden.session import new_run_dir, use_utc
 from datawarden.sources.catalog_store import CatalogStore
-from datawarden.sources.csv_files import read_csv_folder
+from datawarden.sources.csv_files import list_files, read_csv_folder
 from datawarden.sources.tables import export_catalog
 from datawarden.streaming import access_stream as stream
 
@@ -408,10 +409,11 @@ def type_match_counts(spark, sf_dir):
     FROM dataset_profile"""
 )
 def duplicate_rows(spark, sf_dir):
-    t = wl.text_tables(spark, sf_dir)
-    return dataset_profile(t.rows, t.headers).withColumn(
-        "structural_issues", F.array_join("structural_issues", "|")
-    )
+    """Rows and duplicates of both text tables, in two levels: 8-byte hashes, then digests."""
+    headers = wl.text_tables(spark, sf_dir).headers
+    tables = ((wl.dirty_orders(spark, sf_dir), wl.ORDER_COLUMNS), (wl.dirty_customers(spark, sf_dir), wl.CUSTOMER_COLUMNS))
+    rows = union_all([two_level_row_counts(df, columns) for df, columns in tables])
+    return dataset_profile(rows, headers).withColumn("structural_issues", F.array_join("structural_issues", "|"))
 
 
 def _histogram(freq: str) -> str:
@@ -1540,14 +1542,14 @@ def trust_coverage(spark, sf_dir):
     )
 
 
-@query("SELECT dataset_id, name, status, recommendation, row_count FROM datasets")
+@query(_SUMMARY)
 def catalog_export(spark, sf_dir):
-    """The catalogue exported as JSON lines and read back."""
+    """The catalogue exported as JSON lines and read back, whole rows."""
     c = wl.Catalog(spark, sf_dir)
     path = new_run_dir(spark, "export")
-    export_catalog(cat.summaries(c.datasets, c.tags, c.usage, wl.NOW), path)
-    back = spark.read.schema("dataset_id string, name string, status string, recommendation string, row_count bigint")
-    return back.json(path)
+    rows = cat.summaries(c.datasets, c.tags, c.usage, wl.NOW)
+    export_catalog(rows, path)
+    return flat_summary(spark.read.schema(rows.schema).json(path))
 
 
 @query(
@@ -1571,7 +1573,8 @@ def numeric_histogram_special(spark, sf_dir):
 
 
 @query(
-    """SELECT c_nationkey AS nation, CASE c_nationkey % 5 WHEN 0 THEN 'unsupported_file_type'
+    f"""SELECT c_nationkey AS nation, c_custkey // {CSV_KEYS} AS file_no,
+    CASE c_nationkey % 5 WHEN 0 THEN 'unsupported_file_type'
     WHEN 1 THEN 'empty_file' WHEN 2 THEN 'invalid_file' END AS code,
     CASE c_nationkey % 5 WHEN 0 THEN 'Only .csv files can be read; save other formats as CSV.'
     WHEN 1 THEN 'File is empty or has no data rows.' WHEN 2 THEN 'File has an unterminated quote.'
@@ -1579,38 +1582,102 @@ def numeric_histogram_special(spark, sf_dir):
     CASE WHEN c_nationkey % 5 > 2 THEN 3 ELSE 0 END AS columns,
     CASE WHEN c_nationkey % 5 > 2 THEN count(*) ELSE 0 END AS row_count,
     CASE WHEN c_nationkey % 5 > 2 THEN count(DISTINCT c_name) ELSE 0 END AS names
-    FROM customer GROUP BY c_nationkey"""
+    FROM customer GROUP BY c_nationkey, c_custkey // {CSV_KEYS}"""
 )
 def csv_rejects(spark, sf_dir):
-    """The customers of a nation as a file each: another type, only a header, an open quote, NUL
-    characters in the cells, or quoted line breaks and inch marks."""
+    """The customers of a nation and a range of keys as a file each: another type, only a header, an
+    open quote, NUL characters in the cells, or quoted line breaks and inch marks."""
     folder = new_run_dir(spark, "nations")
-    rows = read_table(spark, sf_dir, "customer").selectExpr("c_nationkey AS nation", "c_custkey AS ord", "c_name")
-    first = rows.groupBy("nation").agg(F.min("ord").alias("first"))
-    lines = rows.join(first, "nation").selectExpr(
-        "nation", "ord",
+    key = ["nation", "file_no"]
+    rows = read_table(spark, sf_dir, "customer").selectExpr(
+        "c_nationkey AS nation", f"c_custkey DIV {CSV_KEYS} AS file_no", "c_custkey AS ord", "c_name"
+    )
+    first = rows.groupBy(*key).agg(F.min("ord").alias("first"))
+    lines = rows.join(first, key).selectExpr(
+        *key, "ord",
         "CASE nation % 5 WHEN 2 THEN concat(ord, ',', c_name, CASE WHEN ord = first THEN ',\"open' ELSE ',x' END) "
         "WHEN 3 THEN concat(ord, ',', char(0), c_name, char(0), ',') "
         "ELSE concat(ord, ',\"', c_name, '\",\"a ', char(10), ' \"\"b\"\"\"') END AS line",
     )
-    heads = first.selectExpr("nation", "CAST(-1 AS BIGINT) AS ord", "'key,name,note' AS line")
-    plain = lines.filter("nation % 5 <> 1").unionByName(heads).repartition("nation").sortWithinPartitions("nation", "ord")
-    texts = plain.filter("nation % 5 <> 0").select("nation", "line").write.partitionBy("nation")
+    heads = first.selectExpr(*key, "CAST(-1 AS BIGINT) AS ord", "'key,name,note' AS line")
+    plain = lines.filter("nation % 5 <> 1").unionByName(heads).repartition(*key).sortWithinPartitions(*key, "ord")
+    texts = plain.filter("nation % 5 <> 0").select(*key, "line").write.partitionBy(*key)
     texts.option("compression", "none").text(folder)
-    plain.filter("nation % 5 = 0").select("nation", "line").write.mode("append").partitionBy("nation").json(folder)
+    plain.filter("nation % 5 = 0").select(*key, "line").write.mode("append").partitionBy(*key).json(folder)
     intake = read_csv_folder(spark, folder, suffixes=(".csv", ".txt"))
     listed = intake.manifest.filter("file_name LIKE 'part-%'").selectExpr(
-        "file_id AS dataset_id", "CAST(regexp_extract(file_id, 'nation=([0-9]+)', 1) AS INT) AS nation",
-        "code", "message", "coalesce(size(headers), 0) AS columns",
+        "file_id AS dataset_id", *_FILE_KEY, "code", "message", "coalesce(size(headers), 0) AS columns",
     )
     found = intake.rows.groupBy("dataset_id").agg(
         F.expr("count(1) AS row_count"), F.expr("count(DISTINCT cells[1]) AS names")
     )
     return listed.join(found, "dataset_id", "left").selectExpr(
-        "nation", "code", "message", "columns", "coalesce(row_count, 0L) AS row_count", "coalesce(names, 0L) AS names"
+        *key, "code", "message", "columns", "coalesce(row_count, 0L) AS row_count", "coalesce(names, 0L) AS names"
     )
 
 
+_FILE_KEY = (
+    "CAST(regexp_extract(file_id, 'nation=([0-9]+)', 1) AS INT) AS nation",
+    "CAST(regexp_extract(file_id, 'file_no=([0-9]+)', 1) AS BIGINT) AS file_no",
+)
+#: Of `csv_names`; every 20th supplier goes to another file, so that some files are small.
+_SIZE_CAP = 60
+_SUPPLIER_FILES = f"CASE WHEN s_suppkey {{mod}} 20 = 0 THEN 0 ELSE 1 + s_suppkey {{div}} {CSV_KEYS} END"
+
+
+@query(
+    f"""SELECT nation, file_no, code, CASE WHEN code IS NULL THEN CASE nation % 3 WHEN 0 THEN 'Nation ' || nation
+    ELSE 'file' END END AS name, size_bytes, CASE WHEN code IS NULL THEN row_count ELSE 0 END AS row_count
+    FROM (SELECT *, CASE WHEN size_bytes > {_SIZE_CAP} THEN 'file_too_large' WHEN nation % 3 = 1 THEN 'invalid_name' END
+          AS code FROM (
+      SELECT s_nationkey AS nation, {_SUPPLIER_FILES.format(mod='%', div='//')} AS file_no, count(*) AS row_count,
+             CAST(length('key,name') + 1 + sum(length(s_suppkey || ',' || s_name) + 1) AS BIGINT) AS size_bytes
+      FROM supplier GROUP BY ALL))"""
+)
+def csv_names(spark, sf_dir):
+    """The suppliers of a nation as files, some beyond the size cap, some named by the caller: with
+    blanks around the name, or with more characters than a name may have."""
+    folder, key = new_run_dir(spark, "suppliers"), ["nation", "file_no"]
+    rows = read_table(spark, sf_dir, "supplier").selectExpr(
+        "s_nationkey AS nation", f"CAST({_SUPPLIER_FILES.format(mod='%', div='DIV')} AS BIGINT) AS file_no",
+        "s_suppkey AS ord", "concat(s_suppkey, ',', s_name) AS line",
+    )
+    heads = rows.select(*key).distinct().selectExpr(*key, "CAST(-1 AS BIGINT) AS ord", "'key,name' AS line")
+    files = rows.unionByName(heads).repartition(*key).sortWithinPartitions(*key, "ord").select(*key, "line")
+    files.write.partitionBy(*key).option("compression", "none").text(folder)
+    given = {}
+    for r in list_files(spark, folder, (".txt",)).filter("file_name LIKE 'part-%'").selectExpr("file_id", *_FILE_KEY).collect():
+        if r["nation"] % 3 < 2:  # names as a caller gives them, one for a file
+            given[r["file_id"]] = f" Nation {r['nation']} " if r["nation"] % 3 == 0 else "x" * 256
+    intake = read_csv_folder(spark, folder, max_bytes=_SIZE_CAP, suffixes=(".txt",), names=given)
+    listed = intake.manifest.filter("file_name LIKE 'part-%'").selectExpr(
+        "file_id AS dataset_id", *_FILE_KEY, "code", "size_bytes",
+        "CASE WHEN code IS NULL THEN CASE WHEN name = file_name THEN 'file' ELSE name END END AS name",
+    )
+    return listed.join(intake.shape(), "dataset_id", "left").selectExpr(
+        *key, "code", "name", "size_bytes", "coalesce(row_count, 0L) AS row_count"
+    )
+
+
+@query(
+    """SELECT dataset_id, name, status, row_count, column_count, coalesce(access_count, 0) AS access_count, tags
+    FROM datasets LEFT JOIN (SELECT dataset_id, count(*) AS access_count FROM access_log GROUP BY dataset_id) USING (dataset_id)
+    LEFT JOIN (SELECT dataset_id, count(*) AS tags FROM ready_tags GROUP BY dataset_id) USING (dataset_id)
+    WHERE dataset_id <> 'BUILDING-3'"""
+)
+def delete_one(spark, sf_dir):
+    """One dataset deleted from the store: the catalogue without it, its tags and its events."""
+    store = wl.Catalog(spark, sf_dir).copy()
+    store.delete_one("BUILDING-3", "2100-01-01T00:00:00Z")
+    counts = access_rollup(store.usage(wl.NOW), wl.NOW).select("dataset_id", "access_count")
+    tags = store.read("tags").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("tags"))
+    listed = store.read("datasets").select("dataset_id", "name", "status", "row_count", "column_count")
+    # what is left of the deleted dataset anywhere would show as a row of its own
+    ids = listed.select("dataset_id").unionByName(counts.select("dataset_id")).unionByName(tags.select("dataset_id")).distinct()
+    out = ids.join(listed, "dataset_id", "left").join(counts, "dataset_id", "left").join(tags, "dataset_id", "left")
+    return out.withColumn("access_count", F.coalesce("access_count", F.lit(0)))
+
+
 # Query names are the operator names.
 for _registry in (QUERIES, ORACLE):
     for _name in [n for n in _registry if n.endswith("_query")]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from datawarden.config import DATASET_NAME_CHARS, PREVIEW_ROWS
 from datawarden.functions import scalars as s
-from datawarden.operators.profile import digest_counts
+from datawarden.operators.profile import two_level_counts
 from datawarden.session import new_run_dir
 
 # Reject codes and the only messages a catalogue ever shows.
@@ -295,7 +295,7 @@ def file_manifest(
 ) -> DataFrame:
     """One row per file with its headers, or the code that rejects it."""
     too_large = "false" if max_bytes is None else f"size_bytes > {int(max_bytes)}"
-    given = s.looked_up("file_name", names) if names else "CAST(NULL AS STRING)"
+    given = f"coalesce({s.looked_up('file_id', names)}, {s.looked_up('file_name', names)})" if names else "CAST(NULL AS STRING)"
     code = (
         "CASE WHEN coalesce(file_type, '') <> 'CSV' THEN 'unsupported_file_type' "
         f"WHEN {too_large} THEN 'file_too_large' "
@@ -345,7 +345,7 @@ class CsvIntake:
 
     def row_counts(self) -> DataFrame:
         spelled = "array_join(transform(cells, x -> coalesce(concat(length(x), ':', x), '~')), '')"
-        return digest_counts(self.rows.selectExpr("dataset_id", f"unhex(sha2({spelled}, 256)) AS digest"))
+        return two_level_counts(self.rows.selectExpr("dataset_id", f"{spelled} AS spelled"))
 
     def preview(self, limit: int = PREVIEW_ROWS) -> DataFrame:
         """First rows per dataset; names are in the header table, by position."""
@@ -372,7 +372,8 @@ def read_csv_folder(
     names: dict[str, str] | None = None,
     max_record_lines: int = MAX_RECORD_LINES,
 ) -> CsvIntake:
-    """Manifest and tables of a folder. `names` gives datasets another name than their file's.
+    """Manifest and tables of a folder. `names` gives datasets another name than their file's, by file id
+    or file name.
 
     Split states, records and the manifest are written to the shared folder, one after the other.
     """

@@ -138,6 +138,16 @@ def test_typed_profile_reads_once(spark, sf_dir):
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2
 
 
+def test_duplicates_in_two_levels(spark, monkeypatch):
+    rows = [("ab"[i % 2], str(i % 50), None if i % 3 else "x") for i in range(400)] + [("c", "1", "2"), ("d", "1,", ""), ("d", "1", ",")]
+    df = spark.createDataFrame(rows, "dataset_id string, a string, b string")
+    want = sorted(map(tuple, pf.row_counts(df, ["a", "b"]).collect()))
+    assert sorted(map(tuple, pf.two_level_row_counts(df, ["a", "b"]).collect())) == want
+    monkeypatch.setattr(pf, "BROADCAST_HASHES", 3)
+    assert sorted(map(tuple, pf.two_level_row_counts(df, ["a", "b"]).collect())) == want
+    assert pf.two_level_row_counts(df.limit(0), ["a", "b"]).collect() == []
+
+
 def test_sketches_merge_to_the_whole(spark):
     rows = [("ab"[i % 5 == 0], i, str(i % 700), None if i % 3 else "7.5", "x") for i in range(5000)]
     df = spark.createDataFrame(rows, "dataset_id string, i int, a string, b string, c string")
