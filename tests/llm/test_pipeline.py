@@ -204,5 +204,5 @@ def test_registered_queries(spark, sf_dir):
     spec.loader.exec_module(module)
     names = set(module.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
