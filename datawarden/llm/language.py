@@ -65,7 +65,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (size 0) and n-grams of each language in a batch."""
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-        for block in blocks(batch.column("text"), LETTERS):
+        for block in blocks(batch.column("text"), LETTERS, block_bytes=1 << 19):
             own = langs[block.row : block.row + block.n]
             doc = block.doc_of()
             for lang in sorted(set(own)):

@@ -7,6 +7,7 @@ is never split, so a block holds at least one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+
+def give_back_memory() -> None:
+    """Lets a process return large arrays to the system when they are freed. Spark's Python workers
+    serve stage after stage, and would else keep the most that any of them ever needed."""
+    allocator = getattr(ctypes.CDLL(None), "mallopt", None)
+    if allocator is not None:  # glibc: M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+        allocator(-3, 1 << 20)
+        allocator(-1, 4 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+give_back_memory()
+
 BLOCK_BYTES = 2 << 20
 
 #: ASCII white space ends a word; every other byte belongs to one.
