@@ -228,7 +228,7 @@ class TreeByHand:
                 left, before = 1 - sum(kept.values()) / total, sum(suffix.values())
                 if left > 1e-12 and before < 1:
                     gain += left * math.log(left / max(1 - before, 1e-12))
-                if total * gain > 0.5 * len(kept) * math.log(max(total, 2)):
+                if total * gain > len(kept) * (math.log(max(self.v, 2)) + 0.5 * math.log(max(total, 2))):
                     self.states[context] = rest
                     self.entries |= {(context, w): (c - suffix_tree.DISCOUNT) / total + rest * suffix[w] for w, c in kept.items()}
 
@@ -245,17 +245,21 @@ class TreeByHand:
         return sum(math.log10(self.p(tuple(w[max(0, i - depth) : i]), x)) for i, x in enumerate(w))
 
 
-@pytest.mark.parametrize("depth", [5, 2])
-def test_suffix_tree_against_brute_force(spark, monkeypatch, depth):
+@pytest.mark.parametrize("depth,frequent", [(5, 1 << 20), (5, 60), (2, 0)])
+def test_suffix_tree_against_brute_force(spark, monkeypatch, depth, frequent):
     monkeypatch.setattr(suffix_tree, "CHUNK", 7)
     rng = np.random.default_rng(4)
     rows = [r for r in _texts() if r[0] != 902] + [(903, "le chat dort " * 300, 0, 0.0, 0)]
     phrase = "one phrase of eight words that comes thrice"
     rows += [(2000 + i, f"a{i} {phrase} b{i}", 0, 0.0, 0) for i in (0, 1, 3)] + [(2010, phrase, 0, 0.0, 0), (2011, "thrice comes that", 0, 0.0, 0)]
     rows += [(3000 + i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 60)), 0, 0.0, 0) for i in range(60)]
+    for i in range(80):  # words that follow from what stands two to five words before
+        k = i % 2
+        rows.append((4001 + 4 * i, f"c{k} o p{k} x{i} e{k} i j f{k} y{i} m{k} q r s t{k} z{i} g{k} a b c d h{k}", 0, 0.0, 0))
     docs = spark.createDataFrame(rows, DOCS).withColumn("held_out", F.col("doc_id") % 4 == 2)
     hand = TreeByHand([r[1] for r in rows if not (r[0] is not None and r[0] % 4 == 2)], depth)
-    tree, rare = suffix_tree.learn(docs.where("NOT coalesce(held_out, false)").select("text"), depth=depth)
+    tree, rare = suffix_tree.learn(docs.where("NOT coalesce(held_out, false)").select("text"), depth=depth, frequent=frequent)
+    assert len(tree.frequent[0]) == tree.grams.count() if frequent > 60 else len(tree.frequent[0]) <= frequent
     assert tree.depth == depth and {len(c) for c in hand.states} == set(range(1, depth + 1))
     states = tree.grams.where("rest IS NOT NULL").count()
     assert (states, tree.grams.where("entry IS NOT NULL").count()) == (len(hand.states), len(hand.entries))
