@@ -27,6 +27,8 @@ from datawarden.functions.cell_types import TYPE_ORDER, type_tests
 from datawarden.session import new_run_dir
 
 KEY = ["dataset_id", "position"]
+#: Rows whose cells one task groups; their distinct values stay in its memory.
+ROWS_A_TASK = 100_000
 #: Repeated row hashes up to this number (some 40 MB) are broadcast.
 BROADCAST_HASHES = 1 << 20
 
@@ -35,6 +37,12 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def spread(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The rows, about `n`, in tasks of some ROWS_A_TASK each, however their files are cut: ordered ranges
+    of `keys`, so that equal values of a dataset tend to meet before they are shuffled."""
+    return rows.repartitionByRange(1 + n // ROWS_A_TASK, *keys)
+
+
 # --------------------------------------------------------------------------- cells
 def _id(column: str) -> str:
     """Rows without an id form the dataset ''."""

@@ -41,6 +41,11 @@ class Analysis:
         """Column profiles without samples."""
         return pf.column_profile(self.freq, self.headers)
 
+    def take_counts(self, written: DataFrame) -> None:
+        """The column profiles as they were written: all that follows from them reads those, and tests
+        no value again."""
+        self.counts = written.drop("sample_values")
+
     @cached_property
     def samples(self) -> DataFrame:
         """Headers with their sample values."""
@@ -121,6 +126,7 @@ def ingest_csv(
     )
     run_id = new_run_id()
     store.write("columns", found.columns, run_id)
+    found.take_counts(store.of_run("columns", run_id))
     store.write("tags", found.tags, run_id)
     store.write("quality_checks", found.checks, run_id)
     store.write("dataset_scores", found.scores, run_id)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from datawarden.config import SENSITIVITY_BY_CATEGORY, Settings
 from datawarden.operators.catalog import with_scores
-from datawarden.operators.profile import headers_of, row_counts, text_cells, value_freq
+from datawarden.operators.profile import headers_of, row_counts, spread, text_cells, value_freq
 from datawarden.plans.ingest import Analysis
 from datawarden.session import new_run_dir, remove_run_dir
 from datawarden.sources import tables
@@ -79,7 +79,8 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------- text tables
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as text with missing, mixed and malformed cells; every 50th row twice."""
-    return orders_with_asset(spark, sf_dir).selectExpr(
+    n = read_table(spark, sf_dir, "orders").count()  # from the files' footers
+    return spread(orders_with_asset(spark, sf_dir), n, "dataset_id", "o_custkey", "o_orderkey").selectExpr(
         "dataset_id",
         "o_orderkey AS ord",
         "CAST(o_orderkey AS STRING) AS order_id",
@@ -105,7 +106,8 @@ def dirty_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         added = f"date_add(DATE'{start}', CAST(c_custkey % {span} AS INT))"
         return f"date_format({added}, 'yyyy-MM-dd')"
 
-    return read_table(spark, sf_dir, "customer").selectExpr(
+    customer = read_table(spark, sf_dir, "customer")
+    return spread(customer, customer.count(), "c_mktsegment", "c_custkey").selectExpr(
         f"{SEGMENT_DATASET} AS dataset_id",
         "c_custkey AS ord",
         "CAST(c_custkey AS STRING) AS customer_id",
@@ -266,6 +268,7 @@ def publish_catalog(spark: SparkSession, sf_dir: str) -> CatalogStore:
     )
     run = new_run_id()
     store.write("columns", found.counts, run)
+    found.take_counts(store.of_run("columns", run))
     store.write("tags", found.tags, run)
     store.write("quality_checks", found.checks, run)
     store.write("dataset_scores", found.scores, run)

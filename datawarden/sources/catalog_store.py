@@ -109,6 +109,10 @@ class CatalogStore:
             raise ValueError(f"table must be one of {TABLES}")
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/run_id={run_id}")
 
+    def of_run(self, table: str, run_id: str) -> DataFrame:
+        """The rows that a run wrote, published or not."""
+        return self.spark.read.parquet(f"{self.root}/{table}/run_id={run_id}")
+
     def publish(
         self,
         run_id: str,
