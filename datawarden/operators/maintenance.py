@@ -118,7 +118,12 @@ def valid_overrides(
     Requests(dataset_id, position, category, sensitivity, requested_at) need a known category
     and, if they give one, a known level; the level defaults by category.
     """
-    latest = requests.filter(_OVERRIDE_OK).groupBy(*KEY).agg(
+    # The last time of each decision first: a timestamp is kept in a hash map, where structs of texts
+    # would have every request sorted in its task.
+    decisions = requests.filter(_OVERRIDE_OK).groupBy(*KEY, "category", "sensitivity").agg(
+        F.max("requested_at").alias("requested_at")
+    )
+    latest = decisions.groupBy(*KEY).agg(
         F.expr(
             "max_by(struct(category, sensitivity), struct(requested_at, category, sensitivity)) AS o"
         )

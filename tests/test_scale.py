@@ -1,5 +1,8 @@
 """What one task holds: bounded by rows, however the input's files are cut."""
 
+from datetime import datetime
+
+from datawarden.operators import maintenance as mt
 from datawarden.operators import profile as pf
 from datawarden.plans import workload as wl
 from datawarden.plans.ingest import Analysis
@@ -28,3 +31,24 @@ def test_findings_come_from_the_written_profiles(spark, tmp_path):
         mine = getattr(found, part)
         assert not any("/freq/" in f for f in mine.inputFiles())
         assert sorted(map(repr, mine.collect())) == sorted(map(repr, getattr(plain, part).collect()))
+
+
+def test_the_latest_override_is_found_without_sorting_requests(spark):
+    at = [datetime(2024, 1, d) for d in (1, 2, 3)]
+    requests = [
+        ("d", 0, "EMAIL", None, at[0]), ("d", 0, "NAME", "LOW", at[2]), ("d", 0, "EMAIL", None, at[1]),
+        ("d", 0, "BOGUS", None, at[2]),
+        ("d", 1, "NAME", "LOW", at[1]), ("d", 1, "NAME", "HIGH", at[1]), ("d", 1, "NAME", None, at[1]),  # ties
+        ("d", 2, "EMAIL", "LOW", None), ("d", 2, "NAME", "LOW", None), ("d", 3, "NAME", None, None),
+        ("d", 3, "EMAIL", "HIGH", at[0]), ("d", 9, "EMAIL", None, at[0]),
+    ]
+    requests = spark.createDataFrame(
+        requests, "dataset_id string, position int, category string, sensitivity string, requested_at timestamp"
+    )
+    columns = spark.createDataFrame([("d", i) for i in range(4)], "dataset_id string, position int")
+    chosen = mt.valid_overrides(requests, columns)
+    got = {r["position"]: (r["category"], r["sensitivity"]) for r in chosen.collect()}
+    assert got == {0: ("NAME", "LOW"), 1: ("NAME", "LOW"), 2: ("NAME", "LOW"), 3: ("EMAIL", "HIGH")}
+    plan = chosen._jdf.queryExecution().sparkPlan().toString()
+    first = plan[plan.rindex("Aggregate("):]  # nearest to the requests
+    assert "max(requested_at" in first and "HashAggregate" in plan and "max_by" not in first
