@@ -55,6 +55,8 @@ DAILY = "dataset_id string, access_type string, date date, n bigint, first_at ti
 TOTALS = "dataset_id string, access_type string, n bigint, first_at timestamp, last_at timestamp"
 STATE = "dataset_id string, table_name string, run_id string, published_at timestamp"
 KEEP_VERSIONS = 3
+#: Events of a batch that one task sorts into folders.
+EVENTS_A_TASK = 500_000
 TABLES = ("datasets", "columns", "tags", "quality_checks", "dataset_scores", "preview_rows")
 
 
@@ -187,12 +189,18 @@ class CatalogStore:
                 "event_id", "dataset_id", "access_type", "source", "occurred_at",
                 f"{self._log_folder('occurred_at')} AS event_date",
             )
-            # Days are gathered before the write, so that a batch has few files per day; the
-            # rebalance splits a hot day over several tasks.
-            dated.hint("rebalance", "event_date").write.mode("overwrite").partitionBy(
-                "event_date"
-            ).parquet(target)
-            self._roll_batch(batch)
+            # The batch is written as it comes and counted, then sorted into its folders in ranges of
+            # days: few files a folder, also for batches of a stream, and no more rows in a task than
+            # EVENTS_A_TASK, whether days are many or one is hot.
+            arrived = f"{self.root}/arriving/batch={batch}"
+            dated.write.mode("overwrite").parquet(arrived)
+            rows = self.spark.read.schema(dated.schema).parquet(arrived)
+            tasks = 1 + rows.count() // EVENTS_A_TASK
+            rows.repartitionByRange(tasks, "event_date", "dataset_id", "occurred_at", "event_id").write.mode(
+                "overwrite"
+            ).partitionBy("event_date").parquet(target)
+            self._roll_batch(batch, tasks)
+            self._remove(f"arriving/batch={batch}")
         else:
             df.write.mode("overwrite").parquet(target)
 
@@ -210,7 +218,7 @@ class CatalogStore:
         return without_deleted(events, self.log("tombstones"), "occurred_at")
 
     # ------------------------------------------------------------------ usage roll-up
-    def _roll_batch(self, batch: str) -> None:
+    def _roll_batch(self, batch: str, tasks: int) -> None:
         """Keeps the daily counts of a written batch, and adds its older days to the totals.
 
         Totals that already hold an earlier write of the batch would count it twice; they go, and
@@ -218,7 +226,8 @@ class CatalogStore:
         """
         written = self.spark.read.schema(LOGS["access_events"]).parquet(f"{self.root}/access_events/batch={batch}")
         target = f"{self.root}/usage_daily/batch={batch}"
-        daily_rollup(written, "event_date").write.mode("overwrite").partitionBy("event_date").parquet(target)
+        daily = daily_rollup(written, "event_date").repartitionByRange(tasks, "event_date", "dataset_id")
+        daily.write.mode("overwrite").partitionBy("event_date").parquet(target)
         for until in self._folders("usage_totals"):
             held = self.spark.read.parquet(f"{self.root}/usage_totals_batches/until={until}")
             if not held.filter(F.col("batch") == batch).isEmpty():

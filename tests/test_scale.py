@@ -2,10 +2,13 @@
 
 from datetime import datetime
 
+import pytest
+
 from datawarden.operators import maintenance as mt
 from datawarden.operators import profile as pf
 from datawarden.plans import workload as wl
 from datawarden.plans.ingest import Analysis
+from datawarden.sources import catalog_store
 from datawarden.sources.catalog_store import CatalogStore
 
 
@@ -52,3 +55,27 @@ def test_the_latest_override_is_found_without_sorting_requests(spark):
     plan = chosen._jdf.queryExecution().sparkPlan().toString()
     first = plan[plan.rindex("Aggregate("):]  # nearest to the requests
     assert "max(requested_at" in first and "HashAggregate" in plan and "max_by" not in first
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])  # streams run without it
+def test_a_batch_has_few_files_a_folder(spark, tmp_path, monkeypatch, adaptive):
+    monkeypatch.setattr(catalog_store, "EVENTS_A_TASK", 100)
+    store = CatalogStore(spark, f"{tmp_path}/store")
+    log = spark.range(400).repartition(8).selectExpr(
+        "id AS event_id", "concat('d', id % 3) AS dataset_id", "'VIEW' AS access_type", "'LIVE' AS source",
+        # half of all events on one day
+        "timestamp_seconds(CASE WHEN id % 2 = 0 THEN 0 ELSE 86400 * (id % 10) END + id) AS occurred_at",
+    )
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        store.append("access_events", log, batch="first")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    files = list((tmp_path / "store" / "access_events").rglob("*.parquet"))
+    days = {f.parent for f in files}
+    assert len(files) <= len(days) + 4  # one for each folder and each further task
+    assert len([f for f in files if f.parent.name == "event_date=1970-01-01"]) >= 2  # the hot day is dealt
+    assert sorted(r["event_id"] for r in store.access_events().collect()) == list(range(400))
+    assert store.usage("1970-01-20T00:00:00Z").selectExpr("sum(n)").first()[0] == 400
+    assert not list((tmp_path / "store" / "arriving").rglob("*.parquet"))
