@@ -27,6 +27,7 @@ from datawarden.operators.classify import (
     value_shares,
 )
 from datawarden.operators.profile import (
+    ROWS_A_TASK,
     column_counts,
     column_profile,
     dataset_profile,
@@ -1103,9 +1104,10 @@ def _write_csv(spark: SparkSession, sf_dir: str) -> str:
     heads = rows.select("segment", "file_no").distinct().selectExpr(
         "segment", "file_no", "0 AS rank", f"'{','.join(wl.ORDER_COLUMNS)}' AS line"
     )
+    tasks = 1 + read_table(spark, sf_dir, "orders").count() // ROWS_A_TASK
     (
         lines.unionByName(heads)
-        .repartition("segment", "file_no")
+        .repartition(tasks, "segment", "file_no")
         .sortWithinPartitions("segment", "file_no", "rank")
         .select("segment", "file_no", "line")
         .write.partitionBy("segment", "file_no")
@@ -1130,7 +1132,7 @@ def csv_intake(spark, sf_dir):
     """CSV files written and read back: rejects, ragged files, and profiles per folder."""
     folder = _write_csv(spark, sf_dir)
     intake = read_csv_folder(spark, folder, suffixes=(".csv", ".txt"))
-    files = intake.manifest.selectExpr(
+    found = intake.manifest.selectExpr(
         "file_id AS dataset_id",
         "regexp_extract(file_id, 'segment=([A-Z]+)', 1) AS segment",
         "code",
@@ -1142,6 +1144,10 @@ def csv_intake(spark, sf_dir):
         "coalesce(row_count, 0L) AS row_count",
         "columns",
     )
+    # A row a file, written: its size is known then, and the cells need not be sorted to meet it.
+    path = new_run_dir(spark, "csv-files")
+    found.write.parquet(path)
+    files = spark.read.schema(found.schema).parquet(path)
     per_segment = files.groupBy("segment").agg(
         F.expr("max(code) AS code"),
         F.expr("sum(row_count) AS row_count"),

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from datawarden.config import DATASET_NAME_CHARS, PREVIEW_ROWS
 from datawarden.functions import scalars as s
-from datawarden.operators.profile import two_level_counts
+from datawarden.operators.profile import spread, two_level_counts
 from datawarden.session import new_run_dir
 
 # Reject codes and the only messages a catalogue ever shows.
@@ -324,11 +324,12 @@ class CsvIntake:
     """The manifest of a folder and the rows of its accepted files, both written.
 
     `rows` has dataset_id, ord (the order within a file), cells (an array of texts, empty ones null)
-    and ragged (another number of cells than the header has).
+    and ragged (another number of cells than the header has). `lines` is about their number.
     """
 
     manifest: DataFrame
     rows: DataFrame
+    lines: int = 0
 
     def headers(self) -> DataFrame:
         return self.manifest.filter("code IS NULL").selectExpr(
@@ -336,8 +337,9 @@ class CsvIntake:
         )
 
     def cells(self) -> DataFrame:
-        """Long form of all tables, whatever their widths."""
-        long = self.rows.selectExpr("dataset_id", "ord", "posexplode(cells) AS (position, value)")
+        """Long form of all tables, whatever their widths. Rows are dealt evenly first, as splits of
+        bytes would hold any number of them."""
+        long = spread(self.rows, self.lines, "dataset_id", "ord").selectExpr("dataset_id", "ord", "posexplode(cells) AS (position, value)")
         return long.selectExpr(
             "coalesce(dataset_id, '') AS dataset_id", "ord",
             "coalesce(position, -1) AS position", f"{s.cell('value')} AS value",
@@ -429,4 +431,4 @@ def read_csv_folder(
         "file_id AS dataset_id", "ord",
         "transform(fields, x -> nullif(x, '')) AS cells", "size(fields) <> width AS ragged",
     )
-    return CsvIntake(manifest, rows)
+    return CsvIntake(manifest, rows, pieces.count() + joined.count())  # from the files' footers

@@ -10,6 +10,7 @@ from datawarden.plans import workload as wl
 from datawarden.plans.ingest import Analysis
 from datawarden.sources import catalog_store
 from datawarden.sources.catalog_store import CatalogStore
+from datawarden.sources.csv_files import read_csv_folder
 
 
 def test_rows_are_dealt_to_tasks_by_number(spark, sf_dir, monkeypatch):
@@ -79,3 +80,12 @@ def test_a_batch_has_few_files_a_folder(spark, tmp_path, monkeypatch, adaptive):
     assert sorted(r["event_id"] for r in store.access_events().collect()) == list(range(400))
     assert store.usage("1970-01-20T00:00:00Z").selectExpr("sum(n)").first()[0] == 400
     assert not list((tmp_path / "store" / "arriving").rglob("*.parquet"))
+
+
+def test_csv_cells_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pf, "ROWS_A_TASK", 100)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("x,y\n" + "".join(f"{i},{i % 7}\n" for i in range(1000)))
+    intake = read_csv_folder(spark, str(tmp_path / "in"))
+    sizes = [n for n in intake.cells().rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert sum(sizes) == 2000 and max(sizes) <= 500
