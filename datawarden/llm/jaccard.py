@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from datawarden.llm.common import discard, materialize, narrow, release, written
+from datawarden.llm.common import discard, materialize, narrow, release, small_batches, written
 from datawarden.llm.sieve import sieve_of
 from datawarden.llm.words import Block, blocks, mix, windows
 
@@ -79,7 +79,7 @@ def shingle_sets(block: Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
 def _write_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column("text"), lower=True):
+            for block in blocks(batch.column("text"), lower=True, block_bytes=1 << 19):
                 values, at = shingle_sets(block, size)
                 n = np.diff(at)
                 # of a set: order-free sum of spread hashes
@@ -239,6 +239,8 @@ def regions(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     pivots = chained.groupBy("h", "chain").agg(F.min(F.struct("off", "node")).alias("pivot"))
     members = chained.join(pivots, ["h", "chain"]).select(F.col("pivot.node").alias("region"), "node").distinct()
     members = materialize(members, "jaccard-regions")
+    order.destroy()
+    sieve.destroy()
     release(spark)
     return members
 
@@ -380,6 +382,7 @@ def active_sets(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, str]:
     held = sets.where("n > 0").select("node", "shingles").mapInArrow(once, "node long, shingles binary")
     held = held.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     held, path = written(held, "jaccard-active")
+    active.destroy()
     release(spark)
     return held, path
 
@@ -443,13 +446,14 @@ def components(links: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, row, n, component): the component's name is the least node in it."""
     spark = docs.sparkSession
-    sets, sets_path = document_sets(docs, size)
-    points = materialize(sets.select("doc_id", "row", "node", "n"), "jaccard-points")
-    members = regions(sets, percent)
-    held, held_path = active_sets(sets, members)
-    discard(spark, sets_path)
-    links = region_links(held, members, percent)
-    discard(spark, held_path)
+    with small_batches(spark):
+        sets, sets_path = document_sets(docs, size)
+        points = materialize(sets.select("doc_id", "row", "node", "n"), "jaccard-points")
+        members = regions(sets, percent)
+        held, held_path = active_sets(sets, members)
+        discard(spark, sets_path)
+        links = region_links(held, members, percent)
+        discard(spark, held_path)
     rows = points.join(components(links), "node", "left")
     return rows.select("doc_id", "row", "n", F.coalesce("component", "node").alias("component"))
 
