@@ -1,4 +1,5 @@
 import math
+import os
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from datawarden.llm import jaccard, suffix_tree, topk
 from datawarden.llm.common import ship
+from datawarden.llm.words import Sorted
 
 DOCS = "doc_id long, text string, n_shingles int, score double, component_id long"
 VECTORS = "vec_id long, embedding array<float>, rank int, score double"
@@ -276,6 +278,59 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch, depth, frequent):
         assert sum(hand.p(context[-depth:], w) for w in words) == pytest.approx(1.0, abs=1e-9)
 
 
+@pytest.mark.parametrize("set_before", [None, "10"])
+def test_near_duplicates_hand_few_rows_at_once_to_python(spark, monkeypatch, set_before):
+    key, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, p: seen.append(int(spark.conf.get(key))) or write(df, p))
+    rows = [(i, f"a b c d e f g h i j {i // 2}", 0, 0.0, 0) for i in range(6)]
+    if set_before:
+        spark.conf.set(key, set_before)
+    try:
+        out = jaccard.one_of_each(spark.createDataFrame(rows, DOCS), percent=100)
+        after = spark.conf.get(key)
+    finally:
+        spark.conf.unset(key)
+    assert sorted(r.doc_id for r in out.collect()) == [0, 2, 4]
+    assert seen and max(seen) <= 1024 and after == (set_before or spark.conf.get(key))
+
+
+def test_suffix_tree_frees_each_slice_before_the_next(spark, monkeypatch):
+    rows = [(i, f"w{i % 7} follows the word x{i % 3} and w{i % 7} again", 0, 0.0, 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("held_out", F.col("doc_id") % 4 == 2)
+    tree, rare = suffix_tree.learn(docs.where("NOT held_out").select("text"), vocabulary=4, frequent=4)
+    docs, held, sent = docs.select("doc_id", "text", "held_out"), set(), []
+    write, free, broadcast = suffix_tree.written, suffix_tree.discard, spark.sparkContext.broadcast
+
+    def written(df, purpose):
+        assert purpose != "tree-scores" or not held
+        out = write(df, purpose)
+        if purpose == "tree-scores":
+            held.add(out[1])
+        return out
+
+    monkeypatch.setattr(suffix_tree, "written", written)
+    monkeypatch.setattr(suffix_tree, "discard", lambda spark, *paths: held.difference_update(paths) or free(spark, *paths))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(broadcast(value)) or sent[-1])
+    score = lambda: sorted((r.doc_id, r.n_known, round(r.score, 9)) for r in suffix_tree.score_texts(docs, tree, rare).collect())
+    sliced = score()
+    assert not held and sent and all(not os.path.exists(b._path) for b in sent)
+    monkeypatch.setattr(suffix_tree, "SLICES", 1)
+    assert sliced == score() and len(sliced) == 60
+
+
+def test_tokens_with_a_known_longest_context_look_nothing_up():
+    hashes = np.array([5, 6, 7], dtype=np.uint64) << np.uint64(50)
+    doc, pair = np.zeros(3, dtype=np.int64), suffix_tree.grams(hashes, 2)
+    triple = suffix_tree.grams(hashes, 3)
+    rows = {int(hashes[0]): (np.nan, -0.1), int(pair[0]): (0.3, -0.2), int(triple[0]): (0.9, np.nan)}
+    known = np.array(sorted(rows), dtype=np.uint64)
+    frequent = (Sorted(known), *(np.array([rows[int(x)][i] for x in known]) for i in (0, 1)))
+    # the pair of the last two words is of the tree and not frequent, but the triple's entry settles the last one
+    in_tree = np.append(known, pair[1])
+    gains, opened, places, *_ = suffix_tree.near_gains(hashes, doc, 2, frequent, lambda x: np.isin(x, in_tree))
+    assert not opened.any() and not len(places) and gains.tolist() == [0.0, 0.3, 0.9]
+
+
 def test_suffix_tree_without_training_texts(spark):
     empty = spark.createDataFrame([], DOCS)
     tree, rare = suffix_tree.learn(empty.select("text"))

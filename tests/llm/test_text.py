@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -33,6 +34,32 @@ def test_words_are_those_of_the_pattern(texts):
     assert got == want
 
 
+def test_hashes_of_spans_take_memory_by_span_and_not_by_byte():
+    rng = np.random.default_rng(1)
+    parts = [bytes(rng.integers(97, 100, int(n)).astype(np.uint8)) for n in [*range(1, 40), *rng.integers(1, 30, 3000), 5000, 100_000]]
+    parts += [b"abc", b"abc\0\0\5", b"abc\0", b"\0", b"\0\0", b"x" * 8, b"x" * 9, b"x" * 16]
+    parts += parts[::-1]
+    length = np.array([len(x) for x in parts])
+    hashes = words.hash_spans(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(length) - length, length)
+    by_part = dict(zip(parts, hashes.tolist()))
+    assert hashes.tolist() == [by_part[x] for x in parts] and len(set(by_part.values())) == len(by_part)
+    data = rng.integers(97, 123, 1 << 20).astype(np.uint8)
+    start = np.arange(0, len(data), 8)
+    tracemalloc.start()
+    words.hash_spans(data, start, np.full(len(start), 7))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(data)
+
+
+@pytest.mark.parametrize("values", [0, 1, 5000])
+def test_sorted_hashes_are_found(values):
+    have = np.unique(words.mix(np.arange(values, dtype=np.uint64)))
+    asked = np.concatenate([words.mix(np.arange(9000, dtype=np.uint64)), np.array([0, 2**64 - 1], np.uint64)])
+    at, hit = words.Sorted(have).find(asked)
+    assert hit.tolist() == np.isin(asked, have).tolist() and (not values or (have[at[hit]] == asked[hit]).all())
+
+
 def test_windows_stay_in_documents():
     column = pa.array(["a b c d", "b c", None, "a b c", "x"])
     block = next(words.blocks(column))
