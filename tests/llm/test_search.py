@@ -318,6 +318,48 @@ def test_suffix_tree_frees_each_slice_before_the_next(spark, monkeypatch):
     assert sliced == score() and len(sliced) == 60
 
 
+def _nested(monkeypatch, page_tokens):
+    """Texts with contexts of all lengths that are heavy at so many tokens a page, and the tree by hand."""
+    monkeypatch.setattr(suffix_tree, "PAGE_TOKENS", page_tokens)
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 40)), 0, 0.0, 0) for i in range(90)]
+    rows += [(200 + i, f"a{i} one common line of eight words here then {['x', 'y'][i % 2]} b{i}", 0, 0.0, 0) for i in range(60)]
+    rows += [(300 + i, f"k{i % 20} k{(i + i // 20) % 20} of the k{(i + i // 20) % 20} q{i % 20}", 0, 0.0, 0) for i in range(80)]
+    rows += [(400, None, 0, 0.0, 0), (401, "unseen words", 0, 0.0, 0), (None, "one common line", 0, 0.0, 0), (200, rows[90][1], 0, 0.0, 0)]
+    return rows, TreeByHand([r[1] for r in rows if not (r[0] is not None and r[0] % 4 == 2)], 5)
+
+
+@pytest.mark.parametrize("page_tokens,vocabulary,frequent", [(20, 1 << 19, 0), (7, 12, 30)])
+def test_suffix_tree_spreads_heavy_contexts(spark, monkeypatch, page_tokens, vocabulary, frequent):
+    rows, hand = _nested(monkeypatch, page_tokens)
+    heavies, add = [], suffix_tree.Heavy.add
+    monkeypatch.setattr(suffix_tree.Heavy, "add", lambda self, keys, total, n: add(self, keys, total, n) or heavies.append((n, len(keys), self.pages)))
+    docs = spark.createDataFrame(rows, DOCS).withColumn("held_out", F.coalesce(F.col("doc_id") % 4 == 2, F.lit(False)))
+    tree, rare = suffix_tree.learn(docs.where("NOT held_out").select("text"), vocabulary=vocabulary, frequent=frequent)
+    assert [n for n, keys, _ in heavies if keys] == [1, 2, 3, 4, 5] and heavies[-1][2] > 20
+    n = lambda what: tree.grams.where(f"{what} IS NOT NULL").count()
+    assert (n("rest"), n("entry")) == (len(hand.states), len(hand.entries)) and len(hand.states) > 20
+    out = suffix_tree.score_texts(docs.select("doc_id", "text", "held_out"), tree, rare)
+    got, want = (sorted(x) for x in ([(str(r.doc_id), r.score) for r in out.collect()], [(str(r[0]), hand.score(r[1], 5)) for r in rows]))
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-9)
+
+
+def test_suffix_tree_page_holds_no_more_than_its_share(monkeypatch):
+    monkeypatch.setattr(suffix_tree, "PAGE_TOKENS", 50)
+    text = [" ".join(f"the w{(i * 7 + j) % 97}" for j in range(30)) for i in range(40)]
+    (block,) = suffix_tree.blocks(pa.array(text), lower=True)
+    hashes = suffix_tree.tokens(block)[0]
+    words, counts = np.unique(hashes, return_counts=True)
+    lexicon = suffix_tree.Lexicon(suffix_tree.Tree(words, counts, len(hashes), len(words)), None)
+    heavy = suffix_tree.Heavy(1 + 1200 // 50)
+    heavy.add(words[counts == 1200], np.array([1200]), 1)
+    pages, data = suffix_tree._deal_tokens(block, lexicon, heavy, 5)
+    sizes = [suffix_tree._dealt_tokens([d], 5)[0].shape[1] for d in data]
+    # each "the" but the first of a text follows a word; the words after it are dealt by the word before it
+    assert sum(sizes) == 1200 + 1200 - 40 and max(sizes) <= 4 * 50 and {heavy.length_of(int(p)) for p in pages} == {0, 1}
+
+
 def test_tokens_with_a_known_longest_context_look_nothing_up():
     hashes = np.array([5, 6, 7], dtype=np.uint64) << np.uint64(50)
     doc, pair = np.zeros(3, dtype=np.int64), suffix_tree.grams(hashes, 2)
