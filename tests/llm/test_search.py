@@ -345,6 +345,41 @@ def test_suffix_tree_spreads_heavy_contexts(spark, monkeypatch, page_tokens, voc
     assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-9)
 
 
+@pytest.mark.parametrize("page_tokens,vocabulary,depth", [(55, 12, 5)])
+def test_suffix_tree_scores_in_the_pages(spark, monkeypatch, page_tokens, vocabulary, depth):
+    """The whole corpus is scored where the tree is built: no grams are looked up, and no more than a part of the pages is dealt at once."""
+    rows, _ = _nested(monkeypatch, page_tokens)
+    hand = TreeByHand([r[1] for r in rows if not (r[0] is not None and r[0] % 4 == 2)], depth)
+    docs = spark.createDataFrame(rows, DOCS).withColumn("held_out", F.coalesce(F.col("doc_id") % 4 == 2, F.lit(False))).select("doc_id", "text", "held_out")
+    monkeypatch.setattr(suffix_tree, "HELD_COUNTS", 40)
+    tree, rare = suffix_tree.learn(docs.where("NOT held_out").select("text"), vocabulary=vocabulary, depth=depth)
+    key = lambda r: (str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens)
+    want = sorted((*key(r), r.base_score, r.score) for r in suffix_tree.score_texts(docs, tree, rare).collect())
+    monkeypatch.setattr(suffix_tree, "near_gains", None)
+    got = sorted((*key(r), r.base_score, r.score) for r in suffix_tree.score_corpus(docs, vocabulary, depth).collect())
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [x for g in got for x in g[5:]] == pytest.approx([x for w in want for x in w[5:]], abs=1e-9)
+    assert [g[6] for g in got] == pytest.approx([x[1] for x in sorted((str(r[0]), hand.score(r[1], depth)) for r in rows)], abs=1e-9)
+
+
+def test_suffix_tree_deals_every_context_to_one_part(monkeypatch):
+    monkeypatch.setattr(suffix_tree, "PAGE_TOKENS", 50)
+    text = [" ".join(f"w{i % 7} w{j % 11} z{i}" for j in range(20)) for i in range(20)]
+    (block,) = suffix_tree.blocks(pa.array(text), lower=True)
+    hashes = suffix_tree.tokens(block)[0]
+    words, counts = np.unique(hashes, return_counts=True)
+    lexicon = suffix_tree.Lexicon(suffix_tree.Tree(words, counts, len(hashes), len(words)), None)
+    heavy, many = suffix_tree.Heavy(1 + len(hashes) // 50), counts > 50
+    heavy.add(words[many], counts[many], 1)
+    train = np.arange(block.n) % 3 > 0
+    parts = [suffix_tree._deal_tokens(block, lexicon, heavy, 5, train, 2, own) for own in (0, 1)]
+    numbers = [suffix_tree._dealt_tokens(data, 5, numbered=True)[2] for _, data in parts]
+    assert many.any() and all(set(page % 2) == {own} for own, (page, _) in enumerate(parts))
+    assert max(len(x) for x in numbers) < 0.7 * sum(len(x) for x in numbers)
+    assert sum(len(x) for x in numbers) == sum(len(t.split()) for t in text)  # all but each text's first token
+    assert {(int(x) >> 1, bool(x & 1)) for x in np.concatenate(numbers)} == set(enumerate(train))
+
+
 def test_suffix_tree_page_holds_no_more_than_its_share(monkeypatch):
     monkeypatch.setattr(suffix_tree, "PAGE_TOKENS", 50)
     text = [" ".join(f"the w{(i * 7 + j) % 97}" for j in range(30)) for i in range(40)]
