@@ -48,10 +48,15 @@ def sequence_hashes(words: np.ndarray, size: int) -> np.ndarray:
     total = len(words) - size + 1
     if total <= 0:
         return np.zeros(0, dtype=np.uint64)
-    weights = mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
-    out = np.zeros(total, dtype=np.uint64)
-    for j in range(size):
-        out += words[j : j + total] * weights[j]
+    power = lambda n: np.uint64(pow(0xD6E8FEB86659FD93, n, 1 << 64))
+    out, done, part, width = np.zeros(total, dtype=np.uint64), 0, words, 1
+    while width <= size:  # `part` has the sequences of `width` words, a power of two
+        if size & width:
+            out = out * power(width) + part[done : done + total]
+            done += width
+        if 2 * width <= size:
+            part = part[:-width] * power(width) + part[width:]
+        width *= 2
     return mix(out)
 
 
@@ -123,10 +128,11 @@ class SuffixAutomaton:
         following, link, size, first = self.next, self.link, self.size, self.first
         spans, state, matched = [], 0, 0
         for i, word in enumerate(words):
-            while state and word not in following[state]:
+            q = following[state].get(word)
+            while q is None and state:
                 state = link[state]
                 matched = size[state]
-            q = following[state].get(word)
+                q = following[state].get(word)
             if q is None:
                 continue
             state, matched = q, matched + 1
@@ -340,18 +346,20 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, texts: bool = True,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column("spans").to_pylist()
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), hashed=False):
                 removed, kept, digest = np.zeros(block.n, np.int64), [], []
                 for i in range(block.n):
-                    a, b = block.first[i], block.first[i + 1]
-                    keep = np.ones(b - a, dtype=bool)
-                    for s in spans[block.row + i] or ():
-                        keep[s["start"] : s["stop"]] = False
-                    removed[i] = (b - a) - keep.sum()
-                    if removed[i]:
-                        left = b" ".join(block.word(a + j) for j in np.flatnonzero(keep))
-                    else:
-                        left = b" ".join(block.data[block.offsets[i] : block.offsets[i + 1]].tobytes().split())
+                    a, b = int(block.first[i]), int(block.first[i + 1])
+                    left, at = [], a
+                    for start, stop in sorted((s["start"], s["stop"]) for s in spans[block.row + i] or ()):
+                        start, stop = a + start, min(a + stop, b)
+                        if start > at:
+                            left.append(block.joined(at, start))
+                        removed[i] += max(stop - max(start, at), 0)
+                        at = max(at, stop)
+                    if at < b:
+                        left.append(block.joined(at, b))
+                    left = b" ".join(left)
                     kept.append(left.decode() if texts else None)
                     digest.append(hashlib.sha256(left).hexdigest())
                 yield pa.RecordBatch.from_arrays(

@@ -5,11 +5,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from datawarden.llm import mixing, packing, substrings
 from datawarden.llm.common import ship
+from datawarden.llm.words import blocks
 from test_search import _copies
 from test_text import LanguagesByHand
 
@@ -74,6 +76,24 @@ def test_substring_dedup_matches_brute_force(spark, monkeypatch, shard, stream):
     assert sum(w[2] for w in want) > 5000
 
 
+def test_kept_words_are_taken_in_runs():
+    """What is left of a text costs its runs of kept words, not its words: no word is hashed or cut out alone."""
+    text = " a  b\tc d\u00a0e \v f "
+    (block,) = blocks(pa.array(["before", text, None]), hashed=False)
+    a, b = int(block.first[1]), int(block.first[2])
+    assert len(block.hash) == 0 and b - a == 5
+    assert [block.joined(a + i, a + j).decode() for i, j in ((0, 5), (1, 3), (4, 5), (2, 2))] == ["a b c d\u00a0e f", "b c", "f", ""]
+
+
+def test_sequence_hashes_tell_sequences_apart():
+    words = substrings.mix(np.arange(60, dtype=np.uint64) % np.uint64(7))
+    for size in (1, 2, 6, 13):
+        hashes = substrings.sequence_hashes(words, size)
+        same = [[(words[i : i + size] == words[j : j + size]).all() for j in range(len(hashes))] for i in range(len(hashes))]
+        assert len(hashes) == 61 - size and ((hashes[:, None] == hashes[None, :]) == np.array(same)).all()
+    assert len(substrings.sequence_hashes(words, 61)) == 0
+
+
 def test_substring_dedup_without_rows(spark):
     assert substrings.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
