@@ -13,16 +13,20 @@ and m grows with n, so a long document that shares a few passages with others is
 1. Sets are written once. Equal sets are one point from here on.
 2. The points that share a prefix shingle are chained by size: linked ones differ by less than
    1 - t, so a wider gap parts them. A point stays if it has company for m of its prefix shingles.
-   In each chain, the point with the largest share of frequent shingles in its prefix (the centre of
-   a group of copies) is the pivot. A point belongs to the region of every pivot in whose chains it
-   is; points near a border belong to several.
-3. A region computes its points' distances to the pivot. Points within RADIUS are linked to it and
+   The sets of those that stay are written, each once.
+3. Among them, all shingles are counted and prefixes taken again, the rarest shingles first: a copy
+   with many changes begins with its own, and meets nobody. The place of the first shingle that two
+   sets share also bounds the size of the other one, a point's reach in that chain.
+   In each chain, the point with the most frequent shingles (the centre of a group of copies) is the
+   pivot. A point belongs to the region of every pivot in whose chains it is; points near a border
+   belong to several.
+4. A region computes its points' distances to the pivot. Points within RADIUS are linked to it and
    need no pair among themselves. For the others, a triangle-inequality window bounds the distance
    to the pivot of any point they can be linked with; the region is joined again around the next
    pivot within the window, until no pair is open. Distances to all pivots so far narrow it.
-4. A region too large for a task is dealt over several, each with the pivot. Points not linked to the
-   pivot are replicated to the other parts, to meet those within their window.
-5. Links of all regions are joined into components by rounds of label passing.
+5. A region too large for a task is dealt over several by size, each with the pivot. Points not linked
+   to the pivot are replicated to the other parts with sizes in their reach.
+6. Links of all regions are joined into components by rounds of label passing.
 
 Every comparison is of whole sets, and exact up to 64-bit hashes.
 """
@@ -185,9 +189,23 @@ def frequent_shingles(sets: DataFrame, percent: int = PERCENT) -> np.ndarray:
     return counts.where(F.col("count") >= least).select("h").toArrow().column("h").to_numpy().view(np.uint64)
 
 
-def regions(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(region, node): the points of each pivot's region, the pivot among them. A region's name is
-    its pivot's node."""
+def _company(found: DataFrame, percent: int) -> DataFrame:
+    """The rows (h, node, n, ...) that have another one of their shingle next to them in size."""
+    by_size = Window.partitionBy("h").orderBy("n", "node")
+    smaller = F.coalesce(F.lag("n").over(by_size) * 100 >= F.col("n") * percent, F.lit(False))
+    larger = F.coalesce(F.col("n") * 100 >= F.lead("n").over(by_size) * percent, F.lit(False))
+    return found.withColumn("near", smaller | larger).where("near").drop("near")
+
+
+def _kept(company: DataFrame, percent: int) -> DataFrame:
+    """(node): points with company for as many prefix shingles as a link needs."""
+    least = F.floor(F.floor(F.col("n") * percent / 100) * EXTRA / 100) + 1
+    kept = company.groupBy("node").agg(F.count("*").alias("met"), F.min("n").alias("n"))
+    return kept.where(F.col("met") >= least).select("node")
+
+
+def candidates(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node): every point that has a link, and others; by prefixes in the order of hashes."""
     spark = sets.sparkSession
     order = spark.sparkContext.broadcast(Order(frequent_shingles(sets, percent)))
     release(spark)
@@ -196,20 +214,15 @@ def regions(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         for batch in _sliced(batches):
             shingles, at = _flat(batch.column("shingles"))
             owner, keys = order.value.prefixes(shingles, at, percent)
-            size = np.bincount(owner, minlength=batch.num_rows)
-            frequent = np.bincount(owner, weights=keys >= _TOP, minlength=batch.num_rows)
-            # 0 for a prefix of frequent shingles only, up to 100: the less, the more central
-            off = (100 * (size - frequent) // np.maximum(size, 1)).astype(np.int32)
             if passes is not None:
                 keep = passes(keys.view(np.int64))
                 owner, keys = owner[keep], keys[keep]
             node, n = batch.column("node").to_numpy(), np.diff(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(node[owner]), pa.array(n[owner]), pa.array(off[owner])],
-                names=["h", "node", "n", "off"],
+                [pa.array(keys.view(np.int64)), pa.array(node[owner]), pa.array(n[owner])], names=["h", "node", "n"]
             )
 
-    schema, rows = "h long, node long, n long, off int", sets.where("n > 0").select("node", "shingles")
+    schema, rows = "h long, node long, n long", sets.where("n > 0").select("node", "shingles")
     shared = (
         rows.mapInArrow(postings, schema)
         .groupBy("h")
@@ -222,26 +235,60 @@ def regions(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     discard(spark, path)
     # shingles that only passed the sieve have one point, and no company below
     found = rows.mapInArrow(lambda b: postings(b, sieve.value.passes), schema).distinct()
-    by_size = Window.partitionBy("h").orderBy("n", "node")
-    smaller = F.coalesce(F.lag("n").over(by_size) * 100 >= F.col("n") * percent, F.lit(False))
-    larger = F.coalesce(F.col("n") * 100 >= F.lead("n").over(by_size) * percent, F.lit(False))
-    company = found.withColumn("near", smaller | larger).where("near").drop("near")
-    for _ in range(2):  # each round drops points and so the company of others; any number is right
-        company = materialize(company, "jaccard-company")
-        least = F.floor(F.floor(F.col("n") * percent / 100) * EXTRA / 100) + 1
-        kept = company.groupBy("node").agg(F.count("*").alias("met"), F.min("n").alias("n"))
-        kept = kept.where(F.col("met") >= least).select("node")
-        company = company.join(kept, "node", "left_semi")
-        company = company.withColumn("near", smaller | larger).where("near").drop("near")
-    company = materialize(company, "jaccard-company")
-    chained = company.withColumn("cut", F.when(smaller, F.lit(0)).otherwise(F.lit(1)))
-    chained = chained.withColumn("chain", F.sum("cut").over(by_size)).select("h", "chain", "node", "off")
-    pivots = chained.groupBy("h", "chain").agg(F.min(F.struct("off", "node")).alias("pivot"))
-    members = chained.join(pivots, ["h", "chain"]).select(F.col("pivot.node").alias("region"), "node").distinct()
-    members = materialize(members, "jaccard-regions")
+    company = materialize(_company(found, percent), "jaccard-company")
+    kept = materialize(_kept(company, percent), "jaccard-candidates")
     order.destroy()
     sieve.destroy()
     release(spark)
+    return kept
+
+
+def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _sliced(batches, 64):
+        shingles, at = _flat(batch.column("shingles"))
+        n = np.diff(at)
+        node = batch.column("node").to_numpy()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(shingles.view(np.int64)), pa.array(np.repeat(node, n)), pa.array(np.repeat(n.astype(np.int32), n))], names=["h", "node", "n"]
+        )
+
+
+def rare_prefixes(held: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(h, node, n, reach, off): prefixes in the order of counts among `held`, without the shingles of
+    one point only, which come first. Two linked points are within each other's reach at the first
+    shingle that they share: their overlap is at most what follows from there. `off` is the lower
+    the more frequent all of a point's shingles are."""
+    counts = F.count("*").over(Window.partitionBy("h"))
+    rows = held.mapInArrow(_all_shingles, "h long, node long, n int").withColumn("met", counts).where("met > 1")
+    own = Window.partitionBy("node")
+    # from 1 on; the shingles of this point only stand before all that are left
+    rank = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("met", "h"))
+    rows = rows.withColumn("rank", rank).withColumn("off", -F.floor(F.sum(F.log2("met")).over(own) * 100 / F.col("n")))
+    rows = rows.where(F.expr(f"rank <= n - (n * {percent} + 99) div 100 + 1 + n * {EXTRA} div 100"))
+    reach = F.expr(f"(n - rank + 1) * {100 + percent} div {percent} - n")
+    return rows.select("h", "node", F.col("n").cast("long").alias("n"), reach.cast("long").alias("reach"), F.col("off").cast("int").alias("off"))
+
+
+def regions(held: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(region, node, n, reach): the points of each pivot's region, the pivot among them, and the
+    largest size that a partner in the region can have. A region's name is its pivot's node."""
+    company = materialize(_company(rare_prefixes(held, percent), percent), "jaccard-company")
+    # drops points and so the company of others; more rounds would be right too, and drop few
+    company = _company(company.join(_kept(company, percent), "node", "left_semi"), percent)
+    company = materialize(company, "jaccard-company")
+
+    def chained(rows: DataFrame) -> DataFrame:
+        by_size = Window.partitionBy("h").orderBy("n", "node")
+        smaller = F.coalesce(F.lag("n").over(by_size) * 100 >= F.col("n") * percent, F.lit(False))
+        return rows.withColumn("cut", F.when(smaller, 0).otherwise(1)).withColumn("chain", F.sum("cut").over(by_size)).drop("cut")
+
+    chain = Window.partitionBy("h", "chain")
+    # who reaches no size in the chain has its first shared shingle elsewhere
+    reaching = chained(company).withColumn("least", F.min("n").over(chain)).where("reach >= least").drop("chain", "least")
+    pivots = chained(_company(reaching, percent)).withColumn("pivot", F.min(F.struct("off", "node")).over(chain))
+    members = pivots.groupBy(F.col("pivot.node").alias("region"), "node").agg(F.max("n").alias("n"), F.max("reach").alias("reach"))
+    members = materialize(members, "jaccard-regions")
+    release(held.sparkSession)
     return members
 
 
@@ -249,10 +296,11 @@ def regions(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 class Points:
-    """The sets of a region's points, with exact overlaps of one point with many at once."""
+    """The sets of a region's points, with exact overlaps of one point with many at once. `reach` is
+    the largest size of a set that each can be linked with here."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
+    def __init__(self, sets: list[np.ndarray], percent: int, reach: np.ndarray):
+        self.sets, self.percent, self.reach = sets, percent, reach
         self.n = np.array([len(s) for s in sets], dtype=np.int64)
 
     def overlap(self, p: int, others: np.ndarray) -> np.ndarray:
@@ -297,6 +345,7 @@ def join_region(points: Points, pivot: int, open_: np.ndarray, slack: float) ->
     for p in todo[np.argsort(table[0][todo], kind="stable")]:
         others = everyone[~settled & (everyone != p)]
         others = others[root[others] != root[p]]
+        others = others[(points.n[others] <= points.reach[p]) & (points.n[p] <= points.reach[others])]
         small, large = np.minimum(points.n[others], points.n[p]), np.maximum(points.n[others], points.n[p])
         others = others[100 * small >= points.percent * large]
         for d in table[:1] + table[1:][-7:]:
@@ -344,7 +393,8 @@ def _join_parts(percent: int, second: bool):
             region = rows[0]["region"]
             if region not in nodes:
                 continue  # a part that only holds replicas
-            points = Points([np.frombuffer(r["shingles"], dtype=np.uint64) for r in rows], percent)
+            reach = np.array([r["reach"] for r in rows], dtype=np.int64)
+            points = Points([np.frombuffer(r["shingles"], dtype=np.uint64) for r in rows], percent, reach)
             pivot = nodes.index(region)
             foreign = np.array([bool(r["foreign"]) for r in rows])
             links, near = join_region(points, pivot, foreign if second else np.ones(len(rows), dtype=bool), slack)
@@ -363,10 +413,10 @@ def _dealt(members: DataFrame) -> DataFrame:
     return members.repartition("region", "part").sortWithinPartitions("region", "part")
 
 
-def active_sets(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, str]:
-    """(node, shingles) of the points that are in any region, each once, and their folder."""
+def active_sets(sets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, str]:
+    """(node, shingles) of these points, each once, and their folder."""
     spark = sets.sparkSession
-    active = spark.sparkContext.broadcast(sieve_of(members, "node"))
+    active = spark.sparkContext.broadcast(sieve_of(nodes, "node"))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()  # equal sets leave a task once
@@ -380,7 +430,7 @@ def active_sets(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, str]:
             yield batch.take(pa.array(keep, pa.int64()))
 
     held = sets.where("n > 0").select("node", "shingles").mapInArrow(once, "node long, shingles binary")
-    held = held.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    held = held.join(nodes, "node", "left_semi").dropDuplicates(["node"])
     held, path = written(held, "jaccard-active")
     active.destroy()
     release(spark)
@@ -390,21 +440,26 @@ def active_sets(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, str]:
 def region_links(held: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links that connect what the regions' links connect."""
     spark = held.sparkSession
-    sizes = members.groupBy("region").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    placed = materialize(
-        members.join(sizes, "region").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "jaccard-parts"
-    )
+    region = Window.partitionBy("region")
+    # in parts of like sizes, so that a reach leaves parts out
+    place = F.row_number().over(region.orderBy("n", "node")) - 1
+    placed = members.withColumn("parts", F.ceil(F.count("*").over(region) / PART).cast("int"))
+    placed = materialize(placed.withColumn("part", F.floor(place / PART).cast("int")), "jaccard-parts")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     # the pivot goes to every part of its region
     own = placed.where("node <> region").unionByName(placed.where("node = region").withColumn("part", every))
     first = own.withColumn("foreign", F.lit(False)).join(held, "node")
     links = materialize(_dealt(first).mapInArrow(_join_parts(percent, False), _LINKS), "jaccard-links")
     release(spark)
-    # points beyond the pivot's reach, in the parts that they have not met
+    # points beyond the pivot's reach, in the parts that they have not met and that hold sizes in their own
+    ranges = placed.where("parts > 1").groupBy("region", "part")
+    ranges = ranges.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("most"))
     loose = links.where("node IS NOT NULL").select("region", "node", F.col("part").alias("home"))
-    loose = loose.join(sizes, "region").withColumn("part", every).where("part <> home").drop("home").withColumn("foreign", F.lit(True))
-    divided = own.where("parts > 1").withColumn("foreign", F.lit(False))
-    second = divided.unionByName(loose.select(*divided.columns)).join(held, "node")
+    loose = loose.join(placed.drop("part"), ["region", "node"]).join(ranges, "region").where("part <> home")
+    loose = loose.where(f"reach >= low AND n <= most AND high * 100 >= n * {percent}")
+    loose = materialize(loose.withColumn("foreign", F.lit(True)).select(*own.columns, "foreign"), "jaccard-loose")
+    divided = own.join(loose.select("region", "part").distinct(), ["region", "part"], "left_semi").withColumn("foreign", F.lit(False))
+    second = divided.unionByName(loose).join(held, "node")
     more = _dealt(second).mapInArrow(_join_parts(percent, True), _LINKS)
     return materialize(links.select("a", "b").unionByName(more.select("a", "b")).where("a IS NOT NULL").distinct(), "jaccard-forest")
 
@@ -449,9 +504,9 @@ def labelled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
     with small_batches(spark):
         sets, sets_path = document_sets(docs, size)
         points = materialize(sets.select("doc_id", "row", "node", "n"), "jaccard-points")
-        members = regions(sets, percent)
-        held, held_path = active_sets(sets, members)
+        held, held_path = active_sets(sets, candidates(sets, percent))
         discard(spark, sets_path)
+        members = regions(held, percent)
         links = region_links(held, members, percent)
         discard(spark, held_path)
     rows = points.join(components(links), "node", "left")

@@ -155,6 +155,56 @@ def test_jaccard_join_of_one_large_group(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out.collect()) == _components(rows)
 
 
+def _variants(n=160, words=120):
+    """Copies of one text with up to two fifths of its words changed, some cut short, some changed alike."""
+    rng = np.random.default_rng(21)
+    base = ["b%d" % i for i in range(words)]
+    rows = []
+    for i in range(n):
+        text = base[: words - int(rng.integers(0, 12))] if i % 4 == 0 else list(base)
+        for _ in range(int(rng.integers(0, 2 * words // 5)) if i % 3 else i % 5):
+            text[int(rng.integers(0, len(text)))] = f"x{rng.integers(0, 400)}"
+        rows.append((i, " ".join(text), 0, 0.0, 0))
+    return rows
+
+
+def test_jaccard_regions_leave_out_copies_with_many_changes(spark, monkeypatch):
+    """Copies too far from the pivot and from each other are no pairs of every part."""
+    monkeypatch.setattr(jaccard, "PART", 16)
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    met, write = {}, jaccard.materialize
+
+    def counted(df, purpose):
+        out = write(df, purpose)
+        met[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    rows = _variants()
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, DOCS))
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out.collect())
+    assert got == _components(rows)
+    grouped = len(rows) - len({g[2] for g in got})
+    assert grouped == 40 and met["jaccard-regions"] < 3 * grouped
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join_of_sizes_at_their_reach(spark, monkeypatch, seed):
+    """Sets that hold one another, of every size, so that links end within a shingle of the bound."""
+    monkeypatch.setattr(jaccard, "PART", 5)
+    monkeypatch.setattr(jaccard, "HOT", 1000)
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(3):
+        base = ["g%dw%d" % (g, i) for i in range(90)]
+        for _ in range(40):
+            text = base[int(rng.integers(0, 25)) : 90 - int(rng.integers(0, 25))]
+            text += ["y%d" % rng.integers(0, 30) for _ in range(int(rng.integers(0, 12)))]
+            rows.append((len(rows), " ".join(text), 0, 0.0, 0))
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, DOCS))
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out.collect()) == _components(rows)
+
+
 def test_jaccard_join_without_rows(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
     one = jaccard.near_duplicates(spark.createDataFrame([(4, "", 0, 0.0, 0)], DOCS)).collect()
