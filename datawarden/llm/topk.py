@@ -10,9 +10,12 @@ scored through the block's own forward index (its rows), until the bounds fall b
 2. Each query is scored in its most promising segment, which gives a first k-th score.
 3. The query goes on only to segments whose own bound reaches that score, block by block.
 
+Segments are dealt in buckets. A bucket's segments come to a task once, before the chunks of queries
+that any of them can still hold a hit for, and a chunk comes to a bucket once: nothing is repeated
+for each pair of the two. Where most blocks of a segment stay open, they are scored at once.
+
 The driver sees the segments' extremes only: at most `MAX_SEGMENTS` rows and one for each partition,
-since segments grow with the table. Queries are never joined with all documents: what moves is a
-chunk's queries to the segments that can still hold a hit.
+since segments grow with the table.
 """
 
 from __future__ import annotations
@@ -24,17 +27,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from datawarden.llm.common import materialize
+from datawarden.llm.common import materialize, small_batches
 
 BLOCK = 64
 SEGMENT = 4096
 MAX_SEGMENTS = 8192
 CHUNK = 512
-#: Up to here sums of products are exact in doubles.
-EXACT = 2.0**53
+#: Packed rows, of segments or chunks, that Python is handed at once.
+BATCH = 4
+#: Components of the vectors of a bucket, and buckets at least, where there are segments enough.
+BUCKET, BUCKETS = 1 << 22, 64
+#: Up to here sums of products are exact in doubles, and in single floats.
+EXACT, EXACT_SINGLE = 2.0**53, 2.0**24
 
 _SEGMENTS = "segment long, n int, dim int, ids binary, rows binary, low binary, high binary"
-_WORK = "segment long, ids binary, dim int, rows binary, floor binary"
+#: A segment, or queries for a bucket with their floors and the segments they are first scored in.
+_WORK = "bucket int, segment long, dim int, ids binary, rows binary, low binary, high binary, floor binary, first binary"
 _HITS = "query_id long, vec_id long, score long"
 
 
@@ -58,13 +66,7 @@ def integer_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 def _ordered(rows: DataFrame) -> DataFrame:
     """Rows dealt and sorted so that vectors with the same two strongest components, and equal
     vectors, stand together. Equal ones are told apart by id, so a frequent vector is split too."""
-    size = F.transform("v", lambda x: F.abs(x))
-    first = F.array_position(size, F.array_max(size))
-    sign = F.get("v", (first - 1).cast("int")) < 0
-    lead = F.coalesce(F.when(sign, -first).otherwise(first), F.lit(0))
-    rest = F.transform("v", lambda x, i: F.when(i == first - 1, F.lit(-1)).otherwise(F.abs(x)))
-    second = F.coalesce(F.array_position(rest, F.array_max(rest)), F.lit(0))
-    keyed = rows.withColumn("lead", lead).withColumn("second", second)
+    keyed = rows.mapInArrow(_leading, "vec_id long, v array<long>, lead int, second int")
     order = ["lead", "second", F.hash("v"), "vec_id"]
     return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("vec_id", "v")
 
@@ -79,6 +81,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return out
 
 
+def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places, from 1 on, of the strongest component, negative if that is, and of the next one."""
+    for batch in batches:
+        m = _matrix(batch.column("v"))
+        lead = second = np.zeros(len(m), dtype=np.int64)
+        if m.size:
+            each, size = np.arange(len(m)), np.abs(m)
+            first = size.argmax(axis=1)
+            lead = np.where(m[each, first] < 0, -1 - first, 1 + first)
+            size[each, first] = -1
+            second = 1 + size.argmax(axis=1)
+        keys = [pa.array(x.astype(np.int32)) for x in (lead, second)]
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), *keys], names=["vec_id", "v", "lead", "second"])
+
+
 def _stacked(parts: list[np.ndarray]) -> np.ndarray:
     dim = max(p.shape[1] for p in parts)
     return np.concatenate([np.pad(p, ((0, 0), (0, dim - p.shape[1]))) for p in parts])
@@ -118,14 +135,22 @@ def build_index(rows: DataFrame, segment: int, block: int = BLOCK) -> DataFrame:
         for k, (ids, m) in enumerate(_packs(batches, segment)):
             starts = np.arange(0, len(ids), block)
             low, high = np.minimum.reduceat(m, starts), np.maximum.reduceat(m, starts)
-            packed = [x.astype("<i8").tobytes() for x in (ids, m, low, high)]
-            yield _batch(_SEGMENTS, [((part << 32) | k, len(ids), m.shape[1], *packed)])
+            packed = [_pack(x) for x in (m, low, high)]
+            yield _batch(_SEGMENTS, [((part << 32) | k, len(ids), m.shape[1], ids.astype("<i8").tobytes(), *packed)])
 
     return _ordered(rows).mapInArrow(run, _SEGMENTS)
 
 
-def _unpack(data: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(data, dtype="<i8").reshape(-1, dim) if dim else np.zeros((0, 0), dtype=np.int64)
+def _pack(m: np.ndarray) -> bytes:
+    """A matrix in the smallest integers that hold it."""
+    least, most = (int(m.min()), int(m.max())) if m.size else (0, 0)
+    kind = next(k for k in ("<i2", "<i4", "<i8") if np.iinfo(k).min <= least and most <= np.iinfo(k).max)
+    return m.astype(kind).tobytes()
+
+
+def _unpack(data: bytes, n: int, dim: int) -> np.ndarray:
+    """The `n` rows of a packed matrix."""
+    return np.frombuffer(data, dtype=f"<i{len(data) // (n * dim)}").reshape(n, dim) if n * dim else np.zeros((n, dim), dtype=np.int64)
 
 
 def _fit(m: np.ndarray, dim: int) -> np.ndarray:
@@ -133,11 +158,12 @@ def _fit(m: np.ndarray, dim: int) -> np.ndarray:
 
 
 def _numbers(*arrays: np.ndarray) -> list[np.ndarray]:
-    """As doubles where every sum of products is exact in them, else as Python integers."""
-    most = [max(1.0, float(np.abs(a.astype(np.float64)).max(initial=0))) for a in arrays]
+    """As floats where every sum of products is exact in them, else as Python integers."""
+    most = [max(1.0, -float(a.min(initial=0)), float(a.max(initial=0))) for a in arrays]
     dim = max(a.shape[1] for a in arrays)
-    exact = most[0] * max(most[1:]) * max(dim, 1) < EXACT
-    return [a.astype(np.float64) if exact else a.astype(object) for a in arrays]
+    bound = most[0] * max(most[1:]) * max(dim, 1)
+    kind = np.float32 if bound < EXACT_SINGLE else np.float64 if bound < EXACT else object
+    return [a.astype(np.int64).astype(object) if kind is object else a.astype(kind) for a in arrays]
 
 
 def search_segment(
@@ -151,6 +177,9 @@ def search_segment(
     q, m, lo, hi = _numbers(*(_fit(x, dim) for x in (queries, rows, low, high)))
     bounds = np.where(q > 0, q, 0) @ hi.T + np.where(q < 0, q, 0) @ lo.T
     out = []
+    opened = (bounds >= floors[:, None]).astype(bool)
+    if m.dtype != object and np.isfinite(floors).all() and 8 * opened.sum() > opened.size:
+        return _dense(query_ids, q, floors, opened, ids, m, k, block)
     for i, own in enumerate(query_ids):
         order = np.argsort(-bounds[i], kind="stable")
         best_ids, best, floor, at = np.zeros(0, np.int64), np.zeros(0, m.dtype), floors[i], 0
@@ -174,6 +203,58 @@ def search_segment(
     return out
 
 
+def _dense(query_ids, q, floors, opened, ids, m, k, block) -> list[tuple[int, int, int]]:
+    """The same for floats and finite floors, with the blocks that any of some queries has open
+    scored by one product."""
+    out = []
+    for at in range(0, len(q), 64):
+        part = slice(at, at + 64)
+        rows = np.flatnonzero(np.repeat(opened[part].any(axis=0), block)[: len(ids)])
+        score = q[part] @ m[rows].T
+        i, j = np.nonzero(score >= floors[part, None])
+        keep = ids[rows[j]] != query_ids[part][i]
+        i, j = i[keep], j[keep]
+        found, scores = ids[rows[j]], score[i, j].astype(np.int64)
+        top = _best(i, found, scores, k)
+        out += zip(query_ids[part][i[top]].tolist(), found[top].tolist(), scores[top].tolist())
+    return out
+
+
+def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best hits, by query."""
+    order = np.lexsort((ids, -scores.astype(np.float64) if len(scores) and np.abs(scores).max() < EXACT else ~scores, query))
+    own = query[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
+
+
+def search_bucket(
+    query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray | None, first: np.ndarray,
+    segments: list[tuple], k: int,
+) -> list[tuple[int, int, int]]:
+    """(query_id, vec_id, score) of each query's k best hits in a bucket. Without floors, in the
+    segment that is its first one; with floors, in the others, and what is found raises the floors."""
+    empty = np.zeros(0, np.int64)
+    place, found, scores = empty, empty, empty
+    at = {int(q): i for i, q in enumerate(query_ids)}
+    limits = np.full(len(query_ids), -np.inf) if floors is None else floors.copy()
+    for name, *segment in segments:
+        on = np.flatnonzero((first == name) == (floors is None))
+        if not len(on):
+            continue
+        hits = search_segment(query_ids[on], queries[on], limits[on], *segment, k)
+        if not hits:
+            continue
+        q, v, s = (np.array(x, dtype=np.int64) for x in zip(*hits))
+        place = np.concatenate([place, np.array([at[i] for i in q.tolist()], dtype=np.int64)])
+        found, scores = np.concatenate([found, v]), np.concatenate([scores, s])
+        top = _best(place, found, scores, k)
+        place, found, scores = place[top], found[top], scores[top]
+        last = np.flatnonzero(np.concatenate([place[1:] != place[:-1], [True]]))
+        full = last[(np.bincount(place, minlength=len(at))[place[last]] == k) & (np.abs(scores[last].astype(np.float64)) < EXACT)]
+        limits[place[full]] = np.maximum(limits[place[full]], scores[full])
+    return list(zip(query_ids[place].tolist(), found.tolist(), scores.tolist()))
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of every row that
     `queries` (a condition on vec_id) selects, over all other rows; ties to the smaller vec_id.
@@ -185,96 +266,115 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, column: str = "embedd
     total = rows.count()
     size = max(SEGMENT, -(-total // MAX_SEGMENTS))
     index = materialize(build_index(rows, size), "topk-segments")
-    extremes = index.select("segment", "dim", "low", "high").mapInArrow(_segment_extremes, "segment long, dim int, low binary, high binary")
+    extremes = index.select("segment", "n", "dim", "low", "high").mapInArrow(_segment_extremes, "segment long, dim int, low binary, high binary")
     known = extremes.collect()  # bounded: see MAX_SEGMENTS
     dim = max((r["dim"] for r in known), default=0)
     segments = np.array([r["segment"] for r in known], dtype=np.int64)
-    low = np.concatenate([_fit(_unpack(r["low"], r["dim"]), dim) for r in known]) if dim else np.zeros((len(known), 0), np.int64)
-    high = np.concatenate([_fit(_unpack(r["high"], r["dim"]), dim) for r in known]) if dim else low
+    low = np.concatenate([_fit(_unpack(r["low"], 1, r["dim"]), dim) for r in known]) if dim else np.zeros((len(known), 0), np.int64)
+    high = np.concatenate([_fit(_unpack(r["high"], 1, r["dim"]), dim) for r in known]) if dim else low
+    per = max(1, min(BUCKET // (size * max(dim, 1)), len(known) // BUCKETS))
     shared = spark.sparkContext.broadcast((segments, low, high))
+    cells = "chunk long, dim int, ids binary, rows binary"
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, m in _packs(batches, CHUNK):
-            yield _batch("dim int, ids binary, rows binary", [(m.shape[1], ids.astype("<i8").tobytes(), m.astype("<i8").tobytes())])
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for c, (ids, m) in enumerate(_packs(batches, CHUNK)):
+            yield _batch(cells, [((part << 32) | c, m.shape[1], ids.astype("<i8").tobytes(), _pack(m))])
 
-    chunked = materialize(_ordered(rows.where(queries)).mapInArrow(chunks, "dim int, ids binary, rows binary"), "topk-queries")
+    chunked = materialize(_ordered(rows.where(queries)).mapInArrow(chunks, cells), "topk-queries")
 
-    def reach(ids: np.ndarray, m: np.ndarray) -> np.ndarray:
-        segment_ids, lo, hi = shared.value
+    def reach(m: np.ndarray) -> np.ndarray:
+        _, lo, hi = shared.value
         d = max(m.shape[1], lo.shape[1])
         q, lo, hi = _numbers(*(_fit(x, d) for x in (m, lo, hi)))
         return np.where(q > 0, q, 0) @ hi.T + np.where(q < 0, q, 0) @ lo.T
 
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = {int(x): i // per for i, x in enumerate(shared.value[0])}
         for row in (r for b in batches for r in b.to_pylist()):
-            ids, m = np.frombuffer(row["ids"], "<i8"), _unpack(row["rows"], row["dim"])
-            m = m if row["dim"] else np.zeros((len(ids), 0), np.int64)
-            best = np.argmax(reach(ids, m), axis=1)
-            for s in np.unique(best):
-                yield _work(int(shared.value[0][s]), ids[best == s], m[best == s], np.full(int((best == s).sum()), -np.inf))
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
-            ids, m = np.frombuffer(row["ids"], "<i8"), _unpack(row["rows"], row["dim"])
-            m = m if row["dim"] else np.zeros((len(ids), 0), np.int64)
-            floors = {f["query_id"]: f["score"] for f in row["floors"]}
-            floor = np.array([float(floors.get(int(i), -np.inf)) for i in ids])
-            floor = np.where(np.abs(floor) < EXACT, floor, np.nextafter(floor, -np.inf))
-            bound = reach(ids, m)
-            best = np.argmax(bound, axis=1)
-            for s in range(bound.shape[1]):
-                on = (bound[:, s] >= floor).astype(bool) & (best != s)
-                if on.any():
-                    yield _work(int(shared.value[0][s]), ids[on], m[on], floor[on])
+            yield _batch(_WORK, [(bucket[row["segment"]], row["segment"], *(row[c] for c in ("dim", "ids", "rows", "low", "high")), None, None)])
+
+    def asked(bucket: int, ids: np.ndarray, m: np.ndarray, floor: np.ndarray | None, first: np.ndarray) -> pa.RecordBatch:
+        floor = None if floor is None else floor.astype("<f8").tobytes()
+        return _batch(_WORK, [(bucket, None, m.shape[1], ids.astype("<i8").tobytes(), _pack(m), None, None, floor, first.astype("<i8").tobytes())])
+
+    def work(seed: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = shared.value[0]
+            for row in (r for b in batches for r in b.to_pylist()):
+                ids = np.frombuffer(row["ids"], "<i8")
+                m = _unpack(row["rows"], len(ids), row["dim"])
+                bound = reach(m)
+                best = np.argmax(bound, axis=1)
+                if seed:
+                    for bucket in np.unique(best // per):
+                        on = best // per == bucket
+                        yield asked(int(bucket), ids[on], m[on], None, names[best[on]])
+                    continue
+                floors = {f["query_id"]: f["score"] for f in row["floors"] or ()}
+                floor = np.array([float(floors.get(int(i), -np.inf)) for i in ids])
+                floor = np.where(np.abs(floor) < EXACT, floor, np.nextafter(floor, -np.inf))
+                open_ = (bound >= floor[:, None]).astype(bool)
+                open_[np.arange(len(ids)), best] = False
+                for bucket in range(-(-len(names) // per)):
+                    on = open_[:, bucket * per : (bucket + 1) * per].any(axis=1)
+                    if on.any():
+                        yield asked(bucket, ids[on], m[on], floor[on], names[best[on]])
+
+        return run
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
         for row in (r for b in batches for r in b.to_pylist()):
-            ids = np.frombuffer(row["ids"], "<i8")
-            mine = np.frombuffer(row["s_ids"], "<i8")
-            shape = lambda data, dim, n: np.frombuffer(data, "<i8").reshape(n, dim)
-            n_blocks = -(-len(mine) // BLOCK)
-            hits = search_segment(
-                ids, shape(row["rows"], row["dim"], len(ids)), np.frombuffer(row["floor"], "<f8"),
-                mine, shape(row["s_rows"], row["s_dim"], len(mine)),
-                shape(row["s_low"], row["s_dim"], n_blocks), shape(row["s_high"], row["s_dim"], n_blocks), k,
-            )
+            if row["bucket"] != bucket:
+                bucket, held = row["bucket"], []
+            ids, dim = np.frombuffer(row["ids"], "<i8"), row["dim"]
+            if row["segment"] is not None:
+                blocks = -(-len(ids) // BLOCK)
+                held.append((row["segment"], ids, _unpack(row["rows"], len(ids), dim), *(_unpack(row[c], blocks, dim) for c in ("low", "high"))))
+                continue
+            floor = None if row["floor"] is None else np.frombuffer(row["floor"], "<f8")
+            hits = search_bucket(ids, _unpack(row["rows"], len(ids), dim), floor, np.frombuffer(row["first"], "<i8"), held, k)
             yield _batch(_HITS, hits)
 
-    stored = index.select("segment", *(F.col(c).alias(f"s_{c}") for c in ("dim", "ids", "rows", "low", "high")))
+    kept = index.mapInArrow(stored, _WORK)
+
+    def scored(work: DataFrame) -> DataFrame:
+        # a bucket's segments come before its queries
+        dealt = kept.unionByName(work).repartition("bucket").sortWithinPartitions("bucket", F.col("segment").asc_nulls_last())
+        return dealt.mapInArrow(score, _HITS)
+
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
 
     def best(hits: DataFrame) -> DataFrame:
         return hits.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
-    first = chunked.mapInArrow(seeds, _WORK).join(stored, "segment").mapInArrow(score, _HITS)
-    first = materialize(best(first).select("query_id", "vec_id", "score", "rank"), "topk-first")
-    # a chunk's own floors, at most one for each of its queries
-    floors = first.where(F.col("rank") == k).select("query_id", "score")
-    opened = chunked.mapInArrow(_query_ids, "query_id long, dim int, ids binary, rows binary")
-    with_floor = opened.join(floors, "query_id", "left").groupBy("dim", "ids", "rows").agg(
-        F.collect_list(F.struct("query_id", "score")).alias("floors")
-    ).withColumn("floors", F.filter("floors", lambda f: f["score"].isNotNull()))
-    later = with_floor.mapInArrow(others, _WORK).join(stored, "segment").mapInArrow(score, _HITS)
+    with small_batches(spark, BATCH):
+        first = scored(chunked.mapInArrow(work(True), _WORK))
+        first = materialize(best(first).select("query_id", "vec_id", "score", "rank"), "topk-first")
+        # a chunk's own floors, at most one for each of its queries
+        floors = first.where(F.col("rank") == k).select("query_id", "score")
+        owner = chunked.select("chunk", "ids").mapInArrow(_query_ids, "query_id long, chunk long")
+        floors = owner.join(floors, "query_id").groupBy("chunk").agg(F.collect_list(F.struct("query_id", "score")).alias("floors"))
+        later = materialize(scored(chunked.join(floors, "chunk", "left").mapInArrow(work(False), _WORK)), "topk-later")
     merged = first.select("query_id", "vec_id", "score").unionByName(later)
     return best(merged).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _work(segment: int, ids: np.ndarray, m: np.ndarray, floor: np.ndarray) -> pa.RecordBatch:
-    return _batch(_WORK, [(segment, ids.astype("<i8").tobytes(), m.shape[1], m.astype("<i8").tobytes(), floor.astype("<f8").tobytes())])
-
-
 def _segment_extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = "segment long, dim int, low binary, high binary"
     for row in (r for b in batches for r in b.to_pylist()):
-        low, high = _unpack(row["low"], row["dim"]), _unpack(row["high"], row["dim"])
-        ends = (low.min(axis=0), high.max(axis=0)) if row["dim"] else (np.zeros(0, np.int64),) * 2
-        yield _batch(schema, [(row["segment"], row["dim"], *(x.astype("<i8").tobytes() for x in ends))])
+        blocks = -(-row["n"] // BLOCK)
+        low, high = _unpack(row["low"], blocks, row["dim"]), _unpack(row["high"], blocks, row["dim"])
+        yield _batch(schema, [(row["segment"], row["dim"], _pack(low.min(axis=0)), _pack(high.max(axis=0)))])
 
 
 def _query_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = "query_id long, dim int, ids binary, rows binary"
     for row in (r for b in batches for r in b.to_pylist()):
-        yield _batch(schema, [(int(i), row["dim"], row["ids"], row["rows"]) for i in np.frombuffer(row["ids"], "<i8")])
+        ids = np.frombuffer(row["ids"], "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), row["chunk"]))], names=["query_id", "chunk"])
 
 
 SQL = """

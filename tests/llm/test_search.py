@@ -51,6 +51,29 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == _brute(rows)
 
 
+@pytest.mark.parametrize("scale", [1.0, 3000.0, 2.0**30])
+def test_top_k_in_buckets_matches_brute_force(spark, monkeypatch, scale):
+    """Several segments a bucket and several buckets; products in single floats, doubles and integers."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in scale * rng.normal(size=6)], 1, 0.5) for i in range(400)]
+    rows += [(1000 + i, [0.25 * scale] * 6, 1, 0.5) for i in range(60)]
+    for name, value in (("SEGMENT", 64), ("CHUNK", 16), ("BUCKET", 64 * 6 * 2), ("BUCKETS", 1), ("BATCH", 1)):
+        monkeypatch.setattr(topk, name, value)
+    out = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 3 == 0).collect()))
+    limit = (1 << 63) - 1
+    want = [(q, r, i, max(-limit - 1, min(limit, s))) for q, r, i, s in _brute(rows)]
+    assert out == want if scale < 2**30 else [(q, r, s) for q, r, _, s in out] == [(q, r, s) for q, r, _, s in want]
+
+
+def test_a_chunk_of_queries_is_not_repeated_for_each_query():
+    n, dim = topk.CHUNK, 64
+    packed = [pa.array([x], pa.binary()) for x in (np.arange(n).astype("<i8").tobytes(), np.ones((n, dim), "<i8").tobytes())]
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([dim], pa.int32()), *packed], names=["chunk", "dim", "ids", "rows"])
+    out = list(topk._query_ids(iter([batch])))
+    assert sum(b.num_rows for b in out) == n
+    assert sum(b.nbytes for b in out) < batch.nbytes
+
+
 def test_top_k_small_inputs(spark):
     few = spark.createDataFrame([(0, [1.0], 0, 0.0), (1, [2.0], 0, 0.0)], VECTORS)
     assert [tuple(r) for r in topk.top_k(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 512)]
